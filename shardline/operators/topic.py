@@ -42,10 +42,12 @@ def shard_of(key, n: int, fallback=None) -> Column:
 
 def assign_shard(df: DataFrame, key, n: int, out: str = "partition", *, place: bool = False,
                  fallback=None) -> DataFrame:
-    """Add the shard column; ``place=True`` also moves rows so that Spark
-    partition i holds shard i (what a broker does; see ``placement_profile``)."""
+    """Add the shard column; ``place=True`` also moves rows so that each
+    Spark partition holds one shard, as a broker does (range partitioning on
+    the shard id: hashing would let two shard ids share a partition). See
+    ``placement_profile`` for what that does to a skewed shard."""
     res = df.withColumn(out, shard_of(key, n, fallback))
-    return res.repartition(int(n), out) if place else res
+    return res.repartitionByRange(int(n), out) if place else res
 
 
 def assign_offset(df: DataFrame, shard: str = "partition", order=("timestamp",), out: str = "offset", *,

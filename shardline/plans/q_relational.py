@@ -1 +1,245 @@
-"""Registered queries (see catalog)."""
+"""Queries for projection, routing, lookups, aggregates, latest/head, set
+operations and expansion (operators 25-28, 30-34, 36-42)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shardline.operators import relational as rel
+from shardline.plans.catalog import query
+from shardline.plans.fixtures import topic_frame
+from shardline.operators.topic import assign_shard
+from shardline.sources.tables import load
+
+
+@query("map_values", """
+SELECT l_orderkey, l_linenumber, CAST(l_linenumber * l_linenumber AS BIGINT) AS sq FROM lineitem
+""")
+def q_map_values(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    return rel.map_values(li, {"sq": (F.col("l_linenumber") * F.col("l_linenumber")).cast("bigint")},
+                          keep=["l_orderkey", "l_linenumber"])
+
+
+@query("filter_prefix", """
+WITH s AS (
+  SELECT event_id, 'event.type' AS key, event_type AS value FROM events
+  UNION ALL SELECT event_id, 'event.user', CAST(user_id AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'props.k', json_extract_string(props, '$.k') FROM events)
+SELECT event_id, key, value FROM s WHERE starts_with(key, 'event.')
+""")
+def q_filter_prefix(spark, sf_dir):
+    """Settings map per event, keep keys starting with ``event.``."""
+    ev = load(spark, sf_dir, "events")
+    m = F.create_map(F.lit("event.type"), F.col("event_type"),
+                     F.lit("event.user"), F.col("user_id").cast("string"),
+                     F.lit("props.k"), F.get_json_object("props", "$.k"))
+    kept = ev.select("event_id", rel.filter_prefix_map(m, "event.").alias("settings"))
+    return kept.select("event_id", F.explode("settings").alias("key", "value"))
+
+
+@query("filter_prefix_rows", """
+SELECT event_id, event_type FROM events WHERE starts_with(event_type, 'c')
+""")
+def q_filter_prefix_rows(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select("event_id", "event_type")
+    return rel.filter_prefix(ev, "event_type", "c")
+
+
+@query("overlay_defaults", """
+SELECT d.doc_id, coalesce(l.quality, 0) AS quality, coalesce(l.toxic, 0) AS toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def q_overlay_defaults(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id")
+    lab = load(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id", "left")
+    return rel.overlay_defaults(j, {"quality": 0, "toxic": 0}).select("doc_id", "quality", "toxic")
+
+
+ROUTES = [("https://m.", "mobile"), ("https://", "secure"), ("http://", "plain")]
+
+
+@query("route", """
+SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile'
+                     WHEN starts_with(url, 'https://') THEN 'secure'
+                     WHEN starts_with(url, 'http://') THEN 'plain'
+                     ELSE 'unsupported' END AS route
+FROM pages
+""")
+def q_route(spark, sf_dir):
+    return rel.route(load(spark, sf_dir, "pages").select("page_id", "url"), "url", ROUTES).select("page_id", "route")
+
+
+@query("lookup_parent", """
+SELECT s_suppkey, s_nationkey, coalesce(p.n_name, s_name) AS endpoint
+FROM supplier LEFT JOIN (SELECT n_nationkey, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+                         WHERE r_name = 'EUROPE') p ON s_nationkey = p.n_nationkey
+""")
+def q_lookup_parent(spark, sf_dir):
+    """Suppliers whose nation is a known parent (nations of EUROPE) take the
+    nation's name; the others keep their own name."""
+    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    parents = nation.join(region.filter(F.col("r_name") == "EUROPE"), nation.n_regionkey == region.r_regionkey)
+    sup = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
+    return rel.lookup_parent(sup, parents, "s_nationkey", "n_nationkey", "s_name", "n_name") \
+        .select("s_suppkey", "s_nationkey", "endpoint")
+
+
+@query("match_single_attachment", """
+WITH one AS (SELECT l_orderkey, min(l_linenumber) AS l_linenumber, min(l_partkey) AS l_partkey
+             FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1)
+SELECT o_orderkey, l_linenumber, l_partkey, c_custkey, c_name
+FROM one JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+""")
+def q_match_single_attachment(spark, sf_dir):
+    """Orders with exactly one line item, matched to their customer."""
+    li = load(spark, sf_dir, "lineitem")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    one = rel.match_single_attachment(li, "l_orderkey", ["l_linenumber"], ["l_partkey"],
+                                      orders, "l_orderkey", "o_orderkey")
+    return one.join(cust, one.o_custkey == cust.c_custkey).select("o_orderkey", "l_linenumber", "l_partkey",
+                                                                   "c_custkey", "c_name")
+
+
+@query("completeness", """
+WITH exp AS (SELECT o_orderkey, coalesce(m, 0) AS expected FROM orders
+             LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) x ON o_orderkey = l_orderkey),
+obs AS (SELECT l_orderkey AS o_orderkey, count(DISTINCT l_linenumber) AS observed FROM lineitem GROUP BY 1)
+SELECT o_orderkey, expected, CAST(coalesce(observed, 0) AS BIGINT) AS observed,
+       coalesce(coalesce(observed, 0) = expected, false) AS complete
+FROM exp LEFT JOIN obs USING (o_orderkey)
+""")
+def q_completeness(spark, sf_dir):
+    """Per order: are line numbers 1..max all present?"""
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    expected = (orders.join(li.groupBy("o_orderkey").agg(F.max("l_linenumber").alias("expected")), "o_orderkey", "left")
+                      .withColumn("expected", F.coalesce("expected", F.lit(0))))
+    return rel.completeness(li, "o_orderkey", "l_linenumber", expected, "expected")
+
+
+@query("all_in_state", """
+SELECT o_orderkey, coalesce(a, true) AS all_in_state
+FROM orders LEFT JOIN (SELECT l_orderkey, bool_and(coalesce(l_linestatus = 'F', false)) AS a
+                       FROM lineitem GROUP BY l_orderkey) x ON o_orderkey = l_orderkey
+""")
+def q_all_in_state(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
+    orders = load(spark, sf_dir, "orders").select("o_orderkey")
+    return rel.all_in_state_for(orders, "o_orderkey", li, "l_linestatus", "F")
+
+
+@query("placement_profile")
+def q_placement_profile(spark, sf_dir):
+    """Where did the records go after placing them by shard? Rows per Spark
+    partition and host (rows only: placement depends on the cluster)."""
+    from shardline.plans.fixtures import topic_records
+    placed = assign_shard(topic_records(spark, sf_dir), "key", 4, place=True)
+    return rel.placement_profile(placed)
+
+
+@query("rebase_ids", """
+WITH base AS (SELECT s_nationkey AS c_nationkey,
+                     max(TRY_CAST(nullif(regexp_extract(s_name, '(\\d+)$', 1), '') AS BIGINT)) AS b
+              FROM supplier GROUP BY 1)
+SELECT c_custkey, c_nationkey,
+       CAST(coalesce(b, 0) + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS BIGINT) AS new_id
+FROM customer LEFT JOIN base USING (c_nationkey)
+""")
+def q_rebase_ids(spark, sf_dir):
+    """Customers join their nation's member list after its suppliers: ids
+    continue after the largest supplier number of the nation."""
+    sup = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), "s_name")
+    cust = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return rel.rebase_ids(cust, sup, "c_nationkey", "s_name", ["c_custkey"]).select("c_custkey", "c_nationkey", "new_id")
+
+
+@query("latest_by", """
+SELECT user_id, event_id, ts, event_type FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+""")
+def q_latest_by(spark, sf_dir):
+    ev = load(spark, sf_dir, "events")
+    return rel.latest_by(ev, "user_id", ["ts", "event_id"], ["event_id", "ts", "event_type"])
+
+
+@query("head", """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2
+""")
+def q_head(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return rel.head(o, 2, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
+
+
+@query("distinct_members", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id FROM events
+""")
+def q_distinct_members(spark, sf_dir):
+    return rel.distinct_members(load(spark, sf_dir, "events"), "user_id")
+
+
+@query("append_rows", """
+SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation
+""")
+def q_append_rows(spark, sf_dir):
+    r = load(spark, sf_dir, "region").select(F.col("r_name").alias("name"))
+    n = load(spark, sf_dir, "nation").select(F.col("n_name").alias("name"))
+    return rel.append_rows(r, n)
+
+
+HOST_LINE_SQL = """
+SELECT 'node' || CAST(p_partkey AS VARCHAR) || ' ' ||
+       CASE WHEN p_size > 45 THEN 'many' ELSE CAST(p_size - 5 AS VARCHAR) END AS line FROM part
+"""
+
+
+@query("expand_slots", f"""
+WITH l AS ({HOST_LINE_SQL}),
+h AS (SELECT split_part(line, ' ', 1) AS host, TRY_CAST(split_part(line, ' ', 2) AS INTEGER) AS n FROM l)
+SELECT host, CAST(unnest(range(1, n + 1)) AS INTEGER) AS slot FROM h WHERE n >= 1
+""")
+def q_expand_slots(spark, sf_dir):
+    """A host file made from parts (slots = size - 5, 'many' when large):
+    one row per slot; zero, negative and non-numeric counts give none."""
+    p = load(spark, sf_dir, "part")
+    line = F.concat(F.lit("node"), F.col("p_partkey").cast("string"), F.lit(" "),
+                    F.when(F.col("p_size") > 45, F.lit("many")).otherwise((F.col("p_size") - 5).cast("string")))
+    parsed = p.select(*[c.alias(n) for n, c in rel.parse_host_line(line).items()])
+    return rel.expand_slots(parsed, "host", "slots").select("host", "slot")
+
+
+RANGE_EXPR_SQL = """
+SELECT n_nationkey, 'n[' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '-' ||
+       lpad(CAST(n_nationkey + n_regionkey AS VARCHAR), 2, '0') || ',' ||
+       lpad(CAST(n_nationkey + 30 AS VARCHAR), 3, '0') || '],r' || CAST(n_regionkey AS VARCHAR) AS expr
+FROM nation
+"""
+
+
+@query("expand_ranges", f"""
+WITH src AS ({RANGE_EXPR_SQL}),
+items AS (SELECT n_nationkey, unnest(regexp_extract_all(expr, '[^,\\[\\]]+(?:\\[[^\\]]*\\])?[^,\\[\\]]*')) AS item FROM src),
+parts AS (SELECT n_nationkey, item, regexp_extract(item, '^([^\\[]*)', 1) AS pre,
+                 regexp_extract(item, '\\]([^\\]]*)$', 1) AS post, contains(item, '[') AS has,
+                 unnest(CASE WHEN contains(item, '[') THEN string_split(regexp_extract(item, '\\[([^\\]]*)\\]', 1), ',')
+                             ELSE [NULL] END) AS part
+          FROM items),
+b AS (SELECT *, regexp_extract(part, '^(\\d+)(?:-(\\d+))?$', 1) AS lo_s,
+              regexp_extract(part, '^(\\d+)(?:-(\\d+))?$', 2) AS hi_s FROM parts),
+c AS (SELECT *, TRY_CAST(nullif(lo_s, '') AS BIGINT) AS lo,
+              coalesce(TRY_CAST(nullif(hi_s, '') AS BIGINT), TRY_CAST(nullif(lo_s, '') AS BIGINT)) AS hi FROM b),
+r AS (SELECT n_nationkey, pre, post, length(lo_s) AS w, unnest(range(lo, hi + 1)) AS x FROM c WHERE has AND hi >= lo)
+SELECT DISTINCT n_nationkey, pre || lpad(CAST(x AS VARCHAR), CAST(greatest(w, length(CAST(x AS VARCHAR))) AS INTEGER), '0') || post AS host FROM r
+UNION
+SELECT DISTINCT n_nationkey, item AS host FROM parts WHERE NOT has
+""")
+def q_expand_ranges(spark, sf_dir):
+    """Compressed host lists made from nation keys, e.g. ``n[03-04,033],r1``."""
+    n = load(spark, sf_dir, "nation")
+    expr = F.concat(F.lit("n["), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit("-"),
+                    F.lpad((F.col("n_nationkey") + F.col("n_regionkey")).cast("string"), 2, "0"), F.lit(","),
+                    F.lpad((F.col("n_nationkey") + 30).cast("string"), 3, "0"), F.lit("],r"),
+                    F.col("n_regionkey").cast("string"))
+    return rel.expand_ranges(n.select("n_nationkey", expr.alias("expr")), "expr").select("n_nationkey", "host")
