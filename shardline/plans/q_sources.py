@@ -1 +1,117 @@
-"""Registered queries (see catalog)."""
+"""Queries for sources and sinks: parallelize, JSON, key=value pairs,
+traces, trace appends, gather (operators 1, 4-6, 8, 9, 35)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from shardline.operators.relational import trace_summary
+from shardline.plans.catalog import query
+from shardline.session import shared_path
+from shardline.sources import sinks
+from shardline.sources.tables import load
+from shardline.sources.text_inputs import parse_json, parse_trace, split_pairs
+
+
+@query("parallelize", """
+SELECT range AS value, range * range AS sq FROM range((SELECT count(*) FROM orders))
+""")
+def q_parallelize(spark, sf_dir):
+    """A distributed range as long as the orders table, squared (the
+    distributed map of the getting-started example)."""
+    n = load(spark, sf_dir, "orders").count()
+    return spark.range(n).select(F.col("id").alias("value"), (F.col("id") * F.col("id")).alias("sq"))
+
+
+@query("read_json_records", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
+""")
+def q_read_json_records(spark, sf_dir):
+    ev = load(spark, sf_dir, "events").select("event_id", "props")
+    return ev.select("event_id", parse_json("props", "k int").alias("p")).select("event_id", "p.k")
+
+
+@query("scan_key_values", """
+WITH q AS (SELECT page_id, regexp_extract(url, '\\?([^#]*)', 1) AS qs FROM pages),
+p AS (SELECT page_id, unnest(string_split(qs, '&')) AS pair FROM q)
+SELECT page_id, trim(split_part(pair, '=', 1)) AS key,
+       CASE WHEN strpos(pair, '=') > 0 THEN trim(substr(pair, strpos(pair, '=') + 1)) END AS value
+FROM p WHERE pair <> '' AND (starts_with(trim(split_part(pair, '=', 1)), 'page')
+                             OR starts_with(trim(split_part(pair, '=', 1)), 'utm_'))
+""")
+def q_scan_key_values(spark, sf_dir):
+    """Query strings of page URLs as key=value pairs, keys starting with
+    ``page`` or ``utm_``."""
+    from shardline.functions.scalars import url_query
+    p = load(spark, sf_dir, "pages").select("page_id", url_query("url").alias("qs"))
+    return split_pairs(p, "qs", "&", prefixes=["page", "utm_"], keep=["page_id"])
+
+
+TRACE_LINE_SQL = """
+SELECT event_id AS line_id,
+       CASE WHEN event_id % 2 = 0
+            THEN event_type || ', ' || CAST(user_id AS VARCHAR) || ', ' || CAST(event_id AS VARCHAR)
+            ELSE event_type || ',spark, ' || CAST(user_id AS VARCHAR) || ', ' || CAST(event_id AS VARCHAR) END AS line
+FROM events
+"""
+TRACE_PARSED_SQL = f"""
+SELECT line_id, parts[1] AS phase, CASE WHEN len(parts) = 4 THEN parts[2] END AS framework,
+       CAST(CASE WHEN len(parts) = 4 THEN parts[3] ELSE parts[2] END AS INTEGER) AS nodes,
+       CAST(CASE WHEN len(parts) = 4 THEN parts[4] ELSE parts[3] END AS DOUBLE) AS seconds
+FROM (SELECT line_id, regexp_split_to_array(line, ',\\s*') AS parts FROM ({TRACE_LINE_SQL}))
+"""
+
+
+def _trace_lines(spark, sf_dir):
+    """Trace lines from events, half in each layout (3 fields: phase, nodes,
+    seconds; 4 fields with the framework), all numbers integers."""
+    ev = load(spark, sf_dir, "events")
+    three = F.concat_ws(", ", "event_type", F.col("user_id").cast("string"), F.col("event_id").cast("string"))
+    four = F.concat(F.col("event_type"), F.lit(",spark, "), F.col("user_id").cast("string"), F.lit(", "),
+                    F.col("event_id").cast("string"))
+    return ev.select(F.col("event_id").alias("line_id"),
+                     F.when(F.col("event_id") % 2 == 0, three).otherwise(four).alias("line"))
+
+
+def _parsed_traces(spark, sf_dir):
+    lines = _trace_lines(spark, sf_dir)
+    return lines.select("line_id", *[c.alias(n) for n, c in parse_trace("line").items()])
+
+
+@query("scan_traces", TRACE_PARSED_SQL)
+def q_scan_traces(spark, sf_dir):
+    return _parsed_traces(spark, sf_dir)
+
+
+@query("trace_summary", f"""
+SELECT phase, framework, nodes, count(*) AS n, min(seconds) AS min_seconds,
+       avg(seconds) AS avg_seconds, max(seconds) AS max_seconds
+FROM ({TRACE_PARSED_SQL}) GROUP BY phase, framework, nodes
+""")
+def q_trace_summary(spark, sf_dir):
+    return trace_summary(_parsed_traces(spark, sf_dir))
+
+
+@query("append_traces", f"""
+SELECT phase, framework, nodes, seconds FROM ({TRACE_PARSED_SQL})
+""")
+def q_append_traces(spark, sf_dir):
+    """Two appends (three-field rows, then four-field rows) to one trace
+    folder in the shared checkpoint area, read back."""
+    parsed = _parsed_traces(spark, sf_dir)
+    path = shared_path(spark, "traces")
+    sinks.append_traces(parsed.filter(F.col("framework").isNull()), path)
+    sinks.append_traces(parsed.filter(F.col("framework").isNotNull()), path)
+    return sinks.read_traces(spark, path)
+
+
+@query("gather", """
+SELECT DISTINCT CAST(l_linenumber * l_linenumber AS BIGINT) AS sq FROM lineitem ORDER BY sq LIMIT 100
+""")
+def q_gather(spark, sf_dir):
+    """A bounded result (at most 100 distinct squares) brought back to the
+    caller and handed on as a small DataFrame."""
+    li = load(spark, sf_dir, "lineitem")
+    sq = li.select((F.col("l_linenumber") * F.col("l_linenumber")).cast("bigint").alias("sq")).distinct().orderBy("sq")
+    rows = sinks.gather(sq, 100)
+    return spark.createDataFrame(rows, "sq bigint")
