@@ -76,11 +76,13 @@ def q_handle_batches_1(spark, sf_dir):
                                             "last_offset", "payload_bytes")
 
 
-def _python_batch_handler(pdf: pd.DataFrame) -> pd.DataFrame:
+def _python_batch_handler(batch: pd.DataFrame) -> dict:
+    """A user handler: decode every record of the batch, report its size."""
     import base64
-    sizes = [len(base64.b64decode(v)) for v in pdf["value"]]
-    return pd.DataFrame({"n_records": [len(pdf)], "first_offset": [int(pdf["offset"].iloc[0])],
-                         "last_offset": [int(pdf["offset"].iloc[-1])], "payload_bytes": [int(sum(sizes))]})
+    offsets = batch["offset"].to_numpy()
+    sizes = [len(base64.b64decode(v)) for v in batch["value"].to_numpy()]
+    return {"n_records": len(offsets), "first_offset": int(offsets[0]), "last_offset": int(offsets[-1]),
+            "payload_bytes": int(sum(sizes))}
 
 
 @query("handle_batches_10", _batch_sql(10))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,13 +54,44 @@ def apply_native(events: DataFrame, handler: Callable[[Column], dict[str, Column
     return events.select("*", *[c.alias(n) for n, c in outs.items()]).drop("Records")
 
 
-def _run_python(handler, keys: list[str], offset: str, out_fields: list[str]):
-    def call(group: pd.DataFrame) -> pd.DataFrame:
-        res = handler(group.sort_values(offset).reset_index(drop=True))
-        res = res.copy()
+def _run_python(handler, keys: list[str], out_fields: list[str]):
+    """Call ``handler`` once per (shard, batch) run of consecutive rows.
+
+    Rows arrive sorted by (shard, batch, offset), so each batch is a
+    contiguous slice; a batch cut by an Arrow batch boundary is carried over
+    (at most ``batch_size`` rows). The handler returns a dict (one output
+    row) or a DataFrame (any rows); outputs are assembled and the shard and
+    batch columns attached once per input Arrow batch."""
+    value_fields = [f for f in out_fields if f not in keys]
+
+    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        change[0] = True
+        for k in keys:
+            v = pdf[k].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(change)
+
+    def emit(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        rows: list[dict] = []
+        frames: list[pd.DataFrame] = []
+        counts = np.zeros(len(bounds) - 1, dtype=np.int64)
+        for i in range(len(bounds) - 1):
+            res = handler(pdf.iloc[bounds[i]:bounds[i + 1]])
+            if isinstance(res, dict):
+                rows.append(res)
+                counts[i] = 1
+            else:
+                frames.append(res)
+                counts[i] = len(res)
+        if rows and frames:
+            raise TypeError("a handler must return either dicts or DataFrames, not both")
+        out = pd.DataFrame(rows, columns=value_fields) if rows or not frames else \
+            pd.concat(frames, ignore_index=True)[value_fields]
+        first = np.asarray(bounds[:-1], dtype=np.int64)
         for k in keys:
-            res[k] = group[k].iloc[0]
-        return res[out_fields]
+            out[k] = np.repeat(pdf[k].to_numpy()[first], counts)
+        return out[out_fields]
 
     def run(batches):
         pending = None
@@ -68,21 +100,22 @@ def _run_python(handler, keys: list[str], offset: str, out_fields: list[str]):
                 pdf = pd.concat([pending, pdf], ignore_index=True)
             if len(pdf) == 0:
                 continue
-            last = pdf[keys].iloc[-1]
-            is_last = (pdf[keys] == last).all(axis=1)
-            done, pending = pdf[~is_last], pdf[is_last]
-            for _, g in done.groupby(keys, sort=False):
-                yield call(g)
+            starts = starts_of(pdf)
+            # the last run may continue in the next Arrow batch
+            if len(starts) > 1:
+                yield emit(pdf, list(starts))
+            pending = pdf.iloc[starts[-1]:].reset_index(drop=True)
         if pending is not None and len(pending):
-            yield call(pending)
+            yield emit(pending, [0, len(pending)])
     return run
 
 
 def handle_batches(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame], schema: str | T.StructType,
                    batch_size: int = 1, shard: str = "partition", offset: str = "offset") -> DataFrame:
-    """Call a Python ``handler`` once per batch of one shard; ``schema`` is the
-    handler's output schema (without the shard and batch columns, which are
-    added). Rows are hash-partitioned on (shard, batch), so a hot shard still
+    """Call a Python ``handler`` once per batch of one shard. The handler gets
+    the batch as a pandas DataFrame in offset order and returns a dict (one
+    output row) or a DataFrame; ``schema`` is its output schema (without the
+    shard and batch columns, which are added). Rows are hash-partitioned on (shard, batch), so a hot shard still
     spreads over all tasks, and sorted so batches are contiguous."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
@@ -90,4 +123,4 @@ def handle_batches(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame
     keyed = b.repartition(shard, "batch").sortWithinPartitions(shard, "batch", offset)
     fields = [keyed.schema[shard], keyed.schema["batch"]] + list(schema.fields)
     out_schema = T.StructType(fields)
-    return keyed.mapInPandas(_run_python(handler, [shard, "batch"], offset, [f.name for f in fields]), out_schema)
+    return keyed.mapInPandas(_run_python(handler, [shard, "batch"], [f.name for f in fields]), out_schema)
