@@ -119,12 +119,12 @@ def lookup_parent(children: DataFrame, parents: DataFrame, parent_key: str, pare
 
 def single_attachment(attachments: DataFrame, volume: str, first_by: list[str], keep: list[str]) -> DataFrame:
     """Volumes with exactly one attachment, with that attachment's fields.
-    A partial aggregation: the count and the (deterministic) first attachment
-    travel together, so no volume's rows are ever gathered in one place."""
-    first = F.min(F.struct(*[F.col(c) for c in first_by + keep])).alias("_sl_first")
-    g = attachments.groupBy(volume).agg(F.count(F.lit(1)).alias("_sl_n"), first)
-    g = g.filter(F.col("_sl_n") == 1)
-    return g.select(volume, *[F.col("_sl_first")[c].alias(c) for c in first_by + keep])
+    A partial aggregation (count plus per-column ``min``, which for a group of
+    one row is that row): hash-aggregated, so no volume's rows are ever
+    gathered in one place and no sort is needed."""
+    cols = list(dict.fromkeys(first_by + keep))
+    g = attachments.groupBy(volume).agg(F.count(F.lit(1)).alias("_sl_n"), *[F.min(c).alias(c) for c in cols])
+    return g.filter(F.col("_sl_n") == 1).select(volume, *cols)
 
 
 def match_single_attachment(attachments: DataFrame, volume: str, first_by: list[str], keep: list[str],
@@ -239,13 +239,34 @@ def append_rows(*dfs: DataFrame) -> DataFrame:
 
 # -- 41, 42: expansion ---------------------------------------------------------
 
-def expand_slots(df: DataFrame, host: str, slots: str, out: str = "slot") -> DataFrame:
+EXPAND_CHUNK = 1 << 16
+
+
+def explode_range(df: DataFrame, lo: str, hi: str, out: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
+    """One row per integer in ``[lo, hi]`` (no rows when ``hi < lo``).
+
+    A row whose range is longer than ``chunk`` is first cut into chunks and
+    the chunks are spread over all tasks before they are expanded, so one
+    row declaring billions of members does not become one task's work."""
+    valid = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo)))
+    width = F.col(hi) - F.col(lo) + 1
+    small = valid.filter(width <= F.lit(int(chunk)))
+    small = small.withColumn(out, F.explode(F.sequence(F.col(lo), F.col(hi))))
+    big = valid.filter(width > F.lit(int(chunk)))
+    starts = F.sequence(F.col(lo), F.col(hi), F.lit(int(chunk)).cast(df.schema[lo].dataType))
+    big = big.withColumn("_sl_c", F.explode(starts)).repartition("_sl_c")
+    big = big.withColumn(out, F.explode(F.sequence(F.col("_sl_c"),
+                                                   F.least(F.col(hi), F.col("_sl_c") + F.lit(int(chunk) - 1)))))
+    return small.unionByName(big.drop("_sl_c"))
+
+
+def expand_slots(df: DataFrame, host: str, slots: str, out: str = "slot", chunk: int = EXPAND_CHUNK) -> DataFrame:
     """One row per slot (1..n) of each ``(host, slots)``; counts that are not
-    a positive integer give no rows (filter before ``sequence``: in Spark
+    a positive integer give no rows (filtered before expansion: in Spark
     ``sequence(1, 0)`` counts down)."""
     n = F.col(slots).cast("string").try_cast("int")
-    good = df.withColumn("_sl_n", n).filter(F.col("_sl_n") >= 1)
-    return good.withColumn(out, F.explode(F.sequence(F.lit(1), F.col("_sl_n")))).drop("_sl_n")
+    good = df.withColumn("_sl_n", n).withColumn("_sl_one", F.lit(1)).filter(F.col("_sl_n") >= 1)
+    return explode_range(good, "_sl_one", "_sl_n", out, chunk).drop("_sl_n", "_sl_one")
 
 
 def parse_host_line(line) -> dict[str, Column]:
@@ -259,7 +280,7 @@ def parse_host_line(line) -> dict[str, Column]:
 _ITEM = r"[^,\[\]]+(?:\[[^\]]*\])?[^,\[\]]*"
 
 
-def expand_ranges(df: DataFrame, expr: str, out: str = "host") -> DataFrame:
+def expand_ranges(df: DataFrame, expr: str, out: str = "host", chunk: int = EXPAND_CHUNK) -> DataFrame:
     """Expand compressed host lists such as ``n[01-03,07],m5`` into one row
     per distinct member (``n01 n02 n03 n07 m5``); the width of the lower bound
     sets the zero padding; a descending or unparsable range yields nothing."""
@@ -276,8 +297,7 @@ def expand_ranges(df: DataFrame, expr: str, out: str = "host") -> DataFrame:
     lo = F.nullif(lo_s, F.lit("")).try_cast("bigint")
     hi = F.coalesce(F.nullif(hi_s, F.lit("")).try_cast("bigint"), lo)
     parts = parts.select("*", lo.alias("_sl_lo"), hi.alias("_sl_hi"), F.length(lo_s).alias("_sl_w"))
-    ranged = parts.filter(F.col("_sl_has") & (F.col("_sl_hi") >= F.col("_sl_lo")))
-    ranged = ranged.withColumn("_sl_x", F.explode(F.sequence("_sl_lo", "_sl_hi")))
+    ranged = explode_range(parts.filter(F.col("_sl_has")), "_sl_lo", "_sl_hi", "_sl_x", chunk)
     x = F.col("_sl_x").cast("string")
     # pad to the lower bound's width, never cut a longer number
     ranged = ranged.withColumn(out, F.concat("_sl_pre", F.lpad(x, F.greatest(F.col("_sl_w"), F.length(x)), F.lit("0")),

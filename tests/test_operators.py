@@ -175,3 +175,12 @@ def test_overlay_map_given_wins(spark):
 def test_maybe_broadcast_checks_size(spark):
     small = spark.range(10)
     assert rel.small_enough(small, 10) and not rel.small_enough(small, 9)
+
+
+def test_chunked_expansion_is_exact(spark):
+    df = spark.createDataFrame([("h1", "10"), ("h2", "3")], "host string, slots string")
+    got = sorted((r.host, r.slot) for r in rel.expand_slots(df, "host", "slots", chunk=4).collect())
+    assert got == [("h1", i) for i in range(1, 11)] + [("h2", 1), ("h2", 2), ("h2", 3)]
+    r = spark.createDataFrame([(1, "a[001-010],b")], "id int, e string")
+    hosts = sorted(x.host for x in rel.expand_ranges(r, "e", chunk=3).collect())
+    assert hosts == ["a%03d" % i for i in range(1, 11)] + ["b"]
