@@ -38,6 +38,11 @@ def batch_events(df: DataFrame, batch_size: int = 1, shard: str = "partition", o
     The grouping uses a partial aggregation; each group holds at most
     ``batch_size`` records, so the collected array is bounded."""
     b = with_batch(df, batch_size, offset)
+    if int(batch_size) == 1:
+        # every record is its own batch: build the event per row, no shuffle
+        return b.select(shard, "batch", F.col(offset).alias("first_offset"), F.col(offset).alias("last_offset"),
+                        F.lit(1).cast("bigint").alias("n_records"),
+                        F.array(F.struct(F.struct(F.col(data).alias("data")).alias("kinesis"))).alias("Records"))
     rec = F.struct(F.col(offset).alias("offset"), F.struct(F.col(data).alias("data")).alias("kinesis"))
     g = b.groupBy(shard, "batch").agg(F.array_sort(F.collect_list(rec)).alias("_sl_recs"),
                                       F.min(offset).alias("first_offset"),
