@@ -17,9 +17,12 @@ the plan instance, so two separately planned exchanges may cut different
 slices; the checkpoint makes both reads see the same slices and also cuts
 the lineage, so a lost executor recomputes from the written slices.
 
-The per-slice table is joined back with a broadcast only when the caller
-states that the key set is small (``few_keys``: shard ids, brands, nations);
-otherwise the join is left to AQE, which broadcasts it after measuring it.
+Joining the per-slice corrections back never shuffles the big side: a key
+needs a correction only in the slices after its first one, and each of the
+``partitions - 1`` slice boundaries is crossed by at most one key, so the
+correction table has fewer rows than there are partitions and is always
+broadcast (the JVM-only position path for few keys broadcasts one row per
+slice and key, ``partitions + keys`` rows).
 """
 
 from __future__ import annotations
@@ -68,7 +71,8 @@ def _freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], few_keys: bool) -> DataFrame:
+def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], few_keys: bool,
+                    how: str = "inner") -> DataFrame:
     ren = {k: f"_sl_k_{i}" for i, k in enumerate(keys)}
     s = small
     for k, r in ren.items():
@@ -79,7 +83,7 @@ def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], few_keys:
     cond = big[_PID] == s["_sl_p"]
     for k, r in ren.items():
         cond = cond & big[k].eqNullSafe(s[r])
-    return big.join(s, cond, "inner").drop("_sl_p", *ren.values())
+    return big.join(s, cond, how).drop("_sl_p", *ren.values())
 
 
 def dense_index(df: DataFrame, keys, order, out: str = "idx", *, few_keys: bool = False,
@@ -87,14 +91,25 @@ def dense_index(df: DataFrame, keys, order, out: str = "idx", *, few_keys: bool
     """Add ``out`` = 0-based (or ``start``-based) position of each row within
     its key in ``order``; the same as ``row_number() - 1`` over
     ``Window.partitionBy(keys).orderBy(order)`` but without the one-task-per-key
-    plan. Runs fully in the JVM (no Python)."""
+    plan.
+
+    ``few_keys`` (shard ids and the like): all in the JVM, each row's position
+    in its slice from ``monotonically_increasing_id`` and a broadcast table of
+    one row per (slice, key), at most ``partitions + keys`` rows. Otherwise an
+    exclusive running count (:func:`prefix_sum`), whose correction table is
+    bounded by the partition count whatever the number of keys."""
     keys = _names(keys)
+    if not few_keys:
+        one = "_sl_one"
+        res = prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), keys, order, one, out,
+                         num_partitions=num_partitions)
+        return res.withColumn(out, (F.col(out) + F.lit(start)).cast("bigint")).drop(one)
     staged = _freeze(_slices(df, keys, order, num_partitions).withColumn(_MID, F.monotonically_increasing_id()))
     stats = staged.groupBy(_PID, *keys).agg(F.min(_MID).alias("_sl_first"),
                                             F.count(F.lit(1)).alias("_sl_n"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_sl_base", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-    joined = _null_safe_join(staged, stats.drop("_sl_n"), keys, few_keys)
+    joined = _null_safe_join(staged, stats.drop("_sl_n"), keys, True)
     return (joined.withColumn(out, (F.col("_sl_base") + F.col(_MID) - F.col("_sl_first") + F.lit(start)).cast("bigint"))
                   .drop(_PID, _MID, "_sl_first", "_sl_base"))
 
@@ -156,7 +171,7 @@ def _local_prefix_sum(keys: list[str], value: str, out: str):
     return run
 
 
-def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *, few_keys: bool = False,
+def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *,
                num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows of the same key strictly
     before this row in ``order`` (0 for the first row). Nulls count as 0.
@@ -174,9 +189,14 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *, few_keys: bo
     local = _freeze(staged.mapInPandas(_local_prefix_sum(keys, value, local_name), schema))
     stats = local.groupBy(_PID, *keys).agg(F.coalesce(F.sum(value), F.lit(0).cast(out_type)).alias("_sl_tot"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_sl_base", F.coalesce(F.sum("_sl_tot").over(before), F.lit(0).cast(out_type)))
-    joined = _null_safe_join(local, stats.drop("_sl_tot"), keys, few_keys)
-    return (joined.withColumn(out, (F.col("_sl_base") + F.col(local_name)).cast(out_type))
+    stats = stats.withColumn("_sl_base", F.sum("_sl_tot").over(before))
+    # only a key continuing from an earlier slice needs a correction; each of
+    # the (partitions - 1) slice boundaries is crossed by at most one key, so
+    # this table has fewer rows than there are partitions: always broadcast
+    fixes = stats.filter(F.col("_sl_base").isNotNull()).drop("_sl_tot")
+    joined = _null_safe_join(local, fixes, keys, True, "left")
+    return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0).cast(out_type)) + F.col(local_name))
+                              .cast(out_type))
                   .drop(_PID, "_sl_base", local_name))
 
 
@@ -239,6 +259,10 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
                                            F.lit(-1)).otherwise(F.lit(0)))
              .withColumn("_sl_base", F.coalesce(F.sum(F.col("_sl_n") + F.col("_sl_fix")).over(
                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
-    joined = _null_safe_join(local, stats.select(_PID, *keys, "_sl_fix", "_sl_base"), keys, False)
-    return (joined.withColumn(out, (F.col("_sl_base") + F.col("_sl_cum") + F.col("_sl_fix")).cast("bigint"))
+    # non-zero only for keys continuing from an earlier slice: fewer rows than
+    # partitions (see prefix_sum), always broadcast
+    fixes = stats.filter((F.col("_sl_base") != 0) | (F.col("_sl_fix") != 0)).select(_PID, *keys, "_sl_fix", "_sl_base")
+    joined = _null_safe_join(local, fixes, keys, True, "left")
+    return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0)) + F.col("_sl_cum")
+                                    + F.coalesce(F.col("_sl_fix"), F.lit(0))).cast("bigint"))
                   .drop(_PID, us, "_sl_start", "_sl_cum", "_sl_fix", "_sl_base"))

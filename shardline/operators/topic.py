@@ -77,12 +77,12 @@ def size_limit(df: DataFrame, value, max_bytes: int = MESSAGE_MAX_BYTES) -> tupl
 
 
 def assign_segment(df: DataFrame, shard, order, size_col: str, seg_bytes: int = LOG_SEGMENT_BYTES,
-                   out: str = "segment", *, few_keys: bool = True, num_partitions: int | None = None) -> DataFrame:
+                   out: str = "segment", *, num_partitions: int | None = None) -> DataFrame:
     """Fixed-width byte segments per shard: a record belongs to segment
     ``floor(bytes of earlier records of its shard / seg_bytes)``."""
     prev = "_sl_prev_bytes"
     res = prefix_sum(df, [shard] if isinstance(shard, str) else list(shard), order, size_col, prev,
-                     few_keys=few_keys, num_partitions=num_partitions)
+                     num_partitions=num_partitions)
     return res.withColumn(out, F.floor(F.col(prev) / F.lit(int(seg_bytes))).cast("bigint")).drop(prev)
 
 

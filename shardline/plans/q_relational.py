@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shardline.operators import relational as rel
 from shardline.plans.catalog import query
-from shardline.plans.fixtures import topic_frame
 from shardline.operators.topic import assign_shard
 from shardline.sources.tables import load
 

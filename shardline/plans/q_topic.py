@@ -11,7 +11,7 @@ from shardline.operators import topic as tp
 from shardline.plans.catalog import query
 from shardline.plans.fixtures import TOPIC_SQL, topic_frame
 from shardline.sources.tables import load
-from shardline.streaming.handlers import apply_native, batch_events, handle_batches
+from shardline.streaming.handlers import apply_native, batch_events, handle_batches, with_batch
 
 FLAGSHIP_BATCH = 10
 
@@ -29,7 +29,7 @@ def shard_batch_summary(spark, sf_dir):
     """Flagship: events -> shard -> offset -> batches of 10 -> decode ->
     per shard and event type: records, batches touched, payload bytes."""
     t = topic_frame(spark, sf_dir)
-    b = t.withColumn("batch", F.floor(F.col("offset") / F.lit(FLAGSHIP_BATCH)))
+    b = with_batch(t, FLAGSHIP_BATCH)
     return (b.groupBy("partition", "event_type")
              .agg(F.count(F.lit(1)).alias("n_records"),
                   F.count_distinct("batch").alias("n_batches"),

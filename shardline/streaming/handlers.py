@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 def with_batch(df: DataFrame, batch_size: int = 1, offset: str = "offset", out: str = "batch") -> DataFrame:
     if int(batch_size) < 1:
         raise ValueError("batch_size must be >= 1")
-    return df.withColumn(out, F.floor(F.col(offset) / F.lit(int(batch_size))).cast("bigint"))
+    return df.withColumn(out, F.expr(f"`{offset}` div {int(batch_size)}").cast("bigint"))
 
 
 def batch_events(df: DataFrame, batch_size: int = 1, shard: str = "partition", offset: str = "offset",

@@ -3,7 +3,6 @@ exact limits, missing/second '=', bad slot counts, empty query string."""
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel

@@ -20,11 +20,11 @@ def _rows(n, seed, hot_share=0.4):
     return rows
 
 
-@pytest.mark.parametrize("parts", [1, 3, 8])
-def test_dense_index_matches_row_number(spark, parts):
+@pytest.mark.parametrize("parts,few", [(1, True), (3, True), (8, True), (1, False), (6, False)])
+def test_dense_index_matches_row_number(spark, small_batches, parts, few):
     rows = _rows(400, parts)
     df = spark.createDataFrame(rows, "k int, t int, id int, v int")
-    got = dense_index(df, ["k"], ["t", "id"], "idx", num_partitions=parts).toPandas()
+    got = dense_index(df, ["k"], ["t", "id"], "idx", num_partitions=parts, few_keys=few).toPandas()
     pdf = pd.DataFrame(rows, columns=["k", "t", "id", "v"])
     pdf["kk"] = pdf["k"].fillna(-99)
     pdf["want"] = pdf.sort_values(["kk", "t", "id"]).groupby("kk").cumcount()
@@ -93,7 +93,17 @@ def test_session_gap_boundary(spark):
     assert got == {0: 1, 1: 1, 2: 2}
 
 
+def test_many_keys_correction_table_is_bounded(spark):
+    """A hot key spanning every slice plus many small keys: still exact."""
+    rows = [(0, i, i) for i in range(300)] + [(k, 0, 1000 + k) for k in range(1, 200)]
+    df = spark.createDataFrame(rows, "k int, t int, id int")
+    got = {r.id: r.idx for r in dense_index(df, ["k"], ["t", "id"], "idx", num_partitions=7).collect()}
+    assert all(got[i] == i for i in range(300))
+    assert all(got[1000 + k] == 0 for k in range(1, 200))
+
+
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, t int, v int")
     assert dense_index(df, ["k"], ["t"]).count() == 0
+    assert dense_index(df, ["k"], ["t"], few_keys=True).count() == 0
     assert prefix_sum(df, ["k"], ["t"], "v", "b").count() == 0
