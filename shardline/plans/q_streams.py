@@ -16,9 +16,9 @@ from shardline.plans.catalog import query
 from shardline.plans.fixtures import N_SHARDS, TOPIC_SQL, topic_records
 from shardline.session import shared_path, utc_session
 from shardline.sources.tables import load
-from shardline.sources.topic_log import TOPIC_COLUMNS, latest_positions, read_topic, write_topic
+from shardline.sources.topic_log import TOPIC_COLUMNS, read_topic, write_topic
 from shardline.streaming import jobs
-from shardline.streaming.runs import drop_files, epoch_us, read_sink, run_available, batch_sink
+from shardline.streaming.runs import batch_sink, drop_files, epoch_us, read_sink, run_available
 
 N_DROPS = 4
 GAP_SECONDS = 3600
@@ -77,14 +77,16 @@ WITH {TOPIC_SQL}
 SELECT topic, partition, "offset", key, value, timestamp FROM topic_o WHERE {_drop_sql(2, "timestamp", "topic_o")} = 1
 """)
 def q_read_topic_latest(spark, sf_dir):
-    """A mapping made with ``latest`` sees only records produced after it."""
+    """A reader group mapped with ``latest`` sees only records produced after
+    the mapping (the existing files are skipped without being read)."""
     path = shared_path(spark, "topic")
     first, second = _time_drops(topic_records(spark, sf_dir), "timestamp", 2)
     write_topic(first, path, "events", N_SHARDS, order=["timestamp", "event_id"])
-    positions = latest_positions(spark, path)          # the mapping is made here
-    write_topic(second, path, "events", N_SHARDS, order=["timestamp", "event_id"])
     root = shared_path(spark, "stream")
-    run_available(read_topic(spark, path, positions, stream=True), f"{root}/ckpt", batch_sink(f"{root}/out"))
+    reader = jobs.GroupReader(spark, path, "late", f"{root}/groups", f"{root}/out")
+    reader.seek_latest()                                # the mapping is made here
+    write_topic(second, path, "events", N_SHARDS, order=["timestamp", "event_id"])
+    reader.poll()
     return read_sink(spark, f"{root}/out").select(*TOPIC_COLUMNS)
 
 

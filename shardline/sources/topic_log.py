@@ -60,10 +60,15 @@ class Positions:
     starts: tuple[tuple[int, int], ...]
 
     def filter(self) -> Column:
+        """``(partition = p AND offset >= o_p) OR ... OR partition not seen``
+        (exact; for streams prefer ``GroupReader.seek_latest``, which skips
+        the existing files without reading them)."""
         if not self.starts:
             return F.lit(True)
-        m = F.create_map(*[x for p, o in self.starts for x in (F.lit(p), F.lit(o))])
-        return F.col("offset") >= F.coalesce(F.element_at(m, F.col("partition")), F.lit(0))
+        cond = ~F.col("partition").isin([p for p, _ in self.starts]) | F.col("partition").isNull()
+        for p, o in self.starts:
+            cond = cond | ((F.col("partition") == F.lit(p)) & (F.col("offset") >= F.lit(o)))
+        return cond
 
 
 def latest_positions(spark: SparkSession, path: str) -> Positions:

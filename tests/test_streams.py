@@ -62,8 +62,11 @@ def test_groups_resume_and_latest(spark):
     write_topic(_records(spark, 0, 30), path, "t", 3, order=["timestamp", "id"])
     a.poll()
     pos = latest_positions(spark, path)
+    late = jobs.GroupReader(spark, path, "late", f"{root}/ckpt", f"{root}/late-out")
+    late.seek_latest()
     write_topic(_records(spark, 30, 50), path, "t", 3, order=["timestamp", "id"])
     a.poll()
+    late.poll()
     b = jobs.GroupReader(spark, path, "b", f"{root}/ckpt", f"{root}/out")
     b.poll()
     out = spark.read.parquet(f"{root}/out")
@@ -73,7 +76,10 @@ def test_groups_resume_and_latest(spark):
     log = read_topic(spark, path)
     per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m")).collect()
     assert all(r.m == r.n - 1 for r in per)
-    assert read_topic(spark, path, pos).count() == 20
+    by_positions = read_topic(spark, path, pos)
+    streamed = spark.read.parquet(f"{root}/late-out").select(*by_positions.columns)
+    assert by_positions.count() == 20
+    assert streamed.exceptAll(by_positions).count() == 0 and by_positions.exceptAll(streamed).count() == 0
 
 
 def test_sessions_stream_equals_batch(spark):
