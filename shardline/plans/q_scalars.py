@@ -145,6 +145,25 @@ def q_run_sql(spark, sf_dir):
     return run_sql(spark, {"lineitem": load(spark, sf_dir, "lineitem")}, RUN_SQL)
 
 
+RUN_SQL_JOIN = """
+SELECT c_mktsegment, o_orderpriority,
+       count(DISTINCT o_orderkey) AS n_orders,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM customer JOIN orders ON c_custkey = o_custkey
+              JOIN lineitem ON l_orderkey = o_orderkey
+WHERE l_returnflag <> 'R'
+GROUP BY c_mktsegment, o_orderpriority
+"""
+
+
+@query("run_sql_join", RUN_SQL_JOIN)
+def q_run_sql_join(spark, sf_dir):
+    """SQL over three registered views: revenue by market segment and order
+    priority (Catalyst plans the joins; AQE picks broadcast or shuffle)."""
+    views = {t: load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
+    return run_sql(spark, views, RUN_SQL_JOIN)
+
+
 def _square(s: pd.Series) -> pd.Series:
     return s.astype("int64") * s.astype("int64")
 

@@ -107,3 +107,13 @@ def test_empty_input(spark):
     assert dense_index(df, ["k"], ["t"]).count() == 0
     assert dense_index(df, ["k"], ["t"], few_keys=True).count() == 0
     assert prefix_sum(df, ["k"], ["t"], "v", "b").count() == 0
+
+
+def test_hot_key_is_cut_across_slices(spark):
+    """One key with 90% of the rows lands in many range slices, not one task."""
+    from shardline.operators.ordered import _slices
+    rows = [(0, i) for i in range(900)] + [(k, 0) for k in range(1, 101)]
+    df = spark.createDataFrame(rows, "k int, t int")
+    sliced = _slices(df, ["k"], ["t"], 8)
+    parts = {r._sl_pid for r in sliced.filter("k = 0").select("_sl_pid").distinct().collect()}
+    assert len(parts) >= 6

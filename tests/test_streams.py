@@ -100,3 +100,24 @@ def test_sessions_stream_equals_batch(spark):
              b.groupBy("user_id", "session_no").agg(F.min("ts").alias("s"), F.count("*").alias("n")).collect()}
     assert stream == batch
     assert len(batch) == 4   # user 1: 0-90 (30-min steps), 151; user 2: 0-60 (exactly one gap); user 3
+
+
+def test_kafka_options():
+    from shardline.sources.topic_log import kafka_options
+    assert kafka_options("b:9092", "t", "g", "latest", 1000) == {
+        "kafka.bootstrap.servers": "b:9092", "subscribe": "t", "startingOffsets": "latest",
+        "kafka.group.id": "g", "maxOffsetsPerTrigger": "1000"}
+
+
+def test_processing_time_trigger_flushes(spark):
+    root = shared_path(spark, "t-trigger")
+    folder = f"{root}/in"
+    drop_files(_ev(spark, [(i, T0 + dt.timedelta(seconds=i), 1) for i in range(20)]), folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    w = stream.writeStream.option("checkpointLocation", f"{root}/ckpt").foreachBatch(batch_sink(f"{root}/out"))
+    q = jobs.flush_every(w, "1 second").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert read_sink(spark, f"{root}/out").count() == 20
