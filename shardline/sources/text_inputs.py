@@ -73,6 +73,32 @@ def scan_properties(spark: SparkSession, paths, prefixes: list[str] | None = Non
     return _filter_prefixes(out, prefixes)
 
 
+def scan_config(spark: SparkSession, paths, style: str = "properties",
+                prefixes: list[str] | None = None) -> DataFrame:
+    """Configuration files as ``(file, key, value)`` rows, in three shapes:
+    ``properties`` (``key=value``), ``yaml`` (flat ``key: value``) and
+    ``xml`` (``<property><name>..</name><value>..</value></property>``).
+    Line formats are read line by line over all files in parallel; an XML
+    file is read whole (``wholetext``), one small file per row."""
+    if style == "properties":
+        return scan_properties(spark, paths, prefixes)
+    if style == "yaml":
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+        body = lines.filter(~F.regexp_like(F.col("line"), F.lit(r"^\s*(#.*)?$")))
+        kv = F.split(F.col("line"), r":\s", 2)
+        out = body.filter(F.size(kv) == 2).select("file", F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value"))
+        return _filter_prefixes(out, prefixes)
+    if style == "xml":
+        docs = spark.read.text(paths, wholetext=True).select(
+            F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
+        props = docs.select("file", F.explode(F.regexp_extract_all(
+            "doc", F.lit(r"(?s)<property>(.*?)</property>"), 1)).alias("p"))
+        out = props.select("file", F.trim(F.regexp_extract("p", r"(?s)<name>(.*?)</name>", 1)).alias("key"),
+                           F.trim(F.regexp_extract("p", r"(?s)<value>(.*?)</value>", 1)).alias("value"))
+        return _filter_prefixes(out.filter(F.col("key") != ""), prefixes)
+    raise ValueError(f"unknown config style {style!r}")
+
+
 # -- 6: traces ----------------------------------------------------------------
 
 TRACE_SCHEMA = "phase string, framework string, nodes int, seconds double"

@@ -7,7 +7,7 @@ import datetime as dt
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel
 from shardline.operators import topic as tp
-from shardline.sources.text_inputs import parse_trace, scan_properties, split_pairs
+from shardline.sources.text_inputs import parse_trace, scan_config, scan_properties, split_pairs
 
 
 def test_shard_is_stable_and_in_range(spark):
@@ -183,3 +183,14 @@ def test_chunked_expansion_is_exact(spark):
     r = spark.createDataFrame([(1, "a[001-010],b")], "id int, e string")
     hosts = sorted(x.host for x in rel.expand_ranges(r, "e", chunk=3).collect())
     assert hosts == ["a%03d" % i for i in range(1, 11)] + ["b"]
+
+
+def test_config_yaml_and_xml(spark, tmp_path):
+    (tmp_path / "conf.yaml").write_text("# flink\njobmanager.rpc.address: localhost\ntaskmanager.numberOfTaskSlots: 4\n")
+    (tmp_path / "core-site.xml").write_text(
+        "<configuration>\n <property>\n  <name>fs.default.name</name>\n  <value>hdfs://h:9000</value>\n"
+        " </property>\n <property><name>io.file.buffer.size</name><value>131072</value></property>\n</configuration>\n")
+    y = sorted((r.key, r.value) for r in scan_config(spark, str(tmp_path / "conf.yaml"), "yaml").collect())
+    assert y == [("jobmanager.rpc.address", "localhost"), ("taskmanager.numberOfTaskSlots", "4")]
+    x = sorted((r.key, r.value) for r in scan_config(spark, str(tmp_path / "core-site.xml"), "xml").collect())
+    assert x == [("fs.default.name", "hdfs://h:9000"), ("io.file.buffer.size", "131072")]
