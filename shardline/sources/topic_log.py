@@ -20,19 +20,54 @@ from pyspark.sql.utils import AnalysisException
 
 from shardline.operators.topic import assign_offset, assign_shard
 
-TOPIC_SCHEMA = ("topic string, partition int, offset bigint, key string, value string, "
-                "timestamp timestamp_ntz")
 TOPIC_COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
+# files also carry the shard id as a data column (``shard``), so per-shard
+# offset predicates are plain data filters that parquet can push down
+LOG_SCHEMA = ("topic string, partition int, offset bigint, key string, value string, "
+              "timestamp timestamp_ntz, shard int")
+TOPIC_SCHEMA = LOG_SCHEMA
+INDEX_SCHEMA = "partition int, next_offset bigint"
+
+
+def _index_path(path: str) -> str:
+    # a leading underscore keeps it out of every reader of the log
+    return f"{path.rstrip('/')}/_offsets"
+
+
+def _from_positions(starts) -> Column:
+    """Records at or beyond per-shard positions (data columns only)."""
+    if not starts:
+        return F.lit(True)
+    cond = ~F.col("shard").isin([p for p, _ in starts]) | F.col("shard").isNull()
+    for p, o in starts:
+        cond = cond | ((F.col("shard") == F.lit(p)) & (F.col("offset") >= F.lit(o)))
+    return cond
 
 
 def end_offsets(spark: SparkSession, path: str) -> DataFrame:
     """Next offset per shard (``partition, next_offset``); empty for a new log.
-    One row per shard: bounded by the shard count."""
+
+    Reads the small end-offset index written after each append, then checks
+    only the records at or beyond it (a pushed-down filter: parquet skips
+    every row group below the index), so a crash between a data commit and
+    its index write cannot make a producer reuse offsets. Without an index
+    the whole offset column is scanned once. One row per shard."""
+    try:
+        log = spark.read.schema(LOG_SCHEMA).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], INDEX_SCHEMA)
     try:
-        log = spark.read.schema(TOPIC_SCHEMA).parquet(path)
-        return log.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+        hint = spark.read.schema(INDEX_SCHEMA).parquet(_index_path(path)) \
+            .groupBy("partition").agg(F.max("next_offset").alias("next_offset")).collect()  # <= shards rows
+        starts = tuple(sorted((int(r["partition"]), int(r["next_offset"])) for r in hint))
     except AnalysisException:
-        return spark.createDataFrame([], "partition int, next_offset bigint")
+        starts = ()
+    tail = log.filter(_from_positions(starts)).groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+    if not starts:
+        return tail
+    known = spark.createDataFrame(list(starts), INDEX_SCHEMA)
+    return (known.unionByName(tail).groupBy("partition")
+                 .agg(F.max("next_offset").alias("next_offset")))
 
 
 def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str = "key", value: str = "value",
@@ -50,7 +85,11 @@ def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str =
     ends = F.broadcast(end_offsets(spark, path).withColumnRenamed("next_offset", "_sl_next"))
     recs = recs.join(ends, "partition", "left")
     recs = assign_offset(recs, "partition", order_cols, start_col="_sl_next")
-    recs.select(*TOPIC_COLUMNS).write.mode("append").partitionBy("partition").parquet(path)
+    recs = recs.withColumn("shard", F.col("partition"))
+    recs.select(*TOPIC_COLUMNS, "shard").write.mode("append").partitionBy("partition").parquet(path)
+    # then the index: one row per shard that received records
+    (recs.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+         .write.mode("append").parquet(_index_path(path)))
 
 
 @dataclass(frozen=True)
@@ -60,15 +99,10 @@ class Positions:
     starts: tuple[tuple[int, int], ...]
 
     def filter(self) -> Column:
-        """``(partition = p AND offset >= o_p) OR ... OR partition not seen``
-        (exact; for streams prefer ``GroupReader.seek_latest``, which skips
-        the existing files without reading them)."""
-        if not self.starts:
-            return F.lit(True)
-        cond = ~F.col("partition").isin([p for p, _ in self.starts]) | F.col("partition").isNull()
-        for p, o in self.starts:
-            cond = cond | ((F.col("partition") == F.lit(p)) & (F.col("offset") >= F.lit(o)))
-        return cond
+        """``(shard = p AND offset >= o_p) OR ... OR shard not seen``: data
+        columns only, so parquet skips the row groups before the positions
+        (for streams ``GroupReader.seek_latest`` skips whole files unread)."""
+        return _from_positions(self.starts)
 
 
 def latest_positions(spark: SparkSession, path: str) -> Positions:
@@ -85,14 +119,15 @@ def read_topic(spark: SparkSession, path: str, start: str | Positions = "earlies
     if start == "latest":
         start = latest_positions(spark, path)
     if stream:
-        reader = spark.readStream.schema(TOPIC_SCHEMA)
+        reader = spark.readStream.schema(LOG_SCHEMA)
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
         df = reader.parquet(path)
     else:
-        df = spark.read.schema(TOPIC_SCHEMA).parquet(path)
-    df = df.select(*TOPIC_COLUMNS)
-    return df.filter(start.filter()) if isinstance(start, Positions) else df
+        df = spark.read.schema(LOG_SCHEMA).parquet(path)
+    if isinstance(start, Positions):
+        df = df.filter(start.filter())
+    return df.select(*TOPIC_COLUMNS)
 
 
 def kafka_options(bootstrap_servers: str, topic: str, group: str | None = None, start: str = "earliest",

@@ -121,3 +121,19 @@ def test_processing_time_trigger_flushes(spark):
     finally:
         q.stop()
     assert read_sink(spark, f"{root}/out").count() == 20
+
+
+def test_end_offsets_survive_a_missing_index_entry(spark):
+    """Records committed without their index entry (a crash in between) are
+    still counted, so offsets are never reused."""
+    from shardline.sources.topic_log import end_offsets
+    path = shared_path(spark, "t-index")
+    write_topic(_records(spark, 0, 30), path, "t", 3, order=["timestamp", "id"])
+    ends = {r.partition: r.next_offset for r in end_offsets(spark, path).collect()}
+    # a shard-0 record appended behind the index's back
+    extra = spark.createDataFrame([("t", 0, ends[0] + 4, "k", "v", T0, 0)],
+                                  "topic string, partition int, offset long, key string, value string, "
+                                  "timestamp timestamp_ntz, shard int")
+    extra.write.mode("append").partitionBy("partition").parquet(path)
+    after = {r.partition: r.next_offset for r in end_offsets(spark, path).collect()}
+    assert after[0] == ends[0] + 5 and after[1] == ends[1] and after[2] == ends[2]
