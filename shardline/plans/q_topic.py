@@ -183,7 +183,8 @@ SELECT partition, "offset", timestamp, segment FROM d SEMI JOIN
 """)
 def q_retain_segments_by_time(spark, sf_dir):
     t = topic_frame(spark, sf_dir).select("partition", "offset", "timestamp",
-                                          F.date_trunc("day", "timestamp").alias("segment"))
+                                          # wall-clock days whatever the session time zone
+                                          F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("segment"))
     return tp.retain_segments_by_time(t, "partition", "segment", "timestamp", SEG_RETAIN_HOURS)
 
 
