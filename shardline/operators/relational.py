@@ -277,14 +277,15 @@ def parse_host_line(line) -> dict[str, Column]:
 
 # Items of a compressed host list: a name with an optional [..] group; commas
 # inside brackets do not separate items.
-_ITEM = r"[^,\[\]]+(?:\[[^\]]*\])?[^,\[\]]*"
+_ITEM = r"[^,\[\]]*(?:\[[^\]]*\])?[^,\[\]]*"
 
 
 def expand_ranges(df: DataFrame, expr: str, out: str = "host", chunk: int = EXPAND_CHUNK) -> DataFrame:
     """Expand compressed host lists such as ``n[01-03,07],m5`` into one row
     per distinct member (``n01 n02 n03 n07 m5``); the width of the lower bound
     sets the zero padding; a descending or unparsable range yields nothing."""
-    items = df.withColumn("_sl_item", F.explode(F.regexp_extract_all(F.col(expr), F.lit(_ITEM), 0)))
+    items = (df.withColumn("_sl_item", F.explode(F.regexp_extract_all(F.col(expr), F.lit(_ITEM), 0)))
+               .filter(F.col("_sl_item") != ""))
     pre = F.regexp_extract("_sl_item", r"^([^\[]*)", 1)
     body = F.regexp_extract("_sl_item", r"\[([^\]]*)\]", 1)
     post = F.regexp_extract("_sl_item", r"\]([^\]]*)$", 1)

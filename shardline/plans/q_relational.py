@@ -219,7 +219,8 @@ FROM nation
 
 @query("expand_ranges", f"""
 WITH src AS ({RANGE_EXPR_SQL}),
-items AS (SELECT n_nationkey, unnest(regexp_extract_all(expr, '[^,\\[\\]]+(?:\\[[^\\]]*\\])?[^,\\[\\]]*')) AS item FROM src),
+items AS (SELECT * FROM (SELECT n_nationkey, unnest(regexp_extract_all(expr, '[^,\\[\\]]*(?:\\[[^\\]]*\\])?[^,\\[\\]]*')) AS item FROM src)
+          WHERE item <> ''),
 parts AS (SELECT n_nationkey, item, regexp_extract(item, '^([^\\[]*)', 1) AS pre,
                  regexp_extract(item, '\\]([^\\]]*)$', 1) AS post, contains(item, '[') AS has,
                  unnest(CASE WHEN contains(item, '[') THEN string_split(regexp_extract(item, '\\[([^\\]]*)\\]', 1), ',')

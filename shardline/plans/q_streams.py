@@ -29,6 +29,8 @@ def _time_drops(df, ts: str, k: int):
     the bounds are one small aggregate row."""
     us = epoch_us(ts)
     mn, mx = df.agg(F.min(us), F.max(us)).first()
+    if mn is None:  # no rows: every drop is empty
+        return [df] * k
     idx = F.expr(f"((timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`) - {int(mn)}) * {k}) "
                  f"div ({int(mx) - int(mn) + 1})")
     return [df.filter(idx == i) for i in range(k)]

@@ -74,7 +74,9 @@ def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str =
                 timestamp: str = "timestamp", order: list[str] | None = None) -> None:
     """Produce records to the log: shard by key, number them per shard after
     the current end (in ``order``, default the timestamp), append. The end
-    offsets are one row per shard and are broadcast."""
+    offsets are one row per shard and are broadcast. One producing job at a
+    time per topic (offsets are assigned by the job, as a transactional
+    producer would); readers may run concurrently."""
     spark = df.sparkSession
     order = order or [timestamp]
     recs = df.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),

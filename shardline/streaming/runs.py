@@ -33,12 +33,14 @@ def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str
         w = w.queryName(query_name)
     q = w.start()
     try:
-        q.awaitTermination(timeout_s)
+        finished = q.awaitTermination(timeout_s)
     finally:
         if q.isActive:
             q.stop()
     if q.exception() is not None:
         raise q.exception()
+    if not finished:
+        raise TimeoutError(f"stream did not finish within {timeout_s} s; its checkpoint keeps the position")
 
 
 def read_sink(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:

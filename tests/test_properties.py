@@ -47,7 +47,9 @@ def test_duration_rule(spark, minutes):
 
 def py_expand(expr):
     out = set()
-    for item in re.findall(r"[^,\[\]]+(?:\[[^\]]*\])?[^,\[\]]*", expr):
+    for item in re.findall(r"[^,\[\]]*(?:\[[^\]]*\])?[^,\[\]]*", expr):
+        if not item:
+            continue
         m = re.match(r"^([^\[]*)\[([^\]]*)\](.*)$", item)
         if not m:
             out.add(item)
@@ -65,7 +67,7 @@ def py_expand(expr):
 
 num = st.integers(min_value=0, max_value=40).map(str) | st.integers(min_value=0, max_value=40).map(lambda x: f"{x:03d}")
 part = st.tuples(num, st.none() | num).map(lambda t: t[0] if t[1] is None else f"{t[0]}-{t[1]}")
-item = st.tuples(st.sampled_from(["n", "gpu", "c1-"]), st.none() | st.lists(part, min_size=1, max_size=3)).map(
+item = st.tuples(st.sampled_from(["n", "gpu", "c1-", ""]), st.none() | st.lists(part, min_size=1, max_size=3)).map(
     lambda t: t[0] if t[1] is None else f"{t[0]}[{','.join(t[1])}]")
 expr = st.lists(item, min_size=1, max_size=3).map(",".join)
 
