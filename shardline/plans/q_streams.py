@@ -63,6 +63,21 @@ def q_write_topic(spark, sf_dir):
     return read_topic(spark, path)
 
 
+@query("write_topic_stream", f"WITH {TOPIC_SQL} SELECT topic, partition, \"offset\", key, value, timestamp FROM topic_o")
+def q_write_topic_stream(spark, sf_dir):
+    """A stream producer: event records arrive in two drops and each
+    micro-batch is produced to the log exactly once."""
+    from shardline.sources.topic_log import produce_stream
+    root = shared_path(spark, "producer")
+    folder, path = f"{root}/in", f"{root}/topic"
+    recs = topic_records(spark, sf_dir)
+    sink = produce_stream(path, "events", N_SHARDS, "p1", order=["timestamp", "event_id"])
+    for drop in _time_drops(recs, "timestamp", 2):
+        drop_files(drop, folder)
+        run_available(spark.readStream.schema(recs.schema).parquet(folder), f"{root}/ckpt", sink)
+    return read_topic(spark, path)
+
+
 @query("read_topic", f"WITH {TOPIC_SQL} SELECT topic, partition, \"offset\", key, value, timestamp FROM topic_o")
 def q_read_topic(spark, sf_dir):
     """A reader group subscribed from the earliest record, as a stream."""

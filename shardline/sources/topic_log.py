@@ -23,8 +23,10 @@ from shardline.operators.topic import assign_offset, assign_shard
 TOPIC_COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
 # files also carry the shard id as a data column (``shard``), so per-shard
 # offset predicates are plain data filters that parquet can push down
+# files also carry the stream producer and its micro-batch id (null for
+# batch producers), so a replayed micro-batch can be recognised
 LOG_SCHEMA = ("topic string, partition int, offset bigint, key string, value string, "
-              "timestamp timestamp_ntz, shard int")
+              "timestamp timestamp_ntz, shard int, producer string, batch_id bigint")
 TOPIC_SCHEMA = LOG_SCHEMA
 INDEX_SCHEMA = "partition int, next_offset bigint"
 
@@ -71,7 +73,8 @@ def end_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str = "key", value: str = "value",
-                timestamp: str = "timestamp", order: list[str] | None = None) -> None:
+                timestamp: str = "timestamp", order: list[str] | None = None, *,
+                producer: str | None = None, batch_id: int | None = None) -> None:
     """Produce records to the log: shard by key, number them per shard after
     the current end (in ``order``, default the timestamp), append. The end
     offsets are one row per shard and are broadcast. One producing job at a
@@ -87,13 +90,39 @@ def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str =
     ends = F.broadcast(end_offsets(spark, path).withColumnRenamed("next_offset", "_sl_next"))
     recs = recs.join(ends, "partition", "left")
     recs = assign_offset(recs, "partition", order_cols, start_col="_sl_next")
-    recs = recs.withColumn("shard", F.col("partition"))
-    recs.select(*TOPIC_COLUMNS, "shard").write.mode("append").partitionBy("partition").parquet(path)
+    recs = (recs.withColumn("shard", F.col("partition"))
+                .withColumn("producer", F.lit(producer).cast("string"))
+                .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+    recs.select(*TOPIC_COLUMNS, "shard", "producer", "batch_id").write.mode("append") \
+        .partitionBy("partition").parquet(path)
     # then the index: one row per shard that received records
     (recs.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
          .write.mode("append").parquet(_index_path(path)))
 
 
+def already_produced(spark: SparkSession, path: str, producer: str, batch_id: int) -> bool:
+    """Whether the log holds records of this producer's micro-batch (a
+    pushed-down filter: row groups of other batches are skipped)."""
+    try:
+        log = spark.read.schema(LOG_SCHEMA).parquet(path)
+    except AnalysisException:
+        return False
+    hit = log.filter((F.col("producer") == producer) & (F.col("batch_id") == int(batch_id)))
+    return hit.select("offset").limit(1).count() > 0
+
+
+def produce_stream(path: str, topic: str, n_shards: int, producer: str, order: list[str] | None = None, **kw):
+    """Stream form of :func:`write_topic`, as a ``foreachBatch`` function:
+    each micro-batch is produced to the log once. ``foreachBatch`` may replay
+    a batch after a failure; a batch whose records are already in the log is
+    skipped, so the log gets every record exactly once."""
+    def produce(df: DataFrame, batch_id: int) -> None:
+        if already_produced(df.sparkSession, path, producer, batch_id):
+            return
+        write_topic(df, path, topic, n_shards, order=order, producer=producer, batch_id=batch_id, **kw)
+    return produce
+
+
 @dataclass(frozen=True)
 class Positions:
     """Start offsets per shard, fixed when a mapping is made (at most one

@@ -137,3 +137,17 @@ def test_end_offsets_survive_a_missing_index_entry(spark):
     extra.write.mode("append").partitionBy("partition").parquet(path)
     after = {r.partition: r.next_offset for r in end_offsets(spark, path).collect()}
     assert after[0] == ends[0] + 5 and after[1] == ends[1] and after[2] == ends[2]
+
+
+def test_stream_producer_is_exactly_once_on_replay(spark):
+    from shardline.sources.topic_log import produce_stream
+    path = shared_path(spark, "t-produce")
+    produce = produce_stream(path, "t", 3, "p", order=["timestamp", "id"])
+    batch = _records(spark, 0, 25)
+    produce(batch, 0)
+    produce(batch, 0)          # a replay of micro-batch 0
+    produce(_records(spark, 25, 40), 1)
+    log = read_topic(spark, path)
+    assert log.count() == 40
+    per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m")).collect()
+    assert all(r.m == r.n - 1 for r in per)
