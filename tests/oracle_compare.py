@@ -7,6 +7,7 @@ driver does: columns by name, row count, order-insensitive values, dtypes.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -79,6 +80,8 @@ def main(argv):
     from shardline.session import build_session
     import __spark_entry__ as entry
     spark = build_session("local[8]")
+    if os.environ.get("ORACLE_SESSION_TZ"):  # check independence of the session time zone
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_SESSION_TZ"])
     qs, sql = entry.queries(), entry.oracle_sql()
     con = duck(sf_dir)
     bad = 0
