@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from shardline.functions.scalars import decode_payload, encode_payload
 from shardline.operators import topic as tp
 from shardline.plans.catalog import query
-from shardline.plans.fixtures import TOPIC_SQL, topic_frame
+from shardline.plans.fixtures import N_SHARDS, TOPIC_SQL, topic_frame, topic_records
 from shardline.sources.tables import load
 from shardline.streaming.handlers import apply_native, batch_events, handle_batches, with_batch
 
@@ -41,7 +41,8 @@ WITH {TOPIC_SQL}
 SELECT event_id, key, partition FROM topic
 """)
 def q_assign_shard(spark, sf_dir):
-    return topic_frame(spark, sf_dir).select("event_id", "key", "partition")
+    recs = topic_records(spark, sf_dir).select("event_id", "key")
+    return tp.assign_shard(recs, "key", N_SHARDS)
 
 
 @query("assign_offset", f"""
