@@ -151,13 +151,13 @@ def _carried(new: np.ndarray) -> np.ndarray:
     return np.cumsum(new) == 0
 
 
-def _local_prefix_sum(keys: list[str], value: str, out: str):
+def _local_prefix_sum(keys: list[str], value: str, out: str, integral: bool):
     def run(batches):
         carry_key, carry_sum = None, 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            v = pdf[value].fillna(0).to_numpy()
+            v = pdf[value].fillna(0).to_numpy(dtype=np.int64 if integral else np.float64)
             new = _key_change(pdf, keys, carry_key)
             c = np.cumsum(v)
             before = c - v
@@ -186,7 +186,8 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *,
     local_name = "_sl_local"
     staged = staged.withColumn(value, F.col(value).cast(out_type))
     schema = T.StructType(staged.schema.fields + [T.StructField(local_name, out_type, False)])
-    local = _freeze(staged.mapInPandas(_local_prefix_sum(keys, value, local_name), schema))
+    integral = isinstance(out_type, T.LongType)
+    local = _freeze(staged.mapInPandas(_local_prefix_sum(keys, value, local_name, integral), schema))
     stats = local.groupBy(_PID, *keys).agg(F.coalesce(F.sum(value), F.lit(0).cast(out_type)).alias("_sl_tot"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_sl_base", F.sum("_sl_tot").over(before))
@@ -241,6 +242,9 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
     keys = _names(keys)
     us = "_sl_us"
     order = [ts] + _cols(tiebreak)
+    # a row without a time belongs to no session
+    untimed = df.filter(F.col(ts).isNull()).withColumn(out, F.lit(None).cast("bigint"))
+    df = df.filter(F.col(ts).isNotNull())
     src = df.withColumn(us, F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
                                    f"cast(`{ts}` as timestamp_ntz))"))
     staged = _slices(src, keys, order, num_partitions)
@@ -263,6 +267,7 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
     # partitions (see prefix_sum), always broadcast
     fixes = stats.filter((F.col("_sl_base") != 0) | (F.col("_sl_fix") != 0)).select(_PID, *keys, "_sl_fix", "_sl_base")
     joined = _null_safe_join(local, fixes, keys, True, "left")
-    return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0)) + F.col("_sl_cum")
-                                    + F.coalesce(F.col("_sl_fix"), F.lit(0))).cast("bigint"))
-                  .drop(_PID, us, "_sl_start", "_sl_cum", "_sl_fix", "_sl_base"))
+    timed = (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0)) + F.col("_sl_cum")
+                                     + F.coalesce(F.col("_sl_fix"), F.lit(0))).cast("bigint"))
+                   .drop(_PID, us, "_sl_start", "_sl_cum", "_sl_fix", "_sl_base"))
+    return timed.unionByName(untimed)

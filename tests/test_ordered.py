@@ -117,3 +117,15 @@ def test_hot_key_is_cut_across_slices(spark):
     sliced = _slices(df, ["k"], ["t"], 8)
     parts = {r._sl_pid for r in sliced.filter("k = 0").select("_sl_pid").distinct().collect()}
     assert len(parts) >= 6
+
+
+def test_null_times_and_big_values(spark):
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, base, 0), (1, None, 1), (1, base + dt.timedelta(hours=3), 2)],
+                               "u int, ts timestamp_ntz, id int")
+    got = {r.id: r.session_no for r in gap_sessions(df, ["u"], "ts", 3600, tiebreak=["id"]).collect()}
+    assert got == {0: 1, 1: None, 2: 2}
+    big = 2 ** 60
+    vals = spark.createDataFrame([(1, 0, big), (1, 1, None), (1, 2, 3), (1, 3, 1)], "k int, t int, v long")
+    got = {r.t: r.b for r in prefix_sum(vals, ["k"], ["t"], "v", "b").collect()}
+    assert got == {0: 0, 1: big, 2: big, 3: big + 3}
