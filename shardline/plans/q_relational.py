@@ -85,6 +85,18 @@ def q_lookup_parent(spark, sf_dir):
         .select("s_suppkey", "s_nationkey", "endpoint")
 
 
+@query("lookup_parent_region", """
+SELECT n_nationkey, n_regionkey, coalesce(r_name, n_name) AS endpoint
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey
+""")
+def q_lookup_parent_region(spark, sf_dir):
+    """Nations take their region's name as endpoint (every parent known)."""
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name")
+    region = load(spark, sf_dir, "region")
+    return rel.lookup_parent(nation, region, "n_regionkey", "r_regionkey", "n_name", "r_name") \
+        .select("n_nationkey", "n_regionkey", "endpoint")
+
+
 @query("match_single_attachment", """
 WITH one AS (SELECT l_orderkey, min(l_linenumber) AS l_linenumber, min(l_partkey) AS l_partkey
              FROM lineitem GROUP BY l_orderkey HAVING count(*) = 1)
