@@ -106,6 +106,17 @@ def q_format_duration(spark, sf_dir):
     return p.select("p_partkey", "minutes", sc.format_duration("minutes").alias("walltime"))
 
 
+@query("format_duration_size", """
+SELECT p_partkey, p_size AS minutes,
+       CAST(p_size // 60 AS VARCHAR) || ':' || CAST(p_size % 60 AS VARCHAR) || ':00' AS walltime
+FROM part
+""")
+def q_format_duration_size(spark, sf_dir):
+    """The part size read as minutes (all under an hour: ``0:M:00``)."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("minutes"))
+    return p.select("p_partkey", "minutes", sc.format_duration("minutes").alias("walltime"))
+
+
 @query("format_timestamp", """
 SELECT event_id, strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%Y%m%d_%H%M%S') AS stamp_underscore FROM events
 """)
