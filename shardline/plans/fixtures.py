@@ -28,9 +28,14 @@ def topic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "event_id", "event_type")
 
 
-def topic_frame(spark: SparkSession, sf_dir: str, n_shards: int = N_SHARDS) -> DataFrame:
-    """The topic over events: shard by key, offsets per shard in (ts, event_id) order."""
+def topic_frame(spark: SparkSession, sf_dir: str, n_shards: int = N_SHARDS,
+                keep: list[str] | None = None) -> DataFrame:
+    """The topic over events: shard by key, offsets per shard in (ts, event_id)
+    order. ``keep`` narrows the carried columns before the offsets are
+    materialised (a checkpoint ends Catalyst's column pruning)."""
     recs = assign_shard(topic_records(spark, sf_dir), "key", n_shards)
+    if keep is not None:
+        recs = recs.select("partition", *dict.fromkeys(["timestamp", "event_id", *keep]))
     return assign_offset(recs, "partition", ["timestamp", "event_id"])
 
 

@@ -28,7 +28,7 @@ GROUP BY partition, t.event_type
 def shard_batch_summary(spark, sf_dir):
     """Flagship: events -> shard -> offset -> batches of 10 -> decode ->
     per shard and event type: records, batches touched, payload bytes."""
-    t = topic_frame(spark, sf_dir)
+    t = topic_frame(spark, sf_dir, keep=["value", "event_type"])
     b = with_batch(t, FLAGSHIP_BATCH)
     return (b.groupBy("partition", "event_type")
              .agg(F.count(F.lit(1)).alias("n_records"),
@@ -50,7 +50,7 @@ WITH {TOPIC_SQL}
 SELECT event_id, partition, "offset" FROM topic_o
 """)
 def q_assign_offset(spark, sf_dir):
-    return topic_frame(spark, sf_dir).select("event_id", "partition", "offset")
+    return topic_frame(spark, sf_dir, keep=[]).select("event_id", "partition", "offset")
 
 
 def _batch_sql(size: int) -> str:
@@ -68,7 +68,7 @@ GROUP BY partition, "offset" // {size}
 def q_handle_batches_1(spark, sf_dir):
     """Batch size 1 (the default) with the native handler: decode each
     record of the event and sum the payload bytes."""
-    ev = batch_events(topic_frame(spark, sf_dir), batch_size=1)
+    ev = batch_events(topic_frame(spark, sf_dir, keep=["value"]), batch_size=1)
 
     def handler(records):
         sizes = F.transform(records, lambda r: F.octet_length(decode_payload(r["kinesis"]["data"])))
@@ -89,7 +89,7 @@ def _python_batch_handler(batch: pd.DataFrame) -> dict:
 @query("handle_batches_10", _batch_sql(10))
 def q_handle_batches_10(spark, sf_dir):
     """Batch size 10 with a Python handler called once per batch."""
-    t = topic_frame(spark, sf_dir).select("partition", "offset", "value")
+    t = topic_frame(spark, sf_dir, keep=["value"]).select("partition", "offset", "value")
     return handle_batches(t, _python_batch_handler,
                           "n_records long, first_offset long, last_offset long, payload_bytes long",
                           batch_size=10)
@@ -183,7 +183,7 @@ SELECT partition, "offset", timestamp, segment FROM d SEMI JOIN
   USING (partition, segment)
 """)
 def q_retain_segments_by_time(spark, sf_dir):
-    t = topic_frame(spark, sf_dir).select("partition", "offset", "timestamp",
+    t = topic_frame(spark, sf_dir, keep=[]).select("partition", "offset", "timestamp",
                                           # wall-clock days whatever the session time zone
                                           F.date_trunc("day", "timestamp").cast("timestamp_ntz").alias("segment"))
     return tp.retain_segments_by_time(t, "partition", "segment", "timestamp", SEG_RETAIN_HOURS)
@@ -197,4 +197,4 @@ SELECT partition, count(*) AS n_records, min("offset") AS first_offset, max("off
 FROM topic_o GROUP BY partition
 """)
 def q_describe_topic(spark, sf_dir):
-    return tp.describe_topic(topic_frame(spark, sf_dir))
+    return tp.describe_topic(topic_frame(spark, sf_dir, keep=["value"]))
