@@ -125,7 +125,9 @@ def handle_batches(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     b = with_batch(df, batch_size, offset)
-    keyed = b.repartition(shard, "batch").sortWithinPartitions(shard, "batch", offset)
+    # one record per batch needs no grouping; larger batches are brought
+    # together by a hash exchange on (shard, batch) and sorted
+    keyed = b if int(batch_size) == 1 else b.repartition(shard, "batch").sortWithinPartitions(shard, "batch", offset)
     fields = [keyed.schema[shard], keyed.schema["batch"]] + list(schema.fields)
     out_schema = T.StructType(fields)
     return keyed.mapInPandas(_run_python(handler, [shard, "batch"], [f.name for f in fields]), out_schema)

@@ -194,3 +194,16 @@ def test_config_yaml_and_xml(spark, tmp_path):
     assert y == [("jobmanager.rpc.address", "localhost"), ("taskmanager.numberOfTaskSlots", "4")]
     x = sorted((r.key, r.value) for r in scan_config(spark, str(tmp_path / "core-site.xml"), "xml").collect())
     assert x == [("fs.default.name", "hdfs://h:9000"), ("io.file.buffer.size", "131072")]
+
+
+def test_python_handler_batches(spark):
+    from shardline.streaming.handlers import handle_batches
+    rows = [(p, o, f"v{p}-{o}") for p in range(2) for o in range(23)]
+    df = spark.createDataFrame(rows, "partition int, offset long, value string")
+    def handler(b):
+        return {"n": len(b), "first": int(b["offset"].iloc[0]), "last": int(b["offset"].iloc[-1])}
+    for size in (1, 5):
+        got = sorted(tuple(r) for r in handle_batches(df, handler, "n long, first long, last long", size).collect())
+        want = sorted((p, o // size, min(size, 23 - (o // size) * size), o, min(o + size - 1, 22))
+                      for p in range(2) for o in range(0, 23, size))
+        assert got == want
