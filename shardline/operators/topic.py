@@ -99,7 +99,7 @@ def retain_segments_by_time(df: DataFrame, shard: str, segment: str, ts: str,
                             hours: int = LOG_RETENTION_HOURS) -> DataFrame:
     """Drop whole segments whose newest record is older than the horizon."""
     segs = df.groupBy(shard, segment).agg(F.max(ts).alias("_sl_seg_max"))
-    newest = segs.agg(F.max("_sl_seg_max")).scalar()
+    newest = df.agg(F.max(ts)).scalar()  # same value, from the ts column alone
     keep = segs.filter(F.col("_sl_seg_max") >= newest - F.make_dt_interval(hours=F.lit(int(hours))))
     return df.join(keep.select(shard, segment), [shard, segment], "left_semi")
 
