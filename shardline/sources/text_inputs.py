@@ -24,10 +24,11 @@ def parse_json(col, schema: str | T.StructType) -> Column:
     return F.from_json(_c(col), schema)
 
 
-def read_json_records(spark: SparkSession, paths, schema: str | T.StructType) -> DataFrame:
-    """JSON description files (one object per line, or ``multiLine``) with a
-    declared schema: no inference pass over the data."""
-    return spark.read.schema(schema).json(paths)
+def read_json_records(spark: SparkSession, paths, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
+    """JSON records with a declared schema (no inference pass over the data):
+    one object per line, or with ``multi_line`` one (pretty-printed) document
+    per file, as description files are written."""
+    return spark.read.schema(schema).json(paths, multiLine=multi_line)
 
 
 # -- 5: key=value -------------------------------------------------------------

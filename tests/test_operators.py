@@ -7,7 +7,7 @@ import datetime as dt
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel
 from shardline.operators import topic as tp
-from shardline.sources.text_inputs import parse_trace, scan_config, scan_properties, split_pairs
+from shardline.sources.text_inputs import parse_trace, read_json_records, scan_config, scan_properties, split_pairs
 
 
 def test_shard_is_stable_and_in_range(spark):
@@ -207,3 +207,14 @@ def test_python_handler_batches(spark):
         want = sorted((p, o // size, min(size, 23 - (o // size) * size), o, min(o + size - 1, 22))
                       for p in range(2) for o in range(0, 23, size))
         assert got == want
+
+
+def test_description_file_with_defaults(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n  "resource": "ssh://h1",\n  "number_cores": 4,\n  "type": "spark"\n}\n')
+    (tmp_path / "b.json").write_text('{\n  "type": "kafka",\n  "walltime": "30"\n}\n')
+    schema = "resource string, number_cores int, type string, walltime string, queue string"
+    df = read_json_records(spark, str(tmp_path), schema, multi_line=True)
+    filled = rel.overlay_defaults(df, {"resource": "fork://localhost", "number_cores": 1, "walltime": "10",
+                                       "queue": "normal"}, casts={"walltime": "int"})
+    got = sorted(tuple(r) for r in filled.select("type", "resource", "number_cores", "walltime", "queue").collect())
+    assert got == [("kafka", "fork://localhost", 1, 30, "normal"), ("spark", "ssh://h1", 4, 10, "normal")]
