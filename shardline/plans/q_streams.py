@@ -196,7 +196,7 @@ def q_retention_stream(spark, sf_dir):
         for drop in _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]:
             drop_files(drop, folder)
             counts = jobs.hourly_counts(spark.readStream.schema(ev.schema).parquet(folder), "ts")
-            run_available(counts, f"{root}/ckpt", batch_sink(f"{root}/out"))
+            run_available(counts, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
         return read_sink(spark, f"{root}/out", "window_start timestamp_ntz, window_end timestamp_ntz, n long") \
             .select("window_start", "window_end", "n")
 
@@ -238,7 +238,7 @@ def q_member_sessions_stream(spark, sf_dir):
         for drop in _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]:
             drop_files(drop, folder)
             s = jobs.member_sessions_stream(spark.readStream.schema(ev.schema).parquet(folder), "user_id", "ts")
-            run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"))
+            run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
         out = read_sink(spark, f"{root}/out")
         return out.filter(F.col("user_id") >= 0).select("user_id", "session_start", "session_end", "n_events")
 
@@ -279,5 +279,5 @@ def q_distinct_members_stream(spark, sf_dir):
             drop_files(drop, folder)
             stream = spark.readStream.schema(ev.schema).parquet(folder)
             d = jobs.distinct_stream(stream, ["user_id", "event_type"], "ts", late="30 days")
-            run_available(d.select("user_id", "event_type"), f"{root}/ckpt", batch_sink(f"{root}/out"))
+            run_available(d.select("user_id", "event_type"), f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
         return read_sink(spark, f"{root}/out").select("user_id", "event_type")

@@ -24,14 +24,33 @@ def batch_sink(out: str, transform: Callable[[DataFrame, int], DataFrame] | None
     return write
 
 
+def state_partitions(spark: SparkSession) -> int:
+    """State partitions for a new stateful stream: the shuffle partition
+    count, but not more than the cores of the cluster (every micro-batch runs
+    one task per state partition, so more only adds per-batch overhead)."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str = "append",
-                  query_name: str | None = None, timeout_s: int = 600) -> None:
-    """Process everything available now, then return (one or more micro-batches)."""
+                  query_name: str | None = None, timeout_s: int = 600, stateful: bool = False) -> None:
+    """Process everything available now, then return (one or more micro-batches).
+
+    ``stateful``: start with :func:`state_partitions` state partitions (the
+    started query keeps a copy of the session conf, and the count is then
+    fixed in its checkpoint, so later restarts keep it)."""
     w = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).foreachBatch(sink))
     if query_name:
         w = w.queryName(query_name)
-    q = w.start()
+    spark = stream.sparkSession
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    if stateful:
+        spark.conf.set(key, str(state_partitions(spark)))
+    try:
+        q = w.start()
+    finally:
+        spark.conf.set(key, old)
     try:
         finished = q.awaitTermination(timeout_s)
     finally:

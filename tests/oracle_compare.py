@@ -80,6 +80,8 @@ def main(argv):
     from shardline.session import build_session
     import __spark_entry__ as entry
     spark = build_session("local[8]")
+    if os.environ.get("ORACLE_SHUFFLE_PARTITIONS"):  # e.g. Spark's default of 200
+        spark.conf.set("spark.sql.shuffle.partitions", os.environ["ORACLE_SHUFFLE_PARTITIONS"])
     if os.environ.get("ORACLE_SESSION_TZ"):  # check independence of the session time zone
         spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_SESSION_TZ"])
     qs, sql = entry.queries(), entry.oracle_sql()
