@@ -50,19 +50,15 @@ def _names(xs) -> list[str]:
     return [x for x in _cols(xs) if isinstance(x, str)]
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _slices(df: DataFrame, keys, order, num_partitions) -> DataFrame:
-    """Range-partition on (keys, order), sort each slice, tag slice id."""
-    n = _num_partitions(df, num_partitions)
+    """Range-partition on (keys, order), sort each slice, tag slice id.
+
+    Without an explicit count the exchange uses the shuffle partition count
+    and AQE may merge adjacent small ranges (merged slices stay contiguous),
+    so slice sizes follow the data volume."""
     by = _cols(keys) + _cols(order)
-    return (df.repartitionByRange(n, *by)
-              .sortWithinPartitions(*by)
-              .withColumn(_PID, F.spark_partition_id()))
+    ranged = df.repartitionByRange(int(num_partitions), *by) if num_partitions else df.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by).withColumn(_PID, F.spark_partition_id())
 
 
 def _freeze(df: DataFrame) -> DataFrame:
