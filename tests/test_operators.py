@@ -218,3 +218,13 @@ def test_description_file_with_defaults(spark, tmp_path):
                                        "queue": "normal"}, casts={"walltime": "int"})
     got = sorted(tuple(r) for r in filled.select("type", "resource", "number_cores", "walltime", "queue").collect())
     assert got == [("kafka", "fork://localhost", 1, 30, "normal"), ("spark", "ssh://h1", 4, 10, "normal")]
+
+
+def test_write_routes_one_folder_per_branch(spark, tmp_path):
+    df = spark.createDataFrame([(1, "https://m.a"), (2, "http://b"), (3, "ftp://c")], "id int, url string")
+    routed = rel.route(df, "url", [("https://m.", "mobile"), ("https://", "secure"), ("http://", "plain")])
+    rel.write_routes(routed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.id, r.route) for r in back.collect()) == [(1, "mobile"), (2, "plain"), (3, "unsupported")]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("route=")) == [
+        "route=mobile", "route=plain", "route=unsupported"]
