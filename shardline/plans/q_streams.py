@@ -130,6 +130,35 @@ def q_handle_batches_stream(spark, sf_dir):
     return read_sink(spark, f"{root}/out").drop("batch_id")
 
 
+WINDOW_BATCH = 10
+
+
+@query("handle_batches_window", f"""
+WITH {TOPIC_SQL}
+SELECT partition, "offset" // {WINDOW_BATCH} AS batch, count(*) AS n_records, min("offset") AS first_offset,
+       max("offset") AS last_offset, CAST(sum(octet_length(encode(e.props))) AS BIGINT) AS payload_bytes
+FROM topic_o t JOIN events e USING (event_id) GROUP BY partition, "offset" // {WINDOW_BATCH}
+HAVING count(*) = {WINDOW_BATCH}
+""")
+def q_handle_batches_window(spark, sf_dir):
+    """Shard batches that stay whole although the producer appends in two
+    rounds: a batch cut by the append is completed by the second run and
+    delivered once. Each shard's last, incomplete batch stays open (its
+    one-week batching window has not passed), so only full batches appear."""
+    from shardline.functions.scalars import decode_payload
+    path = shared_path(spark, "topic")
+    root = shared_path(spark, "wbatch")
+    with utc_session(spark):
+        for part in _time_drops(topic_records(spark, sf_dir), "timestamp", 2):
+            write_topic(part, path, "events", N_SHARDS, order=["timestamp", "event_id"])
+            batches = jobs.window_batches(read_topic(spark, path, stream=True), WINDOW_BATCH, 7 * 24 * 3600)
+            run_available(batches, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        out = read_sink(spark, f"{root}/out", jobs.WINDOW_BATCH_SCHEMA)
+    sizes = F.transform("payloads", lambda v: F.octet_length(decode_payload(v)))
+    return out.select("partition", "batch", "n_records", "first_offset", "last_offset",
+                      F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("payload_bytes"))
+
+
 # -- 20: handler swap ----------------------------------------------------------------
 
 @query("swap_handler", f"""

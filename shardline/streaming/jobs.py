@@ -91,6 +91,61 @@ def handle_batches_stream(stream: DataFrame, checkpoint: str, out: str, batch_si
     run_available(stream, checkpoint, batch_sink(out, transform))
 
 
+WINDOW_BATCH_SCHEMA = ("partition int, batch long, n_records long, first_offset long, last_offset long, "
+                       "offsets array<long>, payloads array<string>, closed_by string")
+_WINDOW_STATE = "offsets array<long>, payloads array<string>, newest_ms long"
+
+
+def _window_batch_fn(batch_size: int, window_ms: int):
+    import pandas as pd
+
+    def emit(key, offsets, payloads, why):
+        order = sorted(range(len(offsets)), key=lambda i: offsets[i])
+        offs = [int(offsets[i]) for i in order]
+        return pd.DataFrame({"partition": [key[0]], "batch": [key[1]], "n_records": [len(offs)],
+                             "first_offset": [offs[0]], "last_offset": [offs[-1]], "offsets": [offs],
+                             "payloads": [[payloads[i] for i in order]], "closed_by": [why]})
+
+    def fn(key, pdfs, state):
+        if state.hasTimedOut:
+            offsets, payloads, _ = state.get
+            state.remove()
+            yield emit(key, list(offsets), list(payloads), "window")
+            return
+        offsets, payloads, newest = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists \
+            else ([], [], 0)
+        for pdf in pdfs:
+            offsets += pdf["_sl_offset"].tolist()
+            payloads += pdf["_sl_data"].tolist()
+            newest = max(newest, int(pdf["_sl_ms"].max()))
+        if len(offsets) >= batch_size:
+            state.remove()
+            yield emit(key, offsets, payloads, "size")
+        else:
+            state.update((offsets, payloads, newest))
+            state.setTimeoutTimestamp(newest + window_ms)
+    return fn
+
+
+def window_batches(stream: DataFrame, batch_size: int, window_seconds: int, shard: str = "partition",
+                   offset: str = "offset", data: str = "value", ts: str = "timestamp") -> DataFrame:
+    """Batches that stay whole across micro-batches (a custom stateful
+    operator, ``applyInPandasWithState``): the records of a shard batch are
+    buffered until all ``batch_size`` of them arrived, or until the stream's
+    event time passes the batch's newest record by ``window_seconds`` (a
+    batching window, closed by the watermark). State is one bounded buffer
+    per open batch. Output: one row per delivered batch, in offset order."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    keyed = (to_event_time(stream, ts)
+             .withWatermark(ts, "0 seconds")
+             .select(F.col(shard).alias("partition"), F.expr(f"`{offset}` div {int(batch_size)}").alias("batch"),
+                     F.col(offset).alias("_sl_offset"), F.col(data).alias("_sl_data"),
+                     F.expr(f"unix_millis(`{ts}`)").alias("_sl_ms"), F.col(ts)))
+    return keyed.groupBy("partition", "batch").applyInPandasWithState(
+        _window_batch_fn(int(batch_size), int(window_seconds) * 1000), WINDOW_BATCH_SCHEMA, _WINDOW_STATE,
+        "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def hourly_counts(stream: DataFrame, ts: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Records per event-time window, emitted once the window is closed;
     records arriving behind the watermark (older than ``late`` behind the

@@ -151,3 +151,34 @@ def test_stream_producer_is_exactly_once_on_replay(spark):
     assert log.count() == 40
     per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m")).collect()
     assert all(r.m == r.n - 1 for r in per)
+
+
+def test_window_batches_stay_whole_and_close_by_window(spark):
+    from shardline.operators.topic import shard_of
+    keys = spark.createDataFrame([(k,) for k in "abcdefgh"], "k string").select("k", shard_of("k", 2).alias("s"))
+    by_shard = {}
+    for r in keys.collect():
+        by_shard.setdefault(r.s, r.k)
+    hot, other = by_shard[0], by_shard[1]
+
+    def recs(lo, hi, key, shift=dt.timedelta(0)):
+        return spark.createDataFrame([(key, f"v{i}", T0 + shift + dt.timedelta(seconds=i), i) for i in range(lo, hi)],
+                                     "key string, value string, timestamp timestamp_ntz, id long")
+    path = shared_path(spark, "t-wb-topic")
+    root = shared_path(spark, "t-wb")
+    with utc_session(spark):
+        def run():
+            b = jobs.window_batches(read_topic(spark, path, stream=True), 5, 600)
+            run_available(b, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        write_topic(recs(0, 7, hot), path, "t", 2, order=["timestamp", "id"])      # shard 0 offsets 0-6
+        run()
+        write_topic(recs(7, 11, hot), path, "t", 2, order=["timestamp", "id"])     # shard 0 offsets 7-10
+        run()
+        write_topic(recs(0, 1, other, dt.timedelta(hours=2)), path, "t", 2, order=["timestamp", "id"])
+        run()                                                                      # event time moves 2 h on
+        got = sorted((r.partition, r.batch, r.n_records, r.first_offset, r.last_offset, r.closed_by)
+                     for r in read_sink(spark, f"{root}/out").collect())
+    # batch 1 of shard 0 spans both appends and is delivered once, whole; its
+    # batch 2 (offset 10 alone) closes when event time passes it by the window;
+    # shard 1's lone record is still inside its window
+    assert got == [(0, 0, 5, 0, 4, "size"), (0, 1, 5, 5, 9, "size"), (0, 2, 1, 10, 10, "window")]
