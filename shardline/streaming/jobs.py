@@ -85,7 +85,10 @@ class GroupReader:
 def handle_batches_stream(stream: DataFrame, checkpoint: str, out: str, batch_size: int,
                           handler: Callable[[DataFrame], DataFrame]) -> None:
     """Stream form of batch delivery: every micro-batch of topic records is
-    cut into shard batches of ``batch_size`` and handed to ``handler``."""
+    cut into shard batches of ``batch_size`` and handed to ``handler``. A
+    batch whose records arrive in two micro-batches is delivered in two
+    parts (each still one shard, at most ``batch_size``); use
+    :func:`window_batches` to deliver every batch whole."""
     def transform(df: DataFrame, batch_id: int) -> DataFrame:
         return handler(batch_events(df, batch_size))
     run_available(stream, checkpoint, batch_sink(out, transform))
