@@ -16,4 +16,4 @@ def test_bench_prints_one_json_line():
     assert len(lines) == 1
     d = json.loads(lines[0])
     assert d["unit"] == "sec" and d["sf"] == 0.001 and set(d["queries"]) == {"retain_by_time", "route"}
-    assert abs(d["value"] - sum(d["queries"].values())) < 1e-6
+    assert abs(d["value"] - sum(d["queries"].values())) < 0.01
