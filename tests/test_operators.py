@@ -7,7 +7,8 @@ import datetime as dt
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel
 from shardline.operators import topic as tp
-from shardline.sources.text_inputs import parse_trace, read_json_records, scan_config, scan_properties, split_pairs
+from shardline.sources.text_inputs import (parse_trace, read_json_records, scan_config, scan_properties,
+                                           scan_traces, split_pairs)
 
 
 def test_shard_is_stable_and_in_range(spark):
@@ -228,3 +229,10 @@ def test_write_routes_one_folder_per_branch(spark, tmp_path):
     assert sorted((r.id, r.route) for r in back.collect()) == [(1, "mobile"), (2, "plain"), (3, "unsupported")]
     assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("route=")) == [
         "route=mobile", "route=plain", "route=unsupported"]
+
+
+def test_trace_files_mixed_layouts(spark, tmp_path):
+    (tmp_path / "kafka.csv").write_text("download, 2, 10.50000\nstartup, 2, 3.00000\n")
+    (tmp_path / "spark.csv").write_text("download,spark, 4, 12.25000\n")
+    got = sorted(tuple(r) for r in scan_traces(spark, str(tmp_path)).collect())
+    assert got == [("download", None, 2, 10.5), ("download", "spark", 4, 12.25), ("startup", None, 2, 3.0)]
