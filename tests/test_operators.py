@@ -234,5 +234,5 @@ def test_write_routes_one_folder_per_branch(spark, tmp_path):
 def test_trace_files_mixed_layouts(spark, tmp_path):
     (tmp_path / "kafka.csv").write_text("download, 2, 10.50000\nstartup, 2, 3.00000\n")
     (tmp_path / "spark.csv").write_text("download,spark, 4, 12.25000\n")
-    got = sorted(tuple(r) for r in scan_traces(spark, str(tmp_path)).collect())
+    got = sorted((tuple(r) for r in scan_traces(spark, str(tmp_path)).collect()), key=lambda t: (t[0], t[1] or ""))
     assert got == [("download", None, 2, 10.5), ("download", "spark", 4, 12.25), ("startup", None, 2, 3.0)]
