@@ -5,10 +5,9 @@ order" computations. A plain ``Window.partitionBy(key)`` sends every row of a
 key to one task, so a key holding a third of the data becomes a third of the
 job on one core. Here the rows are range-partitioned on ``(key, order)``
 instead: a hot key is cut into many contiguous slices, each slice is scanned
-locally, and a small table of per-slice totals (at most ``partitions + keys``
-rows, since each range partition holds a contiguous key range) stitches the
-slices together. Two shuffles' worth of work becomes one range shuffle plus a
-tiny aggregate.
+locally, and a small table of per-slice totals stitches the slices together
+(sizes below). The work is one range shuffle plus aggregates over that small
+table.
 
 The sliced frame is written once with ``checkpoint()`` (to the shared
 ``spark.checkpoint.dir``) before it is read twice (per-slice totals and the
@@ -67,15 +66,14 @@ def _freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], few_keys: bool,
-                    how: str = "inner") -> DataFrame:
+def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join the (bounded) per-slice table onto the rows by slice and key,
+    broadcast: the big side keeps its slices and is not shuffled."""
     ren = {k: f"_sl_k_{i}" for i, k in enumerate(keys)}
     s = small
     for k, r in ren.items():
         s = s.withColumnRenamed(k, r)
-    s = s.withColumnRenamed(_PID, "_sl_p")
-    if few_keys:
-        s = F.broadcast(s)
+    s = F.broadcast(s.withColumnRenamed(_PID, "_sl_p"))
     cond = big[_PID] == s["_sl_p"]
     for k, r in ren.items():
         cond = cond & big[k].eqNullSafe(s[r])
@@ -105,7 +103,7 @@ def dense_index(df: DataFrame, keys, order, out: str = "idx", *, few_keys: bool
                                             F.count(F.lit(1)).alias("_sl_n"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_sl_base", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-    joined = _null_safe_join(staged, stats.drop("_sl_n"), keys, True)
+    joined = _null_safe_join(staged, stats.drop("_sl_n"), keys)
     return (joined.withColumn(out, (F.col("_sl_base") + F.col(_MID) - F.col("_sl_first") + F.lit(start)).cast("bigint"))
                   .drop(_PID, _MID, "_sl_first", "_sl_base"))
 
@@ -191,7 +189,7 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *,
     # the (partitions - 1) slice boundaries is crossed by at most one key, so
     # this table has fewer rows than there are partitions: always broadcast
     fixes = stats.filter(F.col("_sl_base").isNotNull()).drop("_sl_tot")
-    joined = _null_safe_join(local, fixes, keys, True, "left")
+    joined = _null_safe_join(local, fixes, keys, "left")
     return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0).cast(out_type)) + F.col(local_name))
                               .cast(out_type))
                   .drop(_PID, "_sl_base", local_name))
@@ -262,7 +260,7 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
     # non-zero only for keys continuing from an earlier slice: fewer rows than
     # partitions (see prefix_sum), always broadcast
     fixes = stats.filter((F.col("_sl_base") != 0) | (F.col("_sl_fix") != 0)).select(_PID, *keys, "_sl_fix", "_sl_base")
-    joined = _null_safe_join(local, fixes, keys, True, "left")
+    joined = _null_safe_join(local, fixes, keys, "left")
     timed = (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0)) + F.col("_sl_cum")
                                      + F.coalesce(F.col("_sl_fix"), F.lit(0))).cast("bigint"))
                    .drop(_PID, us, "_sl_start", "_sl_cum", "_sl_fix", "_sl_base"))
