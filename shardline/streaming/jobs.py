@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shardline.sources.topic_log import read_topic
 from shardline.streaming.handlers import batch_events
-from shardline.streaming.runs import batch_sink, run_available, to_event_time
+from shardline.streaming.runs import batch_sink, run_available, to_event_time, to_wall_clock
 
 Handler = Callable[[DataFrame], DataFrame]
 
@@ -155,8 +155,8 @@ def hourly_counts(stream: DataFrame, ts: str, window: str = "1 hour", late: str
     newest event time seen) are dropped (retention on a stream)."""
     ev = to_event_time(stream, ts).withWatermark(ts, late)
     g = ev.groupBy(F.window(ts, window)).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("window.end").cast("timestamp_ntz").alias("window_end"), "n")
+    return g.select(to_wall_clock("window.start").alias("window_start"),
+                    to_wall_clock("window.end").alias("window_end"), "n")
 
 
 def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "1 hour",
@@ -165,8 +165,8 @@ def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "
     the watermark passes the session end (append mode)."""
     ev = to_event_time(stream, ts).withWatermark(ts, late)
     g = ev.groupBy(member, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n_events"))
-    return g.select(member, F.col("session_window.start").cast("timestamp_ntz").alias("session_start"),
-                    F.col("session_window.end").cast("timestamp_ntz").alias("session_end"), "n_events")
+    return g.select(member, to_wall_clock("session_window.start").alias("session_start"),
+                    to_wall_clock("session_window.end").alias("session_end"), "n_events")
 
 
 def distinct_stream(stream: DataFrame, cols: list[str], ts: str, late: str = "1 hour") -> DataFrame:

@@ -14,6 +14,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def batch_sink(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
@@ -80,12 +81,25 @@ def drop_files(df: DataFrame, folder: str) -> None:
     df.write.mode("append").parquet(folder)
 
 
+_EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def epoch_us(ts: str) -> F.Column:
     """Microseconds since 1970 of a ``timestamp_ntz`` (time-zone free)."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`)")
+    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{ts}`)")
 
 
 def to_event_time(df: DataFrame, ts: str) -> DataFrame:
-    """Watermarks need ``timestamp``: cast a ``timestamp_ntz`` column (exact
-    when the session time zone is UTC, see ``session.utc_session``)."""
-    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Watermarks need ``timestamp``: turn a ``timestamp_ntz`` wall-clock time
+    into the instant with the same epoch microseconds, whatever the session
+    time zone (window and session boundaries are epoch-aligned)."""
+    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return df.withColumn(ts, F.timestamp_micros(epoch_us(ts)))
+    return df
+
+
+def to_wall_clock(col) -> F.Column:
+    """Back from an event-time ``timestamp`` to ``timestamp_ntz`` (inverse of
+    :func:`to_event_time`, time-zone free)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.expr(_EPOCH_NTZ))

@@ -182,3 +182,21 @@ def test_window_batches_stay_whole_and_close_by_window(spark):
     # batch 2 (offset 10 alone) closes when event time passes it by the window;
     # shard 1's lone record is still inside its window
     assert got == [(0, 0, 5, 0, 4, "size"), (0, 1, 5, 5, 9, "size"), (0, 2, 1, 10, 10, "window")]
+
+
+def test_event_time_ignores_the_session_zone(spark):
+    """Hourly windows and sessions come out the same under a half-hour-offset
+    session zone, without pinning UTC."""
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "Asia/Kolkata")
+    try:
+        root = shared_path(spark, "t-zone")
+        folder = f"{root}/in"
+        drop_files(_ev(spark, [(1, T0 + dt.timedelta(minutes=10), 1), (2, T0 + dt.timedelta(minutes=50), 1),
+                               (3, T0 + dt.timedelta(hours=5), 1)]), folder)
+        s = jobs.hourly_counts(spark.readStream.schema(SCHEMA).parquet(folder), "ts")
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        got = {(r.window_start, r.window_end, r.n) for r in read_sink(spark, f"{root}/out").collect()}
+    finally:
+        spark.conf.set(key, "UTC")
+    assert got == {(T0, T0 + dt.timedelta(hours=1), 2)}
