@@ -96,55 +96,76 @@ def handle_batches_stream(stream: DataFrame, checkpoint: str, out: str, batch_si
 
 WINDOW_BATCH_SCHEMA = ("partition int, batch long, n_records long, first_offset long, last_offset long, "
                        "offsets array<long>, payloads array<string>, closed_by string")
-_WINDOW_STATE = "offsets array<long>, payloads array<string>, newest_ms long"
+_WINDOW_STATE = "offsets array<long>, payloads array<string>, ms array<long>"
 
 
 def _window_batch_fn(batch_size: int, window_ms: int):
+    import numpy as np
     import pandas as pd
 
-    def emit(key, offsets, payloads, why):
-        order = sorted(range(len(offsets)), key=lambda i: offsets[i])
-        offs = [int(offsets[i]) for i in order]
-        return pd.DataFrame({"partition": [key[0]], "batch": [key[1]], "n_records": [len(offs)],
-                             "first_offset": [offs[0]], "last_offset": [offs[-1]], "offsets": [offs],
-                             "payloads": [[payloads[i] for i in order]], "closed_by": [why]})
+    out_cols = [f.split()[0] for f in WINDOW_BATCH_SCHEMA.split(", ")]
+
+    def emit(shard, buf: pd.DataFrame, batches, why: str) -> pd.DataFrame:
+        rows = []
+        for b in batches:
+            part = buf[buf["b"] == b].sort_values("o")
+            offs = part["o"].tolist()
+            rows.append((shard, int(b), len(offs), offs[0], offs[-1], offs, part["p"].tolist(), why))
+        return pd.DataFrame(rows, columns=out_cols)
 
     def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            offsets, payloads, _ = state.get
-            state.remove()
-            yield emit(key, list(offsets), list(payloads), "window")
-            return
-        offsets, payloads, newest = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists \
-            else ([], [], 0)
+        shard = key[0]
+        if state.exists:
+            o, p, m = state.get
+            parts = [pd.DataFrame({"o": list(o), "p": list(p), "m": list(m)})]
+        else:
+            parts = []
         for pdf in pdfs:
-            offsets += pdf["_sl_offset"].tolist()
-            payloads += pdf["_sl_data"].tolist()
-            newest = max(newest, int(pdf["_sl_ms"].max()))
-        if len(offsets) >= batch_size:
+            parts.append(pd.DataFrame({"o": pdf["_sl_offset"].to_numpy(), "p": pdf["_sl_data"].to_numpy(),
+                                       "m": pdf["_sl_ms"].to_numpy()}))
+        buf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"o": [], "p": [], "m": []})
+        buf["b"] = buf["o"].to_numpy(dtype=np.int64) // batch_size
+        g = buf.groupby("b")
+        counts, newest = g.size(), g["m"].max()
+        full = counts.index[counts >= batch_size]
+        closes = newest + window_ms
+        # a timed-out state: close every open batch whose window has passed
+        due = closes.index[closes <= state.getCurrentWatermarkMs()] if state.hasTimedOut else closes.index[:0]
+        due = due.difference(full)
+        if len(full):
+            yield emit(shard, buf, sorted(full), "size")
+        if len(due):
+            yield emit(shard, buf, sorted(due), "window")
+        rest = buf[~buf["b"].isin(full.union(due))]
+        if len(rest):
+            state.update((rest["o"].astype("int64").tolist(), rest["p"].tolist(), rest["m"].astype("int64").tolist()))
+            state.setTimeoutTimestamp(int(closes.drop(full.union(due)).min()))
+        elif state.exists:
             state.remove()
-            yield emit(key, offsets, payloads, "size")
-        else:
-            state.update((offsets, payloads, newest))
-            state.setTimeoutTimestamp(newest + window_ms)
     return fn
 
 
 def window_batches(stream: DataFrame, batch_size: int, window_seconds: int, shard: str = "partition",
-                   offset: str = "offset", data: str = "value", ts: str = "timestamp") -> DataFrame:
+                   offset: str = "offset", data: str = "value", ts: str = "timestamp",
+                   batches_per_key: int = 64) -> DataFrame:
     """Batches that stay whole across micro-batches (a custom stateful
     operator, ``applyInPandasWithState``): the records of a shard batch are
     buffered until all ``batch_size`` of them arrived, or until the stream's
     event time passes the batch's newest record by ``window_seconds`` (a
-    batching window, closed by the watermark). State is one bounded buffer
-    per open batch. Output: one row per delivered batch, in offset order."""
+    batching window, closed by the watermark).
+
+    State is keyed by (shard, batch // ``batches_per_key``): one call handles
+    up to that many neighbouring batches with pandas, and a key's buffer
+    holds at most ``batches_per_key * batch_size`` records, so a hot shard is
+    still spread over many keys. Output: one row per delivered batch."""
     from pyspark.sql.streaming.state import GroupStateTimeout
+    group = int(batch_size) * int(batches_per_key)
     keyed = (to_event_time(stream, ts)
              .withWatermark(ts, "0 seconds")
-             .select(F.col(shard).alias("partition"), F.expr(f"`{offset}` div {int(batch_size)}").alias("batch"),
+             .select(F.col(shard).alias("partition"), F.expr(f"`{offset}` div {group}").alias("_sl_group"),
                      F.col(offset).alias("_sl_offset"), F.col(data).alias("_sl_data"),
                      F.expr(f"unix_millis(`{ts}`)").alias("_sl_ms"), F.col(ts)))
-    return keyed.groupBy("partition", "batch").applyInPandasWithState(
+    return keyed.groupBy("partition", "_sl_group").applyInPandasWithState(
         _window_batch_fn(int(batch_size), int(window_seconds) * 1000), WINDOW_BATCH_SCHEMA, _WINDOW_STATE,
         "append", GroupStateTimeout.EventTimeTimeout)
 

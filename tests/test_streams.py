@@ -3,6 +3,8 @@ nothing, reader groups resume, latest start, stream = batch."""
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from shardline.session import shared_path, utc_session
@@ -153,7 +155,8 @@ def test_stream_producer_is_exactly_once_on_replay(spark):
     assert all(r.m == r.n - 1 for r in per)
 
 
-def test_window_batches_stay_whole_and_close_by_window(spark):
+@pytest.mark.parametrize("per_key", [1, 64])
+def test_window_batches_stay_whole_and_close_by_window(spark, per_key):
     from shardline.operators.topic import shard_of
     keys = spark.createDataFrame([(k,) for k in "abcdefgh"], "k string").select("k", shard_of("k", 2).alias("s"))
     by_shard = {}
@@ -168,7 +171,7 @@ def test_window_batches_stay_whole_and_close_by_window(spark):
     root = shared_path(spark, "t-wb")
     with utc_session(spark):
         def run():
-            b = jobs.window_batches(read_topic(spark, path, stream=True), 5, 600)
+            b = jobs.window_batches(read_topic(spark, path, stream=True), 5, 600, batches_per_key=per_key)
             run_available(b, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
         write_topic(recs(0, 7, hot), path, "t", 2, order=["timestamp", "id"])      # shard 0 offsets 0-6
         run()
