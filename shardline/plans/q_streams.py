@@ -219,10 +219,12 @@ def q_retention_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "retention")
     folder = f"{root}/in"
-    for drop in _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]:
+    drops = _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]
+    for i, drop in enumerate(drops):
         drop_files(drop, folder)
         counts = jobs.hourly_counts(spark.readStream.schema(ev.schema).parquet(folder), "ts")
-        run_available(counts, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        run_available(counts, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
+                      flush_idle=i == len(drops) - 1)
     return read_sink(spark, f"{root}/out", "window_start timestamp_ntz, window_end timestamp_ntz, n long") \
         .select("window_start", "window_end", "n")
 
@@ -260,10 +262,12 @@ def q_member_sessions_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "sessions")
     folder = f"{root}/in"
-    for drop in _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]:
+    drops = _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]
+    for i, drop in enumerate(drops):
         drop_files(drop, folder)
         s = jobs.member_sessions_stream(spark.readStream.schema(ev.schema).parquet(folder), "user_id", "ts")
-        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
+                      flush_idle=i == len(drops) - 1)
     out = read_sink(spark, f"{root}/out")
     return out.filter(F.col("user_id") >= 0).select("user_id", "session_start", "session_end", "n_events")
 

@@ -33,25 +33,34 @@ def state_partitions(spark: SparkSession) -> int:
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str = "append",
-                  query_name: str | None = None, timeout_s: int = 600, stateful: bool = False) -> None:
+                  query_name: str | None = None, timeout_s: int = 600, stateful: bool = False,
+                  flush_idle: bool = True) -> None:
     """Process everything available now, then return (one or more micro-batches).
 
     ``stateful``: start with :func:`state_partitions` state partitions (the
     started query keeps a copy of the session conf, and the count is then
-    fixed in its checkpoint, so later restarts keep it)."""
+    fixed in its checkpoint, so later restarts keep it).
+    ``flush_idle=False``: no extra micro-batch only to emit what the advanced
+    watermark closed; those results come out with the next arrival instead
+    (a flush policy for runs that more data will follow)."""
     w = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).foreachBatch(sink))
     if query_name:
         w = w.queryName(query_name)
     spark = stream.sparkSession
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
+    overrides = {}
     if stateful:
-        spark.conf.set(key, str(state_partitions(spark)))
+        overrides["spark.sql.shuffle.partitions"] = str(state_partitions(spark))
+    if not flush_idle:
+        overrides["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    old = {k: spark.conf.get(k) for k in overrides}
+    for k, v in overrides.items():
+        spark.conf.set(k, v)
     try:
         q = w.start()
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
     try:
         finished = q.awaitTermination(timeout_s)
     finally:
