@@ -303,9 +303,11 @@ def q_distinct_members_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "dedupe")
     folder = f"{root}/in"
-    for drop in _time_drops(ev, "ts", N_DROPS):
+    drops = _time_drops(ev, "ts", N_DROPS)
+    for i, drop in enumerate(drops):
         drop_files(drop, folder)
         stream = spark.readStream.schema(ev.schema).parquet(folder)
         d = jobs.distinct_stream(stream, ["user_id", "event_type"], "ts", late="30 days")
-        run_available(d.select("user_id", "event_type"), f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        run_available(d.select("user_id", "event_type"), f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
+                      flush_idle=i == len(drops) - 1)
     return read_sink(spark, f"{root}/out").select("user_id", "event_type")
