@@ -148,10 +148,12 @@ def q_handle_batches_window(spark, sf_dir):
     from shardline.functions.scalars import decode_payload
     path = shared_path(spark, "topic")
     root = shared_path(spark, "wbatch")
-    for part in _time_drops(topic_records(spark, sf_dir), "timestamp", 2):
+    parts = _time_drops(topic_records(spark, sf_dir), "timestamp", 2)
+    for i, part in enumerate(parts):
         write_topic(part, path, "events", N_SHARDS, order=["timestamp", "event_id"])
         batches = jobs.window_batches(read_topic(spark, path, stream=True), WINDOW_BATCH, 7 * 24 * 3600)
-        run_available(batches, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        run_available(batches, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
+                      flush_idle=i == len(parts) - 1)
     out = read_sink(spark, f"{root}/out", jobs.WINDOW_BATCH_SCHEMA)
     sizes = F.transform("payloads", lambda v: F.octet_length(decode_payload(v)))
     return out.select("partition", "batch", "n_records", "first_offset", "last_offset",
