@@ -203,3 +203,22 @@ def test_event_time_ignores_the_session_zone(spark):
     finally:
         spark.conf.set(key, "UTC")
     assert got == {(T0, T0 + dt.timedelta(hours=1), 2)}
+
+
+def test_hourly_counts_stream_equals_batch(spark):
+    from pyspark.sql import functions as F
+    from shardline.streaming.runs import to_event_time, to_wall_clock
+    rows = [(i, T0 + dt.timedelta(minutes=7 * i), i % 3) for i in range(60)]
+    root = shared_path(spark, "t-hourly")
+    folder = f"{root}/in"
+    drop_files(_ev(spark, rows[:30]), folder)
+    for part in (rows[30:], [(-1, T0 + dt.timedelta(hours=20), -1)]):
+        s = jobs.hourly_counts(spark.readStream.schema(SCHEMA).parquet(folder), "ts")
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+        drop_files(_ev(spark, part), folder)
+    s = jobs.hourly_counts(spark.readStream.schema(SCHEMA).parquet(folder), "ts")
+    run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+    stream = {(r.window_start, r.n) for r in read_sink(spark, f"{root}/out").collect()}
+    static = to_event_time(_ev(spark, rows), "ts").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    batch = {(r.s, r.n) for r in static.select(to_wall_clock("window.start").alias("s"), "n").collect()}
+    assert stream == batch and sum(n for _, n in batch) == 60
