@@ -103,6 +103,15 @@ def format_duration(minutes) -> Column:
     return F.concat(hours.cast("string"), F.lit(":"), rest.cast("string"), F.lit(":00"))
 
 
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a ``timestamp_ntz`` wall-clock
+    time, independent of the session time zone (read as UTC; exact also for
+    times that fall into a daylight-saving gap of the session zone)."""
+    c = _c(ts)
+    return F.unix_micros(F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.minute(c),
+                                          F.date_part(F.lit("SECOND"), c), F.lit("UTC")))
+
+
 # Run-stamp layouts.
 RUN_STAMP = "yyyyMMdd-HHmmss"
 RUN_STAMP_UNDERSCORE = "yyyyMMdd_HHmmss"

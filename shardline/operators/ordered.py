@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardline.functions.scalars import epoch_micros
 from shardline.session import checkpoint_root
 
 _PID, _MID = "_sl_pid", "_sl_mid"
@@ -239,8 +240,8 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
     # a row without a time belongs to no session
     untimed = df.filter(F.col(ts).isNull()).withColumn(out, F.lit(None).cast("bigint"))
     df = df.filter(F.col(ts).isNotNull())
-    src = df.withColumn(us, F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', "
-                                   f"cast(`{ts}` as timestamp_ntz))"))
+    t = df.schema[ts].dataType
+    src = df.withColumn(us, epoch_micros(ts) if isinstance(t, T.TimestampNTZType) else F.unix_micros(F.col(ts)))
     staged = _slices(src, keys, order, num_partitions)
     schema = T.StructType(staged.schema.fields + [T.StructField("_sl_start", T.BooleanType(), False),
                                                   T.StructField("_sl_cum", T.LongType(), False)])

@@ -31,9 +31,9 @@ def _time_drops(df, ts: str, k: int):
     mn, mx = df.agg(F.min(us), F.max(us)).first()
     if mn is None:  # no rows: every drop is empty
         return [df] * k
-    idx = F.expr(f"((timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`) - {int(mn)}) * {k}) "
-                 f"div ({int(mx) - int(mn) + 1})")
-    return [df.filter(idx == i) for i in range(k)]
+    idx = F.expr(f"((`_sl_us` - {int(mn)}) * {k}) div {int(mx) - int(mn) + 1}")
+    tagged = df.withColumn("_sl_us", us)
+    return [tagged.filter(idx == i).drop("_sl_us") for i in range(k)]
 
 
 def _drop_sql(k: int, ts: str = "ts", table: str = "events") -> str:

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardline.functions.scalars import epoch_micros
+
 
 def batch_sink(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
     """A ``foreachBatch`` function writing each micro-batch to ``out/batch_id=<n>``."""
@@ -95,7 +97,7 @@ _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 def epoch_us(ts: str) -> F.Column:
     """Microseconds since 1970 of a ``timestamp_ntz`` (time-zone free)."""
-    return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH_NTZ}, `{ts}`)")
+    return epoch_micros(ts)
 
 
 def to_event_time(df: DataFrame, ts: str) -> DataFrame:

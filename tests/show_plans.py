@@ -36,6 +36,18 @@ def main() -> None:
             q[name](spark, sf).explain("simple")
         text = "\n".join(line[:240] for line in buf.getvalue().strip().splitlines())
         out += [f"## `{name}`", "", why + ".", "", "```", text, "```", ""]
+    # a streaming plan: hourly counts over a file stream of events
+    from shardline.sources.tables import load
+    from shardline.streaming import jobs
+    ev = load(spark, sf, "events")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{sf}/events.parquet")
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        jobs.hourly_counts(stream, "ts").explain("simple")
+    text = "\n".join(line[:240] for line in buf.getvalue().strip().splitlines())
+    out += ["## `hourly_counts` (stream)", "",
+            "retention stream: partial count per window before the state store exchange, watermark-bounded state.",
+            "", "```", text, "```", ""]
     path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
     with open(path, "w") as f:
         f.write("\n".join(out))

@@ -236,3 +236,17 @@ def test_trace_files_mixed_layouts(spark, tmp_path):
     (tmp_path / "spark.csv").write_text("download,spark, 4, 12.25000\n")
     got = sorted((tuple(r) for r in scan_traces(spark, str(tmp_path)).collect()), key=lambda t: (t[0], t[1] or ""))
     assert got == [("download", None, 2, 10.5), ("download", "spark", 4, 12.25), ("startup", None, 2, 3.0)]
+
+
+def test_epoch_micros_ignores_session_zone_and_dst_gaps(spark):
+    import datetime as _dt
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "America/New_York")
+    try:
+        df = spark.sql("SELECT TIMESTAMP_NTZ'2024-03-10 02:30:00' AS a, TIMESTAMP_NTZ'2024-07-01 12:34:56.123456' AS b")
+        r = df.select(sc.epoch_micros("a").alias("a"), sc.epoch_micros("b").alias("b")).first()
+    finally:
+        spark.conf.set(key, "UTC")
+    epoch = _dt.datetime(1970, 1, 1)
+    assert r.a == (_dt.datetime(2024, 3, 10, 2, 30) - epoch) // _dt.timedelta(microseconds=1)
+    assert r.b == (_dt.datetime(2024, 7, 1, 12, 34, 56, 123456) - epoch) // _dt.timedelta(microseconds=1)
