@@ -77,10 +77,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 @contextlib.contextmanager
 def utc_session(spark: SparkSession):
-    """Run a block with the session time zone pinned to UTC.
-
-    ``timestamp_ntz`` columns are cast to ``timestamp`` for watermarks; in UTC
-    the cast is exact in both directions (no DST gaps)."""
+    """Run a block with the session time zone pinned to UTC (for code that
+    renders or parses zoned timestamps; the library's own event-time
+    conversions do not depend on the session zone)."""
     key = "spark.sql.session.timeZone"
     old = spark.conf.get(key)
     spark.conf.set(key, "UTC")
