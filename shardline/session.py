@@ -9,8 +9,10 @@ tests) do we create one.
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -64,7 +66,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
         if conf_dir:
             spark.sparkContext.setCheckpointDir(conf_dir)
-        else:  # local runs and tests only
+        else:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shardline-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -75,6 +79,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application,
+    so that they need no installed copy and no particular working folder."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shardline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="shardline-modules-"), "shardline_modules.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._shardline_shipped = True
+
+
 @contextlib.contextmanager
 def utc_session(spark: SparkSession):
     """Run a block with the session time zone pinned to UTC (for code that
