@@ -49,6 +49,12 @@ def ascii_lower(text: Column) -> Column:
         F.translate(text, UPPER, LOWER))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often and however
+    deep inside lambdas it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def text_key(text: Column) -> Column:
     """A hash that tells rows apart which share a doc_id but not their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

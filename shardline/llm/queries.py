@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardline.llm import line_dedup, packing, tokens, url_filter
+from shardline.llm import (decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, pii, quality,
+                           tokens, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 "verdict", "p_block")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                              _table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rate(docs, _table(spark, sf_dir, "labels")).select(
+        F.col("row.doc_id").alias("doc_id"), "expected_grade", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -26,9 +38,27 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_packing, op5_line_dedup, op7_token_counts)}
-ORACLE = {"op5_line_dedup": line_dedup.ORACLE}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_decontamination, op3_quality_classifier, op4_packing, op5_line_dedup, op6_language_id,
+    op7_token_counts, op8_ngram_join, op9_pii, op10_embedding_dedup)}
+ORACLE = {"op2_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
