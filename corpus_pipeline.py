@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are good with probability 0.5 or more stay."""
+    """Documents that are good with probability ``quality.LEAST`` or more stay."""
     return quality.select_good(docs, _table(spark, sf_dir, "labels"))
 
 

@@ -47,6 +47,7 @@ WORDS, PERCENT = 5, 80
 SLOTS, CHUNK = 1 << 18, 4096
 MARKS = 1 << 23  # bits of the filter that spares most texts the third reading
 BLOCK, ROWS = 256, 128
+HOT_BASE = 1000  # a shingle is hot from this count on, plus eight times the sketch's mean
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F], np.uint64)
 _MU = 0.0085  # the weight of the DivideSkip paper's rule for the number of long lists
@@ -308,7 +309,7 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = staged(profiles.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
                      .agg(F.min("id").alias("rep")), "join-classes")
     counts = _sketch(everything)
-    hot_from = 8 * (int(counts.sum()) // SLOTS) + 1000
+    hot_from = 8 * (int(counts.sum()) // SLOTS) + HOT_BASE
     sketch = spark.sparkContext.broadcast((counts, hot_from))  # SLOTS numbers
 
     posted = staged(_posted(docs.filter("id IS NOT NULL"), sketch, words, percent), "join-posted")

@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from shardline.session import ship_package
 
-BITS, MAX_ROWS, STEPS, GRADES = 18, 16_384, 120, 3
+BITS, MAX_ROWS, STEPS, GRADES, SHAPE = 18, 16_384, 150, 3, 6
+LEAST = 0.35  # documents of at least this probability of the highest grade are kept
+SHRINK = 5e-4  # of the weights, beside the mean log-likelihood
 REMEMBER, ROWS = 250_000, 128
 _SCALE = 1 << 20
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
@@ -73,7 +75,8 @@ class Features:
         for name, n in (("symbols", symbols), ("capitals", capitals), ("again", again)):
             share = n / total
             level = 0 if not n else 1 + int(min(9, 10 * share))
-            slots.update(self._slot(f"s:{name}:{k}") for k in range(level + 1))
+            # a shape is worth several words: it has as many features
+            slots.update(self._slot(f"s:{name}:{k}:{i}") for k in range(level + 1) for i in range(SHAPE))
         slots.add(self._slot(f"s:size:{len(raw).bit_length()}"))
         return np.array(sorted(slots), np.int32)
 
@@ -92,7 +95,7 @@ class OrdinalModel:
 
 
 def fit(feats: list[np.ndarray], grades: np.ndarray, bits: int = BITS, steps: int = STEPS,
-        shrink: float = 2e-5) -> OrdinalModel | None:
+        shrink: float = SHRINK) -> OrdinalModel | None:
     """Maximum likelihood by full-batch AdaGrad. Thresholds stay in order: the first
     is free, each further one is the last plus an exponential."""
     grades = np.asarray(grades, int)
@@ -181,6 +184,6 @@ def rate(df: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: st
     return df.select(F.struct("*").alias("row"), scored(F.col(text_col)).alias("s")).select("row", "s.*")
 
 
-def select_good(df: DataFrame, ratings: DataFrame, least: float = 0.5, **options) -> DataFrame:
+def select_good(df: DataFrame, ratings: DataFrame, least: float = LEAST, **options) -> DataFrame:
     """The rows of ``df`` that are good with probability ``least`` or more."""
     return rate(df, ratings, **options).filter(F.col("p_good") >= least).select("row.*")

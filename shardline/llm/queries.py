@@ -27,7 +27,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.rate(docs, _table(spark, sf_dir, "labels")).select(
-        F.col("row.doc_id").alias("doc_id"), "expected_grade", "p_good", (F.col("p_good") >= 0.5).alias("kept"))
+        F.col("row.doc_id").alias("doc_id"), "expected_grade", "p_good", (F.col("p_good") >= quality.LEAST).alias("kept"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
