@@ -6,21 +6,26 @@ doc_id it reaches by links; it never lists the pairs of a group.
 
 1. Equal sets become one class (hash of the set), so exact copies cost nothing
    later on.
-2. A sketch of fixed size counts all shingles of the corpus. It orders shingles
-   from rare to frequent. Of a set of n shingles, the first n - ceil(0.8 n) + 1 in
-   that order are posted: two linked sets share a posted shingle (prefix filter).
-3. First search: in the inverted list of each posted shingle, every class is paired
+2. A set of n shingles needs a partner with at least ceil(0.8 n) of them. Shingles
+   whose hash lies in the lowest ``LOW`` of the range are counted over the whole
+   corpus; a set of which more than n - ceil(0.8 n) occur in no other class can't have
+   a partner and is out. That leaves the suspects, whose sets are read again and
+   peeled the same way with all their shingles.
+3. Shingles of the rest are ordered from rare to frequent. The first
+   n - ceil(0.8 n) + 1 of a set are posted: two linked sets share a posted shingle
+   (prefix filter).
+4. First search: in the inverted list of each posted shingle, every class is paired
    with the list's least one, the pivot. For each pivot, a T-occurrence search over
    the classes paired with it finds the links; components of these links follow.
-4. Second search: lists that still hold several components are searched in full,
+5. Second search: lists that still hold several components are searched in full,
    every member against all members of other components, in pairs of blocks.
 
 A search builds the inverted lists of its block's sets. For a query set with
 required overlap T, DivideSkip puts the L longest lists aside, heap-merges the
 short ones, keeps classes found T - L times or more, and binary-probes the long
-lists for these only; the exact overlap then decides. Lists of shingles that the
-sketch calls hot get their pivot from a small pre-aggregated table and are not
-shuffled in the first search.
+lists for these only; the exact overlap then decides. Counts and pivots are summed
+up before they meet, and the joins with them read plain scans, so that a shingle of a
+third of all documents can be split over tasks.
 
 Defined results: null or blank texts have an empty set and are their own component;
 rows with a null doc_id have a null component and link with nothing; rows that
@@ -36,18 +41,17 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardline.llm.common import drop_staged, staged
-from shardline.llm.components import connected, local_roots
+from shardline.llm.components import connected
 from shardline.session import ship_package
 
 WORDS, PERCENT = 5, 80
-SLOTS, CHUNK = 1 << 18, 4096
+LOW = 0.3  # share of the hash range that is counted over the whole corpus
 MARKS = 1 << 23  # bits of the filter that spares most texts the third reading
 BLOCK, ROWS = 256, 128
-HOT_BASE = 1000  # a shingle is hot from this count on, plus eight times the sketch's mean
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F], np.uint64)
 _MU = 0.0085  # the weight of the DivideSkip paper's rule for the number of long lists
@@ -81,14 +85,6 @@ def signature(s: np.ndarray) -> tuple[int, int]:
                 int(np.bitwise_xor.reduce((s ^ (s >> np.uint64(31))) * _ODD[3]).astype(np.int64)))
 
 
-def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
-
-
-def enough(overlap: int, n: int, m: int, percent: int = PERCENT) -> bool:
-    return 100 * overlap >= percent * (n + m - overlap)
-
-
 class BlockIndex:
     """Inverted lists over the sets of one block."""
 
@@ -130,83 +126,71 @@ class BlockIndex:
         return member[100 * overlap >= percent * union]
 
 
+def required(n: Column, percent: int) -> Column:
+    """Shingles that a partner has to share at least."""
+    return F.ceil(n * percent / 100).cast("long")
+
+
 def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
-    """One pass over the texts: (id, n, s1, s2) of each, and per task the sketch's
-    counts in chunks."""
+    """One pass over the texts: (id, n, s1, s2, low) with the shingles of low hash."""
+    bound = np.uint64(int(LOW * 2 ** 64))
+
     def profile(batches):
-        counts, pending, held = np.zeros(SLOTS, np.int64), [], 0
-        names = ["id", "n", "s1", "s2", "chunk", "counts"]
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 found = [shingles(t or b"", words) for t in batch.column(1).slice(at, ROWS).to_pylist()]
                 sigs = [signature(s) if len(s) else (0, 0) for s in found]
-                pending += [(s & np.uint64(SLOTS - 1)).astype(np.int64) for s in found]
-                held += sum(map(len, found))
-                if held > SLOTS:
-                    counts += np.bincount(np.concatenate(pending), minlength=SLOTS)
-                    pending, held = [], 0
+                low = [s[:np.searchsorted(s, bound)].astype(np.int64) for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, ROWS), pa.array([len(s) for s in found], pa.int64()),
                      pa.array([x for x, _ in sigs], pa.int64()), pa.array([x for _, x in sigs], pa.int64()),
-                     pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], names)
-        if pending:
-            counts += np.bincount(np.concatenate(pending).astype(np.int64), minlength=SLOTS)
-        parts = [p.astype("<i8").tobytes() for p in counts.reshape(-1, CHUNK)]
-        k = len(parts)
-        zero = pa.array([0] * k, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, id_type), pa.array([-1] * k, pa.int64()), zero, zero,
-             pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names)
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(docs.schema["id"].dataType)
-    return docs.mapInArrow(profile, f"id {id_kind}, n long, s1 long, s2 long, chunk int, counts binary")
-
-
-def _sketch(profiles: DataFrame) -> np.ndarray:
-    """The counts of all tasks added up in two levels; the result has SLOTS numbers."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK, np.int64)
-        for c in pdf["counts"]:
-            total += np.frombuffer(c, "<i8")
-        return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total.tobytes()]})
-
-    parts = profiles.filter("n < 0").select("chunk", "counts", (F.rand(7) * 256).cast("int").alias("part"))
-    first = parts.groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary")
-    rows = first.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
-    out = np.zeros(SLOTS, np.int64)
-    for r in rows:
-        out[r.chunk * CHUNK:(r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<i8")
+                     pa.array(low, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "low"])
+
+    return docs.mapInArrow(profile, f"id {id_kind}, n long, s1 long, s2 long, low array<long>")
+
+
+def _shared(postings: DataFrame, owner: str, name: str) -> DataFrame:
+    """(token, n) of the tokens that two owners or more have; counts are upper bounds
+    where an owner posts a token twice."""
+    return staged(postings.groupBy("token").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"),
+                                                F.count("*").alias("df"))
+                  .filter("lo <> hi").select("token", "df", F.col("lo").alias("pivot")), name)
+
+
+def _suspects(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(s1, rep) of the classes that may have a partner by their low shingles."""
+    low = profiles.filter("n > 0 AND id IS NOT NULL").select("s1", F.explode("low").alias("token"))
+    shared = _shared(low, "s1", "join-low")
+    found = (low.join(shared.select("token"), "token").distinct().groupBy("s1").agg(F.count("*").alias("k")))
+    found = staged(found, "join-low-found")
+    counted = classes.join(found, "s1", "left")
+    out = staged(counted.filter(F.col("low_n") - F.coalesce("k", F.lit(0)) <= F.col("n") - required(F.col("n"), percent))
+                 .select("s1", "rep"), "join-suspects")
+    drop_staged(shared, found)
     return out
 
 
-def _posted(docs: DataFrame, sketch, words: int, percent: int) -> DataFrame:
-    """(s1, tokens, hot) with the posted shingles of each set, rare ones first; a
-    task posts equal sets once."""
-    def post(batches):
-        counts, hot_from = sketch.value
-        seen = set()
-        for batch in batches:
-            one, tokens, hot = [], [], []
-            for t in _texts(batch.column(1)):
-                s = shingles(t or b"", words)
-                if len(s) and (sig := signature(s)) not in seen:
-                    seen.add(sig)
-                    freq = counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
-                    order = np.lexsort((s, freq))[:prefix_size(len(s), percent)]
-                    one.append(sig[0])
-                    tokens.append(s[order].astype(np.int64))
-                    hot.append(int((freq[order] < hot_from).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(hot, pa.int32())],
-                ["s1", "tokens", "cold"])
+def _peeled(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, n, found) of the sets enough of whose shingles occur in other sets;
+    ``found`` has (df, token) of these."""
+    tokens = sets.select("rep", "n", F.explode("grams").alias("token"))
+    shared = _shared(tokens, "rep", "join-shared")
+    return (tokens.join(shared, "token").groupBy("rep", "n")
+            .agg(F.collect_list(F.struct("df", "token")).alias("found"))
+            .filter(F.size("found") >= required(F.col("n"), percent)))
+
 
-    return docs.mapInArrow(post, "s1 long, tokens array<long>, cold int")
+def _posted(peeled: DataFrame, percent: int) -> DataFrame:
+    """(rep, token) of the posted shingles: of the n - required + 1 rarest ones those
+    that another set has as well."""
+    alone = F.col("n") - F.size("found")
+    size = (F.col("n") - required(F.col("n"), percent) + 1 - alone).cast("int")
+    return peeled.select("rep", F.explode(F.slice(F.array_sort("found"), F.lit(1), size)).alias("x")).select(
+        "rep", F.col("x.token").alias("token"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(s1, rep, n, grams) for the representatives in ``wanted`` (s1, rep). A filter
+    """(rep, n, grams) for the representatives in ``wanted`` (s1, rep). A filter
     of MARKS bits over their ids spares the other texts; the join is exact."""
     slot_of = lambda c: (F.pmod(F.xxhash64(c), F.lit(MARKS)) + 1).cast("long").alias("slot")
     marks = np.zeros(MARKS // 8, np.uint8)
@@ -226,33 +210,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for i, t in zip(chosen.column(0).to_pylist(), _texts(chosen.column(1))):
                 s = shingles(t or b"", words)
                 if len(s):
-                    ids.append(i), one.append(signature(s)[0]), grams.append(s.tobytes())
+                    ids.append(i), one.append(signature(s)[0]), grams.append(s.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, chosen.schema.field(0).type), pa.array(one, pa.int64()), pa.array(grams, pa.binary())],
+                [pa.array(ids, chosen.schema.field(0).type), pa.array(one, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
                 ["rep", "s1", "grams"])
 
     kind = docs.schema["id"].dataType.simpleString()
     built = docs.filter("id IS NOT NULL").select("id", "text", slot_of("id")).mapInArrow(
-        build, f"rep {kind}, s1 long, grams binary")
-    return built.join(wanted, ["s1", "rep"], "left_semi").dropDuplicates(["s1", "rep"])
+        build, f"rep {kind}, s1 long, grams array<long>")
+    return (built.join(wanted, ["s1", "rep"], "left_semi").dropDuplicates(["s1", "rep"])
+            .select("rep", F.size("grams").cast("long").alias("n"), "grams"))
 
 
 def _pivot_links(pairs: DataFrame, sets: DataFrame, id_kind: str, percent: int) -> DataFrame:
     """Links (a, b) between each pivot and the classes paired with it."""
     sizes = staged(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "join-pivots")
-    member = (pairs.join(sizes, "pivot").join(sets, "s1")
-              .select("pivot", F.pmod(F.xxhash64("s1"), F.col("blocks")).cast("int").alias("block"),
+    member = (pairs.join(sizes, "pivot").join(sets, "rep")
+              .select("pivot", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
                       F.lit(0).alias("is_query"), "rep", "grams"))
-    query = (sizes.join(sets, F.col("pivot") == F.col("s1"))
+    query = (sizes.join(sets, F.col("pivot") == F.col("rep"))
              .select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                      F.lit(1).alias("is_query"), "rep", "grams"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asked, rest = pdf[pdf["is_query"] == 1], pdf[pdf["is_query"] == 0]
-        index = BlockIndex([np.frombuffer(g, np.uint64) for g in rest["grams"]])
+        index = BlockIndex(list(rest["grams"]))
         ids, a, b = rest["rep"].to_numpy(), [], []
         for rep, grams in zip(asked["rep"], asked["grams"]):
-            for k in index.search(np.frombuffer(grams, np.uint64), percent):
+            for k in index.search(grams, percent):
                 a.append(rep), b.append(ids[k])
         return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
@@ -263,9 +248,8 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, id_kind: str, percent: int)
 def _rest_links(lists: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str, percent: int) -> DataFrame:
     """Links between different components inside one list, all of them up to
     connectivity. Lists with the same members are searched once."""
-    node = staged(sets.select("s1", "rep").join(comp, F.col("rep") == F.col("node"), "left")
-                  .select("s1", "rep", F.coalesce("component", "rep").alias("comp")), "join-nodes")
-    known = lists.join(node, "s1").select("token", "rep", "comp")
+    known = (lists.join(comp, F.col("rep") == F.col("node"), "left")
+             .select("token", "rep", F.coalesce("component", "rep").alias("comp")))
     stats = known.groupBy("token").agg(
         F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sig"), F.min("rep").alias("least"))
@@ -283,7 +267,7 @@ def _rest_links(lists: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str
         group = pd.factorize(pdf["comp"])[0]
         a, b = [], []
         if group.max(initial=0) > 0:
-            grams = [np.frombuffer(g, np.uint64) for g in pdf["grams"]]
+            grams = list(pdf["grams"])
             index, ids = BlockIndex(grams), pdf["rep"].to_numpy()
             for q, s in enumerate(grams):
                 hit = index.search(s, percent)
@@ -304,44 +288,30 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ship_package(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_kind = docs.schema["id"].dataType.simpleString()
-    everything = staged(_profiles(docs, id_kind, words), "join-profiles")
-    profiles = everything.filter("n >= 0").select("id", "n", "s1", "s2")
+    profiles = staged(_profiles(docs, id_kind, words), "join-profiles")
     classes = staged(profiles.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
-                     .agg(F.min("id").alias("rep")), "join-classes")
-    counts = _sketch(everything)
-    hot_from = 8 * (int(counts.sum()) // SLOTS) + HOT_BASE
-    sketch = spark.sparkContext.broadcast((counts, hot_from))  # SLOTS numbers
-
-    posted = staged(_posted(docs.filter("id IS NOT NULL"), sketch, words, percent), "join-posted")
-    cold = posted.select("s1", F.explode(F.slice("tokens", F.lit(1), F.col("cold"))).alias("token"))
-    hot = (posted.filter(F.size("tokens") > F.col("cold"))
-           .select("s1", F.explode(F.expr("slice(tokens, cold + 1, size(tokens))")).alias("token")))
-    # a list's members; a list that the sketch calls cold has no more of them than hot_from
-    at = Window.partitionBy("token")
-    listed = cold.select("s1", "token", F.min("s1").over(at).alias("pivot"), F.max("s1").over(at).alias("last"))
-    hot_pivots = F.broadcast(  # no more hot shingles than postings / hot_from, which is below SLOTS / 8
-        staged(hot.groupBy("token").agg(F.min("s1").alias("pivot"), F.max("s1").alias("last"))
-               .filter("pivot <> last"), "join-hot"))
-    lists = staged(listed.filter("pivot <> last").unionByName(hot.join(hot_pivots, "token").select(listed.columns))
-                   .select("token", "s1", "pivot"), "join-lists")
-    drop_staged(posted)
-    pairs = staged(lists.filter("s1 <> pivot").select("s1", "pivot").distinct(), "join-pairs")
-    nodes = pairs.select("s1").unionByName(pairs.select(F.col("pivot").alias("s1"))).distinct()
-    wanted = staged(classes.join(nodes, "s1", "left_semi").select("s1", "rep"), "join-wanted")
-    sets = staged(_sets(docs, wanted, words), "join-sets")
+                     .agg(F.min("id").alias("rep"), F.max(F.size("low")).alias("low_n")), "join-classes")
+    wanted = _suspects(profiles, classes, percent)
+    suspects = staged(_sets(docs, wanted, words), "join-suspect-sets")
+    sets = staged(suspects.join(_peeled(suspects, percent).select("rep"), "rep", "left_semi"), "join-sets")
+    drop_staged(wanted, suspects)
+    posted = staged(_posted(_peeled(sets, percent), percent), "join-posted")
+    pivots = _shared(posted, "rep", "join-list-pivots")
+    lists = staged(posted.join(pivots, "token").select("token", "rep", "pivot"), "join-lists")
+    pairs = staged(lists.filter("rep <> pivot").select("rep", "pivot").distinct(), "join-pairs")
 
     first = _pivot_links(pairs, sets, id_kind, percent)
     comp = staged(connected(first), "join-comp")
-    more = _rest_links(lists.select("token", "s1").distinct(), sets, comp, id_kind, percent)
+    more = _rest_links(lists.select("token", "rep"), sets, comp, id_kind, percent)
     # the components found so far stand for the first links
     whole = connected(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     result = staged(
         classes.join(whole, F.col("rep") == F.col("node"), "left")
         .select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"),
                 F.coalesce("component", "rep").alias("component")), "join-result")
-    drop_staged(classes, lists, pairs, wanted, sets, first, more)
+    drop_staged(classes, posted, pivots, lists, pairs, sets, first, more)
     # both sides are plain scans: the rows of one hot class can be split at run time
-    return (profiles.join(result, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1"))
+    return (profiles.drop("low").join(result, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1"))
                           & (F.col("s2") == F.col("c2")), "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
