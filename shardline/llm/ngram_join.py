@@ -105,8 +105,9 @@ class BlockIndex:
         at = at[np.argsort((self.ends - self.starts)[at], kind="stable")]
         return [self.owner[self.starts[k]:self.ends[k]] for k in at]
 
-    def search(self, query: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-        """Members whose overlap with the query is enough."""
+    def search(self, query: np.ndarray, percent: int = PERCENT, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Members whose overlap with the query is enough; of those ``wanted``
+        (boolean per member), if given."""
         need = (percent * len(query) + 99) // 100  # no partner does with less
         lists = self.lists(query)
         if not need or len(lists) < need:
@@ -115,7 +116,7 @@ class BlockIndex:
         aside = min(need - 1, int(need / (_MU * np.log2(longest + 1) + 1)))
         short, long_lists = lists[:len(lists) - aside], lists[len(lists) - aside:]
         counts = {k: sum(1 for _ in same) for k, same in groupby(heapq.merge(*(x.tolist() for x in short)))}
-        kept = [(k, n) for k, n in counts.items() if n >= need - aside]
+        kept = [(k, n) for k, n in counts.items() if n >= need - aside and (wanted is None or wanted[k])]
         if not kept:
             return np.empty(0, int)
         member, overlap = np.array(kept, int).T
@@ -149,12 +150,12 @@ def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
     return docs.mapInArrow(profile, f"id {id_kind}, n long, s1 long, s2 long, low array<long>")
 
 
-def _shared(postings: DataFrame, owner: str, name: str) -> DataFrame:
-    """(token, n) of the tokens that two owners or more have; counts are upper bounds
-    where an owner posts a token twice."""
-    return staged(postings.groupBy("token").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"),
-                                                F.count("*").alias("df"))
-                  .filter("lo <> hi").select("token", "df", F.col("lo").alias("pivot")), name)
+def _shared(postings: DataFrame, owner: str, name: str, keys: tuple = ("token",)) -> DataFrame:
+    """(keys, df, pivot) of the tokens that two owners or more have, with their least
+    owner; df is an upper bound where an owner posts a token twice."""
+    return staged(postings.groupBy(*keys).agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"),
+                                              F.count("*").alias("df"))
+                  .filter("lo <> hi").select(*keys, "df", F.col("lo").alias("pivot")), name)
 
 
 def _suspects(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -181,12 +182,15 @@ def _peeled(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _posted(peeled: DataFrame, percent: int) -> DataFrame:
-    """(rep, token) of the posted shingles: of the n - required + 1 rarest ones those
-    that another set has as well."""
+    """(rep, token, band) of the posted shingles: of the n - required + 1 rarest ones
+    those that another set has as well. Partners differ in size by 100 / percent at most,
+    so sizes fall into bands of that ratio, and each set is posted in its own band and
+    the next: partners meet in one of them, sets of other sizes don't."""
     alone = F.col("n") - F.size("found")
     size = (F.col("n") - required(F.col("n"), percent) + 1 - alone).cast("int")
-    return peeled.select("rep", F.explode(F.slice(F.array_sort("found"), F.lit(1), size)).alias("x")).select(
-        "rep", F.col("x.token").alias("token"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    return (peeled.select("rep", band.alias("b"), F.explode(F.slice(F.array_sort("found"), F.lit(1), size)).alias("x"))
+            .select("rep", F.col("x.token").alias("token"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("band")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -249,18 +253,19 @@ def _rest_links(lists: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str
     """Links between different components inside one list, all of them up to
     connectivity. Lists with the same members are searched once."""
     known = (lists.join(comp, F.col("rep") == F.col("node"), "left")
-             .select("token", "rep", F.coalesce("component", "rep").alias("comp")))
-    stats = known.groupBy("token").agg(
+             .select("token", "band", "rep", F.coalesce("component", "rep").alias("comp")))
+    stats = known.groupBy("token", "band").agg(
         F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sig"), F.min("rep").alias("least"))
-    open_lists = (stats.filter("m > 2 AND lo <> hi").groupBy("m", "sig", "least").agg(F.min("token").alias("token"))
-                  .select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    open_lists = (stats.filter("m > 2 AND lo <> hi").groupBy("m", "sig", "least").agg(F.min(F.struct("token", "band")).alias("k"))
+                  .select("k.token", "k.band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
     open_lists = staged(open_lists, "join-open")
-    placed = (known.join(open_lists, "token")
+    placed = (known.join(open_lists, ["token", "band"])
               .withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .join(sets.select("rep", "grams"), "rep")
-              .select("token", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "rep", "comp", "grams"))
+              .select("token", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "rep", "comp",
+                      "grams"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
@@ -270,15 +275,17 @@ def _rest_links(lists: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str
             grams = list(pdf["grams"])
             index, ids = BlockIndex(grams), pdf["rep"].to_numpy()
             for q, s in enumerate(grams):
-                hit = index.search(s, percent)
-                for k in hit[(group[hit] != group[q]) & (hit < q)]:
+                sized = (100 * index.sizes >= percent * len(s)) & (100 * len(s) >= percent * index.sizes)
+                other = (group != group[q]) & sized
+                other[q:] = False
+                for k in index.search(s, percent, other) if other.any() else ():
                     a.append(ids[q]), b.append(ids[k])
                     group[group == group[q]] = group[k]
-                    if group.max() == group.min():
+                    if (group == group[0]).all():
                         return pd.DataFrame({"a": a, "b": b})
         return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
-    return staged(placed.groupBy("token", "x", "y").applyInPandas(search, f"a {id_kind}, b {id_kind}"), "join-more")
+    return staged(placed.groupBy("token", "band", "x", "y").applyInPandas(search, f"a {id_kind}, b {id_kind}"), "join-more")
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -296,13 +303,14 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = staged(suspects.join(_peeled(suspects, percent).select("rep"), "rep", "left_semi"), "join-sets")
     drop_staged(wanted, suspects)
     posted = staged(_posted(_peeled(sets, percent), percent), "join-posted")
-    pivots = _shared(posted, "rep", "join-list-pivots")
-    lists = staged(posted.join(pivots, "token").select("token", "rep", "pivot"), "join-lists")
+    key = ("token", "band")
+    pivots = _shared(posted, "rep", "join-list-pivots", key)
+    lists = staged(posted.join(pivots, [*key]).select(*key, "rep", "pivot"), "join-lists")
     pairs = staged(lists.filter("rep <> pivot").select("rep", "pivot").distinct(), "join-pairs")
 
     first = _pivot_links(pairs, sets, id_kind, percent)
     comp = staged(connected(first), "join-comp")
-    more = _rest_links(lists.select("token", "rep"), sets, comp, id_kind, percent)
+    more = _rest_links(lists.select(*key, "rep"), sets, comp, id_kind, percent)
     # the components found so far stand for the first links
     whole = connected(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     result = staged(
