@@ -22,8 +22,15 @@ def encode_payload(text) -> Column:
 
 
 def decode_payload(data) -> Column:
-    """base64 record data -> UTF-8 text (line breaks inside the base64 are accepted)."""
-    return F.decode(F.unbase64(_c(data)), "UTF-8")
+    """base64 record data -> UTF-8 text (line breaks inside the base64 are accepted);
+    null when the data is no base64 or no UTF-8 (see ``bad_payload``)."""
+    data = F.regexp_replace(_c(data), r"[\r\n]", "")
+    return F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
+
+
+def bad_payload(data) -> Column:
+    """True for record data that is there but can't be decoded."""
+    return _c(data).isNotNull() & decode_payload(data).isNull()
 
 
 # -- job status ---------------------------------------------------------------
@@ -60,7 +67,8 @@ def url_scheme(url) -> Column:
 def url_host(url) -> Column:
     """Host name (lower case, no user, no port), null when absent."""
     authority = F.regexp_extract(_c(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-    host = F.regexp_extract(authority, r"^(?:[^@]*@)?([^:]*)", 1)
+    # the user ends at the last @; an IPv6 address stands in brackets and keeps its colons
+    host = F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
     return F.nullif(F.lower(host), F.lit(""))
 
 
@@ -83,8 +91,9 @@ def parse_endpoints(url) -> dict[str, Column]:
 # -- patterns and JSON ------------------------------------------------------
 
 def extract_pattern(text, regex: str, group: int = 1) -> Column:
-    """First match of ``regex`` (its ``group``); null when nothing matches."""
-    return F.nullif(F.regexp_extract(_c(text), regex, group), F.lit(""))
+    """First match of ``regex`` (its ``group``, which may be empty); null when
+    nothing matches."""
+    return F.when(_c(text).rlike(regex), F.regexp_extract(_c(text), regex, group))
 
 
 def json_path(text, path: str) -> Column:
@@ -98,8 +107,8 @@ def format_duration(minutes) -> Column:
     """Minutes -> ``H:M:00`` with floor and remainder and no zero padding
     (59 -> ``0:59:00``, 61 -> ``1:1:00``)."""
     m = _c(minutes).cast("bigint")
-    hours = F.floor(m / F.lit(60)).cast("bigint")
     rest = F.pmod(m, F.lit(60)).cast("bigint")
+    hours = F.call_function("div", m - rest, F.lit(60).cast("bigint"))
     return F.concat(hours.cast("string"), F.lit(":"), rest.cast("string"), F.lit(":00"))
 
 

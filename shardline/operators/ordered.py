@@ -1,41 +1,44 @@
 """Ordered scans per key that never put one key into one task.
 
-Positions (offsets), running byte sums and gap sessions are "per key, in
-order" computations. A plain ``Window.partitionBy(key)`` sends every row of a
-key to one task, so a key holding a third of the data becomes a third of the
-job on one core. Here the rows are range-partitioned on ``(key, order)``
-instead: a hot key is cut into many contiguous slices, each slice is scanned
-locally, and a small table of per-slice totals stitches the slices together
-(sizes below). The work is one range shuffle plus aggregates over that small
-table.
-
-The sliced frame is written once with ``checkpoint()`` (to the shared
-``spark.checkpoint.dir``) before it is read twice (per-slice totals and the
-rows themselves): a range exchange samples its bounds with a seed tied to
-the plan instance, so two separately planned exchanges may cut different
-slices; the checkpoint makes both reads see the same slices and also cuts
-the lineage, so a lost executor recomputes from the written slices.
-
-Joining the per-slice corrections back never shuffles the big side: a key
-needs a correction only in the slices after its first one, and each of the
-``partitions - 1`` slice boundaries is crossed by at most one key, so the
-correction table has fewer rows than there are partitions and is always
-broadcast (the JVM-only position path for few keys broadcasts one row per
-slice and key, ``partitions + keys`` rows).
+Positions (offsets), running sums and gap sessions are "per key, in order"
+computations. A plain ``Window.partitionBy(key)`` sends every row of a key to
+one task, so a key holding a third of the data becomes a third of the job on one
+core. Here the rows are range-partitioned on ``(key, order)`` instead: a hot key
+is cut into many contiguous slices, each slice is scanned locally, and a small
+table of per-slice totals stitches the slices together. The work is one range
+shuffle plus aggregates over that small table.
+
+The scanned slices are written once as parquet to the shared folder before they
+are read twice (totals and rows): a range exchange samples its bounds anew in
+every plan, so two plans may cut different slices. The files are removed when the
+application ends.
+
+The local pass works on Arrow batches: columns pass through untouched, keys are
+compared as they are, and sums stay in their own type (64-bit integers, decimals
+exactly, doubles).
+
+Joining the corrections back never shuffles the big side: a key needs one only in
+the slices after its first, and each of the ``partitions - 1`` slice boundaries is
+crossed by at most one key, so the correction table has fewer rows than there are
+partitions.
 """
 
 from __future__ import annotations
 
+import decimal
+from itertools import accumulate
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardline.functions.scalars import epoch_micros
-from shardline.session import checkpoint_root
+from shardline.session import ship_package, staged
 
-_PID, _MID = "_sl_pid", "_sl_mid"
+_PID = "_sl_pid"
 
 
 def _cols(xs) -> list:
@@ -61,12 +64,6 @@ def _slices(df: DataFrame, keys, order, num_partitions) -> DataFrame:
     return ranged.sortWithinPartitions(*by).withColumn(_PID, F.spark_partition_id())
 
 
-def _freeze(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder (reliable, not local)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join the (bounded) per-slice table onto the rows by slice and key,
     broadcast: the big side keeps its slices and is not shuffled."""
@@ -81,88 +78,91 @@ def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str
     return big.join(s, cond, how).drop("_sl_p", *ren.values())
 
 
-def dense_index(df: DataFrame, keys, order, out: str = "idx", *, few_keys: bool = False,
-                num_partitions: int | None = None, start: int = 0) -> DataFrame:
+def dense_index(df: DataFrame, keys, order, out: str = "idx", *, num_partitions: int | None = None,
+                start: int = 0) -> DataFrame:
     """Add ``out`` = 0-based (or ``start``-based) position of each row within
     its key in ``order``; the same as ``row_number() - 1`` over
     ``Window.partitionBy(keys).orderBy(order)`` but without the one-task-per-key
-    plan.
-
-    ``few_keys`` (shard ids and the like): all in the JVM, each row's position
-    in its slice from ``monotonically_increasing_id`` and a broadcast table of
-    one row per (slice, key), at most ``partitions + keys`` rows. Otherwise an
-    exclusive running count (:func:`prefix_sum`), whose correction table is
-    bounded by the partition count whatever the number of keys."""
-    keys = _names(keys)
-    if not few_keys:
-        one = "_sl_one"
-        res = prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), keys, order, one, out,
-                         num_partitions=num_partitions)
-        return res.withColumn(out, (F.col(out) + F.lit(start)).cast("bigint")).drop(one)
-    staged = _freeze(_slices(df, keys, order, num_partitions).withColumn(_MID, F.monotonically_increasing_id()))
-    stats = staged.groupBy(_PID, *keys).agg(F.min(_MID).alias("_sl_first"),
-                                            F.count(F.lit(1)).alias("_sl_n"))
-    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_sl_base", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-    joined = _null_safe_join(staged, stats.drop("_sl_n"), keys)
-    return (joined.withColumn(out, (F.col("_sl_base") + F.col(_MID) - F.col("_sl_first") + F.lit(start)).cast("bigint"))
-                  .drop(_PID, _MID, "_sl_first", "_sl_base"))
+    plan: an exclusive running count."""
+    one = "_sl_one"
+    res = prefix_sum(df.withColumn(one, F.lit(1).cast("bigint")), _names(keys), order, one, out,
+                     num_partitions=num_partitions)
+    return res.withColumn(out, (F.col(out) + F.lit(start)).cast("bigint")).drop(one)
 
 
 # ---------------------------------------------------------------------------
-# running sums
+# scanning Arrow batches
+
+
+def _differs(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Element-wise "not the same value", where nulls are the same and so are NaNs."""
+    same = pc.fill_null(pc.equal(a, b), False)
+    same = pc.or_(same, pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    if pa.types.is_floating(a.type):  # a null is not a NaN
+        same = pc.and_(same, pc.equal(pc.is_null(a), pc.is_null(b)))
+    return ~same.to_numpy(zero_copy_only=False)
+
 
+def _plain(a) -> pa.Array:
+    """A comparable array: chunks joined, dictionaries decoded."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    return a.dictionary_decode() if pa.types.is_dictionary(a.type) else a
 
-def _key_change(pdf: pd.DataFrame, keys: list[str], carry) -> np.ndarray:
-    """Boolean array: row starts a new key run (first row compared with carry)."""
-    n = len(pdf)
-    new = np.zeros(n, dtype=bool)
-    if n == 0:
+
+class KeyRuns:
+    """Where key runs start, across the Arrow batches of one slice."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.last = keys, None
+
+    def starts(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Boolean per row: it opens a key run (the first row is compared with
+        the last row of the batch before)."""
+        new = np.zeros(batch.num_rows, bool)
+        now = [_plain(batch.column(batch.schema.get_field_index(k))) for k in self.keys]
+        for a in now:
+            new[1:] |= _differs(a[1:], a[:-1])
+        new[0] = self.last is None or any(_differs(a[:1], b)[0] for a, b in zip(now, self.last))
+        self.last = [a[-1:] for a in now]
         return new
-    for k in keys:
-        col = pdf[k]
-        prev = col.shift(1)
-        same = (col == prev) | (col.isna() & prev.isna())
-        new |= ~same.to_numpy()
-    if carry is None:
-        new[0] = True
-    else:
-        first = tuple(pdf[k].iloc[0] for k in keys)
-        new[0] = not all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, carry))
-    return new
 
 
-def _run_starts(new: np.ndarray) -> np.ndarray:
-    """Index of the row that opened each row's key run (0 for a run carried
-    over from the previous batch)."""
-    idx = np.where(new, np.arange(len(new)), 0)
-    return np.maximum.accumulate(idx)
+def _since_start(new: np.ndarray, running: np.ndarray, carry):
+    """``running`` (totals before each row, from the batch's start) counted from
+    the start of each row's key run; rows of the run carried over add ``carry``."""
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    out = running - running[first]
+    if not new[0]:
+        out[np.cumsum(new) == 0] += carry
+    return out
+
+
+# ---------------------------------------------------------------------------
+# running sums
 
 
-def _carried(new: np.ndarray) -> np.ndarray:
-    """Rows of the run that continues from the previous Arrow batch."""
-    if len(new) == 0 or new[0]:
-        return np.zeros(len(new), dtype=bool)
-    return np.cumsum(new) == 0
+def _numbers(a: pa.Array) -> np.ndarray:
+    """Values with nulls as 0: int64, float64, or exact decimals as objects."""
+    if pa.types.is_decimal(a.type):
+        return np.array([decimal.Decimal(0) if x is None else x for x in a.to_pylist()], dtype=object)
+    return pc.fill_null(a, 0).to_numpy(zero_copy_only=False)
 
 
-def _local_prefix_sum(keys: list[str], value: str, out: str, integral: bool):
+def _local_prefix_sum(keys: list[str], value: str, out: str, out_type: pa.DataType):
     def run(batches):
-        carry_key, carry_sum = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
+        runs, carry = KeyRuns(keys), 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            v = pdf[value].fillna(0).to_numpy(dtype=np.int64 if integral else np.float64)
-            new = _key_change(pdf, keys, carry_key)
-            c = np.cumsum(v)
-            before = c - v
-            run_start = _run_starts(new)
-            excl = before - before[run_start]
-            excl[_carried(new)] += carry_sum
-            pdf[out] = excl
-            carry_key = tuple(pdf[k].iloc[-1] for k in keys)
-            carry_sum = excl[-1] + v[-1]
-            yield pdf
+            v = _numbers(_plain(batch.column(batch.schema.get_field_index(value))))
+            new = runs.starts(batch)
+            if v.dtype == object:
+                before = np.array([decimal.Decimal(0), *accumulate(v)][:-1], dtype=object)
+            else:
+                before = np.cumsum(v) - v
+            local = _since_start(new, before, carry)
+            carry = local[-1] + v[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(local, out_type)], [*batch.schema.names, out])
     return run
 
 
@@ -172,28 +172,35 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *,
     before this row in ``order`` (0 for the first row). Nulls count as 0.
 
     Equal to ``coalesce(sum(value) over (partition by keys order by order rows
-    between unbounded preceding and 1 preceding), 0)``. The local pass is an
-    Arrow-batched ``mapInPandas`` over each sorted slice; the stitching is JVM."""
+    between unbounded preceding and 1 preceding), 0)``. The local pass reads each
+    sorted slice as Arrow batches; the stitching is JVM. ``value`` keeps its type;
+    the sum of integers is ``bigint``, of ``decimal(p, s)`` ``decimal(38, s)``, of
+    other numbers ``double``."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ship_package(df.sparkSession)
     keys = _names(keys)
-    staged = _slices(df, keys, order, num_partitions)
-    vtype = staged.schema[value].dataType
-    out_type = T.DoubleType() if isinstance(vtype, (T.FloatType, T.DoubleType, T.DecimalType)) else T.LongType()
-    local_name = "_sl_local"
-    staged = staged.withColumn(value, F.col(value).cast(out_type))
-    schema = T.StructType(staged.schema.fields + [T.StructField(local_name, out_type, False)])
-    integral = isinstance(out_type, T.LongType)
-    local = _freeze(staged.mapInPandas(_local_prefix_sum(keys, value, local_name, integral), schema))
-    stats = local.groupBy(_PID, *keys).agg(F.coalesce(F.sum(value), F.lit(0).cast(out_type)).alias("_sl_tot"))
+    cut = _slices(df, keys, order, num_partitions)
+    vtype = cut.schema[value].dataType
+    if isinstance(vtype, T.DecimalType):
+        out_type = T.DecimalType(38, vtype.scale)
+    else:
+        out_type = T.DoubleType() if isinstance(vtype, (T.FloatType, T.DoubleType)) else T.LongType()
+    local_name, summed = "_sl_local", "_sl_value"
+    cut = cut.withColumn(summed, F.col(value).cast(out_type))
+    schema = T.StructType(cut.schema.fields + [T.StructField(local_name, out_type, True)])
+    local = staged(cut.mapInArrow(_local_prefix_sum(keys, summed, local_name, to_arrow_type(out_type)), schema),
+                   "prefix-sum")
+    zero = F.lit(0).cast(out_type)
+    stats = local.groupBy(_PID, *keys).agg(F.coalesce(F.sum(summed).cast(out_type), zero).alias("_sl_tot"))
     before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_sl_base", F.sum("_sl_tot").over(before))
-    # only a key continuing from an earlier slice needs a correction; each of
-    # the (partitions - 1) slice boundaries is crossed by at most one key, so
-    # this table has fewer rows than there are partitions: always broadcast
+    stats = stats.withColumn("_sl_base", F.sum("_sl_tot").over(before).cast(out_type))
+    # only a key continuing from an earlier slice needs a correction: fewer rows
+    # than there are partitions
     fixes = stats.filter(F.col("_sl_base").isNotNull()).drop("_sl_tot")
     joined = _null_safe_join(local, fixes, keys, "left")
-    return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0).cast(out_type)) + F.col(local_name))
-                              .cast(out_type))
-                  .drop(_PID, "_sl_base", local_name))
+    return (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), zero) + F.col(local_name)).cast(out_type))
+                  .drop(_PID, "_sl_base", local_name, summed))
 
 
 # ---------------------------------------------------------------------------
@@ -202,28 +209,21 @@ def prefix_sum(df: DataFrame, keys, order, value: str, out: str, *,
 
 def _local_sessions(keys: list[str], ts_us: str, gap_us: int):
     def run(batches):
-        carry_key, carry_ts, carry_cum = None, None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
+        runs, last, carry = KeyRuns(keys), None, 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            t = pdf[ts_us].to_numpy(dtype=np.int64)
-            new = _key_change(pdf, keys, carry_key)
-            prev = np.empty_like(t)
-            prev[1:] = t[:-1]
-            gap_start = np.zeros(len(t), dtype=bool)
-            gap_start[1:] = (t[1:] - prev[1:]) > gap_us
+            t = _plain(batch.column(batch.schema.get_field_index(ts_us))).to_numpy(zero_copy_only=False)
+            new = runs.starts(batch)
+            start = new.copy()
+            start[1:] |= (t[1:] - t[:-1]) > gap_us
             if not new[0]:
-                gap_start[0] = (t[0] - carry_ts) > gap_us
-            start = new | gap_start
-            run_start = _run_starts(new)
-            cs = np.cumsum(start)
-            cum = cs - cs[run_start] + start[run_start]
-            cum[_carried(new)] += carry_cum
-            pdf["_sl_start"] = start
-            pdf["_sl_cum"] = cum
-            carry_key = tuple(pdf[k].iloc[-1] for k in keys)
-            carry_ts, carry_cum = int(t[-1]), int(cum[-1])
-            yield pdf
+                start[0] = t[0] - last > gap_us
+            before = np.cumsum(start) - start
+            opened = _since_start(new, before, carry) + start
+            last, carry = t[-1], opened[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(opened, pa.int64())],
+                                             [*batch.schema.names, "_sl_cum"])
     return run
 
 
@@ -234,18 +234,18 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
     (rows exactly one gap apart stay together, as ``session_window`` does).
     Adds ``out`` (1-based within the key). Hot keys are split across tasks.
     ``ts`` may be ``timestamp`` or ``timestamp_ntz``."""
+    ship_package(df.sparkSession)
     keys = _names(keys)
-    us = "_sl_us"
+    us, gap_us = "_sl_us", int(gap_seconds) * 1_000_000
     order = [ts] + _cols(tiebreak)
     # a row without a time belongs to no session
     untimed = df.filter(F.col(ts).isNull()).withColumn(out, F.lit(None).cast("bigint"))
     df = df.filter(F.col(ts).isNotNull())
     t = df.schema[ts].dataType
     src = df.withColumn(us, epoch_micros(ts) if isinstance(t, T.TimestampNTZType) else F.unix_micros(F.col(ts)))
-    staged = _slices(src, keys, order, num_partitions)
-    schema = T.StructType(staged.schema.fields + [T.StructField("_sl_start", T.BooleanType(), False),
-                                                  T.StructField("_sl_cum", T.LongType(), False)])
-    local = _freeze(staged.mapInPandas(_local_sessions(keys, us, int(gap_seconds) * 1_000_000), schema))
+    cut = _slices(src, keys, order, num_partitions)
+    schema = T.StructType(cut.schema.fields + [T.StructField("_sl_cum", T.LongType(), False)])
+    local = staged(cut.mapInArrow(_local_sessions(keys, us, gap_us), schema), "gap-sessions")
     stats = local.groupBy(_PID, *keys).agg(F.min(us).alias("_sl_first_us"), F.max(us).alias("_sl_last_us"),
                                            F.max("_sl_cum").alias("_sl_n"))
     w = Window.partitionBy(*keys).orderBy(_PID)
@@ -254,15 +254,15 @@ def gap_sessions(df: DataFrame, keys, ts: str, gap_seconds: int, tiebreak=None,
              # the slice's first row was counted as a start; undo it when the
              # previous slice of the same key ends within the gap
              .withColumn("_sl_fix", F.when(F.col("_sl_prev_last").isNotNull()
-                                           & ((F.col("_sl_first_us") - F.col("_sl_prev_last")) <= F.lit(int(gap_seconds) * 1_000_000)),
+                                           & ((F.col("_sl_first_us") - F.col("_sl_prev_last")) <= F.lit(gap_us)),
                                            F.lit(-1)).otherwise(F.lit(0)))
              .withColumn("_sl_base", F.coalesce(F.sum(F.col("_sl_n") + F.col("_sl_fix")).over(
                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     # non-zero only for keys continuing from an earlier slice: fewer rows than
-    # partitions (see prefix_sum), always broadcast
+    # partitions (see prefix_sum)
     fixes = stats.filter((F.col("_sl_base") != 0) | (F.col("_sl_fix") != 0)).select(_PID, *keys, "_sl_fix", "_sl_base")
     joined = _null_safe_join(local, fixes, keys, "left")
     timed = (joined.withColumn(out, (F.coalesce(F.col("_sl_base"), F.lit(0)) + F.col("_sl_cum")
                                      + F.coalesce(F.col("_sl_fix"), F.lit(0))).cast("bigint"))
-                   .drop(_PID, us, "_sl_start", "_sl_cum", "_sl_fix", "_sl_base"))
+                   .drop(_PID, us, "_sl_cum", "_sl_fix", "_sl_base"))
     return timed.unionByName(untimed)

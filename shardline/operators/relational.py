@@ -2,40 +2,23 @@
 
 Each operator is a declarative DataFrame plan: aggregations are partial
 (map-side combine) so a hot group is pre-aggregated before any shuffle;
-joins broadcast a side only after its size was checked; expansions are
-``explode(sequence(..))`` in the JVM.
+which side of a join is broadcast is left to the optimizer, which knows the sizes;
+expansions are ``explode(sequence(..))`` in the JVM.
 """
 
 from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardline.operators.ordered import dense_index
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# -- size-checked broadcast ------------------------------------------------
-
-def small_enough(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows. Reads at most
-    ``max_rows + 1`` rows (a bounded ``limit`` job), never the whole side."""
-    return df.limit(int(max_rows) + 1).count() <= int(max_rows)
-
-
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check; otherwise the plain side,
-    left to AQE (which may still broadcast after measuring it)."""
-    return F.broadcast(df) if small_enough(df, max_rows) else df
-
-
 # -- 25, 26: map and prefix filters ---------------------------------------
 
 def map_values(df: DataFrame, exprs: dict[str, Column], keep: Iterable[str] = ()) -> DataFrame:
@@ -72,12 +55,13 @@ def overlay_defaults(df: DataFrame, defaults: dict, casts: dict[str, str] | None
 
 
 def overlay_map(given, defaults: dict[str, str]) -> Column:
-    """Open key/value record form: ``map_concat(defaults, given)`` where the
-    given value wins (needs ``spark.sql.mapKeyDedupPolicy=LAST_WIN``)."""
-    items = []
-    for k, v in defaults.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.map_concat(F.create_map(*items), F.coalesce(_c(given), F.create_map().cast("map<string,string>")))
+    """Open key/value record form: the given entries and the defaults of the keys
+    that are not given."""
+    items = [F.lit(x) for kv in defaults.items() for x in kv]
+    given = F.coalesce(_c(given), F.create_map().cast("map<string,string>"))
+    missing = F.map_filter(F.create_map(*items).cast("map<string,string>"),
+                           lambda k, v: ~F.map_contains_key(given, k))
+    return F.map_concat(missing, given)
 
 
 # -- 28: routing ---------------------------------------------------------------
@@ -107,12 +91,10 @@ def write_routes(df: DataFrame, path: str, out: str = "route", mode: str = "appe
 # -- 30-32: lookups ------------------------------------------------------------
 
 def lookup_parent(children: DataFrame, parents: DataFrame, parent_key: str, parent_id: str,
-                  own: str, parent_value: str, out: str = "endpoint",
-                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  own: str, parent_value: str, out: str = "endpoint") -> DataFrame:
     """A child naming an existing parent takes the parent's value; a child
     without (or with an unknown) parent keeps its own."""
     p = parents.select(F.col(parent_id).alias("_sl_pid"), F.col(parent_value).alias("_sl_pval"))
-    p = maybe_broadcast(p, max_broadcast_rows)
     j = children.join(p, children[parent_key] == p["_sl_pid"], "left")
     return j.withColumn(out, F.coalesce(F.col("_sl_pval"), F.col(own))).drop("_sl_pid", "_sl_pval")
 
@@ -140,7 +122,12 @@ def completeness(observed: DataFrame, group: str, member: str, expected: DataFra
     group is complete only when they are equal (missing observations = 0)."""
     obs = observed.groupBy(group).agg(F.count_distinct(member).alias("observed"))
     j = expected.select(group, F.col(expected_col).alias("expected")).join(obs, group, "left")
-    j = j.withColumn("observed", F.coalesce(F.col("observed"), F.lit(0)).cast("bigint"))
+    return mark_complete(j)
+
+
+def mark_complete(df: DataFrame) -> DataFrame:
+    """Add ``complete`` to rows with an ``expected`` and an ``observed`` number."""
+    j = df.withColumn("observed", F.coalesce(F.col("observed"), F.lit(0)).cast("bigint"))
     return j.withColumn("complete", F.coalesce(F.col("observed") == F.col("expected"), F.lit(False)))
 
 
@@ -163,21 +150,24 @@ def all_in_state_for(groups: DataFrame, group: str, members: DataFrame, state, v
 
 def placement_profile(df: DataFrame) -> DataFrame:
     """Rows per Spark partition and the host that ran it; ``skew`` = the
-    partition's rows over the mean rows per partition."""
-    import socket
+    partition's rows over the mean rows per partition. One row per partition leaves
+    the scan; empty partitions have no row."""
+    import pyarrow as pa
 
-    import pandas as pd
+    def tally(batches):
+        import socket
 
-    def tag(batches):
-        host = socket.gethostname()
-        for pdf in batches:
-            yield pd.DataFrame({"partition_id": pdf["_sl_part"], "host": host})
+        rows = {}
+        for batch in batches:
+            for v, n in zip(*(x.to_pylist() for x in batch.column(0).value_counts().flatten())):
+                rows[v] = rows.get(v, 0) + n
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(rows), pa.int32()), pa.array([socket.gethostname()] * len(rows), pa.string()),
+             pa.array(list(rows.values()), pa.int64())], ["partition_id", "host", "n_rows"])
 
-    parts = df.select(F.spark_partition_id().alias("_sl_part"))
-    tagged = parts.mapInPandas(tag, "partition_id int, host string")
-    counts = tagged.groupBy("partition_id", "host").agg(F.count(F.lit(1)).alias("n_rows"))
-    mean = counts.agg(F.avg("n_rows")).scalar()
-    return counts.withColumn("skew", F.col("n_rows") / mean)
+    parts = df.select(F.spark_partition_id().alias("partition_id"))
+    counts = parts.mapInArrow(tally, "partition_id int, host string, n_rows long")
+    return counts.withColumn("skew", F.col("n_rows") / F.avg("n_rows").over(Window.partitionBy(F.lit(0))))
 
 
 def trace_summary(df: DataFrame) -> DataFrame:
@@ -209,7 +199,8 @@ def rebase_ids(new: DataFrame, existing: DataFrame, group: str, name: str, order
 
 def latest_by(df: DataFrame, key, order: list[str], fields: list[str]) -> DataFrame:
     """Newest row of each key by ``order`` (later wins; the last order column
-    breaks ties), as a partial ``max_by`` aggregation: skew safe, no sort."""
+    breaks ties), as a partial ``max_by`` aggregation: a hot key is reduced to one row
+    per task before the shuffle (the aggregation is sort-based, as its state is a struct)."""
     keys = [key] if isinstance(key, str) else list(key)
     pick = F.max_by(F.struct(*[F.col(f) for f in fields]), F.struct(*[F.col(o) for o in order]))
     g = df.groupBy(*keys).agg(pick.alias("_sl_latest"))
@@ -240,32 +231,46 @@ def append_rows(*dfs: DataFrame) -> DataFrame:
 # -- 41, 42: expansion ---------------------------------------------------------
 
 EXPAND_CHUNK = 1 << 16
+#: A row may declare this many members; more is a broken row, not a range.
+MAX_MEMBERS = (1 << 31) - 1
+
+
+def range_width(lo, hi) -> Column:
+    """Members of ``[lo, hi]`` as an exact decimal; null where a bound is."""
+    return _c(hi).cast("decimal(20,0)") - _c(lo).cast("decimal(20,0)") + F.lit(1)
 
 
 def explode_range(df: DataFrame, lo: str, hi: str, out: str, chunk: int = EXPAND_CHUNK) -> DataFrame:
-    """One row per integer in ``[lo, hi]`` (no rows when ``hi < lo``).
-
-    A row whose range is longer than ``chunk`` is first cut into chunks and
-    the chunks are spread over all tasks before they are expanded, so one
-    row declaring billions of members does not become one task's work."""
-    valid = df.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(hi) >= F.col(lo)))
-    width = F.col(hi) - F.col(lo) + 1
-    small = valid.filter(width <= F.lit(int(chunk)))
-    small = small.withColumn(out, F.explode(F.sequence(F.col(lo), F.col(hi))))
-    big = valid.filter(width > F.lit(int(chunk)))
-    starts = F.sequence(F.col(lo), F.col(hi), F.lit(int(chunk)).cast(df.schema[lo].dataType))
-    big = big.withColumn("_sl_c", F.explode(starts)).repartition("_sl_c")
-    big = big.withColumn(out, F.explode(F.sequence(F.col("_sl_c"),
-                                                   F.least(F.col(hi), F.col("_sl_c") + F.lit(int(chunk) - 1)))))
-    return small.unionByName(big.drop("_sl_c"))
+    """One row per integer in ``[lo, hi]`` (no rows when ``hi < lo``, or for ranges
+    wider than ``MAX_MEMBERS``, which ``range_rejects`` returns).
+
+    Every range is cut into chunks first, and the chunks are dealt evenly over all
+    tasks before they are expanded, so one row declaring billions of members does not
+    become one task's work."""
+    width = range_width(lo, hi)
+    valid = df.filter((width >= 1) & (width <= F.lit(MAX_MEMBERS)))
+    kind = df.schema[lo].dataType
+    # chunk numbers and offsets from lo, so that nothing can run over the type's end
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = valid.withColumn("_sl_width", width.cast("bigint")).withColumn("_sl_c", F.explode(
+        F.expr(f"sequence(0L, (_sl_width - 1) div {int(chunk)}L)"))).repartition(tasks)
+    first = F.col("_sl_c") * F.lit(int(chunk))
+    steps = F.sequence(first, F.least(first + F.lit(int(chunk) - 1), F.col("_sl_width") - 1))
+    return (chunks.withColumn("_sl_step", F.explode(steps))
+            .withColumn(out, (F.col(lo).cast("bigint") + F.col("_sl_step")).cast(kind))
+            .drop("_sl_width", "_sl_c", "_sl_step"))
+
+
+def range_rejects(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """The rows whose range is too wide to be one."""
+    return df.filter(range_width(lo, hi) > F.lit(MAX_MEMBERS))
 
 
 def expand_slots(df: DataFrame, host: str, slots: str, out: str = "slot", chunk: int = EXPAND_CHUNK) -> DataFrame:
     """One row per slot (1..n) of each ``(host, slots)``; counts that are not
-    a positive integer give no rows (filtered before expansion: in Spark
-    ``sequence(1, 0)`` counts down)."""
+    a positive integer give no rows."""
     n = F.col(slots).cast("string").try_cast("int")
-    good = df.withColumn("_sl_n", n).withColumn("_sl_one", F.lit(1)).filter(F.col("_sl_n") >= 1)
+    good = df.withColumn("_sl_n", n).withColumn("_sl_one", F.lit(1))
     return explode_range(good, "_sl_one", "_sl_n", out, chunk).drop("_sl_n", "_sl_one")
 
 

@@ -17,7 +17,7 @@ from shardline.operators.ordered import dense_index, prefix_sum
 
 # Fixed values of the broker configuration these rules come from.
 MESSAGE_MAX_BYTES = 3086624          # message.max.bytes
-LOG_RETENTION_HOURS = 168            # log.retention.hours
+LOG_RETENTION_HOURS = 1              # log.retention.hours
 LOG_SEGMENT_BYTES = 1073741824       # log.segment.bytes
 LOG_RETENTION_BYTES = 1073741824     # log.retention.bytes (commented default)
 
@@ -42,20 +42,18 @@ def shard_of(key, n: int, fallback=None) -> Column:
 
 def assign_shard(df: DataFrame, key, n: int, out: str = "partition", *, place: bool = False,
                  fallback=None) -> DataFrame:
-    """Add the shard column; ``place=True`` also moves rows so that each
-    Spark partition holds one shard, as a broker does (range partitioning on
-    the shard id: hashing would let two shard ids share a partition). See
-    ``placement_profile`` for what that does to a skewed shard."""
+    """Add the shard column; ``place=True`` also moves rows so that Spark partition
+    i holds shard i and nothing else, as a broker does. See ``placement_profile`` for
+    what that does to a skewed shard."""
     res = df.withColumn(out, shard_of(key, n, fallback))
-    return res.repartitionByRange(int(n), out) if place else res
+    return res.repartitionById(int(n), F.col(out)) if place else res
 
 
 def assign_offset(df: DataFrame, shard: str = "partition", order=("timestamp",), out: str = "offset", *,
                   start_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Per-shard increasing offsets 0, 1, 2, ... in ``order``; ``start_col``
-    (if given) is added, so appends continue an existing log. Shard counts
-    are small, so the per-slice table is broadcast."""
-    res = dense_index(df, [shard], list(order), out, few_keys=True, num_partitions=num_partitions)
+    (if given) is added, so appends continue an existing log."""
+    res = dense_index(df, [shard], list(order), out, num_partitions=num_partitions)
     if start_col:
         res = res.withColumn(out, F.col(out) + F.coalesce(F.col(start_col), F.lit(0))).drop(start_col)
     return res
@@ -83,7 +81,7 @@ def assign_segment(df: DataFrame, shard, order, size_col: str, seg_bytes: int =
     prev = "_sl_prev_bytes"
     res = prefix_sum(df, [shard] if isinstance(shard, str) else list(shard), order, size_col, prev,
                      num_partitions=num_partitions)
-    return res.withColumn(out, F.floor(F.col(prev) / F.lit(int(seg_bytes))).cast("bigint")).drop(prev)
+    return res.withColumn(out, F.expr(f"`{prev}` div {int(seg_bytes)}")).drop(prev)
 
 
 def retain_by_time(df: DataFrame, ts: str, hours: int = LOG_RETENTION_HOURS) -> DataFrame:

@@ -59,6 +59,18 @@ def q_overlay_defaults(spark, sf_dir):
 ROUTES = [("https://m.", "mobile"), ("https://", "secure"), ("http://", "plain")]
 
 
+@query("overlay_map", """
+SELECT page_id, CASE WHEN url LIKE '%page=%' THEN regexp_extract(url, 'page=([0-9]+)', 1) ELSE '1' END AS page,
+       CASE WHEN url LIKE '%ref=%' THEN regexp_extract(url, 'ref=([^&#]*)', 1) ELSE 'none' END AS ref
+FROM pages
+""")
+def q_overlay_map(spark, sf_dir):
+    """Query-string entries of page URLs over default entries."""
+    given = F.str_to_map(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&"), F.lit("="))
+    m = rel.overlay_map(given, {"page": "1", "ref": "none"})
+    return load(spark, sf_dir, "pages").select("page_id", m["page"].alias("page"), m["ref"].alias("ref"))
+
+
 @query("route", """
 SELECT page_id, CASE WHEN starts_with(url, 'https://m.') THEN 'mobile'
                      WHEN starts_with(url, 'https://') THEN 'secure'
@@ -123,12 +135,13 @@ SELECT o_orderkey, expected, CAST(coalesce(observed, 0) AS BIGINT) AS observed,
 FROM exp LEFT JOIN obs USING (o_orderkey)
 """)
 def q_completeness(spark, sf_dir):
-    """Per order: are line numbers 1..max all present?"""
+    """Per order: are line numbers 1..max all present? One aggregation of lineitem
+    gives the expected and the observed number."""
     li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey")
-    expected = (orders.join(li.groupBy("o_orderkey").agg(F.max("l_linenumber").alias("expected")), "o_orderkey", "left")
-                      .withColumn("expected", F.coalesce("expected", F.lit(0))))
-    return rel.completeness(li, "o_orderkey", "l_linenumber", expected, "expected")
+    both = li.groupBy("o_orderkey").agg(F.max("l_linenumber").alias("expected"),
+                                        F.count_distinct("l_linenumber").alias("observed"))
+    j = load(spark, sf_dir, "orders").select("o_orderkey").join(both, "o_orderkey", "left")
+    return rel.mark_complete(j.withColumn("expected", F.coalesce("expected", F.lit(0))))
 
 
 @query("all_in_state", """
@@ -142,13 +155,18 @@ def q_all_in_state(spark, sf_dir):
     return rel.all_in_state_for(orders, "o_orderkey", li, "l_linestatus", "F")
 
 
-@query("placement_profile")
+@query("placement_profile", """
+WITH s AS (SELECT (('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4) AS shard, count(*) AS n
+           FROM events GROUP BY 1)
+SELECT CAST(shard AS INTEGER) AS partition_id, n AS n_rows, n / (SELECT avg(n) FROM s) AS skew, true AS has_host FROM s
+""")
 def q_placement_profile(spark, sf_dir):
-    """Where did the records go after placing them by shard? Rows per Spark
-    partition and host (rows only: placement depends on the cluster)."""
+    """Where did the records go after placing them by shard? Spark partition i holds
+    shard i; the host depends on the cluster."""
     from shardline.plans.fixtures import topic_records
     placed = assign_shard(topic_records(spark, sf_dir), "key", 4, place=True)
-    return rel.placement_profile(placed)
+    return rel.placement_profile(placed).select("partition_id", "n_rows", "skew",
+                                                (F.col("host") != "").alias("has_host"))
 
 
 @query("rebase_ids", """

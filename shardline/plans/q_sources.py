@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shardline.operators.relational import trace_summary
+from shardline.operators.relational import route, trace_summary, write_routes
 from shardline.plans.catalog import query
 from shardline.session import shared_path
 from shardline.sources import sinks
+from shardline.sources.parallel import parallelize
 from shardline.sources.tables import load
-from shardline.sources.text_inputs import parse_json, parse_trace, split_pairs
+from shardline.sources.text_inputs import parse_json, parse_trace, read_json_records, scan_traces, split_pairs
 
 
 @query("parallelize", """
@@ -19,8 +20,8 @@ SELECT range AS value, range * range AS sq FROM range((SELECT count(*) FROM orde
 def q_parallelize(spark, sf_dir):
     """A distributed range as long as the orders table, squared (the
     distributed map of the getting-started example)."""
-    n = load(spark, sf_dir, "orders").count()
-    return spark.range(n).select(F.col("id").alias("value"), (F.col("id") * F.col("id")).alias("sq"))
+    values = parallelize(spark, load(spark, sf_dir, "orders").count())
+    return values.select("value", (F.col("value") * F.col("value")).alias("sq"))
 
 
 @query("read_json_records", """
@@ -106,12 +107,47 @@ def q_append_traces(spark, sf_dir):
 
 
 @query("gather", """
-SELECT DISTINCT CAST(l_linenumber * l_linenumber AS BIGINT) AS sq FROM lineitem ORDER BY sq LIMIT 100
+SELECT DISTINCT CAST(l_linenumber * l_linenumber AS BIGINT) AS sq FROM lineitem
 """)
 def q_gather(spark, sf_dir):
-    """A bounded result (at most 100 distinct squares) brought back to the
-    caller and handed on as a small DataFrame."""
+    """A small result (the squares of the line numbers) brought back whole to the
+    caller; more than 100 rows would be refused."""
     li = load(spark, sf_dir, "lineitem")
-    sq = li.select((F.col("l_linenumber") * F.col("l_linenumber")).cast("bigint").alias("sq")).distinct().orderBy("sq")
+    sq = li.select((F.col("l_linenumber") * F.col("l_linenumber")).cast("bigint").alias("sq")).distinct()
     rows = sinks.gather(sq, 100)
     return spark.createDataFrame(rows, "sq bigint")
+
+
+# -- file forms: text inputs written and read through the shared folder ------------
+
+@query("read_json_files", """
+SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events
+""")
+def q_read_json_files(spark, sf_dir):
+    """Events as JSON lines in a folder, read back by schema."""
+    path = shared_path(spark, "json")
+    load(spark, sf_dir, "events").select(
+        F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "k": '),
+                 F.get_json_object("props", "$.k"), F.lit("}"))).write.text(path)
+    return read_json_records(spark, path, "event_id long, k int")
+
+
+@query("scan_trace_files", TRACE_PARSED_SQL.replace("line_id, ", "", 1))
+def q_scan_trace_files(spark, sf_dir):
+    """The trace lines as text files, both layouts in one folder."""
+    path = shared_path(spark, "trace-files")
+    _trace_lines(spark, sf_dir).select("line").write.text(path)
+    return scan_traces(spark, path).select("phase", "framework", "nodes", "seconds")
+
+
+@query("write_routes", """
+SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN 'secure' WHEN starts_with(url, 'http://') THEN 'plain'
+                     ELSE 'unsupported' END AS route
+FROM pages
+""")
+def q_write_routes(spark, sf_dir):
+    """Pages routed by URL prefix, each branch in its own folder, read back."""
+    path = shared_path(spark, "routes")
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    write_routes(route(pages, "url", [("https://", "secure"), ("http://", "plain")]), path)
+    return spark.read.parquet(path).select("page_id", "route")

@@ -9,8 +9,11 @@ checkpoint folder, runs real Structured Streaming queries with
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
+from shardline.functions.scalars import decode_payload, epoch_micros
 from shardline.operators.ordered import gap_sessions
 from shardline.plans.catalog import query
 from shardline.plans.fixtures import N_SHARDS, TOPIC_SQL, topic_records
@@ -18,22 +21,28 @@ from shardline.session import shared_path
 from shardline.sources.tables import load
 from shardline.sources.topic_log import TOPIC_COLUMNS, read_topic, write_topic
 from shardline.streaming import jobs
-from shardline.streaming.runs import batch_sink, drop_files, epoch_us, read_sink, run_available
+from shardline.streaming.runs import batch_sink, drop_files, read_sink, run_available
 
 N_DROPS = 4
 GAP_SECONDS = 3600
 
 
+def _ntz(us: int):
+    """A literal wall-clock time, so that bounds reach the parquet scan."""
+    t = datetime(1970, 1, 1) + timedelta(microseconds=us)
+    return F.expr(f"TIMESTAMP_NTZ'{t.isoformat(sep=' ')}'")
+
+
 def _time_drops(df, ts: str, k: int):
-    """Split rows into ``k`` drops of equal event-time width (all rows kept);
-    the bounds are one small aggregate row."""
-    us = epoch_us(ts)
-    mn, mx = df.agg(F.min(us), F.max(us)).first()
-    if mn is None:  # no rows: every drop is empty
-        return [df] * k
-    idx = F.expr(f"((`_sl_us` - {int(mn)}) * {k}) div {int(mx) - int(mn) + 1}")
-    tagged = df.withColumn("_sl_us", us)
-    return [tagged.filter(idx == i).drop("_sl_us") for i in range(k)]
+    """Split rows into ``k`` drops of equal event-time width, rows without a time in
+    the last one; the bounds are one small aggregate row."""
+    mn, mx = df.agg(F.min(epoch_micros(ts)), F.max(epoch_micros(ts))).first()
+    if mn is None:  # no times: all rows in the last drop
+        return [df.filter(F.lit(False))] * (k - 1) + [df]
+    width = int(mx) - int(mn) + 1
+    at = [int(mn) + -(-i * width // k) for i in range(k + 1)]
+    drops = [df.filter((F.col(ts) >= _ntz(lo)) & (F.col(ts) < _ntz(hi))) for lo, hi in zip(at, at[1:-1])]
+    return drops + [df.filter((F.col(ts) >= _ntz(at[-2])) | F.col(ts).isNull())]
 
 
 def _drop_sql(k: int, ts: str = "ts", table: str = "events") -> str:
@@ -41,14 +50,14 @@ def _drop_sql(k: int, ts: str = "ts", table: str = "events") -> str:
             f"((SELECT max(epoch_us({ts})) - min(epoch_us({ts})) + 1 FROM {table}))")
 
 
-def _sentinel(ev):
-    """One marker row three hours after the newest event: it advances the
-    watermark so the last real windows and sessions close."""
-    last = ev.agg(F.max("ts").alias("ts"))
-    return last.select(F.lit(-1).cast("bigint").alias("event_id"),
-                       (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts"),
-                       F.lit(-1).cast("bigint").alias("user_id"), F.lit("sentinel").alias("event_type"),
-                       F.lit(0.0).alias("value"), F.lit("{}").alias("props"))
+def _marked_drops(ev, k: int):
+    """Drops with a marker row three hours after the newest event at the end: it
+    advances the watermark so the last real windows and sessions close. A column of
+    its own tells it from the events."""
+    marker = ev.agg(F.max("ts").alias("ts")).select(
+        *((F.col("ts") + F.expr("INTERVAL 3 HOURS") if c == "ts" else F.lit(None).cast(ev.schema[c].dataType)).alias(c)
+          for c in ev.columns), F.lit(True).alias("is_marker"))
+    return [d.withColumn("is_marker", F.lit(False)) for d in _time_drops(ev, "ts", k)] + [marker]
 
 
 # -- 7, 2, 3: topic log ----------------------------------------------------------
@@ -66,12 +75,12 @@ def q_write_topic(spark, sf_dir):
 @query("write_topic_stream", f"WITH {TOPIC_SQL} SELECT topic, partition, \"offset\", key, value, timestamp FROM topic_o")
 def q_write_topic_stream(spark, sf_dir):
     """A stream producer: event records arrive in two drops and each
-    micro-batch is produced to the log exactly once."""
+    micro-batch becomes one batch of the log."""
     from shardline.sources.topic_log import produce_stream
     root = shared_path(spark, "producer")
     folder, path = f"{root}/in", f"{root}/topic"
     recs = topic_records(spark, sf_dir)
-    sink = produce_stream(path, "events", N_SHARDS, "p1", order=["timestamp", "event_id"])
+    sink = produce_stream(path, "events", N_SHARDS, order=["timestamp", "event_id"])
     for drop in _time_drops(recs, "timestamp", 2):
         drop_files(drop, folder)
         run_available(spark.readStream.schema(recs.schema).parquet(folder), f"{root}/ckpt", sink)
@@ -109,55 +118,48 @@ def q_read_topic_latest(spark, sf_dir):
 
 # -- 18 (stream form) --------------------------------------------------------------
 
-@query("handle_batches_stream", f"""
+WINDOW_BATCH = 10
+BATCHES_SQL = f"""
 WITH {TOPIC_SQL}
-SELECT partition, "offset" // 10 AS batch, count(*) AS n_records, min("offset") AS first_offset,
+SELECT partition, "offset" // {WINDOW_BATCH} AS batch, count(*) AS n_records, min("offset") AS first_offset,
        max("offset") AS last_offset, CAST(sum(octet_length(encode(e.props))) AS BIGINT) AS payload_bytes
-FROM topic_o t JOIN events e USING (event_id) GROUP BY partition, "offset" // 10
-""")
+FROM topic_o t JOIN events e USING (event_id) GROUP BY partition, "offset" // {WINDOW_BATCH}
+"""
+
+
+def _payload_handler(events):
+    sizes = F.transform("Records", lambda r: F.octet_length(decode_payload(r["kinesis"]["data"])))
+    return events.select("partition", "batch", "n_records", "first_offset", "last_offset",
+                         F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("payload_bytes"))
+
+
+@query("handle_batches_stream", BATCHES_SQL)
 def q_handle_batches_stream(spark, sf_dir):
-    """Topic records streamed to a native handler in shard batches of 10."""
-    from shardline.functions.scalars import decode_payload
+    """Topic records streamed, a few files per micro-batch, to a native handler in
+    whole shard batches of 10."""
     path = shared_path(spark, "topic")
     write_topic(topic_records(spark, sf_dir), path, "events", N_SHARDS, order=["timestamp", "event_id"])
     root = shared_path(spark, "stream")
-
-    def handler(events):
-        sizes = F.transform("Records", lambda r: F.octet_length(decode_payload(r["kinesis"]["data"])))
-        return events.select("partition", "batch", "n_records", "first_offset", "last_offset",
-                             F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("payload_bytes"))
-    jobs.handle_batches_stream(read_topic(spark, path, stream=True), f"{root}/ckpt", f"{root}/out", 10, handler)
+    stream = read_topic(spark, path, stream=True, max_files_per_trigger=3)
+    jobs.handle_batches_stream(stream, f"{root}/ckpt", f"{root}/out", WINDOW_BATCH, _payload_handler).close(spark)
     return read_sink(spark, f"{root}/out").drop("batch_id")
 
 
-WINDOW_BATCH = 10
-
-
-@query("handle_batches_window", f"""
-WITH {TOPIC_SQL}
-SELECT partition, "offset" // {WINDOW_BATCH} AS batch, count(*) AS n_records, min("offset") AS first_offset,
-       max("offset") AS last_offset, CAST(sum(octet_length(encode(e.props))) AS BIGINT) AS payload_bytes
-FROM topic_o t JOIN events e USING (event_id) GROUP BY partition, "offset" // {WINDOW_BATCH}
-HAVING count(*) = {WINDOW_BATCH}
-""")
+@query("handle_batches_window", BATCHES_SQL)
 def q_handle_batches_window(spark, sf_dir):
     """Shard batches that stay whole although the producer appends in two
     rounds: a batch cut by the append is completed by the second run and
-    delivered once. Each shard's last, incomplete batch stays open (its
-    one-week batching window has not passed), so only full batches appear."""
-    from shardline.functions.scalars import decode_payload
+    delivered once; each shard's last, incomplete batch is delivered when its
+    one-hour batching window has passed."""
     path = shared_path(spark, "topic")
     root = shared_path(spark, "wbatch")
-    parts = _time_drops(topic_records(spark, sf_dir), "timestamp", 2)
-    for i, part in enumerate(parts):
+    for part in _time_drops(topic_records(spark, sf_dir), "timestamp", 2):
         write_topic(part, path, "events", N_SHARDS, order=["timestamp", "event_id"])
-        batches = jobs.window_batches(read_topic(spark, path, stream=True), WINDOW_BATCH, 7 * 24 * 3600)
-        run_available(batches, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
-                      flush_idle=i == len(parts) - 1)
-    out = read_sink(spark, f"{root}/out", jobs.WINDOW_BATCH_SCHEMA)
-    sizes = F.transform("payloads", lambda v: F.octet_length(decode_payload(v)))
-    return out.select("partition", "batch", "n_records", "first_offset", "last_offset",
-                      F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("payload_bytes"))
+        delivery = jobs.handle_batches_stream(read_topic(spark, path, stream=True), f"{root}/ckpt", f"{root}/out",
+                                              WINDOW_BATCH, _payload_handler, window_seconds=3600)
+        delivery.close(spark)  # no window has passed yet
+    delivery.close(spark, datetime.now(timezone.utc) + timedelta(hours=1))
+    return read_sink(spark, f"{root}/out").drop("batch_id")
 
 
 # -- 20: handler swap ----------------------------------------------------------------
@@ -183,6 +185,26 @@ def q_swap_handler(spark, sf_dir):
     return read_sink(spark, f"{root}/out").select("event_id", "handler_version", "result")
 
 
+@query("map_function_latest", f"""
+WITH {TOPIC_SQL}, late AS (SELECT * FROM topic_o WHERE {_drop_sql(2, "timestamp", "topic_o")} = 1)
+SELECT partition, "offset" // {WINDOW_BATCH} AS batch, count(*) AS n_records, min("offset") AS first_offset,
+       max("offset") AS last_offset, CAST(sum(octet_length(encode(e.props))) AS BIGINT) AS payload_bytes,
+       1 AS handler_version
+FROM late t JOIN events e USING (event_id) GROUP BY partition, "offset" // {WINDOW_BATCH}
+""")
+def q_map_function_latest(spark, sf_dir):
+    """A function mapped to a topic with start position ``latest`` and batches of 10:
+    only records produced after the mapping are handed over."""
+    path, root = shared_path(spark, "topic"), shared_path(spark, "mapping")
+    first, second = _time_drops(topic_records(spark, sf_dir), "timestamp", 2)
+    write_topic(first, path, "events", N_SHARDS, order=["timestamp", "event_id"])
+    mapping = jobs.FunctionMapping(lambda: read_topic(spark, path, stream=True), f"{root}/ckpt", f"{root}/out",
+                                   start_at="latest", batch_size=WINDOW_BATCH)
+    write_topic(second, path, "events", N_SHARDS, order=["timestamp", "event_id"])
+    mapping.start(_payload_handler, version=1).close(spark)
+    return read_sink(spark, f"{root}/out").drop("batch_id")
+
+
 # -- 21: reader groups -------------------------------------------------------------
 
 @query("resume_group", f"""
@@ -205,7 +227,8 @@ def q_resume_group(spark, sf_dir):
     a.poll()
     b.poll()
     out = spark.read.parquet(f"{root}/out")
-    return out.select("group_id", "run", "partition", "offset")
+    # each poll found one produce round, so the batch's number tells the run
+    return out.select("group_id", (F.col("batch_id") + 1).alias("run"), "partition", "offset")
 
 
 # -- 22: retention on a stream -------------------------------------------------------
@@ -221,10 +244,10 @@ def q_retention_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "retention")
     folder = f"{root}/in"
-    drops = _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]
+    drops = _marked_drops(ev, N_DROPS)
     for i, drop in enumerate(drops):
         drop_files(drop, folder)
-        counts = jobs.hourly_counts(spark.readStream.schema(ev.schema).parquet(folder), "ts")
+        counts = jobs.hourly_counts(spark.readStream.schema(drop.schema).parquet(folder), "ts")
         run_available(counts, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
                       flush_idle=i == len(drops) - 1)
     return read_sink(spark, f"{root}/out", "window_start timestamp_ntz, window_end timestamp_ntz, n long") \
@@ -264,27 +287,33 @@ def q_member_sessions_stream(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "sessions")
     folder = f"{root}/in"
-    drops = _time_drops(ev, "ts", N_DROPS) + [_sentinel(ev)]
+    drops = _marked_drops(ev, N_DROPS)
+    jobs.local_session_merge(spark)
     for i, drop in enumerate(drops):
         drop_files(drop, folder)
-        s = jobs.member_sessions_stream(spark.readStream.schema(ev.schema).parquet(folder), "user_id", "ts")
+        s = jobs.member_sessions_stream(spark.readStream.schema(drop.schema).parquet(folder), "user_id", "ts",
+                                        extra=["is_marker"])
         run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
                       flush_idle=i == len(drops) - 1)
     out = read_sink(spark, f"{root}/out")
-    return out.filter(F.col("user_id") >= 0).select("user_id", "session_start", "session_end", "n_events")
+    return out.filter(~F.col("is_marker")).select("user_id", "session_start", "session_end", "n_events")
 
 
 # -- 24: flush policy ------------------------------------------------------------------
 
-@query("flush_policy")
+@query("flush_policy", f"""
+SELECT CAST({_drop_sql(N_DROPS)} AS INTEGER) AS batch_id, count(*) AS n_rows, min(event_id) AS first_event,
+       max(event_id) AS last_event
+FROM events GROUP BY 1
+""")
 def q_flush_policy(spark, sf_dir):
-    """Four drops read with at most one file per micro-batch: one output row
-    per micro-batch (rows only: the file count depends on the writer)."""
+    """Four drops of one file each, read with at most one file per micro-batch: one
+    output row per micro-batch, in the order of the drops."""
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "flush")
     folder = f"{root}/in"
     for drop in _time_drops(ev, "ts", N_DROPS):
-        drop_files(drop, folder)
+        drop_files(drop.coalesce(1), folder)  # the feature: a file is a flush
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
     def summary(df, batch_id):
@@ -300,16 +329,12 @@ def q_flush_policy(spark, sf_dir):
 SELECT DISTINCT user_id, event_type FROM events
 """)
 def q_distinct_members_stream(spark, sf_dir):
-    """Streaming de-duplication of (user, event type) pairs, with the state
-    bounded by a watermark; the drops are ordered, so nothing is late."""
+    """Streaming de-duplication of (user, event type) pairs, each pair once ever."""
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "dedupe")
     folder = f"{root}/in"
-    drops = _time_drops(ev, "ts", N_DROPS)
-    for i, drop in enumerate(drops):
+    for drop in _time_drops(ev, "ts", N_DROPS):
         drop_files(drop, folder)
-        stream = spark.readStream.schema(ev.schema).parquet(folder)
-        d = jobs.distinct_stream(stream, ["user_id", "event_type"], "ts", late="30 days")
-        run_available(d.select("user_id", "event_type"), f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
-                      flush_idle=i == len(drops) - 1)
+        d = jobs.distinct_stream(spark.readStream.schema(ev.schema).parquet(folder), ["user_id", "event_type"])
+        run_available(d, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
     return read_sink(spark, f"{root}/out").select("user_id", "event_type")

@@ -124,6 +124,18 @@ def q_size_limit(spark, sf_dir):
     return tp.flag_size(d, "text", SIZE_LIMIT).select("doc_id", "source", "n_bytes", "accepted")
 
 
+@query("size_limit_split", f"""
+SELECT doc_id, octet_length(encode(text)) <= {SIZE_LIMIT} AS delivered, source FROM documents
+""")
+def q_size_limit_split(spark, sf_dir):
+    """The two outputs of the size limit, put together again: every record lands in
+    exactly one of them."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    good, bad = tp.size_limit(d, "text", SIZE_LIMIT)
+    return (good.select("doc_id", F.lit(True).alias("delivered"), "source")
+            .unionByName(bad.select("doc_id", F.lit(False).alias("delivered"), "source")))
+
+
 SEG_BYTES = 16384
 RETAIN_BYTES = 65536
 

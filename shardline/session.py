@@ -8,13 +8,12 @@ tests) do we create one.
 
 from __future__ import annotations
 
-import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -79,6 +78,40 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(path, file system) of a folder, through Hadoop's file system API."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet into the shared folder and read it back.
+
+    Cuts lineage without executor-local copies: a lost executor costs the tasks
+    it ran, never a result already staged. The folder goes when the JVM ends;
+    ``drop_staged`` removes it earlier."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    p, fs = hadoop_path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        p, fs = hadoop_path(df.sparkSession, df.staged_at)
+        fs.delete(p, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once per application,
     so that they need no installed copy and no particular working folder."""
@@ -95,17 +128,3 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(path, os.path.relpath(path, os.path.dirname(package)))
     sc.addPyFile(archive)
     sc._shardline_shipped = True
-
-
-@contextlib.contextmanager
-def utc_session(spark: SparkSession):
-    """Run a block with the session time zone pinned to UTC (for code that
-    renders or parses zoned timestamps; the library's own event-time
-    conversions do not depend on the session zone)."""
-    key = "spark.sql.session.timeZone"
-    old = spark.conf.get(key)
-    spark.conf.set(key, "UTC")
-    try:
-        yield spark
-    finally:
-        spark.conf.set(key, old)

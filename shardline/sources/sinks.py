@@ -20,13 +20,11 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gather(df: DataFrame, limit: int = GATHER_MAX_ROWS) -> list[Row]:
-    """Bring a result to the caller, never more than ``limit`` rows: larger
-    results stay DataFrames (write them, or iterate with ``toLocalIterator``)."""
+    """Bring a whole result to the caller. A result of more than ``limit`` rows is
+    refused, never cut: write it, or take it in parts with ``toLocalIterator``."""
     if limit is None or int(limit) > GATHER_MAX_ROWS:
         raise ValueError(f"gather is bounded: at most {GATHER_MAX_ROWS} rows")
-    return df.limit(int(limit)).collect()
-
-
-def iterate(df: DataFrame):
-    """Stream a result to the caller one partition at a time."""
-    return df.toLocalIterator(prefetchPartitions=False)
+    rows = df.limit(int(limit) + 1).collect()
+    if len(rows) > int(limit):
+        raise ValueError(f"the result has more than {int(limit)} rows")
+    return rows

@@ -1,13 +1,16 @@
 """A topic log on files, with the broker row shape, and its readers.
 
 There is no Kafka connector on the class path here (``format("kafka")``
-fails), so a topic is a parquet folder partitioned by shard:
-``<path>/partition=<n>/part-*.parquet`` with columns
-``topic, partition, offset, key, value, timestamp``. Producers append;
-offsets continue per shard after what the log already holds. Readers are
-batch (``spark.read``) or stream (``spark.readStream``) over the same
-folder; a reader group's position is its own checkpoint folder. With a
-broker available, :func:`kafka_reader` gives the same frame from Kafka.
+fails), so a topic is a parquet folder with one sub-folder per produced batch,
+``<path>/batch=<n>/part-*.parquet``, with columns
+``topic, partition, offset, key, value, timestamp``. Beside it, the manifest of
+batch n (``<path>/_manifest/<n>``, one row per shard) holds the end offsets after
+it. Batch n takes its offsets from manifest n - 1, writes its own manifest, then its
+rows; both by overwrite, so a batch that was half written or is replayed comes out
+the same, whatever is left of the first try, at a cost that does not depend on the
+length of the log. Readers are batch (``spark.read``) or stream
+(``spark.readStream``) over the folder; a reader group's position is its own
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,110 +19,87 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from shardline.operators.topic import assign_offset, assign_shard
+from shardline.session import drop_staged, exists, hadoop_path, staged
 
 TOPIC_COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
-# files also carry the shard id as a data column (``shard``), so per-shard
-# offset predicates are plain data filters that parquet can push down
-# files also carry the stream producer and its micro-batch id (null for
-# batch producers), so a replayed micro-batch can be recognised
 LOG_SCHEMA = ("topic string, partition int, offset bigint, key string, value string, "
-              "timestamp timestamp_ntz, shard int, producer string, batch_id bigint")
-TOPIC_SCHEMA = LOG_SCHEMA
-INDEX_SCHEMA = "partition int, next_offset bigint"
+              "timestamp timestamp_ntz, batch int")
+MANIFEST_SCHEMA = "partition int, next_offset bigint, n_records bigint"
 
 
-def _index_path(path: str) -> str:
+def _manifest_path(path: str, batch: int | None = None) -> str:
     # a leading underscore keeps it out of every reader of the log
-    return f"{path.rstrip('/')}/_offsets"
+    return f"{path.rstrip('/')}/_manifest" + ("" if batch is None else f"/{batch}")
 
 
-def _from_positions(starts) -> Column:
-    """Records at or beyond per-shard positions (data columns only)."""
-    if not starts:
-        return F.lit(True)
-    cond = ~F.col("shard").isin([p for p, _ in starts]) | F.col("shard").isNull()
-    for p, o in starts:
-        cond = cond | ((F.col("shard") == F.lit(p)) & (F.col("offset") >= F.lit(o)))
-    return cond
+def _manifest(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """End offsets after a batch, one row per shard; empty before the first one."""
+    if batch < 0:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(_manifest_path(path, batch))
+
+
+def batch_count(spark: SparkSession, path: str) -> int:
+    """Batches produced so far, by the names of their manifests."""
+    p, fs = hadoop_path(spark, _manifest_path(path))
+    if not fs.exists(p):
+        return 0
+    return 1 + max(int(x.getPath().getName()) for x in fs.listStatus(p))
 
 
 def end_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Next offset per shard (``partition, next_offset``); empty for a new log.
-
-    Reads the small end-offset index written after each append, then checks
-    only the records at or beyond it (a pushed-down filter: parquet skips
-    every row group below the index), so a crash between a data commit and
-    its index write cannot make a producer reuse offsets. Without an index
-    the whole offset column is scanned once. One row per shard."""
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], INDEX_SCHEMA)
-    try:
-        hint = spark.read.schema(INDEX_SCHEMA).parquet(_index_path(path)) \
-            .groupBy("partition").agg(F.max("next_offset").alias("next_offset")).collect()  # <= shards rows
-        starts = tuple(sorted((int(r["partition"]), int(r["next_offset"])) for r in hint))
-    except AnalysisException:
-        starts = ()
-    tail = log.filter(_from_positions(starts)).groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
-    if not starts:
-        return tail
-    known = spark.createDataFrame(list(starts), INDEX_SCHEMA)
-    return (known.unionByName(tail).groupBy("partition")
-                 .agg(F.max("next_offset").alias("next_offset")))
+    """Next offset per shard (``partition, next_offset``); empty for a new log."""
+    return _manifest(spark, path, batch_count(spark, path) - 1).select("partition", "next_offset")
+
+
+def _complete(spark: SparkSession, path: str, batch: int) -> bool:
+    """Whether the batch's folder holds as many rows per shard as its manifest says
+    (it reads this batch only)."""
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    if not (exists(spark, f"{folder}/_SUCCESS") and exists(spark, f"{_manifest_path(path, batch)}/_SUCCESS")):
+        return False
+    there = spark.read.schema(LOG_SCHEMA).parquet(folder).groupBy("partition").agg(F.count("*").alias("n"))
+    wrong = (_manifest(spark, path, batch).filter("n_records > 0").join(there, "partition", "left")
+             .filter("n IS NULL OR n <> n_records"))
+    return wrong.isEmpty()
 
 
 def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str = "key", value: str = "value",
-                timestamp: str = "timestamp", order: list[str] | None = None, *,
-                producer: str | None = None, batch_id: int | None = None) -> None:
+                timestamp: str = "timestamp", order: list[str] | None = None, *, batch: int | None = None) -> None:
     """Produce records to the log: shard by key, number them per shard after
-    the current end (in ``order``, default the timestamp), append. The end
-    offsets are one row per shard and are broadcast. One producing job at a
-    time per topic (offsets are assigned by the job, as a transactional
-    producer would); readers may run concurrently."""
+    the current end (in ``order``, default the timestamp), add them as one batch: the
+    given one, or the next. A batch that is there complete is left as it is. One
+    producing job at a time per topic; readers may run concurrently."""
     spark = df.sparkSession
+    batch = batch_count(spark, path) if batch is None else int(batch)
+    if _complete(spark, path, batch):
+        return
     order = order or [timestamp]
     recs = df.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),
                      F.col(value).cast("string").alias("value"), F.col(timestamp).alias("timestamp"),
                      *[F.col(c) for c in order if c not in (key, value, timestamp)])
     recs = assign_shard(recs, "key", n_shards, fallback="value")
-    order_cols = ["timestamp" if c == timestamp else c for c in order]
-    ends = F.broadcast(end_offsets(spark, path).withColumnRenamed("next_offset", "_sl_next"))
-    recs = recs.join(ends, "partition", "left")
-    recs = assign_offset(recs, "partition", order_cols, start_col="_sl_next")
-    recs = (recs.withColumn("shard", F.col("partition"))
-                .withColumn("producer", F.lit(producer).cast("string"))
-                .withColumn("batch_id", F.lit(batch_id).cast("bigint")))
-    recs.select(*TOPIC_COLUMNS, "shard", "producer", "batch_id").write.mode("append") \
-        .partitionBy("partition").parquet(path)
-    # then the index: one row per shard that received records
-    (recs.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
-         .write.mode("append").parquet(_index_path(path)))
-
-
-def already_produced(spark: SparkSession, path: str, producer: str, batch_id: int) -> bool:
-    """Whether the log holds records of this producer's micro-batch (a
-    pushed-down filter: row groups of other batches are skipped)."""
-    try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(path)
-    except AnalysisException:
-        return False
-    hit = log.filter((F.col("producer") == producer) & (F.col("batch_id") == int(batch_id)))
-    return hit.select("offset").limit(1).count() > 0
-
-
-def produce_stream(path: str, topic: str, n_shards: int, producer: str, order: list[str] | None = None, **kw):
+    before = _manifest(spark, path, batch - 1).select("partition", F.col("next_offset").alias("_sl_next"))
+    recs = recs.join(before, "partition", "left")
+    recs = assign_offset(recs, "partition", ["timestamp" if c == timestamp else c for c in order], start_col="_sl_next")
+    rows = staged(recs.select(*TOPIC_COLUMNS), "produce")
+    counts = rows.groupBy("partition").agg(F.count("*").alias("n_records"))
+    ends = (counts.join(before, "partition", "full")
+            .select("partition", (F.coalesce("_sl_next", F.lit(0)) + F.coalesce("n_records", F.lit(0))).alias("next_offset"),
+                    F.coalesce("n_records", F.lit(0)).alias("n_records")))
+    ends.coalesce(1).write.mode("overwrite").parquet(_manifest_path(path, batch))
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
+    drop_staged(rows)
+
+
+def produce_stream(path: str, topic: str, n_shards: int, order: list[str] | None = None, first_batch: int = 0, **kw):
     """Stream form of :func:`write_topic`, as a ``foreachBatch`` function:
-    each micro-batch is produced to the log once. ``foreachBatch`` may replay
-    a batch after a failure; a batch whose records are already in the log is
-    skipped, so the log gets every record exactly once."""
+    micro-batch n becomes batch ``first_batch + n`` of the log, once, however often
+    ``foreachBatch`` replays it."""
     def produce(df: DataFrame, batch_id: int) -> None:
-        if already_produced(df.sparkSession, path, producer, batch_id):
-            return
-        write_topic(df, path, topic, n_shards, order=order, producer=producer, batch_id=batch_id, **kw)
+        write_topic(df, path, topic, n_shards, order=order, batch=first_batch + int(batch_id), **kw)
     return produce
 
 
@@ -133,7 +113,12 @@ class Positions:
         """``(shard = p AND offset >= o_p) OR ... OR shard not seen``: data
         columns only, so parquet skips the row groups before the positions
         (for streams ``GroupReader.seek_latest`` skips whole files unread)."""
-        return _from_positions(self.starts)
+        if not self.starts:
+            return F.lit(True)
+        cond = ~F.col("partition").isin([p for p, _ in self.starts]) | F.col("partition").isNull()
+        for p, o in self.starts:
+            cond = cond | ((F.col("partition") == F.lit(p)) & (F.col("offset") >= F.lit(o)))
+        return cond
 
 
 def latest_positions(spark: SparkSession, path: str) -> Positions:
@@ -170,12 +155,3 @@ def kafka_options(bootstrap_servers: str, topic: str, group: str | None = None,
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(int(max_offsets_per_trigger))
     return opts
-
-
-def kafka_reader(spark: SparkSession, options: dict[str, str], stream: bool = True) -> DataFrame:
-    """Kafka rows cast to the topic shape (needs the spark-sql-kafka package)."""
-    r = (spark.readStream if stream else spark.read).format("kafka").options(**options)
-    df = r.load()
-    return df.select("topic", "partition", "offset", F.col("key").cast("string").alias("key"),
-                     F.col("value").cast("string").alias("value"),
-                     F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))

@@ -7,8 +7,9 @@ safe at any scale. Two handler forms:
 
 * native: the batch is an event ``Records ARRAY<STRUCT<kinesis STRUCT<data STRING>>>``
   (plus offsets) and the handler is a Column function over it, all in the JVM;
-* Python: ``handler(pdf) -> pdf`` called once per batch through an
-  Arrow-batched ``mapInPandas`` (no per-row Python).
+* Python: ``handler(pdf) -> pdf`` called once per batch through
+  ``mapInArrow`` (no per-row Python); the frame has Arrow-backed columns, so wide
+  integers, nulls and decimals arrive as they are.
 
 In a stream, ``foreachBatch`` hands every micro-batch to the same code.
 """
@@ -19,10 +20,14 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shardline.operators.ordered import KeyRuns
+from shardline.session import ship_package
+
 
 def with_batch(df: DataFrame, batch_size: int = 1, offset: str = "offset", out: str = "batch") -> DataFrame:
     if int(batch_size) < 1:
@@ -59,7 +64,7 @@ def apply_native(events: DataFrame, handler: Callable[[Column], dict[str, Column
     return events.select("*", *[c.alias(n) for n, c in outs.items()]).drop("Records")
 
 
-def _run_python(handler, keys: list[str], out_fields: list[str]):
+def _run_python(handler, keys: list[str], value_schema: pa.Schema):
     """Call ``handler`` once per (shard, batch) run of consecutive rows.
 
     Rows arrive sorted by (shard, batch, offset), so each batch is a
@@ -67,51 +72,39 @@ def _run_python(handler, keys: list[str], out_fields: list[str]):
     (at most ``batch_size`` rows). The handler returns a dict (one output
     row) or a DataFrame (any rows); outputs are assembled and the shard and
     batch columns attached once per input Arrow batch."""
-    value_fields = [f for f in out_fields if f not in keys]
-
-    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
-        change = np.zeros(len(pdf), dtype=bool)
-        change[0] = True
-        for k in keys:
-            v = pdf[k].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(change)
-
-    def emit(pdf: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-        rows: list[dict] = []
-        frames: list[pd.DataFrame] = []
-        counts = np.zeros(len(bounds) - 1, dtype=np.int64)
-        for i in range(len(bounds) - 1):
-            res = handler(pdf.iloc[bounds[i]:bounds[i + 1]])
-            if isinstance(res, dict):
-                rows.append(res)
-                counts[i] = 1
-            else:
-                frames.append(res)
-                counts[i] = len(res)
+    def emit(table: pa.Table, starts: list[int]):
+        pdf = table.to_pandas(types_mapper=pd.ArrowDtype)
+        rows, frames, counts = [], [], []
+        for lo, hi in zip(starts, starts[1:]):
+            res = handler(pdf.iloc[lo:hi])
+            (rows if isinstance(res, dict) else frames).append(res)
+            counts.append(1 if isinstance(res, dict) else len(res))
         if rows and frames:
             raise TypeError("a handler must return either dicts or DataFrames, not both")
-        out = pd.DataFrame(rows, columns=value_fields) if rows or not frames else \
-            pd.concat(frames, ignore_index=True)[value_fields]
-        first = np.asarray(bounds[:-1], dtype=np.int64)
-        for k in keys:
-            out[k] = np.repeat(pdf[k].to_numpy()[first], counts)
-        return out[out_fields]
+        if frames:
+            values = pa.concat_tables([pa.Table.from_pandas(f[value_schema.names], value_schema, preserve_index=False)
+                                       for f in frames])
+        else:
+            values = pa.Table.from_pylist(rows, value_schema)
+        first = pa.array(np.repeat(starts[:-1], counts), pa.int64())
+        out = pa.Table.from_arrays([*(table.column(k).take(first) for k in keys), *values.columns],
+                                   [*keys, *value_schema.names])
+        yield from out.combine_chunks().to_batches()
 
     def run(batches):
         pending = None
-        for pdf in batches:
-            if pending is not None and len(pending):
-                pdf = pd.concat([pending, pdf], ignore_index=True)
-            if len(pdf) == 0:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([pending, table]) if pending is not None else table).combine_chunks()
+            if not table.num_rows:
                 continue
-            starts = starts_of(pdf)
+            starts = np.flatnonzero(KeyRuns(keys).starts(table)).tolist()
             # the last run may continue in the next Arrow batch
             if len(starts) > 1:
-                yield emit(pdf, list(starts))
-            pending = pdf.iloc[starts[-1]:].reset_index(drop=True)
-        if pending is not None and len(pending):
-            yield emit(pending, [0, len(pending)])
+                yield from emit(table, starts)
+            pending = table.slice(starts[-1])
+        if pending is not None and pending.num_rows:
+            yield from emit(pending, [0, pending.num_rows])
     return run
 
 
@@ -129,5 +122,7 @@ def handle_batches(df: DataFrame, handler: Callable[[pd.DataFrame], pd.DataFrame
     # together by a hash exchange on (shard, batch) and sorted
     keyed = b if int(batch_size) == 1 else b.repartition(shard, "batch").sortWithinPartitions(shard, "batch", offset)
     fields = [keyed.schema[shard], keyed.schema["batch"]] + list(schema.fields)
-    out_schema = T.StructType(fields)
-    return keyed.mapInPandas(_run_python(handler, [shard, "batch"], [f.name for f in fields]), out_schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    ship_package(df.sparkSession)
+    return keyed.mapInArrow(_run_python(handler, [shard, "batch"], to_arrow_schema(schema)), T.StructType(fields))

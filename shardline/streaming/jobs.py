@@ -8,11 +8,13 @@ sinks are idempotent per micro-batch (see :mod:`shardline.streaming.runs`).
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shardline.session import drop_staged, exists, hadoop_path, staged
 from shardline.sources.topic_log import read_topic
 from shardline.streaming.handlers import batch_events
 from shardline.streaming.runs import batch_sink, run_available, to_event_time, to_wall_clock
@@ -25,23 +27,32 @@ class FunctionMapping:
     the current handler; ``swap`` replaces the handler: the running query is
     stopped and restarted on the **same checkpoint**, so records after the
     last committed micro-batch go to the new handler and none are lost. Each
-    output row carries the handler version and the micro-batch id."""
+    output row carries the handler version and the micro-batch id.
 
-    def __init__(self, source: Callable[[], DataFrame], checkpoint: str, out: str):
+    ``start_at="latest"`` begins with the records that arrive after the mapping
+    was made. With a ``batch_size`` the handler gets batch events (see
+    :class:`BatchDelivery`), one row per whole batch of one shard; what is left
+    in open batches is delivered by ``close``."""
+
+    def __init__(self, source: Callable[[], DataFrame], checkpoint: str, out: str, *, start_at: str = "earliest",
+                 batch_size: int | None = None, window_seconds: int = 0):
+        if start_at not in ("earliest", "latest"):
+            raise ValueError("start_at is earliest or latest")
         self.source, self.checkpoint, self.out = source, checkpoint, out
         self.handler: Handler | None = None
         self.version: int | None = None
+        self.batches = (BatchDelivery(f"{checkpoint}-open", out, batch_size, self._versioned, window_seconds)
+                        if batch_size else None)
+        if start_at == "latest":
+            skip_available(source(), checkpoint)
 
-    def _sink(self):
-        handler, version = self.handler, self.version
-
-        def transform(df: DataFrame, batch_id: int) -> DataFrame:
-            return handler(df).withColumn("handler_version", F.lit(int(version)))
-        return batch_sink(self.out, transform)
+    def _versioned(self, df: DataFrame) -> DataFrame:
+        return self.handler(df).withColumn("handler_version", F.lit(int(self.version)))
 
     def start(self, handler: Handler, version: int) -> "FunctionMapping":
         self.handler, self.version = handler, version
-        run_available(self.source(), self.checkpoint, self._sink())
+        sink = self.batches.sink if self.batches else batch_sink(self.out, lambda df, _: self._versioned(df))
+        run_available(self.source(), self.checkpoint, sink)
         return self
 
     def swap(self, handler: Handler, version: int) -> "FunctionMapping":
@@ -49,125 +60,127 @@ class FunctionMapping:
             raise ValueError("a new handler needs a higher version")
         return self.start(handler, version)
 
+    def close(self, spark: SparkSession, now: datetime | None = None) -> None:
+        """Hand over the open batches whose window has passed."""
+        self.batches.close(spark, now)
+
+
+def skip_available(stream: DataFrame, checkpoint: str) -> None:
+    """Start a checkpoint at the end of what has arrived ("latest"): one run whose
+    plan is an always-false filter, so the file source marks every file as processed
+    without reading it."""
+    run_available(stream.filter(F.lit(False)), checkpoint, lambda df, batch_id: None)
+
 
 class GroupReader:
     """A named reader group on a topic log: its position is its own
     checkpoint, so each ``poll`` continues where the group stopped and other
-    groups are unaffected."""
+    groups are unaffected. Output lands in ``group=<g>/batch_id=<n>``, where the
+    checkpoint numbers the batches: a replayed one overwrites itself, also after a
+    restart of the process."""
 
     def __init__(self, spark: SparkSession, topic_path: str, group: str, root: str, out: str,
                  max_files_per_trigger: int | None = None):
         self.spark, self.topic_path, self.group = spark, topic_path, group
         self.checkpoint = f"{root}/{group}"
         self.out, self.max_files = out, max_files_per_trigger
-        self.runs = 0
+
+    def _stream(self) -> DataFrame:
+        return read_topic(self.spark, self.topic_path, "earliest", stream=True, max_files_per_trigger=self.max_files)
 
     def seek_latest(self) -> None:
-        """Start the group at the end of the log ("latest"): one run whose
-        plan is an always-false filter, so the file source marks every file
-        now in the log as processed without reading it; later polls see only
-        files produced afterwards (producers only ever add files)."""
-        stream = read_topic(self.spark, self.topic_path, "earliest", stream=True).filter(F.lit(False))
-        run_available(stream, self.checkpoint, lambda df, batch_id: None)
+        """Start the group at the end of the log."""
+        skip_available(self._stream(), self.checkpoint)
 
     def poll(self, handler: Handler | None = None) -> None:
-        self.runs += 1
-        run_no, group = self.runs, self.group
-
         def transform(df: DataFrame, batch_id: int) -> DataFrame:
-            res = handler(df) if handler else df
-            return res.withColumn("group_id", F.lit(group)).withColumn("run", F.lit(run_no))
-        stream = read_topic(self.spark, self.topic_path, "earliest", stream=True,
-                            max_files_per_trigger=self.max_files)
-        run_available(stream, self.checkpoint, batch_sink(f"{self.out}/group={group}/run={run_no}", transform))
-
-
-def handle_batches_stream(stream: DataFrame, checkpoint: str, out: str, batch_size: int,
-                          handler: Callable[[DataFrame], DataFrame]) -> None:
-    """Stream form of batch delivery: every micro-batch of topic records is
-    cut into shard batches of ``batch_size`` and handed to ``handler``. A
-    batch whose records arrive in two micro-batches is delivered in two
-    parts (each still one shard, at most ``batch_size``); use
-    :func:`window_batches` to deliver every batch whole."""
-    def transform(df: DataFrame, batch_id: int) -> DataFrame:
-        return handler(batch_events(df, batch_size))
-    run_available(stream, checkpoint, batch_sink(out, transform))
-
-
-WINDOW_BATCH_SCHEMA = ("partition int, batch long, n_records long, first_offset long, last_offset long, "
-                       "offsets array<long>, payloads array<string>, closed_by string")
-_WINDOW_STATE = "offsets array<long>, payloads array<string>, ms array<long>"
-
-
-def _window_batch_fn(batch_size: int, window_ms: int):
-    import numpy as np
-    import pandas as pd
-
-    out_cols = [f.split()[0] for f in WINDOW_BATCH_SCHEMA.split(", ")]
-
-    def emit(shard, buf: pd.DataFrame, batches, why: str) -> pd.DataFrame:
-        rows = []
-        for b in batches:
-            part = buf[buf["b"] == b].sort_values("o")
-            offs = part["o"].tolist()
-            rows.append((shard, int(b), len(offs), offs[0], offs[-1], offs, part["p"].tolist(), why))
-        return pd.DataFrame(rows, columns=out_cols)
-
-    def fn(key, pdfs, state):
-        shard = key[0]
-        if state.exists:
-            o, p, m = state.get
-            parts = [pd.DataFrame({"o": list(o), "p": list(p), "m": list(m)})]
-        else:
-            parts = []
-        for pdf in pdfs:
-            parts.append(pd.DataFrame({"o": pdf["_sl_offset"].to_numpy(), "p": pdf["_sl_data"].to_numpy(),
-                                       "m": pdf["_sl_ms"].to_numpy()}))
-        buf = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"o": [], "p": [], "m": []})
-        buf["b"] = buf["o"].to_numpy(dtype=np.int64) // batch_size
-        g = buf.groupby("b")
-        counts, newest = g.size(), g["m"].max()
-        full = counts.index[counts >= batch_size]
-        closes = newest + window_ms
-        # a timed-out state: close every open batch whose window has passed
-        due = closes.index[closes <= state.getCurrentWatermarkMs()] if state.hasTimedOut else closes.index[:0]
-        due = due.difference(full)
-        if len(full):
-            yield emit(shard, buf, sorted(full), "size")
-        if len(due):
-            yield emit(shard, buf, sorted(due), "window")
-        rest = buf[~buf["b"].isin(full.union(due))]
-        if len(rest):
-            state.update((rest["o"].astype("int64").tolist(), rest["p"].tolist(), rest["m"].astype("int64").tolist()))
-            state.setTimeoutTimestamp(int(closes.drop(full.union(due)).min()))
-        elif state.exists:
-            state.remove()
-    return fn
-
-
-def window_batches(stream: DataFrame, batch_size: int, window_seconds: int, shard: str = "partition",
-                   offset: str = "offset", data: str = "value", ts: str = "timestamp",
-                   batches_per_key: int = 64) -> DataFrame:
-    """Batches that stay whole across micro-batches (a custom stateful
-    operator, ``applyInPandasWithState``): the records of a shard batch are
-    buffered until all ``batch_size`` of them arrived, or until the stream's
-    event time passes the batch's newest record by ``window_seconds`` (a
-    batching window, closed by the watermark).
-
-    State is keyed by (shard, batch // ``batches_per_key``): one call handles
-    up to that many neighbouring batches with pandas, and a key's buffer
-    holds at most ``batches_per_key * batch_size`` records, so a hot shard is
-    still spread over many keys. Output: one row per delivered batch."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    group = int(batch_size) * int(batches_per_key)
-    keyed = (to_event_time(stream, ts)
-             .withWatermark(ts, "0 seconds")
-             .select(F.col(shard).alias("partition"), F.expr(f"`{offset}` div {group}").alias("_sl_group"),
-                     F.col(offset).alias("_sl_offset"), F.col(data).alias("_sl_data"),
-                     F.expr(f"unix_millis(`{ts}`)").alias("_sl_ms"), F.col(ts)))
-    return keyed.groupBy("partition", "_sl_group").applyInPandasWithState(
-        _window_batch_fn(int(batch_size), int(window_seconds) * 1000), WINDOW_BATCH_SCHEMA, _WINDOW_STATE,
-        "append", GroupStateTimeout.EventTimeTimeout)
+            return (handler(df) if handler else df).withColumn("group_id", F.lit(self.group))
+        run_available(self._stream(), self.checkpoint, batch_sink(f"{self.out}/group={self.group}", transform))
+
+
+class BatchDelivery:
+    """Whole shard batches out of a stream, as a ``foreachBatch`` sink.
+
+    A batch is ``batch_size`` consecutive records of one shard. Each micro-batch is
+    joined by the records that the one before left open; batches that are complete
+    now are handed to ``handler`` as events (``handlers.batch_events``) and written to
+    ``out/batch_id=<n>``, the others to the open table of micro-batch n. Nothing is
+    ever late: a shard that runs behind is only completed later. Both folders are
+    overwritten when micro-batch n is replayed, from the same inputs, so every record
+    is delivered once. The open table holds the incomplete batches only, so its size
+    depends on shards and batch size, not on the length of the log.
+
+    ``close`` hands over incomplete batches that have been open for
+    ``window_seconds`` (the batching window)."""
+
+    def __init__(self, root: str, out: str, batch_size: int, handler: Handler, window_seconds: int = 0,
+                 shard: str = "partition", offset: str = "offset", data: str = "value"):
+        self.root, self.out, self.batch_size, self.handler = root, out, int(batch_size), handler
+        self.window = timedelta(seconds=window_seconds)
+        self.names = {shard: "partition", offset: "offset", data: "value"}
+
+    def _versions(self, spark: SparkSession) -> list[tuple[int, int]]:
+        """(micro-batch, times closed since) of the open tables that are kept."""
+        path, fs = hadoop_path(spark, self.root)
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(tuple(map(int, n.split("-"))) for n in names)  # a few: old ones are removed
+
+    def _open(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        found = [v for v in self._versions(spark) if v[0] == batch_id]
+        return spark.read.parquet(f"{self.root}/{found[-1][0]}-{found[-1][1]}") if found else None
+
+    def _deliver(self, rows: DataFrame, batch_id: int) -> None:
+        (self.handler(batch_events(rows, self.batch_size))
+         .write.mode("overwrite").parquet(f"{self.out}/batch_id={batch_id}"))
+
+    def _split(self, rows: DataFrame, chosen) -> DataFrame:
+        return staged(rows.dropDuplicates(["partition", "offset"]).withColumn("chosen", chosen), "batch-delivery")
+
+    def _per_batch(self):
+        # a batch has batch_size records, so the window's groups are small
+        return Window.partitionBy("partition", F.expr(f"offset div {self.batch_size}"))
+
+    def sink(self, df: DataFrame, batch_id: int) -> None:
+        spark, now = df.sparkSession, datetime.now(timezone.utc)
+        rows = df.select(*(F.col(k).alias(v) for k, v in self.names.items())).withColumn("since", F.lit(now))
+        before = self._open(spark, batch_id - 1)
+        if before is not None:
+            rows = before.unionByName(rows)
+        rows = self._split(rows, F.count(F.lit(1)).over(self._per_batch()) == self.batch_size)
+        self._deliver(rows.filter("chosen").drop("chosen", "since"), batch_id)
+        if (batch_id, 1) not in self._versions(spark):  # else a replay after a close, which took part of it
+            rows.filter("NOT chosen").drop("chosen").write.mode("overwrite").parquet(f"{self.root}/{batch_id}-0")
+        drop_staged(rows)
+        for n, k in self._versions(spark):
+            if n < batch_id - 1:
+                path, fs = hadoop_path(spark, f"{self.root}/{n}-{k}")
+                fs.delete(path, True)
+
+    def close(self, spark: SparkSession, now: datetime | None = None) -> None:
+        """Deliver the incomplete batches whose window has passed at ``now``. What a
+        close after micro-batch n delivers has a negative batch id of its own, and the
+        open table a new version."""
+        versions = self._versions(spark)
+        if not versions:
+            return
+        n, k = versions[-1]
+        passed = F.lit((now or datetime.now(timezone.utc)) - self.window)
+        rows = self._split(self._open(spark, n), F.min("since").over(self._per_batch()) <= passed)
+        due = rows.filter("chosen").drop("chosen", "since")
+        if not due.isEmpty():
+            self._deliver(due, -(n * 1024 + k + 1))
+            rows.filter("NOT chosen").drop("chosen").write.mode("overwrite").parquet(f"{self.root}/{n}-{k + 1}")
+        drop_staged(rows)
+
+
+def handle_batches_stream(stream: DataFrame, checkpoint: str, out: str, batch_size: int, handler: Handler,
+                          window_seconds: int = 0) -> BatchDelivery:
+    """Stream form of batch delivery: run what has arrived through whole batches of
+    ``batch_size`` records of one shard. Call ``close`` on the result to hand over
+    incomplete batches once their window has passed."""
+    delivery = BatchDelivery(f"{checkpoint}-open", out, batch_size, handler, window_seconds)
+    run_available(stream, checkpoint, delivery.sink)
+    return delivery
 
 
 def hourly_counts(stream: DataFrame, ts: str, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -181,19 +194,30 @@ def hourly_counts(stream: DataFrame, ts: str, window: str = "1 hour", late: str
 
 
 def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "1 hour",
-                           late: str = "1 hour") -> DataFrame:
+                           late: str = "1 hour", extra: list[str] | None = None) -> DataFrame:
     """Sessions of each member closed after ``gap`` of silence, emitted when
-    the watermark passes the session end (append mode)."""
+    the watermark passes the session end (append mode). Sessions of a hot member are
+    merged inside each task before they meet (``local_session_merge``)."""
     ev = to_event_time(stream, ts).withWatermark(ts, late)
-    g = ev.groupBy(member, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n_events"))
-    return g.select(member, to_wall_clock("session_window.start").alias("session_start"),
+    keys = [member, *(extra or [])]
+    g = ev.groupBy(*keys, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n_events"))
+    return g.select(*keys, to_wall_clock("session_window.start").alias("session_start"),
                     to_wall_clock("session_window.end").alias("session_end"), "n_events")
 
 
-def distinct_stream(stream: DataFrame, cols: list[str], ts: str, late: str = "1 hour") -> DataFrame:
-    """Streaming de-duplication with bounded state: duplicates arriving
-    within ``late`` of each other are dropped."""
-    return to_event_time(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(cols)
+def local_session_merge(spark: SparkSession) -> None:
+    """Merge session windows inside each task before the exchange."""
+    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+
+
+def distinct_stream(stream: DataFrame, cols: list[str], ts: str | None = None, late: str | None = None) -> DataFrame:
+    """Streaming de-duplication. Without a horizon every distinct row appears once
+    ever; the state is one entry per distinct row. With ``ts`` and ``late`` the state
+    is bounded instead: a duplicate is dropped if it arrives within ``late`` of the
+    first one, and appears again after that."""
+    if late is None:
+        return stream.select(*cols).dropDuplicates(cols)
+    return to_event_time(stream, ts).withWatermark(ts, late).dropDuplicatesWithinWatermark(cols).select(*cols)
 
 
 def flush_every(stream_writer, every: str | None = None, available_now: bool = False):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shardline.functions.scalars import epoch_micros
+from shardline.session import exists
 
 
 def batch_sink(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
@@ -35,9 +36,9 @@ def state_partitions(spark: SparkSession) -> int:
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str = "append",
-                  query_name: str | None = None, timeout_s: int = 600, stateful: bool = False,
-                  flush_idle: bool = True) -> None:
-    """Process everything available now, then return (one or more micro-batches).
+                  query_name: str | None = None, stateful: bool = False, flush_idle: bool = True) -> None:
+    """Process everything available now, however long it takes, then return (one
+    or more micro-batches).
 
     ``stateful``: start with :func:`state_partitions` state partitions (the
     started query keeps a copy of the session conf, and the count is then
@@ -64,27 +65,19 @@ def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str
         for k, v in old.items():
             spark.conf.set(k, v)
     try:
-        finished = q.awaitTermination(timeout_s)
+        q.awaitTermination()
     finally:
         if q.isActive:
             q.stop()
-    if q.exception() is not None:
-        raise q.exception()
-    if not finished:
-        raise TimeoutError(f"stream did not finish within {timeout_s} s; its checkpoint keeps the position")
 
 
 def read_sink(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:
-    """All micro-batch outputs (with ``batch_id``); empty when nothing was written."""
-    try:
-        reader = spark.read
-        if schema:
-            reader = reader.schema(schema + ", batch_id int")
-        return reader.parquet(out)
-    except Exception:
-        if schema is None:
-            raise
+    """All micro-batch outputs (with ``batch_id``). A sink that was never written
+    is empty when its ``schema`` is known; every other failure to read is raised."""
+    if schema and not exists(spark, out):
         return spark.createDataFrame([], schema + ", batch_id int")
+    reader = spark.read.schema(schema + ", batch_id int") if schema else spark.read
+    return reader.parquet(out)
 
 
 def drop_files(df: DataFrame, folder: str) -> None:
@@ -95,17 +88,12 @@ def drop_files(df: DataFrame, folder: str) -> None:
 _EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
-def epoch_us(ts: str) -> F.Column:
-    """Microseconds since 1970 of a ``timestamp_ntz`` (time-zone free)."""
-    return epoch_micros(ts)
-
-
 def to_event_time(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need ``timestamp``: turn a ``timestamp_ntz`` wall-clock time
     into the instant with the same epoch microseconds, whatever the session
     time zone (window and session boundaries are epoch-aligned)."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        return df.withColumn(ts, F.timestamp_micros(epoch_us(ts)))
+        return df.withColumn(ts, F.timestamp_micros(epoch_micros(ts)))
     return df
 
 

@@ -3,6 +3,8 @@ exact limits, missing/second '=', bad slot counts, empty query string."""
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
 
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel
@@ -172,9 +174,95 @@ def test_overlay_map_given_wins(spark):
     assert got == [{"queue": "gpu", "walltime": "10"}, {"queue": "normal", "walltime": "10"}]
 
 
-def test_maybe_broadcast_checks_size(spark):
-    small = spark.range(10)
-    assert rel.small_enough(small, 10) and not rel.small_enough(small, 9)
+def test_overlay_map_needs_no_session_setting(spark):
+    key = "spark.sql.mapKeyDedupPolicy"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "EXCEPTION")
+    try:
+        test_overlay_map_given_wins(spark)
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_impossible_ranges_do_not_fail_the_job(spark):
+    rows = [(1, "n[0-9223372036854775807],m[1-2]"), (2, "n[1-9223372036854775807]"), (3, "x[9223372036854775806-9223372036854775807]"),
+            (4, "y[5-3]"), (5, "z[99999999999999999999]"), (6, None)]
+    df = spark.createDataFrame(rows, "id int, e string")
+    got = sorted((r.id, r.host) for r in rel.expand_ranges(df, "e").collect())
+    assert got == [(1, "m1"), (1, "m2"), (3, "x9223372036854775806"), (3, "x9223372036854775807")]
+    slots = spark.createDataFrame([("a", "2147483647"), ("b", "2"), ("c", "2147483648"), ("d", "-1"), ("e", None)],
+                                  "host string, slots string")
+    assert rel.expand_slots(slots.filter("host <> 'a'"), "host", "slots").count() == 2
+    assert rel.expand_slots(slots, "host", "slots").limit(1000).count() == 1000
+    wide = spark.createDataFrame([(0, 9223372036854775807), (1, 5), (None, 3)], "lo long, hi long")
+    assert [(r.lo, r.hi) for r in rel.range_rejects(wide, "lo", "hi").collect()] == [(0, 9223372036854775807)]
+
+
+def test_expansion_is_spread_over_all_tasks(spark):
+    key = "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "false")
+    try:
+        df = spark.createDataFrame([(f"h{i}", "300") for i in range(200)], "host string, slots string")
+        out = rel.expand_slots(df, "host", "slots", chunk=100).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set(key, "true")
+    assert sum(r["count"] for r in out) == 60_000 and len(out) == 8 and max(r["count"] for r in out) < 15_000
+
+
+def test_placed_shards_have_a_partition_each(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("key"))
+    placed = tp.assign_shard(df, "key", 4, place=True)
+    got = rel.placement_profile(placed).collect()
+    want = {r.partition: r["count"] for r in placed.groupBy("partition").count().collect()}
+    assert {r.partition_id: r.n_rows for r in got} == want and all(r.host for r in got)
+    assert abs(sum(r.skew for r in got) - len(got)) < 1e-9
+
+
+def test_bad_payloads_are_marked(spark):
+    from shardline.functions import scalars as sc
+    rows = [(1, "aGk="), (2, "@@@"), (3, "/w=="), (4, None), (5, ""), (6, "aGFs\r\nbG8=")]
+    df = spark.createDataFrame(rows, "id int, d string")
+    got = {r.id: (r.t, r.bad) for r in df.select("id", sc.decode_payload("d").alias("t"), sc.bad_payload("d").alias("bad")).collect()}
+    assert got == {1: ("hi", False), 2: (None, True), 3: (None, True), 4: (None, False), 5: ("", False), 6: ("hallo", False)}
+
+
+def test_hosts_and_empty_matches(spark):
+    from shardline.functions import scalars as sc
+    df = spark.createDataFrame([("http://[::1]:8080/x",), ("https://u:p@Host.org:1/y",), ("no url",)], "u string")
+    assert [r.h for r in df.select(sc.url_host("u").alias("h")).collect()] == ["[::1]", "host.org", None]
+    df = spark.createDataFrame([("k=",), ("k=v",), ("other",), (None,)], "s string")
+    assert [r.m for r in df.select(sc.extract_pattern("s", "k=(.*)").alias("m")).collect()] == ["", "v", None, None]
+    df = spark.createDataFrame([(59,), (61,), (-1,), (None,)], "m int")
+    assert [r.d for r in df.select(sc.format_duration("m").alias("d")).collect()] == ["0:59:00", "1:1:00", "-1:59:00", None]
+
+
+def test_gather_is_whole_or_refused(spark):
+    from shardline.sources.sinks import gather
+    assert len(gather(spark.range(100), 100)) == 100
+    with pytest.raises(ValueError, match="more than 100"):
+        gather(spark.range(101), 100)
+
+
+def test_parallelize(spark):
+    from shardline.sources.parallel import parallelize
+    assert sorted(r.value for r in parallelize(spark, 5).collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r.value for r in parallelize(spark, ["a", "b"], 2).collect()) == ["a", "b"]
+    assert parallelize(spark, []).count() == 0 and parallelize(spark, 10, 3).rdd.getNumPartitions() == 3
+
+
+def test_python_handlers_get_exact_values(spark):
+    import decimal
+    from shardline.streaming.handlers import handle_batches
+    big = (1 << 60) + 1
+    df = spark.createDataFrame([(0, i, None if i == 3 else big + i, decimal.Decimal("1.10")) for i in range(7)],
+                               "partition int, offset long, id long, d decimal(10,2)")
+
+    def handler(pdf):
+        return {"ids": [int(x) for x in pdf["id"].dropna()], "total": sum(pdf["d"], decimal.Decimal(0))}
+    got = {r.batch: (r.ids, r.total) for r in handle_batches(df, handler, "ids array<long>, total decimal(12,2)", 5).collect()}
+    assert got == {0: ([big, big + 1, big + 2, big + 4], decimal.Decimal("5.50")), 1: ([big + 5, big + 6], decimal.Decimal("2.20"))}
+    frames = handle_batches(df, lambda pdf: pdf[["id"]], "id long", 5).collect()
+    assert sorted((r.id for r in frames), key=str) == sorted([None if i == 3 else big + i for i in range(7)], key=str)
 
 
 def test_chunked_expansion_is_exact(spark):

@@ -2,10 +2,12 @@
 keys, ties, many slices, Arrow batch carries."""
 
 import datetime as dt
+import decimal
 import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardline.operators.ordered import dense_index, gap_sessions, prefix_sum
@@ -20,11 +22,11 @@ def _rows(n, seed, hot_share=0.4):
     return rows
 
 
-@pytest.mark.parametrize("parts,few", [(1, True), (3, True), (8, True), (1, False), (6, False)])
-def test_dense_index_matches_row_number(spark, small_batches, parts, few):
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_dense_index_matches_row_number(spark, small_batches, parts):
     rows = _rows(400, parts)
     df = spark.createDataFrame(rows, "k int, t int, id int, v int")
-    got = dense_index(df, ["k"], ["t", "id"], "idx", num_partitions=parts, few_keys=few).toPandas()
+    got = dense_index(df, ["k"], ["t", "id"], "idx", num_partitions=parts).toPandas()
     pdf = pd.DataFrame(rows, columns=["k", "t", "id", "v"])
     pdf["kk"] = pdf["k"].fillna(-99)
     pdf["want"] = pdf.sort_values(["kk", "t", "id"]).groupby("kk").cumcount()
@@ -105,7 +107,7 @@ def test_many_keys_correction_table_is_bounded(spark):
 def test_empty_input(spark):
     df = spark.createDataFrame([], "k int, t int, v int")
     assert dense_index(df, ["k"], ["t"]).count() == 0
-    assert dense_index(df, ["k"], ["t"], few_keys=True).count() == 0
+    assert dense_index(df, ["k"], ["t"]).count() == 0
     assert prefix_sum(df, ["k"], ["t"], "v", "b").count() == 0
 
 
@@ -129,3 +131,47 @@ def test_null_times_and_big_values(spark):
     vals = spark.createDataFrame([(1, 0, big), (1, 1, None), (1, 2, 3), (1, 3, 1)], "k int, t int, v long")
     got = {r.t: r.b for r in prefix_sum(vals, ["k"], ["t"], "v", "b").collect()}
     assert got == {0: 0, 1: big, 2: big, 3: big + 3}
+
+
+WIDE = "k long, t timestamp_ntz, id long, v decimal(20,2), d double"
+
+
+@pytest.fixture()
+def wide(spark):
+    """Ids and keys above 2**53 beside nulls, decimals, times of years 1500 and 9999."""
+    big = 1 << 60
+    rows = []
+    for i in range(60):
+        key = [big + 1, big + 2, big + 3, None][i % 4]
+        year = [1500, 2024, 9999][i % 3]
+        rows.append((key, dt.datetime(year, 1, 1, 0, 0, i), None if i % 7 == 0 else big + i,
+                     None if i % 11 == 0 else decimal.Decimal("90071992547409930.01") + i, float("nan") if i % 13 == 0 else i / 3))
+    return spark.createDataFrame(rows, WIDE)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_wide_values_equal_a_window(spark, small_batches, wide, parts):
+    w = Window.partitionBy("k").orderBy("t", "id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    got = prefix_sum(wide, ["k"], ["t", "id"], "v", "s", num_partitions=parts)
+    zero = F.lit(0).cast("decimal(38,2)")
+    want = wide.withColumn("s", F.coalesce(F.sum("v").over(before), zero).cast("decimal(38,2)"))
+    assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == 60
+    assert dict(got.dtypes)["v"] == "decimal(20,2)"
+    got = dense_index(wide, ["k"], ["t", "id"], "i", num_partitions=parts)
+    want = wide.withColumn("i", (F.row_number().over(w) - 1).cast("long"))
+    assert got.select(want.columns).exceptAll(want).count() == 0
+    got = gap_sessions(wide, ["k"], "t", 3600, tiebreak=["id"], num_partitions=parts).select("k", "id", "v", "session_no")
+    us = F.unix_micros(F.col("t").cast("timestamp"))
+    new = F.coalesce((us - F.lag(us).over(w) > 3_600_000_000).cast("int"), F.lit(1))
+    want = (wide.withColumn("new", new)
+            .select("k", "id", "v", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("session_no")))
+    assert got.exceptAll(want).count() == 0 and got.count() == 60
+
+
+def test_float_and_binary_keys(spark, small_batches):
+    rows = [(float("nan"), b"a", i) for i in range(10)] + [(None, None, i) for i in range(10)] + [(0.5, b"b", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "k double, b binary, i int").withColumn("one", F.lit(1))
+    for keys in (["k"], ["b"], ["k", "b"]):
+        got = prefix_sum(df, keys, ["i"], "one", "n", num_partitions=3)
+        assert got.filter("n <> i").count() == 0

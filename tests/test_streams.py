@@ -7,8 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from shardline.session import shared_path, utc_session
-from shardline.sources.topic_log import latest_positions, read_topic, write_topic
+from shardline.session import hadoop_path, shared_path
+from shardline.sources.topic_log import batch_count, latest_positions, produce_stream, read_topic, write_topic
 from shardline.streaming import jobs
 from shardline.streaming.runs import batch_sink, drop_files, read_sink, run_available
 
@@ -23,17 +23,16 @@ def _ev(spark, rows):
 def test_late_row_is_dropped(spark):
     root = shared_path(spark, "t-late")
     folder = f"{root}/in"
-    with utc_session(spark):
-        drops = [
-            [(1, T0 + dt.timedelta(minutes=10), 1), (2, T0 + dt.timedelta(hours=3), 1)],
-            [(3, T0 + dt.timedelta(minutes=20), 1)],           # 2h40 behind the newest: late
-            [(4, T0 + dt.timedelta(hours=10), 1)],             # closes the earlier windows
-        ]
-        for d in drops:
-            drop_files(_ev(spark, d), folder)
-            s = jobs.hourly_counts(spark.readStream.schema(SCHEMA).parquet(folder), "ts")
-            run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"))
-        got = {(r.window_start.hour, r.n) for r in read_sink(spark, f"{root}/out").collect()}
+    drops = [
+        [(1, T0 + dt.timedelta(minutes=10), 1), (2, T0 + dt.timedelta(hours=3), 1)],
+        [(3, T0 + dt.timedelta(minutes=20), 1)],           # 2h40 behind the newest: late
+        [(4, T0 + dt.timedelta(hours=10), 1)],             # closes the earlier windows
+    ]
+    for d in drops:
+        drop_files(_ev(spark, d), folder)
+        s = jobs.hourly_counts(spark.readStream.schema(SCHEMA).parquet(folder), "ts")
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"))
+    got = {(r.window_start.hour, r.n) for r in read_sink(spark, f"{root}/out").collect()}
     assert got == {(0, 1), (3, 1)}
 
 
@@ -72,8 +71,8 @@ def test_groups_resume_and_latest(spark):
     b = jobs.GroupReader(spark, path, "b", f"{root}/ckpt", f"{root}/out")
     b.poll()
     out = spark.read.parquet(f"{root}/out")
-    runs = {(r.group_id, r.run): r.n for r in out.groupBy("group_id", "run").agg(F.count("*").alias("n")).collect()}
-    assert runs == {("a", 1): 30, ("a", 2): 20, ("b", 1): 50}
+    runs = {(r.group_id, r.batch_id): r.n for r in out.groupBy("group_id", "batch_id").agg(F.count("*").alias("n")).collect()}
+    assert runs == {("a", 0): 30, ("a", 1): 20, ("b", 0): 50}
     # offsets are dense per shard across both appends
     log = read_topic(spark, path)
     per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m")).collect()
@@ -90,13 +89,12 @@ def test_sessions_stream_equals_batch(spark):
             enumerate([(0, 1), (30, 1), (90, 1), (151, 1), (0, 2), (60, 2), (400, 3)])]
     root = shared_path(spark, "t-sess")
     folder = f"{root}/in"
-    with utc_session(spark):
-        drop_files(_ev(spark, rows), folder)
-        drop_files(_ev(spark, [(-1, T0 + dt.timedelta(hours=20), -1)]), folder)
-        s = jobs.member_sessions_stream(spark.readStream.schema(SCHEMA).parquet(folder), "user_id", "ts")
-        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"))
-        stream = {(r.user_id, r.session_start, r.n_events) for r in read_sink(spark, f"{root}/out").collect()
-                  if r.user_id >= 0}
+    drop_files(_ev(spark, rows), folder)
+    drop_files(_ev(spark, [(-1, T0 + dt.timedelta(hours=20), -1)]), folder)
+    s = jobs.member_sessions_stream(spark.readStream.schema(SCHEMA).parquet(folder), "user_id", "ts")
+    run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"))
+    stream = {(r.user_id, r.session_start, r.n_events) for r in read_sink(spark, f"{root}/out").collect()
+              if r.user_id >= 0}
     b = gap_sessions(_ev(spark, rows), ["user_id"], "ts", 3600, tiebreak=["event_id"])
     batch = {(r.user_id, r.s, r.n) for r in
              b.groupBy("user_id", "session_no").agg(F.min("ts").alias("s"), F.count("*").alias("n")).collect()}
@@ -125,66 +123,127 @@ def test_processing_time_trigger_flushes(spark):
     assert read_sink(spark, f"{root}/out").count() == 20
 
 
-def test_end_offsets_survive_a_missing_index_entry(spark):
-    """Records committed without their index entry (a crash in between) are
-    still counted, so offsets are never reused."""
-    from shardline.sources.topic_log import end_offsets
-    path = shared_path(spark, "t-index")
-    write_topic(_records(spark, 0, 30), path, "t", 3, order=["timestamp", "id"])
-    ends = {r.partition: r.next_offset for r in end_offsets(spark, path).collect()}
-    # a shard-0 record appended behind the index's back
-    extra = spark.createDataFrame([("t", 0, ends[0] + 4, "k", "v", T0, 0)],
-                                  "topic string, partition int, offset long, key string, value string, "
-                                  "timestamp timestamp_ntz, shard int")
-    extra.write.mode("append").partitionBy("partition").parquet(path)
-    after = {r.partition: r.next_offset for r in end_offsets(spark, path).collect()}
-    assert after[0] == ends[0] + 5 and after[1] == ends[1] and after[2] == ends[2]
-
-
-def test_stream_producer_is_exactly_once_on_replay(spark):
-    from shardline.sources.topic_log import produce_stream
+def _remove(spark, path):
+    p, fs = hadoop_path(spark, path)
+    assert fs.delete(p, True)
+
+
+def _dense(log, n):
+    per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m"),
+                                       F.count_distinct("offset").alias("d")).collect()
+    return sum(r.n for r in per) == n and all(r.m == r.n - 1 == r.d - 1 for r in per)
+
+
+def test_produced_batches_are_replayed_whole(spark):
+    """A half-written batch is completed by its replay; a complete one is left alone."""
     path = shared_path(spark, "t-produce")
-    produce = produce_stream(path, "t", 3, "p", order=["timestamp", "id"])
-    batch = _records(spark, 0, 25)
+    produce = produce_stream(path, "t", 3, order=["timestamp", "id"])
+    batch = _records(spark, 0, 1000).repartition(4)
+    produce(batch, 0)
     produce(batch, 0)
-    produce(batch, 0)          # a replay of micro-batch 0
-    produce(_records(spark, 25, 40), 1)
+    produce(_records(spark, 1000, 1015), 1)
+    assert _dense(read_topic(spark, path), 1015)
+    # the crash: some files of the last batch and its manifest are gone
+    p, fs = hadoop_path(spark, f"{path}/batch=1")
+    parts = [x.getPath().toString() for x in fs.listStatus(p) if "part-" in x.getPath().getName()]
+    _remove(spark, parts[0])
+    produce(_records(spark, 1000, 1015), 1)
+    assert _dense(read_topic(spark, path), 1015)
+    _remove(spark, f"{path}/_manifest/1")
+    produce(_records(spark, 1000, 1015), 1)
+    assert _dense(read_topic(spark, path), 1015)
+    write_topic(_records(spark, 1015, 1020), path, "t", 3, order=["timestamp", "id"])
+    assert _dense(read_topic(spark, path), 1020) and batch_count(spark, path) == 3
+
+
+def test_replayed_group_batch_is_not_repeated(spark):
+    """The commit of a batch is lost after its output was written; a new reader object
+    (a restarted process) reads it again and overwrites it."""
+    path, root = shared_path(spark, "t-topic"), shared_path(spark, "t-replay")
+    write_topic(_records(spark, 0, 300), path, "t", 3, order=["timestamp", "id"])
+    make = lambda: jobs.GroupReader(spark, path, "a", f"{root}/ckpt", f"{root}/out")
+    make().poll()
+    _remove(spark, f"{root}/ckpt/a/commits/0")
+    make().poll()
+    out = spark.read.parquet(f"{root}/out")
+    assert out.count() == 300 and out.select("partition", "offset").distinct().count() == 300
+
+
+def _size_handler(events):
+    return events.select("partition", "batch", "n_records", "first_offset", "last_offset",
+                         F.transform("Records", lambda r: r["kinesis"]["data"]).alias("data"))
+
+
+def test_whole_batches_with_a_lagging_shard(spark):
+    """One file per micro-batch, a shard far behind the others in time, two produce
+    rounds, a lost commit: every record is delivered once, every batch whole."""
+    path, root = shared_path(spark, "t-lag"), shared_path(spark, "t-lag-run")
+    slow = [(str(i % 5), f"s{i}", T0 - dt.timedelta(days=50), i) for i in range(103)]
+    schema = "key string, value string, timestamp timestamp_ntz, id long"
+    write_topic(_records(spark, 0, 400).repartition(3), path, "t", 4, order=["timestamp", "id"])
+    run = lambda: jobs.handle_batches_stream(
+        read_topic(spark, path, stream=True, max_files_per_trigger=1), f"{root}/ckpt", f"{root}/out", 10, _size_handler)
+    run()
+    write_topic(spark.createDataFrame(slow, schema).repartition(3), path, "t", 4, order=["timestamp", "id"])
+    last = run()
+    p, fs = hadoop_path(spark, f"{root}/ckpt/commits")
+    newest = max(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit())
+    _remove(spark, f"{root}/ckpt/commits/{newest}")
+    run()
+    last.close(spark)
     log = read_topic(spark, path)
-    assert log.count() == 40
-    per = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("m")).collect()
-    assert all(r.m == r.n - 1 for r in per)
+    out = read_sink(spark, f"{root}/out")
+    assert out.agg(F.sum("n_records")).first()[0] == log.count() == 503
+    want = {(r.partition, r.b): r.n for r in log.groupBy("partition", F.expr("offset div 10").alias("b"))
+            .agg(F.count("*").alias("n")).collect()}
+    assert {(r.partition, r.batch): r.n_records for r in out.collect()} == want and out.count() == len(want)
+    assert out.select(F.explode("data").alias("value")).exceptAll(log.select("value")).count() == 0
+
+
+def test_batch_window(spark):
+    """An incomplete batch waits until its window has passed, and only then goes."""
+    path, root = shared_path(spark, "t-win"), shared_path(spark, "t-win-run")
+    write_topic(_records(spark, 0, 7), path, "t", 1, order=["timestamp", "id"])
+    d = jobs.handle_batches_stream(read_topic(spark, path, stream=True), f"{root}/ckpt", f"{root}/out", 5,
+                                   _size_handler, window_seconds=600)
+    sizes = lambda: sorted((r.batch, r.n_records) for r in read_sink(spark, f"{root}/out").collect())
+    d.close(spark)
+    assert sizes() == [(0, 5)]
+    write_topic(_records(spark, 7, 11), path, "t", 1, order=["timestamp", "id"])
+    d = jobs.handle_batches_stream(read_topic(spark, path, stream=True), f"{root}/ckpt", f"{root}/out", 5,
+                                   _size_handler, window_seconds=600)
+    d.close(spark)
+    assert sizes() == [(0, 5), (1, 5)]
+    d.close(spark, dt.datetime.now(dt.timezone.utc) + dt.timedelta(seconds=601))
+    d.close(spark, dt.datetime.now(dt.timezone.utc) + dt.timedelta(seconds=601))
+    assert sizes() == [(0, 5), (1, 5), (2, 1)]
+
+
+def test_drops_keep_rows_without_a_time(spark):
+    from shardline.plans.q_streams import _time_drops
+    rows = [(i, None if i % 9 == 0 else T0 + dt.timedelta(minutes=i), 1) for i in range(100)]
+    drops = _time_drops(_ev(spark, rows), "ts", 4)
+    assert sum(d.count() for d in drops) == 100 and all(d.count() > 10 for d in drops)
+    assert sum(d.count() for d in _time_drops(_ev(spark, [(1, None, 1)]), "ts", 4)) == 1
+
+
+def test_distinct_stream_has_no_horizon(spark):
+    """The same pair 64 days apart appears once."""
+    root = shared_path(spark, "t-dist")
+    for day in (0, 40, 64):
+        drop_files(_ev(spark, [(day, T0 + dt.timedelta(days=day), u) for u in (1, None)]), f"{root}/in")
+        s = jobs.distinct_stream(spark.readStream.schema(SCHEMA).parquet(f"{root}/in"), ["user_id"])
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
+    assert sorted((r.user_id for r in read_sink(spark, f"{root}/out").collect()), key=str) == [1, None]
 
 
-@pytest.mark.parametrize("per_key", [1, 64])
-def test_window_batches_stay_whole_and_close_by_window(spark, per_key):
-    from shardline.operators.topic import shard_of
-    keys = spark.createDataFrame([(k,) for k in "abcdefgh"], "k string").select("k", shard_of("k", 2).alias("s"))
-    by_shard = {}
-    for r in keys.collect():
-        by_shard.setdefault(r.s, r.k)
-    hot, other = by_shard[0], by_shard[1]
-
-    def recs(lo, hi, key, shift=dt.timedelta(0)):
-        return spark.createDataFrame([(key, f"v{i}", T0 + shift + dt.timedelta(seconds=i), i) for i in range(lo, hi)],
-                                     "key string, value string, timestamp timestamp_ntz, id long")
-    path = shared_path(spark, "t-wb-topic")
-    root = shared_path(spark, "t-wb")
-    with utc_session(spark):
-        def run():
-            b = jobs.window_batches(read_topic(spark, path, stream=True), 5, 600, batches_per_key=per_key)
-            run_available(b, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True)
-        write_topic(recs(0, 7, hot), path, "t", 2, order=["timestamp", "id"])      # shard 0 offsets 0-6
-        run()
-        write_topic(recs(7, 11, hot), path, "t", 2, order=["timestamp", "id"])     # shard 0 offsets 7-10
-        run()
-        write_topic(recs(0, 1, other, dt.timedelta(hours=2)), path, "t", 2, order=["timestamp", "id"])
-        run()                                                                      # event time moves 2 h on
-        got = sorted((r.partition, r.batch, r.n_records, r.first_offset, r.last_offset, r.closed_by)
-                     for r in read_sink(spark, f"{root}/out").collect())
-    # batch 1 of shard 0 spans both appends and is delivered once, whole; its
-    # batch 2 (offset 10 alone) closes when event time passes it by the window;
-    # shard 1's lone record is still inside its window
-    assert got == [(0, 0, 5, 0, 4, "size"), (0, 1, 5, 5, 9, "size"), (0, 2, 1, 10, 10, "window")]
+def test_unreadable_sinks_are_not_empty(spark):
+    schema = "x long"
+    assert read_sink(spark, shared_path(spark, "t-none"), schema).count() == 0
+    path = shared_path(spark, "t-bad")
+    spark.createDataFrame([("no parquet",)], "value string").write.text(f"{path}/batch_id=0")
+    with pytest.raises(Exception):
+        read_sink(spark, path, schema).collect()
 
 
 def test_event_time_ignores_the_session_zone(spark):
