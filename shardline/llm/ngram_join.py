@@ -17,8 +17,9 @@ doc_id it reaches by links; it never lists the pairs of a group.
 4. First search: in the inverted list of each posted shingle, every class is paired
    with the list's least one, the pivot. For each pivot, a T-occurrence search over
    the classes paired with it finds the links; components of these links follow.
-5. Second search: lists that still hold several components are searched in full,
-   every member against all members of other components, in pairs of blocks.
+5. Second search: two classes of one list are classes of one pivot. Where these
+   still form several components, they are searched in full, each against those of other
+   components, in pairs of blocks.
 
 A search builds the inverted lists of its block's sets. For a query set with
 required overlap T, DivideSkip puts the L longest lists aside, heap-merges the
@@ -249,43 +250,40 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, id_kind: str, percent: int)
     return staged(out, "join-links")
 
 
-def _rest_links(lists: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str, percent: int) -> DataFrame:
-    """Links between different components inside one list, all of them up to
-    connectivity. Lists with the same members are searched once."""
-    known = (lists.join(comp, F.col("rep") == F.col("node"), "left")
-             .select("token", "band", "rep", F.coalesce("component", "rep").alias("comp")))
-    stats = known.groupBy("token", "band").agg(
-        F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sig"), F.min("rep").alias("least"))
-    open_lists = (stats.filter("m > 2 AND lo <> hi").groupBy("m", "sig", "least").agg(F.min(F.struct("token", "band")).alias("k"))
-                  .select("k.token", "k.band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    open_lists = staged(open_lists, "join-open")
-    placed = (known.join(open_lists, ["token", "band"])
+def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str, percent: int) -> DataFrame:
+    """Links between different components among the classes of one pivot, all of them
+    up to connectivity: whatever two classes share a list share its pivot."""
+    member = pairs.select("pivot", "rep").unionByName(
+        pairs.select("pivot", F.col("pivot").alias("rep")).distinct())
+    known = (member.join(comp, F.col("rep") == F.col("node"), "left")
+             .select("pivot", "rep", F.coalesce("component", "rep").alias("comp")))
+    open_groups = staged(
+        known.groupBy("pivot").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .filter("m > 2 AND lo <> hi").select("pivot", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")),
+        "join-open")
+    placed = (known.join(open_groups, "pivot")
               .withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
               .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .join(sets.select("rep", "grams"), "rep")
-              .select("token", "band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "rep", "comp",
-                      "grams"))
+              .select("pivot", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "rep", "comp", "grams"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)
         group = pd.factorize(pdf["comp"])[0]
         a, b = [], []
         if group.max(initial=0) > 0:
-            grams = list(pdf["grams"])
-            index, ids = BlockIndex(grams), pdf["rep"].to_numpy()
-            for q, s in enumerate(grams):
-                sized = (100 * index.sizes >= percent * len(s)) & (100 * len(s) >= percent * index.sizes)
-                other = (group != group[q]) & sized
-                other[q:] = False
-                for k in index.search(s, percent, other) if other.any() else ():
+            grams, ids = list(pdf["grams"]), pdf["rep"].to_numpy()
+            index = BlockIndex(grams)
+            # of two classes of different components, one isn't in the largest component
+            for q in np.flatnonzero(group != np.bincount(group).argmax()):
+                n = len(grams[q])
+                wanted = (group != group[q]) & (100 * index.sizes >= percent * n) & (100 * n >= percent * index.sizes)
+                for k in index.search(grams[q], percent, wanted) if wanted.any() else ():
                     a.append(ids[q]), b.append(ids[k])
                     group[group == group[q]] = group[k]
-                    if (group == group[0]).all():
-                        return pd.DataFrame({"a": a, "b": b})
         return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
 
-    return staged(placed.groupBy("token", "band", "x", "y").applyInPandas(search, f"a {id_kind}, b {id_kind}"), "join-more")
+    return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, f"a {id_kind}, b {id_kind}"), "join-more")
 
 
 def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -305,19 +303,18 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     posted = staged(_posted(_peeled(sets, percent), percent), "join-posted")
     key = ("token", "band")
     pivots = _shared(posted, "rep", "join-list-pivots", key)
-    lists = staged(posted.join(pivots, [*key]).select(*key, "rep", "pivot"), "join-lists")
-    pairs = staged(lists.filter("rep <> pivot").select("rep", "pivot").distinct(), "join-pairs")
+    pairs = staged(posted.join(pivots, [*key]).filter("rep <> pivot").select("rep", "pivot").distinct(), "join-pairs")
 
     first = _pivot_links(pairs, sets, id_kind, percent)
     comp = staged(connected(first), "join-comp")
-    more = _rest_links(lists.select(*key, "rep"), sets, comp, id_kind, percent)
+    more = _rest_links(pairs, sets, comp, id_kind, percent)
     # the components found so far stand for the first links
     whole = connected(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     result = staged(
         classes.join(whole, F.col("rep") == F.col("node"), "left")
         .select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"),
                 F.coalesce("component", "rep").alias("component")), "join-result")
-    drop_staged(classes, posted, pivots, lists, pairs, sets, first, more)
+    drop_staged(classes, posted, pivots, pairs, sets, first, more)
     # both sides are plain scans: the rows of one hot class can be split at run time
     return (profiles.drop("low").join(result, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1"))
                           & (F.col("s2") == F.col("c2")), "left")
