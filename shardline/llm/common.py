@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardline.session import shared_path
+from shardline.session import drop_staged, staged  # noqa: F401  the operators take them from here
 
 #: The white space and the letter case of the word and line rules.
 BLANKS = " \t\n\x0b\f\r"
@@ -13,35 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet into the shared folder and read it back.
-
-    Cuts lineage without executor-local copies: a lost executor costs the tasks
-    it ran, never a result already staged. The folder goes when the JVM ends;
-    ``drop_staged`` removes it earlier."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def drop_staged(*frames: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in frames:
-        p, fs = _path(df.sparkSession, df.staged_at)
-        fs.delete(p, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all other characters untouched (``lower`` is the same on
     plain ASCII, and much faster)."""
@@ -58,3 +29,25 @@ def let(value: Column, use) -> Column:
 def text_key(text: Column) -> Column:
     """A hash that tells rows apart which share a doc_id but not their text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Bits of a membership filter: 256 buckets of 32768, 1 MB, whatever it is made from.
+FILTER_BITS = 1 << 23
+
+
+def _slot(hashed: Column) -> tuple[Column, Column]:
+    slot = (F.pmod(hashed, F.lit(FILTER_BITS).cast("long")) + 1).cast("long")
+    return F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
+
+
+def may_contain(df: DataFrame, hashed: Column, wanted: DataFrame, wanted_hash: Column) -> DataFrame:
+    """The rows of ``df`` whose hash may be among those of ``wanted``: all that are, and
+    few others. The filter has a fixed size, so it is broadcast however large ``wanted``
+    is; an exact join has to follow."""
+    bucket, bit = _slot(wanted_hash)
+    marks = wanted.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    bucket, bit = _slot(hashed)
+    byte = F.conv(F.hex(F.substring("_bits", F.expr("cast(_bit div 8 + 1 as int)"), F.lit(1))), 16, 10)
+    return (df.withColumns({"_bucket": bucket, "_bit": bit}).join(F.broadcast(marks), "_bucket")
+            .filter(F.getbit(byte.cast("long"), F.pmod("_bit", F.lit(8)).cast("int")) == 1)
+            .drop("_bucket", "_bit", "_bits"))

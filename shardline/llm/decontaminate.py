@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import drop_staged, let, staged, text_key
+from shardline.llm.common import drop_staged, let, may_contain, staged, text_key
 
 WORDS, PERCENT, RADIUS, BITS = 5, 80, 23, 64
 
@@ -94,8 +94,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     windows = None
     for (k,) in sorted(items.select("k").distinct().collect()):  # sizes up to ``words``
-        met = (docs.select("id", "th", F.posexplode(shingle_hashes(words_of(F.col("text")), k)).alias("pos", "gram"))
-               .join(grams.filter(F.col("k") == k), "gram")
+        own = grams.filter(F.col("k") == k)
+        said = docs.select("id", "th", F.posexplode(shingle_hashes(words_of(F.col("text")), k)).alias("pos", "gram"))
+        met = (may_contain(said, F.col("gram"), own, F.col("gram")).join(own, "gram")
                .select("id", "th", "w", "k", "m", (F.col("pos") - F.col("at")).alias("start")).distinct())
         windows = met if windows is None else windows.unionByName(met)
     if windows is None:

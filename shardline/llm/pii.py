@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import drop_staged, let, staged, text_key
+from shardline.llm.common import drop_staged, let, may_contain, staged, text_key
 
 #: The kinds in their order, and the contract's patterns. Runs that a
 #: match can only take whole are possessive, and a start inside a run is skipped unless
@@ -144,6 +144,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cont
     wanted = staged(pairs.select("term").distinct(), "pii-wanted")
     said = docs.select("id", "th", F.explode(F.array_distinct(F.regexp_extract_all(
         F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    said = may_contain(said, F.xxhash64("term"), wanted, F.xxhash64("term"))
     per_term = said.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n")).first()["n"]
     disclosure = (F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))

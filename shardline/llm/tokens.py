@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -80,6 +80,23 @@ def whole_tokens(spec: str) -> frozenset[str]:
                      if len(e.ids) == 1)
 
 
+def _remembered(known: dict, texts: list[list[str]], learn) -> list[str]:
+    """Make ``known`` hold every piece of the texts; the pieces that are new."""
+    fresh = {x for x in set().union(*texts) if x not in known}
+    if fresh:
+        known.update(learn(fresh))
+    return list(fresh)
+
+
+def _forget(known: dict, fresh: list[str]) -> None:
+    """Drop new pieces that are long, and those beyond the table's size."""
+    over = len(known) - REMEMBER
+    for x in fresh:
+        if len(x) > LONG or over > 0:
+            del known[x]
+            over -= 1
+
+
 class Counter:
     """Token counts of texts, chunk by chunk."""
 
@@ -95,20 +112,10 @@ class Counter:
         """Whole texts; the library takes those that single spaces would tear."""
         odd = [bool(_TORN.search(t)) or any(s in t for s in self.special) for t in texts]
         chunks = [[] if o else self._chunks(t) for t, o in zip(texts, odd)]
-        known = self.known
-        new = set().union(*chunks) - known.keys()
-        fresh = self._learn(new) if new else {}
-        out = []
-        for t, o, c in zip(texts, odd, chunks):
-            if o:
-                out.append(self.merged([t])[0])
-            elif fresh:
-                out.append(sum(known[x] if x in known else fresh[x] for x in c))
-            else:
-                out.append(sum(map(known.__getitem__, c)))
-        room = REMEMBER - len(known)
-        if room > 0:
-            known.update((k, v) for k, v in list(fresh.items())[:room] if len(k) <= LONG)
+        fresh = _remembered(self.known, chunks, self._learn)
+        out = [self.merged([t])[0] if o else sum(map(self.known.__getitem__, c))
+               for t, o, c in zip(texts, odd, chunks)]
+        _forget(self.known, fresh)
         return out
 
     @staticmethod
@@ -166,22 +173,14 @@ class WordIds:
     def __init__(self, spec: str):
         self.tok, self.known = load_tokenizer(spec)
 
-    def _bytes(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        words = list(words)
+        found = self.tok.encode_batch_fast(words, add_special_tokens=False)
+        return {w: struct.pack(f"<{len(e)}I", *e.ids) for w, e in zip(words, found)}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(self._ODD_BREAK.search(t)) for t in texts]
-        words = [[t] if o else t.split() for t, o in zip(texts, odd)]
-        known = self.known
-        new = list(set().union(*words) - known.keys())
-        fresh = dict(zip(new, self._bytes(new))) if new else {}
-        if fresh:
-            both = {**fresh}
-            out = [b"".join([known[w] if w in known else both[w] for w in ws]) for ws in words]
-        else:
-            out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        room = REMEMBER - len(known)
-        if room > 0:
-            known.update((k, v) for k, v in list(fresh.items())[:room] if len(k) <= LONG)
+        words = [[t] if self._ODD_BREAK.search(t) else t.split() for t in texts]
+        fresh = _remembered(self.known, words, self._learn)
+        out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        _forget(self.known, fresh)
         return out
