@@ -69,7 +69,8 @@ def test_language_edges(spark, edge, docs):
 
 
 def test_backoff_order():
-    model = language_id.Model(["a", "b"], {"known": [9, 1]}, {"^xyz$": [1, 9], "x": [9, 1]})
+    model = language_id.Model(["a", "b"], {"known": [9, 1], "other": [5, 5]},
+                              {"^xyz$": [1, 9], "^abc$": [5, 5], "x": [9, 1], "y": [5, 5]})
     assert model.score_word("known")[0] > model.score_word("known")[1]
     assert model.score_word("xyz")[1] > model.score_word("xyz")[0]  # five characters with the marks
     assert model.score_word("x")[0] > model.score_word("x")[1]  # down to one character
