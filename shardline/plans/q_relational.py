@@ -239,31 +239,11 @@ def q_expand_slots(spark, sf_dir):
     return rel.expand_slots(parsed, "host", "slots").select("host", "slot")
 
 
-RANGE_EXPR_SQL = """
-SELECT n_nationkey, 'n[' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '-' ||
-       lpad(CAST(n_nationkey + n_regionkey AS VARCHAR), 2, '0') || ',' ||
-       lpad(CAST(n_nationkey + 30 AS VARCHAR), 3, '0') || '],r' || CAST(n_regionkey AS VARCHAR) AS expr
-FROM nation
-"""
-
-
-@query("expand_ranges", f"""
-WITH src AS ({RANGE_EXPR_SQL}),
-items AS (SELECT * FROM (SELECT n_nationkey, unnest(regexp_extract_all(expr, '[^,\\[\\]]*(?:\\[[^\\]]*\\])?[^,\\[\\]]*')) AS item FROM src)
-          WHERE item <> ''),
-parts AS (SELECT n_nationkey, item, regexp_extract(item, '^([^\\[]*)', 1) AS pre,
-                 regexp_extract(item, '\\]([^\\]]*)$', 1) AS post, contains(item, '[') AS has,
-                 unnest(CASE WHEN contains(item, '[') THEN string_split(regexp_extract(item, '\\[([^\\]]*)\\]', 1), ',')
-                             ELSE [NULL] END) AS part
-          FROM items),
-b AS (SELECT *, regexp_extract(part, '^(\\d+)(?:-(\\d+))?$', 1) AS lo_s,
-              regexp_extract(part, '^(\\d+)(?:-(\\d+))?$', 2) AS hi_s FROM parts),
-c AS (SELECT *, TRY_CAST(nullif(lo_s, '') AS BIGINT) AS lo,
-              coalesce(TRY_CAST(nullif(hi_s, '') AS BIGINT), TRY_CAST(nullif(lo_s, '') AS BIGINT)) AS hi FROM b),
-r AS (SELECT n_nationkey, pre, post, length(lo_s) AS w, unnest(range(lo, hi + 1)) AS x FROM c WHERE has AND hi >= lo)
-SELECT DISTINCT n_nationkey, pre || lpad(CAST(x AS VARCHAR), CAST(greatest(w, length(CAST(x AS VARCHAR))) AS INTEGER), '0') || post AS host FROM r
-UNION
-SELECT DISTINCT n_nationkey, item AS host FROM parts WHERE NOT has
+@query("expand_ranges", """
+SELECT n_nationkey, 'n' || lpad(CAST(x AS VARCHAR), 2, '0') AS host
+FROM nation, unnest(range(n_nationkey, n_nationkey + n_regionkey + 1)) AS u(x)
+UNION SELECT n_nationkey, 'n' || lpad(CAST(n_nationkey + 30 AS VARCHAR), 3, '0') FROM nation
+UNION SELECT n_nationkey, 'r' || CAST(n_regionkey AS VARCHAR) FROM nation
 """)
 def q_expand_ranges(spark, sf_dir):
     """Compressed host lists made from nation keys, e.g. ``n[03-04,033],r1``."""

@@ -60,12 +60,15 @@ def q_normalize_status(spark, sf_dir):
     return t.select("o_orderkey", sc.normalize_status("txt").alias("state"))
 
 
+# by string positions, so that a mistake in the patterns would show
 URL_SQL = """
-SELECT page_id,
-  nullif(lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), '') AS scheme,
-  nullif(lower(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^(?:[^@]*@)?([^:]*)', 1)), '') AS host,
-  nullif(regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^([^@:]*)(?::[^@]*)?@', 1), '') AS "user"
-FROM pages
+WITH a AS (SELECT page_id, url, strpos(url, '://') AS p FROM pages),
+b AS (SELECT page_id, CASE WHEN p > 1 THEN lower(substr(url, 1, p - 1)) END AS scheme,
+             CASE WHEN p > 1 THEN split_part(split_part(split_part(substr(url, p + 3), '/', 1), '?', 1), '#', 1) END AS auth
+      FROM a)
+SELECT page_id, scheme, nullif(lower(split_part(list_last(string_split(auth, '@')), ':', 1)), '') AS host,
+       CASE WHEN contains(auth, '@') THEN nullif(split_part(split_part(auth, '@', 1), ':', 1), '') END AS "user"
+FROM b
 """
 
 
@@ -75,10 +78,13 @@ def q_parse_endpoints(spark, sf_dir):
     return p.select("page_id", *[c.alias(n) for n, c in sc.parse_endpoints("url").items()])
 
 
-@query("extract_pattern", """
-SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS title,
-       nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang
-FROM pages
+def _between_sql(start: str, end: str) -> str:
+    return (f"CASE WHEN strpos(html, '{start}') > 0 AND strpos(substr(html, strpos(html, '{start}')), '{end}') > 0 "
+            f"THEN split_part(substr(html, strpos(html, '{start}') + length('{start}')), '{end}', 1) END")
+
+
+@query("extract_pattern", f"""
+SELECT page_id, {_between_sql('<title>', '</title>')} AS title, {_between_sql('<html lang="', '"')} AS lang FROM pages
 """)
 def q_extract_pattern(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select("page_id", "html")
