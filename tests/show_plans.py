@@ -11,13 +11,13 @@ import sys
 from contextlib import redirect_stdout
 
 NAMES = [
-    ("shard_batch_summary", "flagship: offsets from checkpointed range slices, broadcast slice table, partial aggregates"),
+    ("shard_batch_summary", "flagship: offsets from staged range slices, bounded correction table, partial aggregates"),
     ("retain_by_time", "retention: scalar subquery for the newest time, ts-only scan, no cross join"),
-    ("lookup_parent", "parent lookup: size-checked broadcast of the parent side, pushed region filter"),
-    ("latest_by", "latest per key: partial max_by, no window, no sort"),
-    ("member_sessions", "sessions: gap scan over checkpointed slices, bounded correction broadcast, partial aggregate"),
+    ("lookup_parent", "parent lookup: the optimizer picks the broadcast side, pushed region filter"),
+    ("latest_by", "latest per key: partial max_by (sort-based), no window"),
+    ("member_sessions", "sessions: gap scan over staged slices, bounded correction table, partial aggregate"),
     ("match_single_attachment", "single attachment: hash aggregate of count + min, then joins"),
-    ("expand_slots", "slot expansion: filter before sequence, chunked rows spread before exploding"),
+    ("expand_slots", "slot expansion: chunks dealt round-robin before they are exploded"),
 ]
 
 
