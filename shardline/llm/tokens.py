@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from shardline.session import ship_package
 
-REMEMBER = 400_000  # chunks or words a worker remembers, of at most LONG characters
+REMEMBER = 800_000  # chunks or words a worker remembers, of at most LONG characters
 LONG, ROWS = 48, 128
 #: The pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,6 +42,7 @@ def tokenizer_json(name: str) -> str:
 
 
 _LOADED: dict = {}
+_LETTERS: dict = {}
 
 
 def load_tokenizer(spec: str):
@@ -165,18 +166,53 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class WordIds:
-    """Token ids of whole texts for a tokenizer that drops white space: each word's
-    ids as bytes (little-endian unsigned 32-bit), remembered in the worker."""
+    """Token ids of whole texts for a tokenizer that lower-cases and drops white space:
+    each word's ids as bytes (little-endian unsigned 32-bit), remembered in the worker.
+
+    A word of Latin-1 letters, with ASCII symbols but no apostrophe behind them, is two
+    pre-tokens at most, and normalising only lower-cases it; its letters go straight to
+    the library's merge model, and words that differ in case or symbols share them. All
+    other words go through the whole tokenizer."""
 
     _ODD_BREAK = re.compile("[\x1c-\x1f]")  # Python splits at these, the library doesn't
+    _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, spec: str):
         self.tok, self.known = load_tokenizer(spec)
+        self.model, self.letters = self.tok.model, _LETTERS.setdefault(hash(spec), {})
+        chars = {b: c for c, b in _bytes_to_chars().items()}
+        self.as_bytes = {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
+
+    def _letters(self, word: str) -> bytes:
+        found = self.letters.get(word)
+        if found is None:
+            ids = [t.id for t in self.model.tokenize(word.translate(self.as_bytes))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(self.letters) < REMEMBER and len(word) <= LONG:
+                self.letters[word] = found
+        return found
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        words = list(words)
-        found = self.tok.encode_batch_fast(words, add_special_tokens=False)
-        return {w: struct.pack(f"<{len(e)}I", *e.ids) for w, e in zip(words, found)}
+        out, rest = {}, []
+        for w in words:
+            m = self._SIMPLE.fullmatch(w)
+            if m is None:
+                rest.append(w)
+            else:
+                head, tail = m.groups()
+                out[w] = self._letters(head.lower()) + (self._symbols(tail) if tail else b"")
+        return out | dict(zip(rest, self._whole(rest))) if rest else out
+
+    def _symbols(self, tail: str) -> bytes:
+        found = self.letters.get(tail)
+        if found is None:
+            found = self._whole([tail])[0]
+            if len(self.letters) < REMEMBER and len(tail) <= LONG:
+                self.letters[tail] = found
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [[t] if self._ODD_BREAK.search(t) else t.split() for t in texts]
