@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardline.llm.common import drop_staged, staged
 from shardline.session import ship_package
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS = 20_000, 60_000, 60_000, (5, 4, 3, 2, 1)
@@ -133,10 +134,11 @@ def learn(labelled: DataFrame, total: int, max_docs: int = MAX_DOCS, max_words:
     sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(_SCALE)) < share).select("lang", "text")
     counts = (_counted(sample.filter("text IS NOT NULL")).groupBy("kind", "item", "lang")
               .agg(F.sum("n").alias("n")))
-    items = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"),
-                                               F.collect_list(F.struct("lang", "n")).alias("langs"))
+    items = staged(counts.groupBy("kind", "item").agg(
+        F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("langs")), "language-counts")
     top = [items.filter(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(most).collect()
            for k, most in (("w", max_words), ("g", max_grams))]
+    drop_staged(items)
     langs = sorted({x.lang for r in top[1] for x in r.langs})
     place = {lang: i for i, lang in enumerate(langs)}
 
