@@ -2,27 +2,33 @@
 terms that give a protected entity away.
 
 Base spans are found by patterns: e-mail and IP addresses, card and phone numbers.
-Each distinct match is a protected entity. A term is a word of four letters or more
-that stands within ``context`` characters of a mention. Over the whole corpus we
-count the documents with the entity, n_e, with the term, n_t, with the term near the
-entity, n_et, of N documents in all. How strongly the term reveals the entity is the
-share of the entity's information that it carries:
+Each distinct match is a protected entity, and so are the classes that it belongs to:
+mail domain, account stem (no tag, no digits at the end), network of an IP address,
+issuer of a card, number range of a phone. A term is a word of four letters or more
+outside the base spans. Over all N documents we count those with the entity, n_e, with
+the term, n_t, and with both anywhere in them, n_et. How strongly the term reveals the
+entity is the share of the entity's information that it carries:
 
-    disclosure = PMI(entity; term) / IC(entity)
-               = log(n_et * N / (n_e * n_t)) / log(N / n_e)
+    disclosure = PMI(entity; term) / IC(entity) = log(P(e|t) / p) / log(1 / p),  p = n_e / N
 
-1 means that who sees the term knows the entity. Terms seen near the entity in at
-least ``support`` different texts and with a disclosure of ``remove_from`` or more are
-removed, those of ``generalise_from`` or more generalised, where they stand near it.
-The method only adds spans, of kind ``term``; the base spans stay.
+1 means that who sees the term knows the entity. P(e|t) is a deleted estimate, smoothed
+with ``smoothing`` documents of the corpus at large: what the other documents say of a
+term when the text that has most copies, c, of those with both is left out,
+
+    P(e|t) = (n_et - c + smoothing * p) / (n_t - c + smoothing)
+
+so that a pair of one text only, however often copied, tells nothing. Terms of a
+disclosure of ``remove_from`` or more for any entity are removed, those of
+``generalise_from`` or more generalised, wherever they occur outside base spans, also in
+documents without an entity. The method only adds spans, of kind ``term``; the base
+spans stay.
 
 Only Spark's own functions run. Counts are summed up by term or pair before they
 meet, and joins read plain scans, so that an entity or term of a third of all
 documents can be split over tasks.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat a
-doc_id are documents of their own, told apart by their texts (equal rows count once
-as documents); an empty table gives an empty result. Offsets are code points, ends
+doc_id are documents of their own, told apart by their texts; an empty table gives an empty result. Offsets are code points, ends
 exclusive. Only the id and text columns are looked at.
 """
 
@@ -46,17 +52,16 @@ PATTERNS = {
 #: A cheap test that a text can hold a match at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{4,}+"
-CONTEXT, SUPPORT, GENERALISE_FROM, REMOVE_FROM = 64, 3, 0.8, 0.95
+SMOOTHING, GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8, 0.95
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str, offset: Column | None = None, kind: str = "", order: int = 0) -> Column:
+def located(text: Column, pattern: str | Column, kind: str = "", order: int = 0) -> Column:
     """All matches as spans, leftmost and not overlapping. Positions follow from the
     lengths of the pieces between the matches."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.coalesce(offset, F.lit(0)) if offset is not None else F.lit(0)
     zipped = F.arrays_zip(F.transform(pieces, F.char_length).alias("gap"), hits.alias("hit"))
-    begin = F.struct(zero.cast("int").alias("at"), F.expr("array()").cast(SPAN).alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = (acc["at"] + x["0"]).cast("int")
@@ -99,72 +104,104 @@ def rendered(spans: Column) -> Column:
                                                                  s["end"].cast("string"))), ",")
 
 
-def _terms_near(text: Column, base: Column, span: Column, context: int) -> Column:
-    """The terms around a base span, whole words only and outside all base spans."""
-    lo = F.greatest(span["start"] - context, F.lit(0))
-    left = F.substring(text, lo + 1, span["start"] - lo)
-    cut = F.when(lo > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substring(text, span["end"] + 1, F.lit(context))
-    right = F.when(F.char_length(text) > span["end"] + context, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    near = F.concat(let(cut, lambda c: located(c, TERM, span["start"] - F.char_length(c), "term", len(KINDS))),
-                    located(right, TERM, span["end"], "term", len(KINDS)))
-    return F.filter(near, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-
-
-def _entity(span: Column) -> Column:
-    return F.concat_ws(":", span["kind"], F.when(span["kind"].isin("card", "phone"), F.regexp_replace(
-        span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
+def masked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, all other characters where they were."""
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
+
+    state = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    whole = let(state, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2 ** 31 - 1))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def words_in(text: Column) -> Column:
+    """The distinct words of a masked text that can be terms, as they are written."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def entities_of(span: Column) -> Column:
+    """The protected entity of a base span and the classes it belongs to."""
+    digits, low = F.regexp_replace(span["value"], "[^0-9]", ""), F.lower(span["value"])
+    named = lambda name, v: F.concat(F.lit(name + ":"), v)
+    stem = F.regexp_replace(F.regexp_replace(F.substring_index(low, "@", 1), r"\+.*", ""), r"[0-9]+$", "")
+    return (F.when(span["kind"] == "email", F.array(
+                named("email", low), named("domain", F.substring_index(low, "@", -1)),
+                named("stem", F.when(stem != "", stem).otherwise(low))))
+            .when(span["kind"] == "ip", F.array(named("ip", low), named("network", F.substring_index(low, ".", 3))))
+            .when(span["kind"] == "card", F.array(named("card", digits), named("issuer", F.left(digits, F.lit(6)))))
+            .otherwise(F.array(named("phone", digits), named("range", F.left(digits, F.char_length(digits) - 4)))))
+
+
+def _revealing(docs: DataFrame, base: DataFrame, total: int, smoothing: float, generalise_from: float,
+               remove_from: float) -> DataFrame:
+    """(term, action) of the terms that give a protected entity away."""
+    texts = staged(base.filter("entities IS NOT NULL").groupBy("th").agg(
+        F.sum("copies").alias("c"), F.any_value("entities").alias("entities"), F.any_value("words").alias("words")),
+        "pii-texts")
+    named = texts.select("th", "c", F.explode("entities").alias("entity"))
+    # an entity or pair of one text only can't be told from that text: its estimate is p
+    repeated = staged(named.groupBy("entity").agg(F.sum("c").alias("n_e"), F.max("c").alias("top"))
+                      .filter((F.col("n_e") > F.col("top")) & (F.col("n_e") < total)).select("entity", "n_e"),
+                      "pii-entities")
+    found = staged(may_contain(named.select("th", "entity"), F.xxhash64("entity"), repeated, F.xxhash64("entity"))
+                   .join(repeated, "entity"), "pii-named")
+    found = found.groupBy("th").agg(F.collect_list(F.struct("entity", "n_e")).alias("found"))
+    terms = F.array_distinct(F.transform("words", F.lower))
+    pairs = staged(texts.select("th", "c", terms.alias("terms")).join(found, "th")
+                   .select("c", "terms", F.explode("found").alias("e"))
+                   .select("c", "e.entity", "e.n_e", F.explode("terms").alias("term"))
+                   .groupBy("entity", "n_e", "term").agg(F.sum("c").alias("n_et"), F.max("c").alias("top"))
+                   .filter(F.col("n_et") > F.col("top")), "pii-pairs")
+    wanted = staged(pairs.select("term").distinct(), "pii-wanted")
+    said = docs.select(F.explode(F.array_distinct(F.transform(let(base_spans(F.col("text")), lambda b: words_in(
+        masked(F.col("text"), b))), F.lower))).alias("term"))
+    per_term = staged(said.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi"), "pii-terms")
+    p = F.col("n_e") / F.lit(float(total))
+    given = ((F.col("n_et") - F.col("top") + F.lit(float(smoothing)) * p)
+             / (F.col("n_t") - F.col("top") + F.lit(float(smoothing))))
+    disclosure = F.log(given / p) / -F.log(p)
+    out = staged(pairs.join(per_term, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure"))
+                 .filter(F.col("disclosure") >= generalise_from)
+                 .select("term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise")
+                         .alias("action")), "pii-revealing")
+    drop_staged(texts, repeated, pairs, wanted, per_term)
+    return out
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT,
-             support: int = SUPPORT, generalise_from: float = GENERALISE_FROM,
-             remove_from: float = REMOVE_FROM) -> DataFrame:
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING,
+             generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM) -> DataFrame:
     """(id, th, base, terms): per distinct (id, text) the base spans and the added
     spans; a term's ``value`` is what becomes of it, ``remove`` or ``generalise``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), text.alias("text"))
 
-    def near(base: Column) -> Column:
-        return F.transform(base, lambda s: F.struct(
-            _entity(s).alias("entity"), _terms_near(F.col("text"), base, s, context).alias("terms")))
-
+    some = lambda b, value: F.when(F.size(b) > 0, value)
     found = let(base_spans(F.col("text")), lambda b: F.struct(
-        b.alias("base"), F.when(F.size(b) > 0, near(b)).alias("near")))
-    base = staged(docs.select("id", "th", found.alias("found")).select("id", "th", "found.*")
-                  .dropDuplicates(["id", "th"]), "pii-base")
-    mentions = (base.filter("near IS NOT NULL").select("id", "th", F.explode("near").alias("x"))
-                .select("id", "th", F.col("x.entity").alias("entity"), F.explode_outer("x.terms").alias("t"))
-                .select("id", "th", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"),
-                        F.col("t.end").alias("end")))
-    per_entity = mentions.select("entity", "id", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (mentions.filter("term IS NOT NULL").select("entity", "term", "id", "th").distinct()
-             .groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("th").alias("texts"))
-             .filter(F.col("texts") >= support))
-    pairs = staged(pairs.join(per_entity, "entity"), "pii-pairs")
-    wanted = staged(pairs.select("term").distinct(), "pii-wanted")
-    said = docs.select("id", "th", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    said = may_contain(said, F.xxhash64("term"), wanted, F.xxhash64("term"))
-    per_term = said.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.agg(F.count("*").alias("n")).first()["n"]
-    disclosure = (F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-                  / F.log(F.lit(float(max(total, 1))) / F.col("n_e")))
-    revealing = staged(
-        pairs.join(per_term, "term").filter(F.col("n_e") < total)
-        .select("entity", "term", disclosure.alias("disclosure"))
-        .filter(F.col("disclosure") >= generalise_from)
-        .select("entity", "term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise")
-                .alias("action")), "pii-revealing")
-    added = (mentions.join(revealing, ["entity", "term"])
-             .groupBy("id", "th", "start", "end").agg(F.max("action").alias("action"))
-             .groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct(
-                 "start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"),
-                 F.col("action").alias("value")))).alias("terms")))
-    added = added.select(F.col("id").alias("aid"), F.col("th").alias("ath"), "terms")
+        b.alias("base"), some(b, F.array_distinct(F.flatten(F.transform(b, entities_of)))).alias("entities"),
+        some(b, words_in(masked(F.col("text"), b))).alias("words")))
+    base = staged(docs.select("id", "th", found.alias("found")).groupBy("id", "th").agg(
+        F.any_value("found").alias("found"), F.count("*").alias("copies")).select("id", "th", "copies", "found.*"),
+        "pii-base")
+    total = base.agg(F.sum("copies")).first()[0] or 0
+    revealing = _revealing(docs, base, total, smoothing, generalise_from, remove_from)
+    said = docs.select("id", "th", F.explode(let(base_spans(F.col("text")), lambda b: words_in(
+        masked(F.col("text"), b)))).alias("word")).withColumn("term", F.lower("word"))
+    held = staged(may_contain(said, F.xxhash64("term"), revealing, F.xxhash64("term")).join(revealing, "term")
+                  .groupBy("id", "th").agg(F.map_from_entries(F.collect_set(F.struct("word", "action"))).alias("actions"))
+                  .select(F.col("id").alias("hid"), F.col("th").alias("hth"), "actions"), "pii-held")
+    some_docs = may_contain(docs, F.xxhash64("id", "th"), held, F.xxhash64("hid", "hth"))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("actions"), "|"), F.lit(r")(?!\p{L})"))
+    places = let(base_spans(F.col("text")), lambda b: located(masked(F.col("text"), b), pattern, "term", len(KINDS)))
+    added = staged(some_docs.join(held, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")))
+                   .select("id", "th", F.transform(places, lambda t: t.withField("value", F.col("actions")[t["value"]]))
+                           .alias("terms")).dropDuplicates(["id", "th"])
+                   .select(F.col("id").alias("aid"), F.col("th").alias("ath"), "terms"), "pii-added")
     out = (base.select("id", "th", "base")
            .join(added, F.col("id").eqNullSafe(F.col("aid")) & (F.col("th") == F.col("ath")), "left")
            .select("id", "th", "base", F.coalesce("terms", F.expr("array()").cast(SPAN)).alias("terms")))
-    drop_staged(wanted)
+    drop_staged(revealing, held)
     return out
 
 

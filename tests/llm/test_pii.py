@@ -80,3 +80,24 @@ def test_revealing_terms(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert "Zorblax" not in clean[1] and "<EMAIL>" in clean[1] and "please write soon" in clean[1]
     assert clean[11] == rows[5][1]
+
+
+def test_revealing_terms_of_whole_documents(spark):
+    """Two texts are enough, the distance doesn't count, classes of entities do, and a
+    term is marked in every document; a word of one copied text tells nothing."""
+    far = "filler words stand here " * 8
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+    rows = [(0, f"Quixot {far} mail ann@one.example"), (1, f"{far} quixot was ann@one.example here")]
+    rows += [(10 + i, f"{word(i)}@team.example {far} Borogove {word(10 + i)}") for i in range(8)]
+    rows += [(20, f"{far} nobody but borogove"), (21, f"only copied bob@two.example {word(99)}"),
+             (22, f"only copied bob@two.example {word(99)}")]
+    rows += [(100 + i, f"{far} {word(100 + i)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spans = {r.doc_id: r.spans.split(",") for r in pii.pii_digest(df).collect()}
+    texts = dict(rows)
+    for i, term in [(0, "Quixot"), (1, "quixot"), (20, "borogove"), *((10 + i, "Borogove") for i in range(8))]:
+        at = texts[i].index(term)
+        assert f"term:{at}:{at + len(term)}" in spans[i], (i, term)
+    assert not [s for i in (21, 22, 100) for s in spans[i] if s.startswith("term")]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert "orogove" not in clean[20] and "nobody but" in clean[20] and word(99) in clean[21]
