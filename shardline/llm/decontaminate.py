@@ -4,17 +4,22 @@ A document is contaminated by a benchmark item if a window of as many words as t
 item has is at least 0.8 similar to it: shingles of five words (all words of a
 shorter item), weighed by their number, sum of minima over sum of maxima.
 
-1. Windows. A window can only be similar to an item if it shares a shingle with it
-   in place, so the documents' shingles meet those of the benchmark, and each
-   meeting lays one window of the item's size where the item would have to begin.
-   No other window can reach the similarity, so nothing is lost. Only the places where
-   they meet leave the first scan; a second one cuts the windows out.
+1. Windows. Of the windows at every start, those are laid whose positions meet
+   shingles of items of that size often enough to reach the similarity; a place counts
+   at most once, so none that reaches it has fewer. A window that begins with a shingle of no
+   item is no better than the next one, and one that ends so no better than the
+   one before if that begins with an item's shingle; such windows are left out unless a shingle
+   stands in place, as the best one stays. Order doesn't count: an item whose
+   halves are swapped is found. Only the places where they meet leave the first scan; a
+   second one lays and cuts the windows. Windows may reach over an end of a document.
 2. Fingerprints. Equal windows are fingerprinted once: 64 bits, each the weighted
    vote of the shingle hashes. The fingerprint is cut into ``radius + 1`` blocks.
    Of two fingerprints that differ in at most ``radius`` bits, one block is equal,
    so the join on (size, block number, block bits) finds them all. At similarity
-   0.8 the angle is at most 27.3 degrees and 9.7 bits are expected to differ, with
-   a deviation of 2.9: the default radius of 23 is 4.8 deviations above.
+   0.8 the angle of windows without repeated shingles is at most 27.3 degrees and 9.7
+   bits are expected to differ, with a deviation of 2.9: the default radius of 23 is 4.8
+   deviations above. Where a shingle is repeated many times on one side only, the angle can
+   be larger and a miss more likely.
 3. Verification. Candidates within the radius are judged by the exact weighted
    similarity.
 
@@ -23,7 +28,8 @@ Words are runs of letters and digits, lower-cased. Only Spark's own functions ru
 Defined results: null and empty texts and items without words match nothing; items
 shorter than five words match as one shingle; a benchmark or corpus without rows
 gives no rows; rows that repeat a doc_id or item_id give one row per pair of ids,
-the most similar window and the first of those; a null doc_id stays null, items with a
+the most similar window, of equal ones one with a shingle in place, and the first of those
+laid; a null doc_id stays null, items with a
 null item_id are left out.
 """
 
@@ -83,38 +89,72 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> Data
     return sized.select("item", "w", F.least("w", F.lit(words)).alias("k"), grams.alias("grams"))
 
 
+def _starts(hits: Column, m: Column, size: Column, percent: int) -> Column:
+    """(start, placed) of the windows to lay for the ``hits`` (pos, ats): the places that
+    meet, in order, and where in items. ``size`` is the number of the document's shingles."""
+    at = hits["pos"]  # the places alone
+    run = lambda lo, n: F.slice(at, lo + 1, n)
+    made = lambda start, out, lo: F.struct(start.cast("int").alias("start"), F.lit(out).alias("out"),
+                                           F.greatest(lo, F.lit(0)).cast("int").alias("lo"))
+    placed = F.flatten(F.transform(hits, lambda h, i: F.transform(
+        h["ats"], lambda x: made(h["pos"] - x, 0, i - x))))
+    cut_short = F.transform(F.filter(at, lambda p: p < m - 1), lambda p: made(p - m + 1, 1, F.lit(0)))
+
+    def first(p: Column, i: Column) -> Column:
+        follows = (i > 0) & (F.get(at, i - 1) == p - 1)
+        ends = F.exists(run(i, m), lambda q: q == p + m - 1)
+        return F.when(~F.coalesce(follows, F.lit(False)) | (p + m > size) | ends, made(p, 1, i))
+
+    begun = F.filter(F.transform(at, first), lambda x: x.isNotNull())
+    each = let(F.array_sort(F.concat(placed, cut_short, begun)), lambda all_: F.filter(
+        all_, lambda x, j: (j == 0) | (F.get(all_, j - 1)["start"] != x["start"])))
+
+    def enough(x: Column) -> Column:
+        s = x["start"]
+        met = F.size(F.filter(run(x["lo"], 2 * m), lambda p: (p >= s) & (p < s + m)))
+        total = F.least(s + m, size) - F.greatest(s, F.lit(0))
+        return (100 + percent) * met >= percent * (total + m)
+
+    return F.filter(each, enough)
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", words: int = WORDS, percent: int = PERCENT,
                  radius: int = RADIUS) -> DataFrame:
-    """(id, th, item, start, n_words, similarity): per document text and item the
-    most similar window; start counts words from 0."""
+    """(id, th, item, start, n_words, similarity, placed): per document text and item
+    the most similar window; start counts words from 0, and placed is 1 if a shingle of an
+    item of that size stands in place."""
     items = staged(_items(benchmark, item_id, item_text, words), "decon-items")
-    grams = staged(items.select("w", "k", F.posexplode("grams").alias("at", "gram"),
-                                (F.size("grams")).alias("m")).distinct(), "decon-grams")
+    grams = staged(items.select("w", "k", F.posexplode("grams").alias("at", "gram"), F.size("grams").alias("m"))
+                   .groupBy("w", "k", "m", "gram").agg(F.collect_set("at").alias("ats")), "decon-grams")
     docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     windows = None
     for (k,) in sorted(items.select("k").distinct().collect()):  # sizes up to ``words``
         own = grams.filter(F.col("k") == k)
         said = docs.select("id", "th", F.posexplode(shingle_hashes(words_of(F.col("text")), k)).alias("pos", "gram"))
         met = (may_contain(said, F.col("gram"), own, F.col("gram")).join(own, "gram")
-               .select("id", "th", "w", "k", "m", (F.col("pos") - F.col("at")).alias("start")).distinct())
+               .select("id", "th", "w", "k", "m", "pos", "ats"))
         windows = met if windows is None else windows.unionByName(met)
     if windows is None:
         kind = df.schema[id_col].dataType.simpleString()
         return df.sparkSession.createDataFrame(
             [], f"id {kind}, th long, item {items.schema['item'].dataType.simpleString()}, start int, n_words int, "
-                "similarity double")
+                "similarity double, placed int")
     places = staged(windows, "decon-places")
-    per_doc = staged(places.groupBy("id", "th", "k").agg(F.collect_list(F.struct("w", "m", "start")).alias("places"))
+    met = (places.groupBy("id", "th", "k", "w", "m").agg(F.array_sort(F.collect_set(F.struct("pos", "ats"))).alias("hits"))
+           .filter(100 * F.size("hits") >= percent * F.col("m")))
+    per_doc = staged(met.groupBy("id", "th", "k").agg(F.collect_list(F.struct("w", "m", "hits")).alias("places"))
                      .select(F.col("id").alias("pid"), F.col("th").alias("pth"), "k", "places"), "decon-documents")
 
     def cut(hashes: Column) -> Column:
-        def window(p: Column) -> Column:
-            lo = F.greatest(p["start"], F.lit(0))
-            grams = F.slice(hashes, lo + 1, F.least(p["start"] + p["m"], F.size(hashes)) - lo)
-            return F.struct(p["w"].alias("w"), p["start"].alias("start"), grams.alias("grams"))
+        def window(p: Column, x: Column) -> Column:
+            lo = F.greatest(x["start"], F.lit(0))
+            grams = F.slice(hashes, lo + 1, F.least(x["start"] + p["m"], F.size(hashes)) - lo)
+            return F.struct(p["w"].alias("w"), x["start"].alias("start"), (1 - x["out"]).alias("placed"),
+                            grams.alias("grams"))
 
-        return F.transform("places", window)
+        return F.flatten(F.transform("places", lambda p: F.transform(
+            _starts(p["hits"], p["m"], F.size(hashes), percent), lambda x: window(p, x))))
 
     windows = None
     for (k,) in sorted(items.select("k").distinct().collect()):
@@ -123,7 +163,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                .select("id", "th", F.explode(let(shingle_hashes(words_of(F.col("text")), k), cut)).alias("x"))
                .select("id", "th", "x.*"))
         windows = one if windows is None else windows.unionByName(one)
-    windows = staged(windows.select("id", "th", "w", "start", "grams", F.xxhash64("grams").alias("c1"),
+    windows = staged(windows.select("id", "th", "w", "start", "placed", "grams", F.xxhash64("grams").alias("c1"),
                                     F.xxhash64(F.lit(1), "grams").alias("c2")), "decon-windows")
     content = ["w", "c1", "c2"]
     marked = staged(windows.groupBy(*content).agg(F.first("grams").alias("grams"))
@@ -144,11 +184,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     good = staged(scored.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both")))
                   .select(*content, "item", (F.col("both") / (F.col("sum") - F.col("both"))).alias("similarity")),
                   "decon-good")
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("w").alias("n_words")))
-    found = (windows.select("id", "th", "start", *content).join(good, content)
+    best = F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"), F.col("w").alias("n_words")))
+    found = (windows.select("id", "th", "start", "placed", *content).join(good, content)
              .groupBy("id", "th", "item").agg(best.alias("best"))
              .select("id", "th", "item", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"),
-                     F.col("best.similarity").alias("similarity")))
+                     F.col("best.similarity").alias("similarity"), F.col("best.placed").alias("placed")))
     found = staged(found, "decon-found")
     drop_staged(items, grams, places, per_doc, windows, marked, good)
     return found
@@ -156,7 +196,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def contamination_report(df: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity of each contaminated pair."""
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words"))
+    best = F.max(F.struct("similarity", "placed", (-F.col("start")).alias("back"), "n_words"))
     return (contaminated(df, benchmark).groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
             .agg(best.alias("best"))
             .select("doc_id", "item_id", (-F.col("best.back")).cast("long").alias("start"),

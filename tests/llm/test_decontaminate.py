@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -57,3 +58,43 @@ def test_blocks_find_all_within_the_radius(spark):
     both = df.select(decontaminate.hamming_blocks(F.col("a"), decontaminate.RADIUS).alias("a"),
                      decontaminate.hamming_blocks(F.col("b"), decontaminate.RADIUS).alias("b"))
     assert both.filter(F.size(F.array_intersect("a", "b")) > 0).count() == len(rows)
+
+
+def every_window(text, item):
+    """The best similarity of all windows of the item's size, over the ends as well."""
+    k = min(5, len(item))
+    grams = lambda ws: [tuple(ws[i:i + k]) for i in range(len(ws) - k + 1)]
+    want, said = grams(item), grams(text)
+    best = 0.0
+    for s in range(1 - len(want), len(said)):
+        window = said[max(s, 0):max(s + len(want), 0)]
+        both = sum((Counter(window) & Counter(want)).values())
+        best = max(best, both / (len(window) + len(want) - both))
+    return best
+
+
+def test_every_window_is_judged(spark):
+    """Swapped halves are no shingle in place but similar all the same; edits, ends of
+    documents and repeats against all windows."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    filler = lambda n: [word() for _ in range(n)]
+    items = [filler(n) for n in (50, 80, 100, 80)]
+    swap = lambda ws, at: ws[at:] + ws[:at]
+    rows = [filler(30) + swap(x, len(x) // 2) + filler(30) for x in items]
+    rows += [swap(x, len(x) // 3) for x in items] + [filler(3) + x[:-6] for x in items] + [x[7:] + filler(9) for x in items]
+    rows += [x * 3 for x in items[:2]] + [filler(5) + x[:30] + filler(40) + x[30:] for x in items]
+    rows += [x[40:60] + x[20:40] + x[:20] + x[60:] + filler(4) for x in items]
+    for _ in range(30):
+        own = list(rng.choice(items))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(own))
+            own[at:at + rng.randrange(3)] = filler(rng.randrange(3))
+        own = swap(own, rng.choice((0, 20, 35)))
+        rows.append(filler(rng.randrange(20)) + own[rng.randrange(6):] + filler(rng.randrange(20)))
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination_report(df, bench).collect()}
+    best = {(i, j): every_window(ws, item) for i, ws in enumerate(rows) for j, item in enumerate(items)}
+    assert got == pytest.approx({key: v for key, v in best.items() if v >= 0.8})
+    assert all((j, j) in got for j in range(4))
