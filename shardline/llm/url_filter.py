@@ -1,9 +1,10 @@
 """URL filter: explicit host/path rules, and a logistic regression on hashed
 character n-grams of host and path for all other URLs.
 
-The model learns from a small labelled URL table of (host, path, blocked), read
-as a bounded sample: at most ``max_rows`` distinct labelled URLs, the ones of
-smallest hash. Scoring sees every URL, whole.
+The model learns from a small labelled URL table of (host, path, blocked), by default
+the one in ``url_labels``, whose labels don't come from the rules. It is read as a
+bounded sample: at most ``max_rows`` distinct labelled URLs, half of them of each class as
+far as it has so many, the ones of smallest hash. Scoring sees every URL, whole.
 
 Defined results: a null URL, or one without ``://``, has empty host and path; no
 rule fits it and the model sees no n-gram, so the verdict is that of the
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardline.llm import url_labels
 from shardline.llm.common import ascii_lower
 from shardline.session import ship_package
 
@@ -90,24 +92,25 @@ def blocked_probability(host: str, path: str, weight: np.ndarray, bias: float, b
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, float]:
     """``labelled`` has host, path, blocked (0/1). At most ``max_rows`` distinct
-    rows come to the driver."""
-    rows = (labelled.select("host", "path", "blocked").distinct()
-            .orderBy(F.xxhash64("host", "path"), "host", "path", "blocked").limit(max_rows).collect())
-    return fit([(r.host, r.path, int(r.blocked)) for r in rows], bits)
+    rows of each class come to the driver, and as many in all are learned from."""
+    rows = labelled.select("host", "path", F.col("blocked").cast("int").alias("blocked")).distinct()
+    good, bad = (rows.filter(F.col("blocked") == c).orderBy(F.xxhash64("host", "path"), "host", "path")
+                 .limit(max_rows).collect() for c in (0, 1))
+    most = max(max_rows // 2, max_rows - len(bad))
+    good = good[:most]
+    return fit([(r.host, r.path, r.blocked) for r in good + bad[:max_rows - len(good)]], bits)
 
 
 def filter_urls(df: DataFrame, url_col: str = "url", labelled: DataFrame | None = None, rules=RULES,
                 max_rows: int = MAX_ROWS, bits: int = BITS) -> DataFrame:
     """``row`` (the input row), host, path, rule, verdict, p_block of every row.
 
-    ``labelled``: the labelled URL table; by default the distinct URLs that a rule
-    decides."""
+    ``labelled``: the labelled URL table; by default that of ``url_labels``."""
     host, path = host_path(F.col(url_col))
     split = df.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if labelled is None:
-        labelled = (split.select("host", "path", verdict.alias("v")).filter(F.col("v").isNotNull())
-                    .select("host", "path", (F.col("v") == "block").cast("int").alias("blocked")))
+        labelled = df.sparkSession.createDataFrame(url_labels.rows(), "host string, path string, blocked int")
     weight, bias = train(labelled, max_rows, bits)
     ship_package(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast((weight, bias))  # 2**bits doubles

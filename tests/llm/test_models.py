@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardline.llm import language_id, quality, queries, url_filter
+from shardline.llm import language_id, quality, queries, url_filter, url_labels
 from tests.conftest import SF_CHECK, SF_SMALL
 
 SF_RATED = "/root/testdata/sf0.1"
@@ -49,6 +49,27 @@ def test_url_model_learns_unseen_urls(spark):
     assert url_filter.blocked_probability("news99.example", "/news/99", *held) < 0.2
 
 
+def test_url_verdicts_without_a_rule(spark):
+    """By what the host is, not by domain or language of the path; no page's host is labelled."""
+    got = queries.op1_url_filter(spark, SF_RATED).toPandas()
+    free = got[got.rule.isna()]
+    bad = free.host.str.contains("casino|bets|pills|spam|ads-|adult")
+    assert not set(got.host) & {h for h, _, _ in url_labels.rows()}
+    assert bad.sum() > 60 and (free[bad].verdict == "block").mean() > 0.95
+    assert (free[~bad].verdict == "allow").mean() > 0.95
+    other = free[~bad & free.host.str.endswith("example.com") & free.path.str.match("/(es|fr)/")]
+    assert len(other) > 100 and (other.verdict == "allow").mean() > 0.95
+
+
+def test_url_sample_has_both_classes(spark):
+    """A rare class isn't lost in the bounded sample, and the other one fills it."""
+    rows = [(f"news{i}.example", "/", 0) for i in range(2000)] + [(f"spam{i}.example", "/", 1) for i in range(4)]
+    df = spark.createDataFrame(rows, "host string, path string, blocked int")
+    model = url_filter.train(df, max_rows=20)
+    assert url_filter.blocked_probability("spam99.example", "/", *model) > 0.5
+    assert url_filter.blocked_probability("news99.example", "/", *model) < 0.5
+
+
 def test_language_held_out_accuracy(spark, docs):
     got = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got.doc_id]).all()
