@@ -32,9 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest doc_id."""
-    gone = (ngram_join.similarity_classes(docs).filter("component_id <> doc_id")
-            .select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return ngram_join.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A document is the set of its distinct five-word shingles; two documents link whe
 100 * intersection >= 80 * union. The join gives every document the smallest
 doc_id it reaches by links; it never lists the pairs of a group.
 
-1. Equal sets become one class (hash of the set), so exact copies cost nothing
-   later on.
+1. Equal sets become one class, so exact copies cost nothing later on. Its key is a
+   hash of the set, as classes may share a doc_id; its least doc_id, ``lead``, goes along.
 2. A set of n shingles needs a partner with at least ceil(0.8 n) of them. Shingles
    whose hash lies in the lowest ``LOW`` of the range are counted over the whole
    corpus; a set of which more than n - ceil(0.8 n) occur in no other class can't have
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import drop_staged, staged
+from shardline.llm.common import drop_staged, may_contain, staged, text_key
 from shardline.llm.components import connected
 from shardline.session import ship_package
 
@@ -134,7 +134,7 @@ def required(n: Column, percent: int) -> Column:
 
 
 def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
-    """One pass over the texts: (id, n, s1, s2, low) with the shingles of low hash."""
+    """One pass over the texts: (id, th, n, s1, s2, low) with the shingles of low hash."""
     bound = np.uint64(int(LOW * 2 ** 64))
 
     def profile(batches):
@@ -144,11 +144,12 @@ def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
                 sigs = [signature(s) if len(s) else (0, 0) for s in found]
                 low = [s[:np.searchsorted(s, bound)].astype(np.int64) for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, ROWS), pa.array([len(s) for s in found], pa.int64()),
+                    [batch.column(0).slice(at, ROWS), batch.column(2).slice(at, ROWS),
+                     pa.array([len(s) for s in found], pa.int64()),
                      pa.array([x for x, _ in sigs], pa.int64()), pa.array([x for _, x in sigs], pa.int64()),
-                     pa.array(low, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "low"])
+                     pa.array(low, pa.list_(pa.int64()))], ["id", "th", "n", "s1", "s2", "low"])
 
-    return docs.mapInArrow(profile, f"id {id_kind}, n long, s1 long, s2 long, low array<long>")
+    return docs.mapInArrow(profile, f"id {id_kind}, th long, n long, s1 long, s2 long, low array<long>")
 
 
 def _shared(postings: DataFrame, owner: str, name: str, keys: tuple = ("token",)) -> DataFrame:
@@ -159,15 +160,20 @@ def _shared(postings: DataFrame, owner: str, name: str, keys: tuple = ("token",)
                   .filter("lo <> hi").select(*keys, "df", F.col("lo").alias("pivot")), name)
 
 
+def _key() -> Column:
+    """The key of a class: doc_ids may repeat, sets don't."""
+    return F.xxhash64("n", "s1", "s2").alias("rep")
+
+
 def _suspects(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(s1, rep) of the classes that may have a partner by their low shingles."""
+    """(rep, lead) of the classes that may have a partner by their low shingles."""
     low = profiles.filter("n > 0 AND id IS NOT NULL").select("s1", F.explode("low").alias("token"))
     shared = _shared(low, "s1", "join-low")
     found = (low.join(shared.select("token"), "token").distinct().groupBy("s1").agg(F.count("*").alias("k")))
     found = staged(found, "join-low-found")
     counted = classes.join(found, "s1", "left")
     out = staged(counted.filter(F.col("low_n") - F.coalesce("k", F.lit(0)) <= F.col("n") - required(F.col("n"), percent))
-                 .select("s1", "rep"), "join-suspects")
+                 .select("rep", "lead"), "join-suspects")
     drop_staged(shared, found)
     return out
 
@@ -195,11 +201,11 @@ def _posted(peeled: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, n, grams) for the representatives in ``wanted`` (s1, rep). A filter
-    of MARKS bits over their ids spares the other texts; the join is exact."""
+    """(rep, n, grams) for the classes in ``wanted`` (rep, lead). A filter
+    of MARKS bits over the lead ids spares the other texts; the join is exact."""
     slot_of = lambda c: (F.pmod(F.xxhash64(c), F.lit(MARKS)) + 1).cast("long").alias("slot")
     marks = np.zeros(MARKS // 8, np.uint8)
-    bits = (wanted.select(slot_of("rep"))
+    bits = (wanted.select(slot_of("lead"))
             .groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket"))
             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect())
     for r in bits:  # a bucket holds 32768 slots and counts from 1, as the slots do
@@ -211,23 +217,24 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy() - 1
             chosen = batch.filter(pa.array((mark[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0))
-            ids, one, grams = [], [], []
+            ids, one, two, grams = [], [], [], []
             for i, t in zip(chosen.column(0).to_pylist(), _texts(chosen.column(1))):
                 s = shingles(t or b"", words)
                 if len(s):
-                    ids.append(i), one.append(signature(s)[0]), grams.append(s.astype(np.int64))
+                    s1, s2 = signature(s)
+                    ids.append(i), one.append(s1), two.append(s2), grams.append(s.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, chosen.schema.field(0).type), pa.array(one, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
-                ["rep", "s1", "grams"])
+                [pa.array(ids, chosen.schema.field(0).type), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                 pa.array(grams, pa.list_(pa.int64()))], ["lead", "s1", "s2", "grams"])
 
     kind = docs.schema["id"].dataType.simpleString()
     built = docs.filter("id IS NOT NULL").select("id", "text", slot_of("id")).mapInArrow(
-        build, f"rep {kind}, s1 long, grams array<long>")
-    return (built.join(wanted, ["s1", "rep"], "left_semi").dropDuplicates(["s1", "rep"])
-            .select("rep", F.size("grams").cast("long").alias("n"), "grams"))
+        build, f"lead {kind}, s1 long, s2 long, grams array<long>").withColumn("n", F.size("grams").cast("long"))
+    return (built.select(_key(), "lead", "n", "grams").join(wanted, ["rep", "lead"], "left_semi")
+            .dropDuplicates(["rep"]).select("rep", "n", "grams"))
 
 
-def _pivot_links(pairs: DataFrame, sets: DataFrame, id_kind: str, percent: int) -> DataFrame:
+def _pivot_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between each pivot and the classes paired with it."""
     sizes = staged(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "join-pivots")
     member = (pairs.join(sizes, "pivot").join(sets, "rep")
@@ -244,13 +251,13 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, id_kind: str, percent: int)
         for rep, grams in zip(asked["rep"], asked["grams"]):
             for k in index.search(grams, percent):
                 a.append(rep), b.append(ids[k])
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
+        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
 
-    out = member.unionByName(query).groupBy("pivot", "block").applyInPandas(search, f"a {id_kind}, b {id_kind}")
+    out = member.unionByName(query).groupBy("pivot", "block").applyInPandas(search, "a long, b long")
     return staged(out, "join-links")
 
 
-def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str, percent: int) -> DataFrame:
+def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Links between different components among the classes of one pivot, all of them
     up to connectivity: whatever two classes share a list share its pivot."""
     member = pairs.select("pivot", "rep").unionByName(
@@ -281,21 +288,25 @@ def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, id_kind: str
                 for k in index.search(grams[q], percent, wanted) if wanted.any() else ():
                     a.append(ids[q]), b.append(ids[k])
                     group[group == group[q]] = group[k]
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
+        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
 
-    return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, f"a {id_kind}, b {id_kind}"), "join-more")
+    return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, "a long, b long"), "join-more")
 
 
-def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                       percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                      percent: int = PERCENT) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, group of every row: ``th`` tells texts of one
+    doc_id apart, and ``group`` is the component's own key, as its least doc_id may be that
+    of another one too. Null ids and blank texts have no group."""
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
+                     text_key(F.col(text_col)).alias("th"))
     id_kind = docs.schema["id"].dataType.simpleString()
     profiles = staged(_profiles(docs, id_kind, words), "join-profiles")
-    classes = staged(profiles.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
-                     .agg(F.min("id").alias("rep"), F.max(F.size("low")).alias("low_n")), "join-classes")
+    stored = staged(profiles.filter("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
+                    .agg(F.min("id").alias("lead"), F.max(F.size("low")).alias("low_n")), "join-classes")
+    classes = stored.select("*", _key())
     wanted = _suspects(profiles, classes, percent)
     suspects = staged(_sets(docs, wanted, words), "join-suspect-sets")
     sets = staged(suspects.join(_peeled(suspects, percent).select("rep"), "rep", "left_semi"), "join-sets")
@@ -305,19 +316,44 @@ def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pivots = _shared(posted, "rep", "join-list-pivots", key)
     pairs = staged(posted.join(pivots, [*key]).filter("rep <> pivot").select("rep", "pivot").distinct(), "join-pairs")
 
-    first = _pivot_links(pairs, sets, id_kind, percent)
+    first = _pivot_links(pairs, sets, percent)
     comp = staged(connected(first), "join-comp")
-    more = _rest_links(pairs, sets, comp, id_kind, percent)
+    more = _rest_links(pairs, sets, comp, percent)
     # the components found so far stand for the first links
     whole = connected(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    linked = staged(classes.join(whole, F.col("rep") == F.col("node")).select("node", "lead", "component"), "join-linked")
+    least = staged(linked.groupBy("component").agg(F.min("lead").alias("least")), "join-least")
+    named = linked.select("node", "component").join(least, "component")
     result = staged(
-        classes.join(whole, F.col("rep") == F.col("node"), "left")
+        classes.join(named, F.col("rep") == F.col("node"), "left")
         .select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"),
-                F.coalesce("component", "rep").alias("component")), "join-result")
-    drop_staged(classes, posted, pivots, pairs, sets, first, more)
+                F.coalesce("component", "rep").alias("group"), F.coalesce("least", "lead").alias("least")), "join-result")
+    drop_staged(stored, posted, pivots, pairs, sets, first, more, linked, least)
     # both sides are plain scans: the rows of one hot class can be split at run time
-    return (profiles.drop("low").join(result, (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1"))
-                          & (F.col("s2") == F.col("c2")), "left")
-            .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
-                    .alias("component_id")))
+    return (profiles.drop("low").join(result, F.col("id").isNotNull() & (F.col("n") == F.col("cn"))
+                                      & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
+            .select(F.col("id").alias("doc_id"), "th", F.col("n").alias("n_shingles"),
+                    F.coalesce("least", "id").alias("component_id"), "group"))
+
+
+def similarity_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                       percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return similarity_groups(df, id_col, text_col, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group stays: that of the least doc_id, then text key, and of rows
+    equal in both any one. Rows without a group stay."""
+    grouped = staged(similarity_groups(df, id_col, text_col).filter("group IS NOT NULL"), "join-grouped")
+    first = staged(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("x.*"), "join-first")
+    gone = staged(grouped.join(first, ["doc_id", "th"], "left_anti").select("doc_id", "th").distinct(), "join-gone")
+    again = staged(grouped.groupBy("doc_id", "th").agg(F.count("*").alias("k")).filter("k > 1")
+                   .join(first, ["doc_id", "th"], "left_semi").select("doc_id", "th"), "join-again")
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("th"))
+    once = (may_contain(rows, F.xxhash64("doc_id", "th"), again, F.xxhash64("doc_id", "th"))
+            .join(again, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"]))
+    out = gone.unionByName(again)
+    drop_staged(grouped, first)
+    return (rows.join(out, ["doc_id", "th"], "left_anti").select("row")
+            .unionByName(once.select("row")).select("row.*"))

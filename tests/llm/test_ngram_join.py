@@ -80,6 +80,20 @@ def test_near_copies_passages_and_edges(spark, edge, monkeypatch):
     assert _got(df) == brute(rows)
 
 
+def test_repeated_ids_are_documents_of_their_own(spark):
+    """Classes that share their least doc_id don't merge, and one row of a group stays."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    base, alone, other, copied = ([word() for _ in range(60)] for _ in range(4))
+    texts = [(2, base), (4, alone), (4, base[:-1] + [word()]), (7, other), (7, other), (8, other[:-1] + [word()]),
+             (9, copied), (9, copied), (4, [word() for _ in range(60)]), (5, alone[:-1] + [word()])]
+    rows = [(i, " ".join(ws)) for i, ws in texts] + [(None, "x y"), (None, "x y"), (6, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert _got(df) == brute(rows)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_copies(df).collect()), key=str)
+    assert kept == sorted([rows[k] for k in (0, 1, 3, 6, 8, 10, 11, 12, 13)], key=str)
+
+
 def test_empty(docs):
     assert ngram_join.similarity_classes(docs.limit(0)).count() == 0
 
