@@ -53,8 +53,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The fitted classifier and the tokenizer can't be written in SQL; the stages are
-#: tested against brute force instead.
+#: The fitted classifier and the tokenizer can't be written in SQL; line dedup and the
+#: n-gram join are tested against brute force instead, the other stages more loosely.
 ORACLE_SQL = None
 
 
