@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sys import getsizeof
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,33 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+class Memo(dict):
+    """What short texts gave, up to ``limit`` bytes of keys and values; full, it takes
+    no more."""
+
+    SLOT, LONG = 104, 48  # bytes a dict keeps per entry; characters of the longest key
+
+    def __init__(self, limit: int = 32 << 20):
+        super().__init__()
+        self.room = limit
+
+    def keep(self, key: str, value) -> None:
+        size = getsizeof(key) + getsizeof(value) + self.SLOT
+        if len(key) <= self.LONG and size <= self.room:
+            self.room -= size
+            self[key] = value
+
+    def look_up(self, pieces: set[str], learn) -> dict:
+        """The table itself if it knows all pieces, else one with the new ones on top."""
+        fresh = {x for x in pieces if x not in self}
+        if not fresh:
+            return self
+        new = learn(fresh)
+        for x, value in new.items():
+            self.keep(x, value)
+        return {x: self[x] if x in self else new[x] for x in pieces}
+
+
 #: Bits of a membership filter: 256 buckets of 32768, 1 MB, whatever it is made from.
 FILTER_BITS = 1 << 23
 

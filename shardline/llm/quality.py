@@ -31,12 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardline.llm.common import Memo
 from shardline.session import ship_package
 
 BITS, MAX_ROWS, STEPS, GRADES, SHAPE = 18, 16_384, 150, 3, 6
 LEAST = 0.35  # documents of at least this probability of the highest grade are kept
 SHRINK = 5e-4  # of the weights, beside the mean log-likelihood
-REMEMBER, ROWS = 250_000, 128
+ROWS = 128
 _SCALE = 1 << 20
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~"
 
@@ -46,7 +47,8 @@ class Features:
     bounded size."""
 
     def __init__(self, bits: int = BITS):
-        self.mask, self.known = (1 << bits) - 1, {}
+        # an entry takes some 150 bytes beside those that are counted
+        self.mask, self.known = (1 << bits) - 1, Memo(12 << 20)
 
     def _slot(self, name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "replace")) & self.mask
@@ -57,8 +59,7 @@ class Features:
         low = word.lower()
         slots = tuple(self._slot(x) for x in ("w:" + low, "4:" + low[:4], "5:" + low[:5])) if word else ()
         out = (slots, tail > 1 or not word, len(word) > 1 and word == word.upper() != low)
-        if len(self.known) < REMEMBER and len(raw) <= 40:
-            self.known[raw] = out
+        self.known.keep(raw, out)
         return out
 
     def of(self, text: str | None) -> np.ndarray:

@@ -3,7 +3,8 @@
 Counting uses the whole-token shortcut: which vocabulary strings encode alone as
 one token is proved once, on the driver, with the library itself; pre-tokens found
 in that set count one, and only the rest is merged by the library. Counts of
-space-separated chunks are remembered in the worker, in a table of bounded size.
+space-separated chunks are remembered in the worker, in a table of a bounded number of
+bytes.
 
 Defined results: a null text counts as empty; special strings inside texts are
 handled as the library's default does; texts are never cut. An empty table gives
@@ -21,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shardline.llm.common import Memo
 from shardline.session import ship_package
 
-REMEMBER = 800_000  # chunks or words a worker remembers, of at most LONG characters
-LONG, ROWS = 48, 128
+ROWS = 128
 #: The pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BPE_SPLIT = regex.compile(PRE_TOKEN)
@@ -42,20 +43,26 @@ def tokenizer_json(name: str) -> str:
 
 
 _LOADED: dict = {}
-_LETTERS: dict = {}
 
 
 def load_tokenizer(spec: str):
-    """The tokenizer of a JSON text; one per worker process and file."""
+    """The tokenizer of a JSON text, and the tables of what it gave, by name: the last
+    one asked for stays in the worker process, so that a worker holds one set of tables."""
     key = hash(spec)
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        _LOADED.clear()
         _LOADED[key] = (Tokenizer.from_str(spec), {})
     return _LOADED[key]
 
 
+def table(spec: str, name: str, limit: int) -> Memo:
+    """The worker's table of that name, of at most ``limit`` bytes."""
+    return load_tokenizer(spec)[1].setdefault(name, Memo(limit))
+
+
 def _bytes_to_chars() -> dict[str, int]:
     """The byte each character of a byte-level vocabulary stands for: printable
     Latin-1 stands for itself, the other bytes follow from U+0100 on."""
@@ -81,28 +88,11 @@ def whole_tokens(spec: str) -> frozenset[str]:
                      if len(e.ids) == 1)
 
 
-def _remembered(known: dict, texts: list[list[str]], learn) -> list[str]:
-    """Make ``known`` hold every piece of the texts; the pieces that are new."""
-    fresh = {x for x in set().union(*texts) if x not in known}
-    if fresh:
-        known.update(learn(fresh))
-    return list(fresh)
-
-
-def _forget(known: dict, fresh: list[str]) -> None:
-    """Drop new pieces that are long, and those beyond the table's size."""
-    over = len(known) - REMEMBER
-    for x in fresh:
-        if len(x) > LONG or over > 0:
-            del known[x]
-            over -= 1
-
-
 class Counter:
     """Token counts of texts, chunk by chunk."""
 
     def __init__(self, spec: str, whole: frozenset[str]):
-        self.tok, self.known = load_tokenizer(spec)
+        self.tok, self.known = load_tokenizer(spec)[0], table(spec, "chunks", 48 << 20)
         self.whole = whole
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
 
@@ -113,11 +103,9 @@ class Counter:
         """Whole texts; the library takes those that single spaces would tear."""
         odd = [bool(_TORN.search(t)) or any(s in t for s in self.special) for t in texts]
         chunks = [[] if o else self._chunks(t) for t, o in zip(texts, odd)]
-        fresh = _remembered(self.known, chunks, self._learn)
-        out = [self.merged([t])[0] if o else sum(map(self.known.__getitem__, c))
-               for t, o, c in zip(texts, odd, chunks)]
-        _forget(self.known, fresh)
-        return out
+        counts = self.known.look_up(set().union(*chunks), self._learn)
+        return [self.merged([t])[0] if o else sum(map(counts.__getitem__, c))
+                for t, o, c in zip(texts, odd, chunks)]
 
     @staticmethod
     def _chunks(text: str) -> list[str]:
@@ -178,8 +166,8 @@ class WordIds:
     _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, spec: str):
-        self.tok, self.known = load_tokenizer(spec)
-        self.model, self.letters = self.tok.model, _LETTERS.setdefault(hash(spec), {})
+        self.tok, self.known = load_tokenizer(spec)[0], table(spec, "words", 40 << 20)
+        self.model, self.letters = self.tok.model, table(spec, "letters", 20 << 20)
         chars = {b: c for c, b in _bytes_to_chars().items()}
         self.as_bytes = {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
 
@@ -188,8 +176,7 @@ class WordIds:
         if found is None:
             ids = [t.id for t in self.model.tokenize(word.translate(self.as_bytes))]
             found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.letters) < REMEMBER and len(word) <= LONG:
-                self.letters[word] = found
+            self.letters.keep(word, found)
         return found
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -210,13 +197,10 @@ class WordIds:
         found = self.letters.get(tail)
         if found is None:
             found = self._whole([tail])[0]
-            if len(self.letters) < REMEMBER and len(tail) <= LONG:
-                self.letters[tail] = found
+            self.letters.keep(tail, found)
         return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         words = [[t] if self._ODD_BREAK.search(t) else t.split() for t in texts]
-        fresh = _remembered(self.known, words, self._learn)
-        out = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-        _forget(self.known, fresh)
-        return out
+        known = self.known.look_up(set().union(*words), self._learn)
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
