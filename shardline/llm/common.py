@@ -45,6 +45,8 @@ class Memo(dict):
 
     def keep(self, key: str, value) -> None:
         size = getsizeof(key) + getsizeof(value) + self.SLOT
+        if isinstance(value, tuple):
+            size += sum(map(getsizeof, value))
         if len(key) <= self.LONG and size <= self.room:
             self.room -= size
             self[key] = value

@@ -47,7 +47,7 @@ class Features:
     bounded size."""
 
     def __init__(self, bits: int = BITS):
-        # an entry takes some 150 bytes beside those that are counted
+        # an entry takes some 80 bytes beside those that are counted
         self.mask, self.known = (1 << bits) - 1, Memo(12 << 20)
 
     def _slot(self, name: str) -> int:

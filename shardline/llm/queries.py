@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardline.llm import (decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing, pii, quality,
-                           tokens, url_filter)
+from shardline.llm import (byte_bpe, decontaminate, embedding_dedup, language_id, line_dedup, ngram_join, packing,
+                           periodic_runs, pii, quality, token_alignment, tokens, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,20 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.runs_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_quality_classifier, op4_packing, op5_line_dedup, op6_language_id,
-    op7_token_counts, op8_ngram_join, op9_pii, op10_embedding_dedup)}
+    op7_token_counts, op8_ngram_join, op9_pii, op10_embedding_dedup, op11_token_alignment, op12_byte_bpe,
+    op13_periodic_runs)}
 ORACLE = {"op2_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
