@@ -107,7 +107,7 @@ def test_quality_on_held_out_ratings(spark):
     grade = np.where(got.toxic == 1, 0, np.where(got.quality == 0, 1, 2))
     kept = got.p_good >= quality.LEAST
     assert kept[grade == 2].mean() > 0.97
-    assert kept[grade < 2].mean() < 0.35
+    assert kept[grade < 2].mean() < 0.3 and kept[grade == 0].mean() < 0.35  # some ratings are noise
     means = [got.expected_grade[grade == k].mean() for k in range(3)]
     assert means[0] < means[1] < means[2]
 
