@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardline.operators.ordered import dense_index
+from shardline.session import drop_staged, staged
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -99,6 +101,70 @@ def lookup_parent(children: DataFrame, parents: DataFrame, parent_key: str, pare
     return j.withColumn(out, F.coalesce(F.col("_sl_pval"), F.col(own))).drop("_sl_pid", "_sl_pval")
 
 
+def _pointers(jobs: DataFrame, job_id: str, parent_key: str, own: str) -> tuple[DataFrame, DataFrame]:
+    """The named jobs (id, parent, value), and of each (id, ptr, hops, at_root): a pointer to
+    its parent, or to itself where it names no known one. Of rows that repeat an id the
+    least (parent, value) counts."""
+    pick = F.min(F.struct(F.col(parent_key).alias("parent"), F.col(own).alias("value"))).alias("x")
+    one = jobs.filter(F.col(job_id).isNotNull()).groupBy(F.col(job_id).alias("id")).agg(pick)
+    one = staged(one.select("id", "x.parent", "x.value"), "chain-jobs")
+    known = one.select(F.col("id").alias("parent_id"))
+    return one, one.join(known, F.col("parent") == F.col("parent_id"), "left").select(
+        "id", F.coalesce("parent_id", "id").alias("ptr"), F.col("parent_id").isNotNull().cast("bigint").alias("hops"),
+        F.col("parent_id").isNull().alias("at_root"))
+
+
+def lookup_chain(jobs: DataFrame, job_id: str, parent_key: str, own: str, out: str = "endpoint") -> DataFrame:
+    """Every job takes the value of the job at the root of its chain of parents: an extension
+    of an extension gets what the first one stands on. Adds ``out``, ``root`` (its id) and
+    ``hops``; a job without a known parent is its own root, at 0 hops. Jobs on a cycle of
+    parents, or whose chain ends in one, get nulls and ``cycle`` true.
+
+    Pointer jumping: in each round a job that hasn't reached a root takes over the pointer of
+    the job it points at, which doubles the steps behind it, so that chains of n jobs
+    take log2(n) rounds. As a chain has a job at every depth, a round in which no job
+    arrives leaves cycles only. Each round joins what is left with the pointers, both plain
+    scans, so that the children of a hot parent can be split at run time."""
+    one, start = _pointers(jobs, job_id, parent_key, own)
+    now = staged(start, "chain-pointers")
+    made, arrived = [one, now], [now.filter("at_root")]
+    rest, left = now.filter("NOT at_root"), now.filter("NOT at_root").count()
+    while left:
+        there = rest
+        for part in arrived:
+            there = there.unionByName(part)
+        to = there.select(F.col("id").alias("at"), F.col("ptr").alias("to"), F.col("hops").alias("more"),
+                          F.col("at_root").alias("done"))
+        now = staged(rest.join(to, F.col("ptr") == F.col("at")).select(
+            "id", F.col("to").alias("ptr"), (F.col("hops") + F.col("more")).alias("hops"), F.col("done").alias("at_root")),
+            "chain-pointers")
+        made.append(now)
+        arrived.append(now.filter("at_root"))
+        rest = now.filter("NOT at_root")
+        before, left = left, rest.count()
+        if left == before:
+            break
+    rooted = arrived[0]
+    for part in arrived[1:]:
+        rooted = rooted.unionByName(part)
+    values = one.select(F.col("id").alias("_sl_vid"), F.col("value").alias("_sl_value"))
+    roots = rooted.join(values, F.col("ptr") == F.col("_sl_vid")).select(
+        F.col("id").alias("_sl_pid"), F.col("ptr").alias("_sl_root"), F.col("hops").alias("_sl_hops"), "_sl_value",
+        F.lit(False).alias("_sl_cycle"))
+    looped = rest.select(F.col("id").alias("_sl_pid"), F.lit(None).cast(one.schema["id"].dataType).alias("_sl_root"),
+                         F.lit(None).cast("bigint").alias("_sl_hops"),
+                         F.lit(None).cast(one.schema["value"].dataType).alias("_sl_value"), F.lit(True).alias("_sl_cycle"))
+    found = staged(roots.unionByName(looped) if left else roots, "chain-roots")
+    drop_staged(*made)
+    # a row stands on its parent's root, so that rows that repeat an id each have their own answer
+    j = jobs.join(found, F.col(parent_key) == F.col("_sl_pid"), "left")
+    alone = F.col("_sl_pid").isNull()
+    return j.select(*(F.col(c) for c in jobs.columns), F.when(alone, F.col(own)).otherwise(F.col("_sl_value")).alias(out),
+                    F.when(alone, F.col(job_id)).otherwise(F.col("_sl_root")).alias("root"),
+                    F.when(alone, F.lit(0)).otherwise(F.col("_sl_hops") + 1).cast("bigint").alias("hops"),
+                    F.coalesce("_sl_cycle", F.lit(False)).alias("cycle"))
+
+
 def single_attachment(attachments: DataFrame, volume: str, first_by: list[str], keep: list[str]) -> DataFrame:
     """Volumes with exactly one attachment, with that attachment's fields.
     A partial aggregation (count plus per-column ``min``, which for a group of
@@ -268,10 +334,21 @@ def range_rejects(df: DataFrame, lo: str, hi: str) -> DataFrame:
 
 def expand_slots(df: DataFrame, host: str, slots: str, out: str = "slot", chunk: int = EXPAND_CHUNK) -> DataFrame:
     """One row per slot (1..n) of each ``(host, slots)``; counts that are not
-    a positive integer give no rows."""
+    a positive integer give no rows (``expand_slots_split`` returns them)."""
+    return expand_slots_split(df, host, slots, out, chunk)[0]
+
+
+def expand_slots_split(df: DataFrame, host: str, slots: str, out: str = "slot",
+                       chunk: int = EXPAND_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(slots, rejected): the rows without slots come out with a ``reason``, ``not a count``
+    or ``too many``; every input row is in one of the two."""
     n = F.col(slots).cast("string").try_cast("int")
-    good = df.withColumn("_sl_n", n).withColumn("_sl_one", F.lit(1))
-    return explode_range(good, "_sl_one", "_sl_n", out, chunk).drop("_sl_n", "_sl_one")
+    number = F.regexp_replace(F.trim(F.col(slots).cast("string")), r"^\+?0*", "")
+    large = F.coalesce(number.rlike("^[0-9]+$") & n.isNull(), F.lit(False))
+    good = df.withColumn("_sl_n", n).withColumn("_sl_one", F.lit(1)).filter("_sl_n >= 1")
+    reason = F.when(large, "too many").otherwise("not a count")
+    return (explode_range(good, "_sl_one", "_sl_n", out, chunk).drop("_sl_n", "_sl_one"),
+            df.filter(~F.coalesce(n >= 1, F.lit(False))).withColumn("reason", reason))
 
 
 def parse_host_line(line) -> dict[str, Column]:
@@ -280,35 +357,79 @@ def parse_host_line(line) -> dict[str, Column]:
     return {"host": F.try_element_at(parts, F.lit(1)), "slots": F.try_element_at(parts, F.lit(2))}
 
 
-# Items of a compressed host list: a name with an optional [..] group; commas
-# inside brackets do not separate items.
-_ITEM = r"[^,\[\]]*(?:\[[^\]]*\])?[^,\[\]]*"
+# Items of a compressed host list: text and [..] groups; commas inside brackets do not
+# separate items, a bracket without its other half separates.
+_ITEM = r"(?:[^,\[\]]|\[[^\[\]]*\])+"
+_GROUP = r"\[([^\[\]]*)\]"
 
 
-def expand_ranges(df: DataFrame, expr: str, out: str = "host", chunk: int = EXPAND_CHUNK) -> DataFrame:
-    """Expand compressed host lists such as ``n[01-03,07],m5`` into one row
-    per distinct member (``n01 n02 n03 n07 m5``); the width of the lower bound
-    sets the zero padding; a descending or unparsable range yields nothing."""
+def _range_parts(body: Column) -> Column:
+    """(lo, width, n) of the comma-separated parts of a group; no members where a part is
+    descending or no number."""
+    def part(x: Column) -> Column:
+        lo_s, hi_s = (F.regexp_extract(x, r"^(\d+)(?:-(\d+))?$", i) for i in (1, 2))
+        number = lambda t: F.nullif(t, F.lit("")).try_cast("bigint").cast("decimal(38,0)")
+        lo = number(lo_s)
+        n = F.coalesce(F.greatest(F.coalesce(number(hi_s), lo) - lo + 1, F.lit(0)), F.lit(0))
+        return F.struct(lo.alias("lo"), F.length(lo_s).alias("width"), n.cast("decimal(38,0)").alias("n"))
+
+    return F.transform(F.split(body, ","), part)
+
+
+def expand_ranges_split(df: DataFrame, expr: str, out: str = "host",
+                        chunk: int = EXPAND_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(members, rejected) of compressed host lists such as ``n[01-03,07],r[1-2]u[1-4],m5``.
+
+    An item with several groups has a member for each combination: an index counts
+    through them as a number of mixed radix, one digit per group, the last one fastest. Only
+    the index is expanded, in chunks dealt evenly over all tasks, and every row decodes
+    its own digits, so one item of billions of members doesn't become one task's work. The
+    lower bound's width sets the zero padding of each part. Members are distinct per row.
+
+    Items without members come out of ``rejected`` (the row, ``item``, ``reason``): ``no
+    member`` where a group has only descending or unparsable parts, ``too many``
+    beyond ``MAX_MEMBERS``; every item is in one of the two."""
     items = (df.withColumn("_sl_item", F.explode(F.regexp_extract_all(F.col(expr), F.lit(_ITEM), 0)))
-               .filter(F.col("_sl_item") != ""))
-    pre = F.regexp_extract("_sl_item", r"^([^\[]*)", 1)
-    body = F.regexp_extract("_sl_item", r"\[([^\]]*)\]", 1)
-    post = F.regexp_extract("_sl_item", r"\]([^\]]*)$", 1)
-    has_body = F.col("_sl_item").contains("[")
-    parts = items.select("*", pre.alias("_sl_pre"), post.alias("_sl_post"), has_body.alias("_sl_has"),
-                         F.explode_outer(F.when(has_body, F.split(body, ",")).otherwise(F.array(F.lit(None).cast("string"))))
-                         .alias("_sl_part"))
-    lo_s = F.regexp_extract("_sl_part", r"^(\d+)(?:-(\d+))?$", 1)
-    hi_s = F.regexp_extract("_sl_part", r"^(\d+)(?:-(\d+))?$", 2)
-    lo = F.nullif(lo_s, F.lit("")).try_cast("bigint")
-    hi = F.coalesce(F.nullif(hi_s, F.lit("")).try_cast("bigint"), lo)
-    parts = parts.select("*", lo.alias("_sl_lo"), hi.alias("_sl_hi"), F.length(lo_s).alias("_sl_w"))
-    ranged = explode_range(parts.filter(F.col("_sl_has")), "_sl_lo", "_sl_hi", "_sl_x", chunk)
-    x = F.col("_sl_x").cast("string")
-    # pad to the lower bound's width, never cut a longer number
-    ranged = ranged.withColumn(out, F.concat("_sl_pre", F.lpad(x, F.greatest(F.col("_sl_w"), F.length(x)), F.lit("0")),
-                                             "_sl_post"))
-    plain = parts.filter(~F.col("_sl_has")).withColumn(out, F.col("_sl_item"))
-    drop = [c for c in ranged.columns if c.startswith("_sl_")]
-    res = ranged.drop(*drop).unionByName(plain.drop(*[c for c in plain.columns if c.startswith("_sl_")]))
-    return res.distinct()
+             .withColumn("_sl_groups", F.transform(F.regexp_extract_all("_sl_item", F.lit(_GROUP), 1), _range_parts)))
+    size = F.transform("_sl_groups", lambda g: F.aggregate(g, F.lit(0).cast("decimal(38,0)"),
+                                                           lambda n, p: (n + p["n"]).cast("decimal(38,0)")))
+    most = F.lit(MAX_MEMBERS + 1).cast("decimal(38,0)")
+    # sizes and products above the bound count as just above it, so that none can overflow
+    sizes = F.transform(size, lambda n: F.least(n, most).cast("bigint"))
+    product = F.aggregate("_sl_sizes", F.lit(1).cast("bigint"), lambda n, x: F.when((n == 0) | (x == 0), 0).otherwise(
+        F.least(n.cast("decimal(38,0)") * x, most)).cast("bigint"))
+    sized = items.withColumn("_sl_sizes", sizes).withColumn("_sl_total", product)
+    good = (sized.filter(F.col("_sl_total").between(1, MAX_MEMBERS)).withColumn("_sl_last", F.col("_sl_total") - 1)
+            .withColumn("_sl_first", F.lit(0).cast("bigint")))
+    ranged = explode_range(good, "_sl_first", "_sl_last", "_sl_x", chunk)
+    # the digit of a group: the index over the number of combinations behind it
+    behind = lambda k: F.aggregate(F.slice("_sl_sizes", k + 2, F.size("_sl_sizes")), F.lit(1).cast("bigint"),
+                                   lambda n, x: (n * x).cast("bigint"))
+    digits = F.transform("_sl_sizes", lambda n, k: F.pmod(F.floor(F.col("_sl_x") / behind(k)), n))
+
+    def member(g: Column, k: Column) -> Column:
+        start = F.struct(F.get(F.col("_sl_digits"), k).cast("decimal(38,0)").alias("left"), F.lit(None).cast("string").alias("text"))
+
+        def look(acc: Column, p: Column) -> Column:
+            here = acc["text"].isNull() & (acc["left"] < p["n"])
+            x = (p["lo"] + acc["left"]).cast("decimal(38,0)").cast("string")
+            # pad to the lower bound's width, never cut a longer number
+            text = F.lpad(x, F.greatest(p["width"], F.length(x)), F.lit("0"))
+            return F.struct((acc["left"] - p["n"]).cast("decimal(38,0)").alias("left"),
+                            F.when(here, text).otherwise(acc["text"]).alias("text"))
+
+        return F.aggregate(g, start, look)["text"]
+
+    texts = F.split("_sl_item", _GROUP, -1)
+    name = F.concat(F.get(texts, F.lit(0)), F.array_join(F.transform(
+        "_sl_groups", lambda g, k: F.concat(member(g, k), F.get(texts, k + 1))), ""))
+    members = ranged.withColumn("_sl_digits", digits).select(*df.columns, name.alias(out)).distinct()
+    reason = F.when(F.col("_sl_total") == 0, "no member").otherwise("too many")
+    rejected = sized.filter(~F.col("_sl_total").between(1, MAX_MEMBERS)).select(
+        *df.columns, F.col("_sl_item").alias("item"), reason.alias("reason"))
+    return members, rejected
+
+
+def expand_ranges(df: DataFrame, expr: str, out: str = "host", chunk: int = EXPAND_CHUNK) -> DataFrame:
+    """The members of compressed host lists, see :func:`expand_ranges_split`."""
+    return expand_ranges_split(df, expr, out, chunk)[0]

@@ -3,6 +3,7 @@ operations and expansion (operators 25-28, 30-34, 36-42)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shardline.operators import relational as rel
@@ -253,3 +254,80 @@ def q_expand_ranges(spark, sf_dir):
                     F.lpad((F.col("n_nationkey") + 30).cast("string"), 3, "0"), F.lit("],r"),
                     F.col("n_regionkey").cast("string"))
     return rel.expand_ranges(n.select("n_nationkey", expr.alias("expr")), "expr").select("n_nationkey", "host")
+
+
+@query("expand_ranges_product", """
+SELECT s_suppkey, 'rack' || lpad(CAST(a AS VARCHAR), 2, '0') || 'u' || CAST(b AS VARCHAR) || '-' || CAST(c AS VARCHAR) AS host
+FROM supplier, unnest(range(1, 2 + s_nationkey % 3)) AS t(a), unnest(range(s_suppkey % 7, s_suppkey % 7 + 3)) AS u(b),
+     unnest([1, 5]) AS v(c)
+""")
+def q_expand_ranges_product(spark, sf_dir):
+    """Lists with three groups in one item, e.g. ``rack[01-03]u[4-6]-[1,5]``."""
+    s = load(spark, sf_dir, "supplier")
+    text = lambda c: c.cast("string")
+    low = F.col("s_suppkey") % 7
+    expr = F.concat(F.lit("rack[01-"), F.lpad(text(F.col("s_nationkey") % 3 + 1), 2, "0"), F.lit("]u["), text(low),
+                    F.lit("-"), text(low + 2), F.lit("]-[1,5]"))
+    return rel.expand_ranges(s.select("s_suppkey", expr.alias("expr")), "expr").select("s_suppkey", "host")
+
+
+@query("expand_rejects", """
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'not a count' WHEN p_partkey % 5 = 1 THEN 'too many' ELSE 'kept' END AS slots,
+       CASE WHEN p_partkey % 5 < 2 THEN 0 ELSE p_size END::BIGINT AS n_slots,
+       CASE WHEN p_partkey % 3 = 0 THEN 'no member' WHEN p_partkey % 3 = 1 THEN 'too many' ELSE 'kept' END AS hosts,
+       CASE WHEN p_partkey % 3 = 2 THEN 2 * p_size ELSE 0 END::BIGINT AS n_hosts
+FROM part
+""")
+def q_expand_rejects(spark, sf_dir):
+    """Slot counts and host lists that can't be expanded come out with a reason: with the
+    kept ones every part is there."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey")
+    slots = F.when(k % 5 == 0, F.concat(F.lit("x"), size)).when(k % 5 == 1, F.concat(size, F.lit("0000000000"))).otherwise(size)
+    hosts = (F.when(k % 3 == 0, F.lit("n[2-1]m[1-3]")).when(k % 3 == 1, F.lit("n[1-65536]m[1-65536]"))
+             .otherwise(F.concat(F.lit("n[1-"), size, F.lit("]m[7,08]"))))
+    parts = load(spark, sf_dir, "part").select("p_partkey", slots.alias("slots"), hosts.alias("hosts"))
+
+    def told(kept, rejected, name):
+        kept = kept.groupBy("p_partkey").agg(F.lit("kept").alias(name), F.count("*").alias(f"n_{name}"))
+        return kept.unionByName(rejected.select("p_partkey", F.col("reason").alias(name), F.lit(0).cast("bigint").alias(f"n_{name}")))
+
+    by_slot = told(*rel.expand_slots_split(parts.select("p_partkey", "slots"), "p_partkey", "slots"), "slots")
+    by_host = told(*rel.expand_ranges_split(parts.select("p_partkey", "hosts"), "hosts"), "hosts")
+    return by_slot.join(by_host, "p_partkey")
+
+
+@query("lookup_chain", """
+WITH e AS (SELECT event_id, user_id, event_type, ts,
+                  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+SELECT event_id, first_value(event_type) OVER w AS endpoint, first_value(event_id) OVER w AS root,
+       CAST(r - 1 AS BIGINT) AS hops
+FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+""")
+def q_lookup_chain(spark, sf_dir):
+    """Each event extends the one before of its user: all stand on the first one."""
+    ev = load(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))  # input of the lookup only
+    return rel.lookup_chain(ev.withColumn("parent", before), "event_id", "parent", "event_type").select(
+        "event_id", "endpoint", "root", "hops")
+
+
+_CHAIN_PARENT = "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey * 7 + 3) % (m + 20) END"
+
+
+@query("lookup_chain_cycles", f"""
+WITH RECURSIVE c AS (SELECT c_custkey, c_name, {_CHAIN_PARENT} AS parent
+                     FROM customer, (SELECT max(c_custkey) AS m FROM customer)),
+known AS (SELECT c_custkey, c_name, CASE WHEN parent IN (SELECT c_custkey FROM c) THEN parent END AS parent FROM c),
+walk AS (SELECT c_custkey, c_custkey AS at FROM known
+         UNION SELECT w.c_custkey, k.parent FROM walk w JOIN known k ON w.at = k.c_custkey WHERE k.parent IS NOT NULL),
+ends AS (SELECT w.c_custkey, max(CASE WHEN k.parent IS NULL THEN w.at END) AS root, count(*) - 1 AS steps
+         FROM walk w JOIN known k ON w.at = k.c_custkey GROUP BY w.c_custkey)
+SELECT e.c_custkey, r.c_name AS endpoint, e.root, CASE WHEN e.root IS NOT NULL THEN steps END AS hops, e.root IS NULL AS cycle
+FROM ends e LEFT JOIN c r ON e.root = r.c_custkey
+""")
+def q_lookup_chain_cycles(spark, sf_dir):
+    """Customers that name any other as parent: chains, unknown parents and cycles."""
+    cust = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    m = cust.agg(F.max("c_custkey").alias("m"))
+    named = cust.withColumn("m", m.scalar()).withColumn("parent", F.expr(_CHAIN_PARENT)).drop("m")
+    return rel.lookup_chain(named, "c_custkey", "parent", "c_name").select("c_custkey", "endpoint", "root", "hops", "cycle")

@@ -132,6 +132,62 @@ def test_expand_ranges(spark):
                    (2, "a10"), (2, "a11"), (2, "a9"), (4, "n01"), (4, "n02")]
 
 
+def test_expand_ranges_products(spark):
+    """Several groups in one item: all combinations, each with its own padding."""
+    rows = [(1, "n[1-2]r[3-4]"), (2, "a[08-10]b[1,3]c"), (3, "x[1-2][1-2]"), (4, "r[1-3]u[5-2],ok"), (5, "p[]q[1-2]"),
+            (6, "w[0-65535]v[0-65535]"), (7, "t[1-2]u[1-2147483647]"), (8, "]k[1-2"), (9, "")]
+    df = spark.createDataFrame(rows, "id int, e string")
+    members, rejected = rel.expand_ranges_split(df.filter("id <> 6"), "e", chunk=3)
+    got = {}
+    for r in members.collect():
+        got.setdefault(r.id, set()).add(r.host)
+    assert got == {1: {"n1r3", "n1r4", "n2r3", "n2r4"}, 2: {f"a{i}b{j}c" for i in ("08", "09", "10") for j in (1, 3)},
+                   3: {"x11", "x12", "x21", "x22"}, 4: {"ok"}, 8: {"k", "1-2"}}
+    rejected = rel.expand_ranges_split(df, "e")[1]
+    assert sorted((r.id, r.item, r.reason) for r in rejected.collect()) == [
+        (4, "r[1-3]u[5-2]", "no member"), (5, "p[]q[1-2]", "no member"), (6, "w[0-65535]v[0-65535]", "too many"),
+        (7, "t[1-2]u[1-2147483647]", "too many")]
+
+
+def test_expand_slots_rejects(spark):
+    rows = [("a", "2"), ("b", "0"), ("c", "x"), ("d", None), ("e", "2147483648"), ("f", "99999999999999999999"), ("g", "-3"), ("h", "007")]
+    slots, rejected = rel.expand_slots_split(spark.createDataFrame(rows, "host string, slots string"), "host", "slots")
+    kept = {r.host: r.n for r in slots.groupBy("host").agg(F.count("*").alias("n")).collect()}
+    assert kept == {"a": 2, "h": 7}
+    assert {r.host: r.reason for r in rejected.collect()} == {
+        "b": "not a count", "c": "not a count", "d": "not a count", "e": "too many", "f": "too many", "g": "not a count"}
+
+
+def _chain(spark, rows):
+    df = spark.createDataFrame(rows, "id int, parent int, own string, value string").repartition(3)
+    return {r.value: (r.endpoint, r.root, r.hops, r.cycle) for r in rel.lookup_chain(df, "id", "parent", "own").collect()}
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 1000])
+def test_lookup_chain_of_any_length(spark, length):
+    """Everyone gets the value of the first job, and a hot root is no different."""
+    rows = [(i, i - 1 if i else None, f"own{i}", str(i)) for i in range(length)]
+    rows += [(5000 + i, 0, "leaf", f"leaf{i}") for i in range(50)]
+    got = _chain(spark, rows)
+    assert got == {**{str(i): ("own0", 0, i, False) for i in range(length)},
+                   **{f"leaf{i}": ("own0", 0, 1, False) for i in range(50)}}
+
+
+def test_lookup_chain_edges(spark):
+    rows = [(1, None, "one", "a"), (2, 99, "two", "unknown parent"), (3, 2, "three", "b"), (None, 3, "nameless", "no id"),
+            (10, 11, "x", "loop1"), (11, 12, "y", "loop2"), (12, 10, "z", "loop3"), (13, 12, "w", "into a loop"),
+            (14, 14, "s", "own parent"), (20, 1, "r", "repeated"), (20, None, "q", "repeated root"), (21, 20, "t", "below repeated"),
+            (22, None, None, "null value"), (23, 22, "v", "of a null value")]
+    got = _chain(spark, rows)
+    loop = (None, None, None, True)
+    assert got == {"a": ("one", 1, 0, False), "unknown parent": ("two", 2, 0, False), "b": ("two", 2, 1, False),
+                   "no id": ("two", 2, 2, False), "loop1": loop, "loop2": loop, "loop3": loop, "into a loop": loop,
+                   "own parent": loop, "repeated": ("one", 1, 1, False), "repeated root": ("q", 20, 0, False),
+                   "below repeated": ("q", 20, 1, False), "null value": (None, 22, 0, False), "of a null value": (None, 22, 1, False)}
+    empty = spark.createDataFrame([], "id int, parent int, own string")
+    assert rel.lookup_chain(empty, "id", "parent", "own").count() == 0
+
+
 def test_lookup_parent_edges(spark):
     kids = spark.createDataFrame([(1, None, "own1"), (2, 10, "own2"), (3, 99, "own3")], "id int, parent int, own string")
     parents = spark.createDataFrame([(10, "p10")], "pid int, ep string")

@@ -2,6 +2,7 @@
 statement of each rule. Each example is one list of inputs run as one
 Spark job."""
 
+import itertools
 import math
 import re
 
@@ -45,30 +46,32 @@ def test_duration_rule(spark, minutes):
     assert got == {i: f"{math.floor(m / 60)}:{m % 60}:00" for i, m in enumerate(minutes)}
 
 
+def py_members(body):
+    out = []
+    for part in body.split(","):
+        r = re.match(r"^(\d+)(?:-(\d+))?$", part)
+        if r:
+            lo, hi = int(r.group(1)), int(r.group(2) or r.group(1))
+            out += [str(x).zfill(len(r.group(1))) for x in range(lo, hi + 1)]
+    return out
+
+
 def py_expand(expr):
     out = set()
-    for item in re.findall(r"[^,\[\]]*(?:\[[^\]]*\])?[^,\[\]]*", expr):
-        if not item:
-            continue
-        m = re.match(r"^([^\[]*)\[([^\]]*)\](.*)$", item)
-        if not m:
-            out.add(item)
-            continue
-        pre, body, post = m.groups()
-        for part in body.split(","):
-            r = re.match(r"^(\d+)(?:-(\d+))?$", part)
-            if not r:
-                continue
-            lo, hi = int(r.group(1)), int(r.group(2) or r.group(1))
-            for x in range(lo, hi + 1):
-                out.add(pre + str(x).zfill(len(r.group(1))) + post)
+    for item in re.findall(r"(?:[^,\[\]]|\[[^\[\]]*\])+", expr):
+        texts = re.split(r"\[([^\[\]]*)\]", item)  # text, body, text, body, ..., text
+        sides = [[t] if k % 2 == 0 else py_members(t) for k, t in enumerate(texts)]
+        out |= {"".join(x) for x in itertools.product(*sides)}
     return out
 
 
 num = st.integers(min_value=0, max_value=40).map(str) | st.integers(min_value=0, max_value=40).map(lambda x: f"{x:03d}")
 part = st.tuples(num, st.none() | num).map(lambda t: t[0] if t[1] is None else f"{t[0]}-{t[1]}")
+small = st.tuples(st.sampled_from(["0", "01", "7", "10"]), st.none() | st.sampled_from(["2", "9", "011"])).map(
+    lambda t: t[0] if t[1] is None else f"{t[0]}-{t[1]}")
+piece = st.sampled_from(["n", "gpu", "c1-", ""]) | st.lists(small, min_size=1, max_size=3).map(lambda p: f"[{','.join(p)}]")
 item = st.tuples(st.sampled_from(["n", "gpu", "c1-", ""]), st.none() | st.lists(part, min_size=1, max_size=3)).map(
-    lambda t: t[0] if t[1] is None else f"{t[0]}[{','.join(t[1])}]")
+    lambda t: t[0] if t[1] is None else f"{t[0]}[{','.join(t[1])}]") | st.lists(piece, min_size=1, max_size=4).map("".join)
 expr = st.lists(item, min_size=1, max_size=3).map(",".join)
 
 
@@ -81,6 +84,10 @@ def test_expand_ranges_rule(spark, exprs):
         got.setdefault(r.i, set()).add(r.host)
     want = {i: py_expand(e) for i, e in enumerate(exprs)}
     assert got == {i: s for i, s in want.items() if s}
+    # every item has members or is rejected
+    items = [(i, x) for i, e in enumerate(exprs) for x in re.findall(r"(?:[^,\[\]]|\[[^\[\]]*\])+", e)]
+    rejected = sorted((r.i, r.item) for r in rel.expand_ranges_split(df, "e")[1].collect())
+    assert rejected == sorted((i, x) for i, x in items if not py_expand(x))
 
 
 pair = st.tuples(st.sampled_from(["a", "b.c", "page", " k "]), st.none() | st.sampled_from(["", "1", "x=y", "=z"]))
