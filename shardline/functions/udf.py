@@ -1,7 +1,7 @@
 """The SQL and user-function surface.
 
-* ``run_sql`` registers DataFrames as views and runs Spark SQL; no dialect of
-  our own.
+* ``run_sql`` runs Spark SQL over DataFrames and values bound to this one call; no
+  dialect of our own and no names left in the session.
 * ``vectorized`` wraps a Python function of pandas Series as a Pandas UDF
   (Arrow batches, never row at a time); ``apply_batches`` ships a function of
   pandas DataFrames over each partition (``mapInPandas``). Closures are
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def run_sql(spark: SparkSession, views: dict[str, DataFrame], sql: str) -> DataFrame:
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+def run_sql(spark: SparkSession, frames: dict[str, DataFrame], sql: str, args: dict | None = None) -> DataFrame:
+    """``sql`` names a frame as ``{name}`` and a value as ``:name``. Both are bound to this
+    call: the session gets no view, so that calls with the same names, at the same time
+    or one after the other, don't see each other's, and a value is never part of the text."""
+    return spark.sql(sql, args=args or {}, **frames)
 
 
 def vectorized(fn: Callable[[pd.Series], pd.Series], return_type: str):

@@ -150,13 +150,13 @@ SELECT l_returnflag, l_linestatus,
        round(sum(l_extendedprice), 2) AS sum_base_price,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
        count(*) AS count_order
-FROM lineitem
+FROM {lineitem}
 WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
 GROUP BY l_returnflag, l_linestatus
 """
 
 
-@query("run_sql", RUN_SQL)
+@query("run_sql", RUN_SQL.format(lineitem="lineitem"))
 def q_run_sql(spark, sf_dir):
     """SQL over the handed-out session: a pricing summary over line items."""
     return run_sql(spark, {"lineitem": load(spark, sf_dir, "lineitem")}, RUN_SQL)
@@ -166,19 +166,36 @@ RUN_SQL_JOIN = """
 SELECT c_mktsegment, o_orderpriority,
        count(DISTINCT o_orderkey) AS n_orders,
        round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-FROM customer JOIN orders ON c_custkey = o_custkey
-              JOIN lineitem ON l_orderkey = o_orderkey
+FROM {customer} JOIN {orders} ON c_custkey = o_custkey
+              JOIN {lineitem} ON l_orderkey = o_orderkey
 WHERE l_returnflag <> 'R'
 GROUP BY c_mktsegment, o_orderpriority
 """
 
 
-@query("run_sql_join", RUN_SQL_JOIN)
+@query("run_sql_join", RUN_SQL_JOIN.format(customer="customer", orders="orders", lineitem="lineitem"))
 def q_run_sql_join(spark, sf_dir):
-    """SQL over three registered views: revenue by market segment and order
+    """SQL over three bound frames: revenue by market segment and order
     priority (Catalyst plans the joins; AQE picks broadcast or shuffle)."""
-    views = {t: load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
-    return run_sql(spark, views, RUN_SQL_JOIN)
+    frames = {t: load(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
+    return run_sql(spark, frames, RUN_SQL_JOIN)
+
+
+RUN_SQL_BOUND = "SELECT l_returnflag, count(*) AS n, :label AS label FROM {lines} WHERE l_quantity > :least GROUP BY l_returnflag"
+
+
+@query("run_sql_bound", """
+SELECT l_returnflag, count(*) AS n, 'small' AS label FROM lineitem WHERE l_linenumber < 3 AND l_quantity > 10 GROUP BY l_returnflag
+UNION ALL
+SELECT l_returnflag, count(*) AS n, 'it''s {large}' AS label FROM lineitem WHERE l_linenumber >= 3 AND l_quantity > 30
+GROUP BY l_returnflag
+""")
+def q_run_sql_bound(spark, sf_dir):
+    """Two calls with one frame name and one statement, each with frame and values of its own."""
+    li = load(spark, sf_dir, "lineitem")
+    one = run_sql(spark, {"lines": li.filter("l_linenumber < 3")}, RUN_SQL_BOUND, {"least": 10, "label": "small"})
+    two = run_sql(spark, {"lines": li.filter("l_linenumber >= 3")}, RUN_SQL_BOUND, {"least": 30, "label": "it's {large}"})
+    return one.unionByName(two)
 
 
 def _square(s: pd.Series) -> pd.Series:

@@ -11,17 +11,21 @@ from shardline.session import shared_path
 from shardline.sources import sinks
 from shardline.sources.parallel import parallelize
 from shardline.sources.tables import load
-from shardline.sources.text_inputs import parse_json, parse_trace, read_json_records, scan_traces, split_pairs
+from shardline.sources.text_inputs import (open_field, parse_json, parse_open_json, parse_trace, read_json_records,
+                                           scan_config, scan_traces, split_pairs, variant_kind)
 
 
 @query("parallelize", """
-SELECT range AS value, range * range AS sq FROM range((SELECT count(*) FROM orders))
+SELECT range AS value, range * range AS sq, o_custkey
+FROM range((SELECT count(*) FROM orders)) LEFT JOIN orders ON range = o_orderkey
 """)
 def q_parallelize(spark, sf_dir):
-    """A distributed range as long as the orders table, squared (the
-    distributed map of the getting-started example)."""
-    values = parallelize(spark, load(spark, sf_dir, "orders").count())
-    return values.select("value", (F.col("value") * F.col("value")).alias("sq"))
+    """A distributed range as long as the orders table, squared (the distributed map of the
+    getting-started example), with the customer of the order of that number."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    values = parallelize(spark, orders.count())
+    return values.join(orders, F.col("value") == F.col("o_orderkey"), "left").select(
+        "value", (F.col("value") * F.col("value")).alias("sq"), "o_custkey")
 
 
 @query("read_json_records", """
@@ -151,3 +155,96 @@ def q_write_routes(spark, sf_dir):
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     write_routes(route(pages, "url", [("https://", "secure"), ("http://", "plain")]), path)
     return spark.read.parquet(path).select("page_id", "route")
+
+
+# Lines of mixed quality made of events: cut off, a text for a number, an array, nested, a
+# bare number, JSON null, and as they are.
+_OPEN_LINE = """CASE event_id % 7 WHEN 0 THEN '{"k": ' WHEN 1 THEN '{"k": "' || event_type || '"}'
+  WHEN 2 THEN '[' || event_id || ', "' || event_type || '"]' WHEN 3 THEN '{"k": {"a": [' || user_id || ', true]}}'
+  WHEN 4 THEN CAST(event_id AS VARCHAR(20)) WHEN 5 THEN 'null' ELSE props END"""
+
+
+def _open_lines(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.expr(_OPEN_LINE).alias("line"))
+
+
+@query("open_json", f"""
+WITH l AS (SELECT event_id, {_OPEN_LINE} AS line FROM events),
+j AS (SELECT *, json_valid(line) AS ok, try_cast(line AS JSON) AS j FROM l)
+SELECT event_id, CASE WHEN NOT ok THEN line END AS corrupt,
+       CASE WHEN ok THEN CASE json_type(j) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null'
+                                           ELSE 'number' END END AS kind,
+       CASE WHEN ok AND json_type(j, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(j, '$.k') AS BIGINT) END AS k,
+       CASE WHEN ok AND json_type(j, '$.k') = 'VARCHAR' THEN json_extract_string(j, '$.k') END AS k_text,
+       CASE WHEN ok THEN CAST(json_extract(j, '$.k.a[0]') AS BIGINT) END AS first_a,
+       CASE WHEN ok AND json_type(j) = 'ARRAY' THEN json_extract_string(j, '$[1]') END AS second
+FROM j
+""")
+def q_open_json(spark, sf_dir):
+    """JSON lines without a schema, some malformed, fields of mixed types, as variants."""
+    rows = parse_open_json(_open_lines(spark, sf_dir), "line")
+    k = F.expr("try_variant_get(record, '$.k', 'variant')")
+    is_text = variant_kind(k) == "string"
+    return rows.select("event_id", "corrupt", variant_kind("record").alias("kind"),
+                       F.when(variant_kind(k) == "number", open_field("record", "$.k", "bigint")).alias("k"),
+                       F.when(is_text, open_field("record", "$.k", "string")).alias("k_text"),
+                       open_field("record", "$.k.a[0]", "bigint").alias("first_a"),
+                       open_field("record", "$[1]", "string").alias("second"))
+
+
+@query("json_corrupt_files", f"""
+WITH l AS (SELECT event_id, {_OPEN_LINE} AS line FROM events WHERE event_id % 7 IN (0, 1, 3, 6))
+SELECT CASE WHEN event_id % 7 = 6 THEN CAST(json_extract(line, '$.k') AS INTEGER) END AS k,
+       CASE WHEN event_id % 7 <> 6 THEN line END AS bad, count(*) AS n
+FROM l GROUP BY ALL
+""")
+def q_json_corrupt_files(spark, sf_dir):
+    """JSON line files with a declared schema: lines that don't fit it are kept as text."""
+    path = shared_path(spark, "json-lines")
+    _open_lines(spark, sf_dir).filter("event_id % 7 IN (0, 1, 3, 6)").select("line").write.text(path)
+    return read_json_records(spark, path, "k int", corrupt="bad").groupBy("k", "bad").agg(F.count("*").alias("n"))
+
+
+# -- configuration files written out of events -----------------------------------
+
+def _settings(spark, sf_dir):
+    """key, value: values with a second separator and characters that XML must escape."""
+    ev = load(spark, sf_dir, "events")
+    return ev.select(F.concat_ws(".", F.lit("zookeeper"), "event_type", F.col("event_id").cast("string")).alias("key"),
+                     F.concat(F.lit("a=<"), F.col("user_id").cast("string"), F.lit("> & b: "), "event_type").alias("value"))
+
+
+_SETTINGS_SQL = """
+SELECT 'zookeeper.' || event_type || '.' || event_id AS key, 'a=<' || user_id || '> & b: ' || event_type AS value
+FROM events WHERE starts_with(event_type, 'p') OR starts_with(event_type, 'c')
+"""
+_PREFIXES = ["zookeeper.p", "zookeeper.c"]
+
+
+def _line_files(spark, sf_dir, name, sep):
+    path = shared_path(spark, name)
+    line = F.concat(F.lit("  "), F.col("key"), F.lit(sep), F.col("value"))
+    lines = _settings(spark, sf_dir).select(F.explode(F.array(line, F.lit("# a comment"), F.lit(" "))).alias("line"))
+    lines.write.text(path)
+    return path
+
+
+@query("scan_properties_files", _SETTINGS_SQL)
+def q_scan_properties_files(spark, sf_dir):
+    """``key=value`` files with comments and blank lines; a second ``=`` stays in the value."""
+    return scan_config(spark, _line_files(spark, sf_dir, "properties", " = "), "properties", _PREFIXES).select("key", "value")
+
+
+@query("scan_yaml_files", _SETTINGS_SQL)
+def q_scan_yaml_files(spark, sf_dir):
+    """Flat YAML files; a second colon stays in the value."""
+    return scan_config(spark, _line_files(spark, sf_dir, "yaml", ": "), "yaml", _PREFIXES).select("key", "value")
+
+
+@query("scan_xml_files", _SETTINGS_SQL)
+def q_scan_xml_files(spark, sf_dir):
+    """``property`` elements of XML files, with escaped characters."""
+    path = shared_path(spark, "xml")
+    (_settings(spark, sf_dir).select(F.col("key").alias("name"), "value")
+     .write.option("rootTag", "configuration").option("rowTag", "property").xml(path))
+    return scan_config(spark, path, "xml", _PREFIXES).select("key", "value")

@@ -24,11 +24,53 @@ def parse_json(col, schema: str | T.StructType) -> Column:
     return F.from_json(_c(col), schema)
 
 
-def read_json_records(spark: SparkSession, paths, schema: str | T.StructType, multi_line: bool = False) -> DataFrame:
+def read_json_records(spark: SparkSession, paths, schema: str | T.StructType, multi_line: bool = False,
+                      corrupt: str | None = None) -> DataFrame:
     """JSON records with a declared schema (no inference pass over the data):
     one object per line, or with ``multi_line`` one (pretty-printed) document
-    per file, as description files are written."""
-    return spark.read.schema(schema).json(paths, multiLine=multi_line)
+    per file, as description files are written. A line that is no JSON object, or
+    has a field of another type, keeps the fields that can be read, the others are null;
+    ``corrupt`` names a string column that gets such a line as it is, null for all others."""
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    reader = spark.read.option("multiLine", multi_line)
+    if corrupt:
+        kind = T.StructType([*kind.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(kind).json(paths)
+
+
+#: Kinds of a variant, by the word its type begins with.
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
+
+
+def parse_open_json(df: DataFrame, col, record: str = "record", corrupt: str = "corrupt") -> DataFrame:
+    """JSON text without a declared schema: ``record`` is a VARIANT that keeps every field
+    whatever its type, null where the text doesn't begin with a JSON value; such a text is in
+    ``corrupt``. What follows a whole value is ignored."""
+    text = _c(col)
+    return df.withColumn(record, F.try_parse_json(text)).withColumn(
+        corrupt, F.when(text.isNotNull() & F.col(record).isNull(), text))
+
+
+def variant_kind(record) -> Column:
+    """``object``, ``array``, ``string``, ``number``, ``boolean`` or ``null`` (JSON's own);
+    null without a record."""
+    word = F.regexp_extract(F.schema_of_variant(_c(record)), "^[A-Z]+", 0)
+    kind = None
+    for name, k in _KINDS.items():
+        kind = F.when(word == name, k) if kind is None else kind.when(word == name, k)
+    return F.when(_c(record).isNotNull(), kind.otherwise("number"))
+
+
+def open_field(record, path: str, kind: str) -> Column:
+    """A field of a variant by path (``$.a.b[0]``) as ``kind``; null where it is missing or
+    can't be read so."""
+    return F.try_variant_get(_c(record), path, kind)
+
+
+def schema_of_records(df: DataFrame, record: str = "record") -> DataFrame:
+    """One row: the ``schema`` that all records fit (partial aggregation)."""
+    return df.agg(F.schema_of_variant_agg(record).alias("schema"))
 
 
 # -- 5: key=value -------------------------------------------------------------
@@ -79,8 +121,10 @@ def scan_config(spark: SparkSession, paths, style: str = "properties",
     """Configuration files as ``(file, key, value)`` rows, in three shapes:
     ``properties`` (``key=value``), ``yaml`` (flat ``key: value``) and
     ``xml`` (``<property><name>..</name><value>..</value></property>``).
-    Line formats are read line by line over all files in parallel; an XML
-    file is read whole (``wholetext``), one small file per row."""
+    Line formats are read line by line over all files in parallel; XML by Spark's own
+    source, one row per ``property`` element wherever it begins, so that a large file is
+    split like any other and comments, entities and CDATA mean what they should. Pairs
+    without a key are left out."""
     if style == "properties":
         return scan_properties(spark, paths, prefixes)
     if style == "yaml":
@@ -90,12 +134,9 @@ def scan_config(spark: SparkSession, paths, style: str = "properties",
         out = body.filter(F.size(kv) == 2).select("file", F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value"))
         return _filter_prefixes(out, prefixes)
     if style == "xml":
-        docs = spark.read.text(paths, wholetext=True).select(
-            F.col("_metadata.file_path").alias("file"), F.col("value").alias("doc"))
-        props = docs.select("file", F.explode(F.regexp_extract_all(
-            "doc", F.lit(r"(?s)<property>(.*?)</property>"), 1)).alias("p"))
-        out = props.select("file", F.trim(F.regexp_extract("p", r"(?s)<name>(.*?)</name>", 1)).alias("key"),
-                           F.trim(F.regexp_extract("p", r"(?s)<value>(.*?)</value>", 1)).alias("value"))
+        props = spark.read.option("rowTag", "property").schema("name string, value string").xml(paths)
+        out = props.select(F.col("_metadata.file_path").alias("file"), F.trim("name").alias("key"),
+                           F.trim("value").alias("value"))
         return _filter_prefixes(out.filter(F.col("key") != ""), prefixes)
     raise ValueError(f"unknown config style {style!r}")
 

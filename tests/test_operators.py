@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from shardline.functions import scalars as sc
 from shardline.operators import relational as rel
 from shardline.operators import topic as tp
-from shardline.sources.text_inputs import (parse_trace, read_json_records, scan_config, scan_properties,
-                                           scan_traces, split_pairs)
+from shardline.sources.text_inputs import (open_field, parse_open_json, parse_trace, read_json_records,
+                                           scan_config, scan_properties, scan_traces, schema_of_records,
+                                           split_pairs, variant_kind)
 
 
 def test_shard_is_stable_and_in_range(spark):
@@ -394,3 +395,49 @@ def test_epoch_micros_ignores_session_zone_and_dst_gaps(spark):
     epoch = _dt.datetime(1970, 1, 1)
     assert r.a == (_dt.datetime(2024, 3, 10, 2, 30) - epoch) // _dt.timedelta(microseconds=1)
     assert r.b == (_dt.datetime(2024, 7, 1, 12, 34, 56, 123456) - epoch) // _dt.timedelta(microseconds=1)
+
+
+def test_xml_configuration_is_parsed(spark, tmp_path):
+    """Comments, entities, CDATA, blanks and missing parts, over several files."""
+    (tmp_path / "a.xml").write_text(
+        "<?xml version='1.0'?>\n<configuration>\n<!-- <property><name>not</name><value>this</value></property> -->\n"
+        "<property><name> spaced.key </name><value>a &lt; b &amp; c</value><final>true</final></property>\n"
+        "<property><name>cdata</name><value><![CDATA[<x>=1]]></value></property>\n"
+        "<property><name>empty</name><value></value></property><property><value>nameless</value></property>\n</configuration>")
+    (tmp_path / "b.xml").write_text("<configuration><property>\n<name>cdata</name>\n<value>other file</value>\n</property></configuration>")
+    got = sorted((r.file.rsplit("/", 1)[1], r.key, r.value or "") for r in scan_config(spark, str(tmp_path), "xml").collect())
+    assert got == [("a.xml", "cdata", "<x>=1"), ("a.xml", "empty", ""), ("a.xml", "spaced.key", "a < b & c"),
+                   ("b.xml", "cdata", "other file")]
+    assert [r.key for r in scan_config(spark, str(tmp_path), "xml", ["sp"]).collect()] == ["spaced.key"]
+
+
+def test_open_json_edges(spark):
+    rows = [(1, '{"a": 1}'), (2, '{"a": '), (3, None), (4, ""), (5, '[1, "x", {"b": null}]'), (6, "null"), (7, "1.5"),
+            (8, "true"), (9, '"text"'), (10, '{"a": {"b": ["deep"]}}'), (11, '{"a": 99999999999999999999}'), (12, "{} extra")]
+    df = parse_open_json(spark.createDataFrame(rows, "id int, line string"), "line")
+    got = {r.id: (r.kind, r.corrupt, r.a, r.deep) for r in df.select(
+        "id", variant_kind("record").alias("kind"), "corrupt", open_field("record", "$.a", "int").alias("a"),
+        open_field("record", "$.a.b[0]", "string").alias("deep")).collect()}
+    assert got == {1: ("object", None, 1, None), 2: (None, '{"a": ', None, None), 3: (None, None, None, None), 4: (None, "", None, None),
+                   5: ("array", None, None, None), 6: ("null", None, None, None), 7: ("number", None, None, None),
+                   8: ("boolean", None, None, None), 9: ("string", None, None, None), 10: ("object", None, None, "deep"),
+                   11: ("object", None, None, None), 12: ("object", None, None, None)}
+    one = schema_of_records(df.filter("id IN (1, 10)")).first().schema
+    assert one.startswith("OBJECT<a: VARIANT") and schema_of_records(df.filter("id = 1")).first().schema == "OBJECT<a: BIGINT>"
+
+
+def test_json_corrupt_column(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"a": 1, "b": "t"}\n{"a": "no number", "b": "kept"}\n{"a": 2\n\n[3]\n')
+    got = [(r.a, r.b, r.bad) for r in read_json_records(spark, str(tmp_path), "a int, b string", corrupt="bad").collect()]
+    assert sorted(got, key=str) == sorted([(1, "t", None), (None, "kept", '{"a": "no number", "b": "kept"}'),
+                                           (None, None, '{"a": 2'), (None, None, "[3]")], key=str)
+
+
+def test_sql_calls_share_no_names(spark):
+    """Two calls with one frame name, the second made before the first one runs."""
+    from shardline.functions.udf import run_sql
+    before = {t.name for t in spark.catalog.listTables()}
+    one = run_sql(spark, {"t": spark.range(3)}, "SELECT count(*) AS n, :v AS v FROM {t}", {"v": "a'b"})
+    two = run_sql(spark, {"t": spark.range(5)}, "SELECT count(*) AS n, :v AS v FROM {t}", {"v": 7})
+    assert [tuple(x.first()) for x in (one, two, one)] == [(3, "a'b"), (5, 7), (3, "a'b")]
+    assert {t.name for t in spark.catalog.listTables()} == before
