@@ -52,14 +52,17 @@ class Memo(dict):
             self[key] = value
 
     def look_up(self, pieces: set[str], learn) -> dict:
-        """The table itself if it knows all pieces, else one with the new ones on top."""
+        """The table itself if it knows all pieces, else one of these pieces alone."""
         fresh = {x for x in pieces if x not in self}
         if not fresh:
             return self
         new = learn(fresh)
-        for x, value in new.items():
-            self.keep(x, value)
-        return {x: self[x] if x in self else new[x] for x in pieces}
+        if self.room > 2 * self.SLOT:
+            for x, value in new.items():
+                self.keep(x, value)
+        rest = pieces - fresh
+        new.update(zip(rest, map(self.__getitem__, rest)))
+        return new
 
 
 #: Bits of a membership filter: 256 buckets of 32768, 1 MB, whatever it is made from.

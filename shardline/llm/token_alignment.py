@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,20 +148,29 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=vocab.b_model)
         self.a_size = np.array([len(x) for x in vocab.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in vocab.b_bytes], np.int64)
-
-    def _encoded(self, spaced: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """A ids and B ids of texts that begin with a space, and whether both give the text."""
-        out = []
-        a_found = self.a.encode_batch_fast(spaced, add_special_tokens=False)
-        b_found = self.b.encode([s[1:] for s in spaced], num_threads=1)
-        for s, a, b in zip(spaced, a_found, b_found):
-            if s == " ":
-                b = [self.b.piece_to_id(SPACE)]
-            data = s.encode()
-            same = (b"".join(map(self.vocab.a_bytes.__getitem__, a.ids)) == data
-                    and b"".join(map(self.vocab.b_bytes.__getitem__, b)) == data)
-            out.append((np.array(a.ids, np.int32).tobytes(), np.array(b, np.int32).tobytes(), same))
-        return out
+        self.space = self.b.piece_to_id(SPACE)
+
+    def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """A ids of the texts behind a space and B ids, None where the bytes aren't those of the text."""
+        data = [b" " + t.encode() for t in texts]
+        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        b = self.b.encode(texts, num_threads=1)
+        b = [x if t else [self.space] for x, t in zip(b, texts)]
+        ids = [(array("i", x).tobytes(), array("i", y).tobytes()) for x, y in zip(a, b)]
+        # all at once: equal as a whole and of equal lengths, so equal one by one
+        size = np.array([len(d) for d in data])
+        if (b"".join(map(self.vocab.a_bytes.__getitem__, chain.from_iterable(a))) == b"".join(data)
+                == b"".join(map(self.vocab.b_bytes.__getitem__, chain.from_iterable(b)))
+                and (self._sizes(a, self.a_size) == size).all() and (self._sizes(b, self.b_size) == size).all()):
+            return ids
+        return [x if (b"".join(map(self.vocab.a_bytes.__getitem__, i)) == d
+                      == b"".join(map(self.vocab.b_bytes.__getitem__, j))) else None
+                for x, i, j, d in zip(ids, a, b, data)]
+
+    @staticmethod
+    def _sizes(ids: list[list[int]], size: np.ndarray) -> np.ndarray:
+        """Bytes of each list of ids; all have some."""
+        return np.add.reduceat(size[list(chain.from_iterable(ids))], np.cumsum([0] + [len(x) for x in ids[:-1]]))
 
     def _learn(self, words: set[str]) -> dict[str, tuple]:
         order = list(words)
@@ -169,20 +180,20 @@ class Aligner:
         """The ids of each text, none where the bytes differ."""
         words, whole = [], []
         for t in texts:
-            spaced = " " + t if t else ""
-            if spaced and (not self.vocab.by_words or SPACE in spaced or _TORN.search(spaced)):
-                whole.append(spaced)
+            if t and (not self.vocab.by_words or SPACE in t or t[0] == " " or _TORN.search(t)):
+                whole.append(t)
                 words.append(None)
             else:
-                words.append([" " + w for w in spaced.split(" ")[1:]])
+                words.append(t.split(" ") if t else [])
         known = self.known.look_up(set().union(*(w for w in words if w)), self._learn)
         whole = iter(self._encoded(whole) if whole else ())
         a_out, b_out = [], []
         for ws in words:
-            parts = [next(whole)] if ws is None else [known[w] for w in ws]
-            same = all(p[2] for p in parts)
-            a_out.append(b"".join(p[0] for p in parts) if same else b"")
-            b_out.append(b"".join(p[1] for p in parts) if same else b"")
+            parts = [next(whole)] if ws is None else list(map(known.__getitem__, ws))
+            if None in parts:
+                parts = []
+            a_out.append(b"".join([p[0] for p in parts]))
+            b_out.append(b"".join([p[1] for p in parts]))
         return a_out, b_out
 
     def align(self, texts: list[str | None]) -> Aligned:
