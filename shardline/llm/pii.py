@@ -13,19 +13,28 @@ entity is the share of the entity's information that it carries:
 
 1 means that who sees the term knows the entity. P(e|t) is a deleted estimate, smoothed
 with ``smoothing`` documents of the corpus at large: what the other documents say of a
-term when the text that has most copies, c, of those with both is left out,
+term when the group of copies that has most documents, c, of those with both is left out,
 
     P(e|t) = (n_et - c + smoothing * p) / (n_t - c + smoothing)
 
-so that a pair of one text only, however often copied, tells nothing. Terms of a
-disclosure of ``remove_from`` or more for any entity are removed, those of
+Texts that share most of their words are one group of copies: those that agree in one of
+``BANDS`` bands of ``ROWS`` minima of hashed words, and what these connect. So a text
+tells nothing of its own words, however often it is copied or how its copies are varied. For
+a rare entity the share of information alone would be near 1 for any pair, the more
+so the larger the corpus; a pair counts only if it is in ``support`` groups or more and
+the entity is more likely than not among the documents with the term, P(e|t) >= 1/2. Both
+bounds are the same at every size.
+
+Terms of a disclosure of ``remove_from`` or more for any entity are removed, those of
 ``generalise_from`` or more generalised, wherever they occur outside base spans, also in
 documents without an entity. The method only adds spans, of kind ``term``; the base
 spans stay.
 
 Only Spark's own functions run. Counts are summed up by term or pair before they
 meet, and joins read plain scans, so that an entity or term of a third of all
-documents can be split over tasks.
+documents can be split over tasks. Pairs are formed of entities and terms of ``support``
+texts or more only, and n_t is counted over the corpus for the terms only whose count among
+the texts with entities leaves the bounds in reach.
 
 Defined results: a null text counts as empty and has no spans; rows that repeat a
 doc_id are documents of their own, told apart by their texts; an empty table gives an empty result. Offsets are code points, ends
@@ -38,6 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardline.llm.common import drop_staged, let, may_contain, staged, text_key
+from shardline.llm.components import connected
 
 #: The kinds in their order, and the contract's patterns. Runs that a
 #: match can only take whole are possessive, and a start inside a run is skipped unless
@@ -52,7 +62,8 @@ PATTERNS = {
 #: A cheap test that a text can hold a match at all.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{4,}+"
-SMOOTHING, GENERALISE_FROM, REMOVE_FROM = 0.5, 0.8, 0.95
+SMOOTHING, GENERALISE_FROM, REMOVE_FROM, SUPPORT, LIKELY = 0.5, 0.8, 0.95, 3, 0.5
+BANDS, ROWS = 8, 5
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
 
@@ -134,58 +145,101 @@ def entities_of(span: Column) -> Column:
             .otherwise(F.array(named("phone", digits), named("range", F.left(digits, F.char_length(digits) - 4)))))
 
 
-def _revealing(docs: DataFrame, base: DataFrame, total: int, smoothing: float, generalise_from: float,
-               remove_from: float) -> DataFrame:
-    """(term, action) of the terms that give a protected entity away."""
+def copy_groups(texts: DataFrame) -> DataFrame:
+    """(th, g): the least key of the texts that share most words with th, by ``terms``.
+    Copies of shared words agree in all of a band's minima with probability J**ROWS."""
+    least = lambda n: F.array_min(F.transform("hashes", lambda h: F.xxhash64(h, F.lit(n))))
+    bands = F.array(*(F.xxhash64(F.lit(b), *(least(b * ROWS + r) for r in range(ROWS))) for b in range(BANDS)))
+    hashed = texts.filter(F.size("terms") > 0).select("th", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"))
+    banded = staged(hashed.select("th", F.explode(bands).alias("band")), "pii-bands")
+    first = banded.groupBy("band").agg(F.min("th").alias("m"), F.max("th").alias("x")).filter("m < x").select("band", "m")
+    edges = staged(banded.join(first, "band").filter("th <> m").select(F.col("th").alias("a"), F.col("m").alias("b"))
+                   .distinct(), "pii-copies")
+    found = connected(edges)
+    out = staged(texts.select("th").join(found, F.col("th") == F.col("node"), "left").select(
+        "th", F.coalesce("component", "th").alias("g")), "pii-groups")
+    drop_staged(banded, edges)
+    return out
+
+
+def estimates(docs: DataFrame, base: DataFrame, total: int, smoothing: float, support: int,
+              least: float) -> DataFrame:
+    """(entity, term, n_e, n_t, n_et, top, given, disclosure) of the pairs within the bounds."""
     texts = staged(base.filter("entities IS NOT NULL").groupBy("th").agg(
-        F.sum("copies").alias("c"), F.any_value("entities").alias("entities"), F.any_value("words").alias("words")),
-        "pii-texts")
+        F.sum("copies").alias("c"), F.any_value("entities").alias("entities"),
+        F.array_distinct(F.transform(F.any_value("words"), F.lower)).alias("terms")), "pii-texts")
     named = texts.select("th", "c", F.explode("entities").alias("entity"))
-    # an entity or pair of one text only can't be told from that text: its estimate is p
-    repeated = staged(named.groupBy("entity").agg(F.sum("c").alias("n_e"), F.max("c").alias("top"))
-                      .filter((F.col("n_e") > F.col("top")) & (F.col("n_e") < total)).select("entity", "n_e"),
+    repeated = staged(named.groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("n_texts"))
+                      .filter((F.col("n_texts") >= support) & (F.col("n_e") < total)).select("entity", "n_e"),
                       "pii-entities")
+    said = texts.select("c", F.explode("terms").alias("term"))
+    common = staged(said.groupBy("term").agg(F.sum("c").alias("m_t"), F.count("*").alias("n_texts"))
+                    .filter(F.col("n_texts") >= support).select("term", "m_t"), "pii-common")
     found = staged(may_contain(named.select("th", "entity"), F.xxhash64("entity"), repeated, F.xxhash64("entity"))
                    .join(repeated, "entity"), "pii-named")
-    found = found.groupBy("th").agg(F.collect_list(F.struct("entity", "n_e")).alias("found"))
-    terms = F.array_distinct(F.transform("words", F.lower))
-    pairs = staged(texts.select("th", "c", terms.alias("terms")).join(found, "th")
-                   .select("c", "terms", F.explode("found").alias("e"))
-                   .select("c", "e.entity", "e.n_e", F.explode("terms").alias("term"))
-                   .groupBy("entity", "n_e", "term").agg(F.sum("c").alias("n_et"), F.max("c").alias("top"))
-                   .filter(F.col("n_et") > F.col("top")), "pii-pairs")
-    wanted = staged(pairs.select("term").distinct(), "pii-wanted")
-    said = docs.select(F.explode(F.array_distinct(F.transform(let(base_spans(F.col("text")), lambda b: words_in(
-        masked(F.col("text"), b))), F.lower))).alias("term"))
-    per_term = staged(said.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi"), "pii-terms")
+    ths = found.select("th").distinct()
+    near = copy_groups(texts.join(ths, "th", "left_semi"))
+    of_text = found.groupBy("th").agg(F.collect_list(F.struct("entity", "n_e")).alias("found"))
+    told = (texts.select("th", "c", "terms").join(of_text, "th").join(near, "th")
+            .select("g", "c", "found", F.explode("terms").alias("term")))
+    told = may_contain(told, F.xxhash64("term"), common, F.xxhash64("term"))
+    by_group = (told.select("g", "c", "term", F.explode("found").alias("e"))
+                .groupBy("e.entity", "e.n_e", "term", "g").agg(F.sum("c").alias("c")))
+    pairs = staged(by_group.groupBy("entity", "n_e", "term").agg(
+        F.sum("c").alias("n_et"), F.max("c").alias("top"), F.count("*").alias("n_groups"))
+        .filter(F.col("n_groups") >= support), "pii-pairs")
     p = F.col("n_e") / F.lit(float(total))
-    given = ((F.col("n_et") - F.col("top") + F.lit(float(smoothing)) * p)
-             / (F.col("n_t") - F.col("top") + F.lit(float(smoothing))))
-    disclosure = F.log(given / p) / -F.log(p)
-    out = staged(pairs.join(per_term, "term").groupBy("term").agg(F.max(disclosure).alias("disclosure"))
-                 .filter(F.col("disclosure") >= generalise_from)
-                 .select("term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise")
-                         .alias("action")), "pii-revealing")
-    drop_staged(texts, repeated, pairs, wanted, per_term)
+    given = lambda n: ((F.col("n_et") - F.col("top") + F.lit(float(smoothing)) * p)
+                       / (n - F.col("top") + F.lit(float(smoothing))))
+    # log(given / p) / -log(p) >= least means given >= p ** (1 - least)
+    bound = F.greatest(F.lit(LIKELY), F.pow(p, F.lit(1.0 - least)))
+    likely = staged(pairs.join(common, "term").filter(given(F.col("m_t")) >= bound * 0.999).drop("m_t"), "pii-likely")
+    wanted = staged(likely.select("term").distinct(), "pii-wanted")
+    everywhere = docs.select(F.explode(F.array_distinct(F.transform(let(base_spans(F.col("text")), lambda b: words_in(
+        masked(F.col("text"), b))), F.lower))).alias("term"))
+    counted = (may_contain(everywhere, F.xxhash64("term"), wanted, F.xxhash64("term")).groupBy("term")
+               .agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi"))
+    out = staged(likely.join(counted, "term").withColumn("given", given(F.col("n_t")))
+                 .withColumn("disclosure", F.log(F.col("given") / p) / -F.log(p))
+                 .filter((F.col("given") >= LIKELY) & (F.col("disclosure") >= least))
+                 .select("entity", "term", "n_e", "n_t", "n_et", "top", "given", "disclosure"), "pii-estimates")
+    drop_staged(texts, repeated, common, found, near, pairs, likely, wanted)
     return out
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING,
-             generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM) -> DataFrame:
-    """(id, th, base, terms): per distinct (id, text) the base spans and the added
-    spans; a term's ``value`` is what becomes of it, ``remove`` or ``generalise``."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), text.alias("text"))
+def _revealing(docs: DataFrame, base: DataFrame, total: int, smoothing: float, generalise_from: float,
+               remove_from: float, support: int) -> DataFrame:
+    """(term, action) of the terms that give a protected entity away."""
+    found = estimates(docs, base, total, smoothing, support, generalise_from)
+    out = staged(found.groupBy("term").agg(F.max("disclosure").alias("disclosure")).select(
+        "term", F.when(F.col("disclosure") >= remove_from, "remove").otherwise("generalise").alias("action")),
+        "pii-revealing")
+    drop_staged(found)
+    return out
+
 
+def base_of(docs: DataFrame) -> DataFrame:
+    """(id, th, copies, base, entities, words) of each distinct (id, th) of ``docs``; entities
+    and words are null without a base span."""
     some = lambda b, value: F.when(F.size(b) > 0, value)
     found = let(base_spans(F.col("text")), lambda b: F.struct(
         b.alias("base"), some(b, F.array_distinct(F.flatten(F.transform(b, entities_of)))).alias("entities"),
         some(b, words_in(masked(F.col("text"), b))).alias("words")))
-    base = staged(docs.select("id", "th", found.alias("found")).groupBy("id", "th").agg(
+    return staged(docs.select("id", "th", found.alias("found")).groupBy("id", "th").agg(
         F.any_value("found").alias("found"), F.count("*").alias("copies")).select("id", "th", "copies", "found.*"),
         "pii-base")
+
+
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", smoothing: float = SMOOTHING,
+             generalise_from: float = GENERALISE_FROM, remove_from: float = REMOVE_FROM,
+             support: int = SUPPORT) -> DataFrame:
+    """(id, th, base, terms): per distinct (id, text) the base spans and the added
+    spans; a term's ``value`` is what becomes of it, ``remove`` or ``generalise``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), text.alias("text"))
+    base = base_of(docs)
     total = base.agg(F.sum("copies")).first()[0] or 0
-    revealing = _revealing(docs, base, total, smoothing, generalise_from, remove_from)
+    revealing = _revealing(docs, base, total, smoothing, generalise_from, remove_from, support)
     said = docs.select("id", "th", F.explode(let(base_spans(F.col("text")), lambda b: words_in(
         masked(F.col("text"), b)))).alias("word")).withColumn("term", F.lower("word"))
     held = staged(may_contain(said, F.xxhash64("term"), revealing, F.xxhash64("term")).join(revealing, "term")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from hypothesis import given, settings
@@ -68,36 +69,85 @@ def test_any_text(spark, texts):
     _check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def _word(i, letters="abcdefghij"):
+    return "".join(letters[int(c)] for c in f"{i:06d}")
+
+
+def _filler(i, n=24):
+    """Words of its own for each text, so that no two texts share most of theirs."""
+    return " ".join(_word(1000 * i + k) for k in range(n))
+
+
+def _corpus(near=(), others=300):
+    """Nicknames of an address, of a mail domain and of one that only has copies."""
+    rows = [(i, f"Zorblax {_filler(i)} please write soon to zed@x.org") for i in range(4)]
+    rows += [(10 + i, f"{_word(i, 'qrstuvwxyz')}{i}@team.example {_filler(10 + i)} Borogove please") for i in range(8)]
+    rows += [(20, f"{_filler(20)} nobody but borogove"), (21, f"{_filler(21)} soon but zorblax")]
+    rows += list(near)
+    rows += [(10_000 + i, f"{_filler(1000 + i)} please write soon") for i in range(others)]
+    return rows
+
+
 def test_revealing_terms(spark):
-    """A nickname that only stands near one address is added, a common word isn't."""
-    rows = [(i, f"please write soon to Zorblax at zed@x.org number {'abcdefgh'[i] * 4}") for i in range(4)]
-    rows += [(10 + i, f"please write soon again {'ijklmnopq'[i] * 4}") for i in range(9)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {r.doc_id: r.spans for r in pii.pii_digest(df).collect()}
-    at = rows[0][1].index("Zorblax")
-    assert f"term:{at}:{at + 7}" in spans[0] and "email:" in spans[0] and spans[12] == ""
-    assert "term:0:6" not in spans[0]
-    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "Zorblax" not in clean[1] and "<EMAIL>" in clean[1] and "please write soon" in clean[1]
-    assert clean[11] == rows[5][1]
-
-
-def test_revealing_terms_of_whole_documents(spark):
-    """Two texts are enough, the distance doesn't count, classes of entities do, and a
-    term is marked in every document; a word of one copied text tells nothing."""
-    far = "filler words stand here " * 8
-    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
-    rows = [(0, f"Quixot {far} mail ann@one.example"), (1, f"{far} quixot was ann@one.example here")]
-    rows += [(10 + i, f"{word(i)}@team.example {far} Borogove {word(10 + i)}") for i in range(8)]
-    rows += [(20, f"{far} nobody but borogove"), (21, f"only copied bob@two.example {word(99)}"),
-             (22, f"only copied bob@two.example {word(99)}")]
-    rows += [(100 + i, f"{far} {word(100 + i)}") for i in range(300)]
+    """A term is marked in every document, classes of entities count, common words don't."""
+    rows = _corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     spans = {r.doc_id: r.spans.split(",") for r in pii.pii_digest(df).collect()}
     texts = dict(rows)
-    for i, term in [(0, "Quixot"), (1, "quixot"), (20, "borogove"), *((10 + i, "Borogove") for i in range(8))]:
+    for i, term in [(k, "Zorblax") for k in range(4)] + [(10 + k, "Borogove") for k in range(8)] + [(20, "borogove"), (21, "zorblax")]:
         at = texts[i].index(term)
         assert f"term:{at}:{at + len(term)}" in spans[i], (i, term)
-    assert not [s for i in (21, 22, 100) for s in spans[i] if s.startswith("term")]
+    assert all(len([x for x in s if x.startswith("term")]) == (i < 22) for i, s in spans.items())
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "orogove" not in clean[20] and "nobody but" in clean[20] and word(99) in clean[21]
+    assert "orogove" not in clean[20] and "nobody but" in clean[20]
+    assert "Zorblax" not in clean[1] and "<EMAIL>" in clean[1] and "please write soon" in clean[1]
+
+
+def test_near_copies_tell_nothing(spark):
+    """Texts that differ in a few words are one piece of evidence, however many there are and
+    however large the corpus is."""
+    own = " ".join(_word(500_000 + k) for k in range(20))
+    for others in (100, 2000):
+        near = [(100, f"{own} bob@two.example first"), (101, f"{own} bob@two.example second")]
+        near += [(200 + i, f"{own.replace('f', 'k')} eve@three.example {_word(700_000 + i)}") for i in range(40)]
+        df = spark.createDataFrame(_corpus(near, others), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r for r in pii.pii_digest(df).filter("doc_id < 300").collect()}
+        assert not [i for i in (100, 101, *range(200, 240)) if "term" in got[i].spans]
+        assert all("term" in got[i].spans for i in (0, 1, 2, 3, 10, 17, 20, 21))
+        clean = {r.doc_id: r.text for r in pii.sanitise(df).filter("doc_id = 100").collect()}
+        assert clean[100] == f"{own} <EMAIL> first"
+
+
+def test_estimates_equal_brute_force(spark):
+    """n_e, n_t, n_et, the group left out, P(e|t) and disclosure of every pair within the bounds."""
+    near = [(100 + i, f"{_filler(50)} ann@team.example Borogove {_word(900_000 + i)}") for i in range(5)]
+    rows = _corpus(near, 60)
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "id long, th long, text string")
+    base = pii.base_of(df)
+    got = {(r.entity, r.term): (r.n_e, r.n_t, r.n_et, r.top, round(r.given, 9), round(r.disclosure, 9))
+           for r in pii.estimates(df, base, len(rows), 0.5, 3, 0.5).collect()}
+    ents = {i: r.entities or [] for i, r in ((r.id, r) for r in base.collect())}
+    words = {i: {w.lower() for w in re.findall(r"[^\W\d_]{4,}", re.sub(GIVEN["email"], " ", t))} for i, t in rows}
+    group = {i: 100 if 100 <= i < 105 else i for i in words}  # the near copies; all others share few words
+    want = {}
+    for e in {x for v in ents.values() for x in v}:
+        have = [i for i in ents if e in ents[i]]
+        for t in {w for i in have for w in words[i]}:
+            both = [i for i in have if t in words[i]]
+            sizes = [sum(group[i] == g for i in both) for g in {group[i] for i in both}]
+            n_t, p = sum(t in w for w in words.values()), len(have) / len(rows)
+            given = (len(both) - max(sizes) + 0.5 * p) / (n_t - max(sizes) + 0.5)
+            share = math.log(given / p) / -math.log(p)
+            if len(sizes) >= 3 and given >= 0.5 and share >= 0.5:
+                want[e, t] = (len(have), n_t, len(both), max(sizes), round(given, 9), round(share, 9))
+    assert got == want and ("domain:team.example", "borogove") in want and ("email:zed@x.org", "zorblax") in want
+
+
+def test_sanitise_edges(spark, edge):
+    """Every row comes back once, with all its columns; only texts change."""
+    got = pii.sanitise(edge)
+    assert got.columns == edge.columns
+    rows = {(r.doc_id, r.text) for r in got.collect()}
+    assert got.count() == edge.count() and (1, None) in rows and (2, "") in rows
+    assert (11, "<EMAIL> <IP> +49 30 1234567 4111 1111 1111 1111") in rows  # one run of too many digits
+    assert pii.sanitise(edge.limit(0)).count() == 0
