@@ -12,14 +12,16 @@ shorter item), weighed by their number, sum of minima over sum of maxima.
    stands in place, as the best one stays. Order doesn't count: an item whose
    halves are swapped is found. Only the places where they meet leave the first scan; a
    second one lays and cuts the windows. Windows may reach over an end of a document.
-2. Fingerprints. Equal windows are fingerprinted once: 64 bits, each the weighted
-   vote of the shingle hashes. The fingerprint is cut into ``radius + 1`` blocks.
-   Of two fingerprints that differ in at most ``radius`` bits, one block is equal,
-   so the join on (size, block number, block bits) finds them all. At similarity
-   0.8 the angle of windows without repeated shingles is at most 27.3 degrees and 9.7
-   bits are expected to differ, with a deviation of 2.9: the default radius of 23 is 4.8
-   deviations above. Where a shingle is repeated many times on one side only, the angle can
-   be larger and a miss more likely.
+2. Fingerprints. Equal windows are fingerprinted once: 64 bits, each the vote of the
+   hashes of the shingles, the second occurrence of a shingle with a hash of its own and so
+   on. The weighted similarity of two bags is then that of two sets: at 0.8 the angle is
+   at most 27.3 degrees and 9.7 bits are expected to differ, with a deviation of 2.9; the
+   default radius of 23 is 4.8 deviations above. The fingerprint is cut into ``radius + 1``
+   blocks. Of two fingerprints that differ in at most ``radius`` bits one block is equal, and
+   of n shingles of an item a window of similarity 0.8 has one of the n - ceil(0.8 n) + 1 that are
+   rarest in the benchmark. The join on (size, rare shingle, block number, block bits)
+   thus finds all within the radius, and a window meets the few items it shares a rare shingle with,
+   not all of its size.
 3. Verification. Candidates within the radius are judged by the exact weighted
    similarity.
 
@@ -65,6 +67,15 @@ def simhash(hashes: Column) -> Column:
                        lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", vote(b), b)))
 
 
+def occurrences(grams: Column) -> Column:
+    """The shingles as a set: the second and later ones of a kind get hashes of their own."""
+    def numbered(g: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(grams, 1, i), lambda x: x == g))
+        return F.when(before == 0, g).otherwise(F.xxhash64(g, before))
+
+    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), grams).otherwise(F.transform(grams, numbered))
+
+
 def hamming_blocks(fingerprint: Column, radius: int) -> Column:
     """(block number, its bits) of radius + 1 blocks that cover all 64 bits."""
     edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
@@ -89,15 +100,31 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, words: int) -> Data
     return sized.select("item", "w", F.least("w", F.lit(words)).alias("k"), grams.alias("grams"))
 
 
+def _runs(ats: Column) -> Column:
+    """(a, b) of the stretches of neighbouring places of a sorted list."""
+    first = F.filter(ats, lambda x, i: (i == 0) | (F.get(ats, i - 1) != x - 1))
+    last = F.filter(ats, lambda x, i: (i == F.size(ats) - 1) | (F.coalesce(F.get(ats, i + 1), x) != x + 1))
+    return F.transform(F.arrays_zip(first.alias("a"), last.alias("b")), lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")))
+
+
 def _starts(hits: Column, m: Column, size: Column, percent: int) -> Column:
-    """(start, placed) of the windows to lay for the ``hits`` (pos, ats): the places that
-    meet, in order, and where in items. ``size`` is the number of the document's shingles."""
+    """(start, placed) of the windows to lay for the ``hits`` (pos, runs): the places that
+    meet, in order, and where in items, as stretches. ``size`` is the number of the document's
+    shingles."""
     at = hits["pos"]  # the places alone
     run = lambda lo, n: F.slice(at, lo + 1, n)
     made = lambda start, out, lo: F.struct(start.cast("int").alias("start"), F.lit(out).alias("out"),
                                            F.greatest(lo, F.lit(0)).cast("int").alias("lo"))
-    placed = F.flatten(F.transform(hits, lambda h, i: F.transform(
-        h["ats"], lambda x: made(h["pos"] - x, 0, i - x))))
+
+    def in_place(h: Column, i: Column) -> Column:
+        # where the place before meets the same stretch, all starts but one are laid already
+        before = F.get(hits, F.greatest(i - 1, F.lit(0)))
+        again = (i > 0) & (before["pos"] == h["pos"] - 1)
+        return F.flatten(F.transform(h["runs"], lambda r: F.transform(
+            F.sequence(r["a"], F.when(again & F.array_contains(before["runs"], r), r["a"]).otherwise(r["b"])),
+            lambda x: made(h["pos"] - x, 0, i - x))))
+
+    placed = F.flatten(F.transform(hits, in_place))
     cut_short = F.transform(F.filter(at, lambda p: p < m - 1), lambda p: made(p - m + 1, 1, F.lit(0)))
 
     def first(p: Column, i: Column) -> Column:
@@ -118,6 +145,30 @@ def _starts(hits: Column, m: Column, size: Column, percent: int) -> Column:
     return F.filter(each, enough)
 
 
+def candidates(marked: DataFrame, items: DataFrame, content: list[str], percent: int, radius: int) -> DataFrame:
+    """(content, item) of the windows and items whose fingerprints are within the radius,
+    among those that share a shingle which is rare in the benchmark."""
+    sets = items.select("item", "w", occurrences(F.col("grams")).alias("set"))
+    often = sets.select("w", F.explode("set").alias("gram")).groupBy("w", "gram").agg(F.count("*").alias("n"))
+    told = sets.select("item", "w", simhash(F.col("set")).alias("item_mark"), F.size("set").alias("m"),
+                       F.explode("set").alias("gram")).join(often, ["w", "gram"])
+    # the first m - ceil(percent of m) + 1 by rarity: fewer than that can be missing
+    least = F.col("m") - F.ceil(F.col("m") * F.lit(percent) / 100).cast("int") + 1
+    rare = told.groupBy("item", "w", "item_mark", "m").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), F.lit(1), F.first(least)).alias("rare"))
+    right = staged(rare.select("item", "w", "item_mark", F.explode("rare.gram").alias("gram")), "decon-rare")
+    grams = marked.select(*content, "mark", F.explode("set").alias("gram"))
+    grams = may_contain(grams, F.col("gram"), right, F.col("gram"))
+    blocks = lambda df, mark: df.select("*", F.explode(hamming_blocks(F.col(mark), radius)).alias("b")).select(
+        *df.columns, "b.*")
+    near = (blocks(grams, "mark").join(blocks(right, "item_mark"), ["w", "gram", "block", "bits"])
+            .filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
+            .select(*content, "item").distinct())
+    near = staged(near, "decon-near")
+    drop_staged(right)
+    return near
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", words: int = WORDS, percent: int = PERCENT,
                  radius: int = RADIUS) -> DataFrame:
@@ -126,14 +177,15 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     item of that size stands in place."""
     items = staged(_items(benchmark, item_id, item_text, words), "decon-items")
     grams = staged(items.select("w", "k", F.posexplode("grams").alias("at", "gram"), F.size("grams").alias("m"))
-                   .groupBy("w", "k", "m", "gram").agg(F.collect_set("at").alias("ats")), "decon-grams")
+                   .groupBy("w", "k", "m", "gram").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+                   .select("w", "k", "m", "gram", _runs(F.col("ats")).alias("runs")), "decon-grams")
     docs = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     windows = None
     for (k,) in sorted(items.select("k").distinct().collect()):  # sizes up to ``words``
         own = grams.filter(F.col("k") == k)
         said = docs.select("id", "th", F.posexplode(shingle_hashes(words_of(F.col("text")), k)).alias("pos", "gram"))
         met = (may_contain(said, F.col("gram"), own, F.col("gram")).join(own, "gram")
-               .select("id", "th", "w", "k", "m", "pos", "ats"))
+               .select("id", "th", "w", "k", "m", "pos", "runs"))
         windows = met if windows is None else windows.unionByName(met)
     if windows is None:
         kind = df.schema[id_col].dataType.simpleString()
@@ -141,7 +193,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             [], f"id {kind}, th long, item {items.schema['item'].dataType.simpleString()}, start int, n_words int, "
                 "similarity double, placed int")
     places = staged(windows, "decon-places")
-    met = (places.groupBy("id", "th", "k", "w", "m").agg(F.array_sort(F.collect_set(F.struct("pos", "ats"))).alias("hits"))
+    met = (places.groupBy("id", "th", "k", "w", "m").agg(F.array_sort(F.collect_set(F.struct("pos", "runs"))).alias("hits"))
            .filter(100 * F.size("hits") >= percent * F.col("m")))
     per_doc = staged(met.groupBy("id", "th", "k").agg(F.collect_list(F.struct("w", "m", "hits")).alias("places"))
                      .select(F.col("id").alias("pid"), F.col("th").alias("pth"), "k", "places"), "decon-documents")
@@ -153,13 +205,25 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             return F.struct(p["w"].alias("w"), x["start"].alias("start"), (1 - x["out"]).alias("placed"),
                             grams.alias("grams"))
 
+        def new(p: Column, laid: Column) -> Column:
+            # a window that loses and gains the same shingle equals the one before
+            def same(x: Column, j: Column) -> Column:
+                before = F.get(laid, F.greatest(j - 1, F.lit(0)))
+                inside = (before["start"] >= 0) & (x["start"] + p["m"] <= F.size(hashes))
+                return ((j > 0) & (before["start"] == x["start"] - 1) & (before["out"] <= x["out"]) & inside
+                        & (F.get(hashes, F.greatest(before["start"], F.lit(0)))
+                           == F.get(hashes, F.greatest(x["start"] + p["m"] - 1, F.lit(0)))))
+            return F.filter(laid, lambda x, j: ~F.coalesce(same(x, j), F.lit(False)))
+
         return F.flatten(F.transform("places", lambda p: F.transform(
-            _starts(p["hits"], p["m"], F.size(hashes), percent), lambda x: window(p, x))))
+            let(_starts(p["hits"], p["m"], F.size(hashes), percent), lambda laid: new(p, laid)), lambda x: window(p, x))))
 
     windows = None
     for (k,) in sorted(items.select("k").distinct().collect()):
-        one = (docs.join(per_doc.filter(F.col("k") == k),
-                         F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
+        own = per_doc.filter(F.col("k") == k)
+        # only the texts of documents that have places go any further
+        some = may_contain(docs, F.xxhash64("id", "th"), own, F.xxhash64("pid", "pth"))
+        one = (some.join(own, F.col("id").eqNullSafe(F.col("pid")) & (F.col("th") == F.col("pth")))
                .select("id", "th", F.explode(let(shingle_hashes(words_of(F.col("text")), k), cut)).alias("x"))
                .select("id", "th", "x.*"))
         windows = one if windows is None else windows.unionByName(one)
@@ -167,15 +231,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                                     F.xxhash64(F.lit(1), "grams").alias("c2")), "decon-windows")
     content = ["w", "c1", "c2"]
     marked = staged(windows.groupBy(*content).agg(F.first("grams").alias("grams"))
-                    .withColumn("mark", simhash(F.col("grams"))), "decon-marked")
-    blocks = F.explode(hamming_blocks(F.col("mark"), radius)).alias("b")
-    left = marked.select(*content, "mark", blocks).select(*content, "mark", "b.*")
-    right = (items.select("item", "w", simhash(F.col("grams")).alias("item_mark")).select(
-        "item", "w", "item_mark", F.explode(hamming_blocks(F.col("item_mark"), radius)).alias("b"))
-        .select("item", "w", "item_mark", "b.*"))
-    near = (left.join(right, ["w", "block", "bits"])
-            .filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius)
-            .select(*content, "item").distinct())
+                    .withColumn("set", occurrences(F.col("grams"))).withColumn("mark", simhash(F.col("set"))),
+                    "decon-marked")
+    near = candidates(marked, items, content, percent, radius)
     judged = (near.join(marked.select(*content, "grams"), content)
               .join(items.select("item", F.col("w").alias("iw"), F.col("grams").alias("item_grams")), "item"))
     both = overlap(F.col("item_grams"), F.col("grams"))
@@ -190,7 +248,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
              .select("id", "th", "item", (-F.col("best.back")).alias("start"), F.col("best.n_words").alias("n_words"),
                      F.col("best.similarity").alias("similarity"), F.col("best.placed").alias("placed")))
     found = staged(found, "decon-found")
-    drop_staged(items, grams, places, per_doc, windows, marked, good)
+    drop_staged(items, grams, places, per_doc, windows, marked, near, good)
     return found
 
 

@@ -98,3 +98,32 @@ def test_every_window_is_judged(spark):
     best = {(i, j): every_window(ws, item) for i, ws in enumerate(rows) for j, item in enumerate(items)}
     assert got == pytest.approx({key: v for key, v in best.items() if v >= 0.8})
     assert all((j, j) in got for j in range(4))
+
+
+def test_repeated_shingles(spark):
+    """Choruses, counting and one word over and over: recall against all windows is 1."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    filler = lambda n: [word() for _ in range(n)]
+    chorus = filler(9)
+    items = [chorus * 4 + filler(10), ["la"] * 40, filler(6) + ["la"] * 30 + filler(6), (filler(2) * 3 + filler(4)) * 3]
+    rows = [x + filler(5) for x in items] + [filler(7) + x[3:] for x in items] + [["la"] * n for n in (5, 20, 36, 41, 70)]
+    rows += [chorus * n + items[0][36:] for n in (2, 3, 5)] + [chorus * 12]
+    for _ in range(20):
+        own = list(rng.choice(items))
+        own[rng.randrange(len(own))] = word()
+        rows.append(filler(rng.randrange(9)) + own + filler(rng.randrange(9)))
+    df = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contamination_report(df, bench).collect()}
+    best = {(i, j): every_window(ws, item) for i, ws in enumerate(rows) for j, item in enumerate(items)}
+    want = {key: v for key, v in best.items() if v >= 0.8}
+    assert len(want) > 12 and got == pytest.approx(want)
+
+
+def test_very_long_repeats(spark):
+    """20,000 equal words against an item of 400 equal words."""
+    df = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 350), (3, "word " * 200)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "word " * 400)], "item_id long, text string")
+    got = {r.doc_id: (r.similarity, r.start) for r in decontaminate.contamination_report(df, bench).collect()}
+    assert got[1] == (1.0, 0) and got[2][0] == pytest.approx(346 / 396) and set(got) == {1, 2}
