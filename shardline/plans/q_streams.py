@@ -254,6 +254,34 @@ def q_retention_stream(spark, sf_dir):
         .select("window_start", "window_end", "n")
 
 
+# Every tenth event is held back and arrives after all others; the watermark is then an hour
+# behind the newest of these, and windows that end before it are closed.
+_LATE_SQL = """
+WITH t AS (SELECT event_id % 10 = 0 AS held, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end FROM events),
+w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events WHERE event_id % 10 <> 0)
+SELECT count(*) + 1 AS n_read, count(*) FILTER (WHERE NOT held OR window_end > mark) AS n_kept, 1::BIGINT AS n_open,
+       0::BIGINT AS n_untimed, count(*) FILTER (WHERE held AND window_end <= mark) AS n_late
+FROM t, w
+"""
+
+
+@query("retention_late", _LATE_SQL)
+def q_retention_late(spark, sf_dir):
+    """Account of a stream with late rows: all that was read is kept, open or late. The marker
+    that closes the last windows is in an open one itself."""
+    ev = load(spark, sf_dir, "events")
+    root = shared_path(spark, "late")
+    folder = f"{root}/in"
+    marker = ev.agg(F.max("ts").alias("ts")).select(
+        *((F.col("ts") + F.expr("INTERVAL 5 HOURS") if c == "ts" else F.lit(None).cast(ev.schema[c].dataType)).alias(c)
+          for c in ev.columns))
+    for drop in (ev.filter("event_id % 10 <> 0"), ev.filter("event_id % 10 = 0"), marker):
+        drop_files(drop, folder)
+        jobs.retention_run(spark.readStream.schema(ev.schema).parquet(folder), "ts", f"{root}/ckpt", f"{root}/out",
+                           f"{root}/account")
+    return jobs.retention_account(spark, f"{root}/ckpt", f"{root}/out", f"{root}/account")
+
+
 # -- 23: sessions ----------------------------------------------------------------------
 
 SESSIONS_SQL = f"""

