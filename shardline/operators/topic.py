@@ -13,13 +13,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shardline.functions.scalars import epoch_micros
 from shardline.operators.ordered import dense_index, prefix_sum
+from shardline.operators.roll import greedy_roll
 
 # Fixed values of the broker configuration these rules come from.
 MESSAGE_MAX_BYTES = 3086624          # message.max.bytes
 LOG_RETENTION_HOURS = 1              # log.retention.hours
 LOG_SEGMENT_BYTES = 1073741824       # log.segment.bytes
 LOG_RETENTION_BYTES = 1073741824     # log.retention.bytes (commented default)
+FLUSH_MESSAGES = 10000               # log.flush.interval.messages (commented default)
+FLUSH_MILLIS = 1000                  # log.flush.interval.ms (commented default)
 
 
 def _c(x) -> Column:
@@ -84,6 +88,21 @@ def assign_segment(df: DataFrame, shard, order, size_col: str, seg_bytes: int =
     return res.withColumn(out, F.expr(f"`{prev}` div {int(seg_bytes)}")).drop(prev)
 
 
+def roll_segments(df: DataFrame, shard: str, order, size_col: str, seg_bytes: int = LOG_SEGMENT_BYTES,
+                  out: str = "segment", *, num_partitions: int | None = None) -> DataFrame:
+    """Segments as a log rolls them: a record that would bring the open segment of its shard
+    over ``seg_bytes`` begins the next one (a larger record has one of its own)."""
+    return greedy_roll(df, shard, order, size=size_col, max_bytes=seg_bytes, out=out, num_partitions=num_partitions)
+
+
+def flush_batches(df: DataFrame, shard: str, order, ts: str, messages: int = FLUSH_MESSAGES, millis: int = FLUSH_MILLIS,
+                  out: str = "flush", *, num_partitions: int | None = None) -> DataFrame:
+    """Number the flushes of each shard: after ``messages`` records, or with the first record that is
+    more than ``millis`` later than the first one not flushed yet, whichever comes first."""
+    return greedy_roll(df, shard, order, max_count=messages, time_us=epoch_micros(ts), max_micros=1000 * millis, out=out,
+                       num_partitions=num_partitions)
+
+
 def retain_by_time(df: DataFrame, ts: str, hours: int = LOG_RETENTION_HOURS) -> DataFrame:
     """Keep records no older than ``hours`` before the newest record.
 

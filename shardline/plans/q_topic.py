@@ -159,6 +159,50 @@ def q_assign_segment(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
+@query("roll_segments", f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes FROM documents),
+o AS (SELECT *, row_number() OVER w - 1 AS i, sum(n_bytes) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM d
+      WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+jump AS (SELECT a.source, a.i, min(b.i) AS nxt FROM o a JOIN o b
+         ON a.source = b.source AND b.i > a.i AND b.upto - (a.upto - a.n_bytes) > {SEG_BYTES} GROUP BY a.source, a.i),
+roll AS (SELECT DISTINCT source, 0::BIGINT AS i, 0::BIGINT AS segment FROM o
+         UNION ALL SELECT r.source, j.nxt, r.segment + 1 FROM roll r JOIN jump j ON r.source = j.source AND r.i = j.i)
+SELECT o.doc_id, o.source, o.n_bytes, max(r.segment) AS segment
+FROM o JOIN roll r ON o.source = r.source AND r.i <= o.i GROUP BY ALL
+""")
+def q_roll_segments(spark, sf_dir):
+    """Documents per source in segments as a log rolls them: the first one that doesn't fit
+    any more begins the next."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return tp.roll_segments(d, "source", ["doc_id"], "n_bytes", SEG_BYTES)
+
+
+FLUSH_N, FLUSH_HOURS = 25, 12
+
+
+@query("flush_batches", f"""
+WITH RECURSIVE {TOPIC_SQL},
+o AS (SELECT partition, "offset" AS i, timestamp AS ts, event_id FROM topic_o),
+jump AS (SELECT a.partition, a.i, min(b.i) AS nxt FROM o a JOIN o b ON a.partition = b.partition AND b.i > a.i
+         AND (b.i = a.i + {FLUSH_N} OR b.ts > a.ts + INTERVAL {FLUSH_HOURS} HOUR) GROUP BY a.partition, a.i),
+roll AS (SELECT DISTINCT partition, 0::BIGINT AS i, 0::BIGINT AS flush FROM o
+         UNION ALL SELECT r.partition, j.nxt, r.flush + 1 FROM roll r JOIN jump j ON r.partition = j.partition AND r.i = j.i),
+n AS (SELECT o.partition, o.i, o.ts, o.event_id, max(r.flush) AS flush
+      FROM o JOIN roll r ON o.partition = r.partition AND r.i <= o.i GROUP BY ALL)
+SELECT partition, flush, count(*) AS n_records, min(i) AS first_offset, max(i) AS last_offset, min(ts) AS first_ts,
+       CASE WHEN count(*) = {FLUSH_N} THEN 'messages' ELSE 'time' END AS rule
+FROM n GROUP BY partition, flush
+""")
+def q_flush_batches(spark, sf_dir):
+    """The topic's records in flushes of 25 messages or 12 hours, whichever comes first."""
+    recs = topic_frame(spark, sf_dir, keep=["timestamp"])
+    flushed = tp.flush_batches(recs, "partition", ["offset"], "timestamp", FLUSH_N, FLUSH_HOURS * 3_600_000)
+    n = F.count("*")
+    return flushed.groupBy("partition", "flush").agg(
+        n.alias("n_records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"),
+        F.min("timestamp").alias("first_ts"), F.when(n == FLUSH_N, "messages").otherwise("time").alias("rule"))
+
+
 @query("retain_by_size", f"""
 WITH {SEGMENT_SQL},
 s AS (SELECT source, segment, sum(n_bytes) AS b FROM seg GROUP BY source, segment),

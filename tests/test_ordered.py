@@ -175,3 +175,40 @@ def test_float_and_binary_keys(spark, small_batches):
     for keys in (["k"], ["b"], ["k", "b"]):
         got = prefix_sum(df, keys, ["i"], "one", "n", num_partitions=3)
         assert got.filter("n <> i").count() == 0
+
+
+# -- greedy rolls ---------------------------------------------------------------
+
+def _sequential_roll(rows, max_bytes, max_count, max_micros):
+    """One key's records in order, one after the other."""
+    out, seg, used, n, first = [], -1, 0, 0, None
+    for size, t in rows:
+        over = (seg < 0 or (max_bytes is not None and used + (size or 0) > max_bytes) or (max_count is not None and n >= max_count)
+                or (max_micros is not None and first is not None and t is not None and t - first > max_micros))
+        if over:
+            seg, used, n, first = seg + 1, 0, 0, t
+        used, n = used + (size or 0), n + 1
+        out.append(seg)
+    return out
+
+
+@pytest.mark.parametrize("slices,limits", [
+    (1, (60, 5, 40)), (2, (100, None, None)), (3, (None, 7, None)), (4, (None, None, 50)), (5, (1, None, None)), (6, (100, None, 30)),
+    (7, (3000, None, None)), (8, (60, 5, 40)), (9, (60, 5, 40)), (9, (3000, None, None))])
+def test_greedy_roll_equals_a_sequential_one(spark, slices, limits):
+    """A hot key, small ones, a null key; segments of one record, of many slices, and oversized records."""
+    from shardline.operators.roll import greedy_roll
+    rng = random.Random(slices * 31 + sum(x or 0 for x in limits))
+    rows, t = [], 0
+    for i in range(260):
+        key = "hot" if rng.random() < 0.6 else rng.choice(["a", "b", None])
+        t += rng.choice([0, 1, 3, 20])
+        rows.append((i, key, rng.choice([None, 0, 1, 5, 20, 99, 250]) if limits[0] != 3000 else rng.randrange(60), t))
+    df = spark.createDataFrame(rows, "i int, k string, size int, t long").repartition(4)
+    got = {r.i: r.segment for r in greedy_roll(df, "k", ["i"], size="size", max_bytes=limits[0], max_count=limits[1], time_us="t",
+                                               max_micros=limits[2], num_partitions=slices).collect()}
+    want = {}
+    for key in ("hot", "a", "b", None):
+        own = [r for r in rows if r[1] == key]
+        want |= dict(zip((r[0] for r in own), _sequential_roll([(r[2], r[3]) for r in own], *limits)))
+    assert got == want
