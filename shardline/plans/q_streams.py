@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from shardline.functions.scalars import decode_payload, epoch_micros
 from shardline.operators.ordered import gap_sessions
+from shardline.operators.topic import assign_shard
 from shardline.plans.catalog import query
 from shardline.plans.fixtures import N_SHARDS, TOPIC_SQL, topic_records
 from shardline.session import shared_path
 from shardline.sources.tables import load
 from shardline.sources.topic_log import TOPIC_COLUMNS, read_topic, write_topic
 from shardline.streaming import jobs
+from shardline.streaming.flush import STATE_CONF, flush_stream
 from shardline.streaming.runs import batch_sink, drop_files, read_sink, run_available
 
 N_DROPS = 4
@@ -316,13 +318,12 @@ def q_member_sessions_stream(spark, sf_dir):
     root = shared_path(spark, "sessions")
     folder = f"{root}/in"
     drops = _marked_drops(ev, N_DROPS)
-    jobs.local_session_merge(spark)
     for i, drop in enumerate(drops):
         drop_files(drop, folder)
         s = jobs.member_sessions_stream(spark.readStream.schema(drop.schema).parquet(folder), "user_id", "ts",
                                         extra=["is_marker"])
         run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True,
-                      flush_idle=i == len(drops) - 1)
+                      flush_idle=i == len(drops) - 1, conf=jobs.LOCAL_SESSION_MERGE)
     out = read_sink(spark, f"{root}/out")
     return out.filter(~F.col("is_marker")).select("user_id", "session_start", "session_end", "n_events")
 
@@ -335,22 +336,49 @@ SELECT CAST({_drop_sql(N_DROPS)} AS INTEGER) AS batch_id, count(*) AS n_rows, mi
 FROM events GROUP BY 1
 """)
 def q_flush_policy(spark, sf_dir):
-    """Four drops of one file each, read with at most one file per micro-batch: one
-    output row per micro-batch, in the order of the drops."""
+    """Four drops, each flushed when it has arrived, in micro-batches of a gigabyte at most: one output
+    row per micro-batch, in the order of the drops."""
     ev = load(spark, sf_dir, "events")
     root = shared_path(spark, "flush")
     folder = f"{root}/in"
-    for drop in _time_drops(ev, "ts", N_DROPS):
-        drop_files(drop.coalesce(1), folder)  # the feature: a file is a flush
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(ev.schema).option("maxBytesPerTrigger", 1 << 30)
 
     def summary(df, batch_id):
         return df.agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_event"),
                       F.max("event_id").alias("last_event"))
-    run_available(stream, f"{root}/ckpt", batch_sink(f"{root}/out", summary))
+    for drop in _time_drops(ev, "ts", N_DROPS):
+        drop_files(drop, folder)
+        run_available(stream.parquet(folder), f"{root}/ckpt", batch_sink(f"{root}/out", summary))
     return read_sink(spark, f"{root}/out").select("batch_id", "n_rows", "first_event", "last_event")
 
 
+@query("flush_count_or_time", f"""
+WITH RECURSIVE {TOPIC_SQL},
+o AS (SELECT partition, "offset" AS i, timestamp AS ts, event_id FROM topic_o),
+jump AS (SELECT a.partition, a.i, min(b.i) AS nxt FROM o a JOIN o b ON a.partition = b.partition AND b.i > a.i
+         AND (b.i = a.i + 25 OR b.ts > a.ts + INTERVAL 12 HOUR) GROUP BY a.partition, a.i),
+roll AS (SELECT DISTINCT partition, 0::BIGINT AS i, 0::BIGINT AS flush FROM o
+         UNION ALL SELECT r.partition, j.nxt, r.flush + 1 FROM roll r JOIN jump j ON r.partition = j.partition AND r.i = j.i)
+SELECT o.partition, max(r.flush) AS flush, o.event_id FROM o JOIN roll r ON o.partition = r.partition AND r.i <= o.i GROUP BY ALL
+""")
+def q_flush_count_or_time(spark, sf_dir):
+    """The records of each shard, streamed in four drops, flushed by 25 messages or 12 hours, whichever
+    comes first; a marker three days later lets the last ones go."""
+    recs = assign_shard(topic_records(spark, sf_dir), "key", N_SHARDS).select("partition", "timestamp", "event_id")
+    root = shared_path(spark, "flush-state")
+    folder = f"{root}/in"
+    marker = recs.agg(F.lit(-1).alias("partition"), (F.max("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("timestamp"),
+                      F.lit(None).cast("bigint").alias("event_id"))
+    drops = [*_time_drops(recs, "timestamp", N_DROPS), marker]
+    for i, drop in enumerate(drops):
+        drop_files(drop, folder)
+        flushed = flush_stream(spark.readStream.schema(recs.schema).parquet(folder), "partition", "timestamp", ["event_id"], [],
+                               25, 12 * 3_600_000)
+        run_available(flushed, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True, conf=STATE_CONF,
+                      flush_idle=i == len(drops) - 1)
+    return read_sink(spark, f"{root}/out").filter("partition >= 0").select("partition", "flush", "event_id")
+
+
 # -- 39 (stream form) ----------------------------------------------------------------------
 
 @query("distinct_members_stream", """

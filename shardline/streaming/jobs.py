@@ -284,7 +284,7 @@ def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "
                            late: str = "1 hour", extra: list[str] | None = None) -> DataFrame:
     """Sessions of each member closed after ``gap`` of silence, emitted when
     the watermark passes the session end (append mode). Sessions of a hot member are
-    merged inside each task before they meet (``local_session_merge``)."""
+    merged inside each task before they meet with ``LOCAL_SESSION_MERGE``."""
     ev = to_event_time(stream, ts).withWatermark(ts, late)
     keys = [member, *(extra or [])]
     g = ev.groupBy(*keys, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n_events"))
@@ -292,9 +292,8 @@ def member_sessions_stream(stream: DataFrame, member: str, ts: str, gap: str = "
                     to_wall_clock("session_window.end").alias("session_end"), "n_events")
 
 
-def local_session_merge(spark: SparkSession) -> None:
-    """Merge session windows inside each task before the exchange."""
-    spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+#: Merge session windows inside each task before the exchange; for ``run_available(conf=...)``.
+LOCAL_SESSION_MERGE = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
 
 
 def distinct_stream(stream: DataFrame, cols: list[str], ts: str | None = None, late: str | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ batch replaces rather than duplicates its output.
 
 from __future__ import annotations
 
+import threading
 import time
 from typing import Callable
 
@@ -22,6 +23,9 @@ from shardline.functions.scalars import epoch_micros
 from shardline.session import exists
 
 
+_STARTING = threading.Lock()
+
+
 def batch_sink(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
     """A ``foreachBatch`` function writing each micro-batch to ``out/batch_id=<n>``."""
     def write(df: DataFrame, batch_id: int) -> None:
@@ -38,7 +42,8 @@ def state_partitions(spark: SparkSession) -> int:
 
 
 def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str = "append",
-                  query_name: str | None = None, stateful: bool = False, flush_idle: bool = True) -> StreamingQuery:
+                  query_name: str | None = None, stateful: bool = False, flush_idle: bool = True,
+                  conf: dict[str, str] | None = None) -> StreamingQuery:
     """Process everything available now, however long it takes, then return the ended
     query (one or more micro-batches).
 
@@ -47,25 +52,31 @@ def run_available(stream: DataFrame, checkpoint: str, sink, *, output_mode: str
     fixed in its checkpoint, so later restarts keep it).
     ``flush_idle=False``: no extra micro-batch only to emit what the advanced
     watermark closed; those results come out with the next arrival instead
-    (a flush policy for runs that more data will follow)."""
+    (a flush policy for runs that more data will follow). ``conf``: settings of this query.
+    A query copies the session's settings when it starts; they are changed for that moment only
+    and by one starting query at a time, so that the session and other queries keep theirs."""
     w = (stream.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).foreachBatch(sink))
     if query_name:
         w = w.queryName(query_name)
     spark = stream.sparkSession
-    overrides = {}
+    overrides = dict(conf or {})
     if stateful:
         overrides["spark.sql.shuffle.partitions"] = str(state_partitions(spark))
     if not flush_idle:
         overrides["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
-    old = {k: spark.conf.get(k) for k in overrides}
-    for k, v in overrides.items():
-        spark.conf.set(k, v)
-    try:
-        q = w.start()
-    finally:
-        for k, v in old.items():
+    with _STARTING:
+        old = {k: spark.conf.get(k, None) for k in overrides}
+        for k, v in overrides.items():
             spark.conf.set(k, v)
+        try:
+            q = w.start()
+        finally:
+            for k, v in old.items():
+                if v is None:
+                    spark.conf.unset(k)
+                else:
+                    spark.conf.set(k, v)
     try:
         q.awaitTermination()
     finally:

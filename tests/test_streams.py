@@ -327,3 +327,38 @@ def test_hourly_counts_stream_equals_batch(spark):
     static = to_event_time(_ev(spark, rows), "ts").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
     batch = {(r.s, r.n) for r in static.select(to_wall_clock("window.start").alias("s"), "n").collect()}
     assert stream == batch and sum(n for _, n in batch) == 60
+
+
+def test_flush_by_count_or_time(spark):
+    """Both rules fire, records of one drop come in any order, a drop cuts a flush, and a replayed
+    micro-batch emits the same."""
+    from shardline.streaming.flush import STATE_CONF, flush_stream
+    root = shared_path(spark, "t-flush")
+    folder = f"{root}/in"
+    minutes = [0, 1, 2, 3, 4, 5, 9, 30, 31, 32, 33, 34, 35, 36, 50, 62, 63, 64]
+    rows = [(i, T0 + dt.timedelta(minutes=m), i % 2) for i, m in enumerate(sorted(minutes * 2))]
+    drops = [rows[20:3:-1], rows[:4], rows[21:], [(99, T0 + dt.timedelta(hours=9), 7)]]
+
+    def run():
+        s = flush_stream(spark.readStream.schema(SCHEMA).parquet(folder), "user_id", "ts", ["event_id"], [], 4, 10 * 60_000)
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True, conf=STATE_CONF)
+
+    for d in drops:
+        drop_files(_ev(spark, d).repartition(2), folder)
+        run()
+    p, fs = hadoop_path(spark, f"{root}/ckpt/commits")
+    newest = max(int(x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().isdigit())
+    _remove(spark, f"{root}/ckpt/commits/{newest}")
+    run()
+    want = set()
+    for user in (0, 1):
+        number, flush = 0, []
+        for i, t, _ in (r for r in rows if r[2] == user):
+            if flush and (t - flush[0]).total_seconds() > 600:
+                number, flush = number + 1, []
+            flush.append(t)
+            want.add((user, number, i))
+            if len(flush) == 4:
+                number, flush = number + 1, []
+    got = [(r.user_id, r.flush, r.event_id) for r in read_sink(spark, f"{root}/out").collect() if r.user_id < 7]
+    assert len(got) == len(want) and set(got) == want
