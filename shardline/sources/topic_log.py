@@ -1,14 +1,12 @@
-"""A topic log on files, with the broker row shape, and its readers.
+"""A topic on files, with the broker row shape, and its readers.
 
 There is no Kafka connector on the class path here (``format("kafka")``
 fails), so a topic is a parquet folder with one sub-folder per produced batch,
 ``<path>/batch=<n>/part-*.parquet``, with columns
-``topic, partition, offset, key, value, timestamp``. Beside it, the manifest of
-batch n (``<path>/_manifest/<n>``, one row per shard) holds the end offsets after
-it. Batch n takes its offsets from manifest n - 1, writes its own manifest, then its
-rows; both by overwrite, so a batch that was half written or is replayed comes out
-the same, whatever is left of the first try, at a cost that does not depend on the
-length of the log. Readers are batch (``spark.read``) or stream
+``topic, partition, offset, key, value, timestamp``. A batch is one plain write: its
+records are numbered per shard after the highest offset of the batches before it, and
+overwrite the batch's own folder, so that a batch that was half written or is replayed
+comes out the same. Readers are batch (``spark.read``) or stream
 (``spark.readStream``) over the folder; a reader group's position is its own
 checkpoint folder.
 """
@@ -21,82 +19,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardline.operators.topic import assign_offset, assign_shard
-from shardline.session import drop_staged, exists, hadoop_path, staged
+from shardline.session import exists
 
 TOPIC_COLUMNS = ["topic", "partition", "offset", "key", "value", "timestamp"]
 LOG_SCHEMA = ("topic string, partition int, offset bigint, key string, value string, "
               "timestamp timestamp_ntz, batch int")
-MANIFEST_SCHEMA = "partition int, next_offset bigint, n_records bigint"
 
 
-def _manifest_path(path: str, batch: int | None = None) -> str:
-    # a leading underscore keeps it out of every reader of the log
-    return f"{path.rstrip('/')}/_manifest" + ("" if batch is None else f"/{batch}")
-
-
-def _manifest(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """End offsets after a batch, one row per shard; empty before the first one."""
-    if batch < 0:
-        return spark.createDataFrame([], MANIFEST_SCHEMA)
-    return spark.read.schema(MANIFEST_SCHEMA).parquet(_manifest_path(path, batch))
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """All records with their batch; none of a topic that nothing was produced to."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
 
 
 def batch_count(spark: SparkSession, path: str) -> int:
-    """Batches produced so far, by the names of their manifests."""
-    p, fs = hadoop_path(spark, _manifest_path(path))
-    if not fs.exists(p):
-        return 0
-    return 1 + max(int(x.getPath().getName()) for x in fs.listStatus(p))
-
-
-def end_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """Next offset per shard (``partition, next_offset``); empty for a new log."""
-    return _manifest(spark, path, batch_count(spark, path) - 1).select("partition", "next_offset")
+    """Batches produced so far: the number after the last one (``batch`` is a folder name, no file is read)."""
+    return int(_log(spark, path).agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0])
 
 
-def _complete(spark: SparkSession, path: str, batch: int) -> bool:
-    """Whether the batch's folder holds as many rows per shard as its manifest says
-    (it reads this batch only)."""
-    folder = f"{path.rstrip('/')}/batch={batch}"
-    if not (exists(spark, f"{folder}/_SUCCESS") and exists(spark, f"{_manifest_path(path, batch)}/_SUCCESS")):
-        return False
-    there = spark.read.schema(LOG_SCHEMA).parquet(folder).groupBy("partition").agg(F.count("*").alias("n"))
-    wrong = (_manifest(spark, path, batch).filter("n_records > 0").join(there, "partition", "left")
-             .filter("n IS NULL OR n <> n_records"))
-    return wrong.isEmpty()
+def end_offsets(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Next offset per shard (``partition, next_offset``), of the batches below ``before``; two
+    columns are scanned and combined in the tasks."""
+    log = _log(spark, path)
+    if before is not None:
+        log = log.filter(F.col("batch") < int(before))
+    return log.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
 
 
 def write_topic(df: DataFrame, path: str, topic: str, n_shards: int, key: str = "key", value: str = "value",
                 timestamp: str = "timestamp", order: list[str] | None = None, *, batch: int | None = None) -> None:
-    """Produce records to the log: shard by key, number them per shard after
-    the current end (in ``order``, default the timestamp), add them as one batch: the
-    given one, or the next. A batch that is there complete is left as it is. One
-    producing job at a time per topic; readers may run concurrently."""
+    """Produce records: shard by key, number them per shard after the current end (in
+    ``order``, default the timestamp), write them as one batch: the given one, or the next.
+    One producing job at a time per topic; readers may run concurrently."""
     spark = df.sparkSession
     batch = batch_count(spark, path) if batch is None else int(batch)
-    if _complete(spark, path, batch):
-        return
     order = order or [timestamp]
     recs = df.select(F.lit(topic).alias("topic"), F.col(key).cast("string").alias("key"),
                      F.col(value).cast("string").alias("value"), F.col(timestamp).alias("timestamp"),
                      *[F.col(c) for c in order if c not in (key, value, timestamp)])
     recs = assign_shard(recs, "key", n_shards, fallback="value")
-    before = _manifest(spark, path, batch - 1).select("partition", F.col("next_offset").alias("_sl_next"))
-    recs = recs.join(before, "partition", "left")
+    ends = end_offsets(spark, path, before=batch).select("partition", F.col("next_offset").alias("_sl_next"))
+    recs = recs.join(ends, "partition", "left")
     recs = assign_offset(recs, "partition", ["timestamp" if c == timestamp else c for c in order], start_col="_sl_next")
-    rows = staged(recs.select(*TOPIC_COLUMNS), "produce")
-    counts = rows.groupBy("partition").agg(F.count("*").alias("n_records"))
-    ends = (counts.join(before, "partition", "full")
-            .select("partition", (F.coalesce("_sl_next", F.lit(0)) + F.coalesce("n_records", F.lit(0))).alias("next_offset"),
-                    F.coalesce("n_records", F.lit(0)).alias("n_records")))
-    ends.coalesce(1).write.mode("overwrite").parquet(_manifest_path(path, batch))
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
-    drop_staged(rows)
+    recs.select(*TOPIC_COLUMNS).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch}")
 
 
 def produce_stream(path: str, topic: str, n_shards: int, order: list[str] | None = None, first_batch: int = 0, **kw):
     """Stream form of :func:`write_topic`, as a ``foreachBatch`` function:
-    micro-batch n becomes batch ``first_batch + n`` of the log, once, however often
+    micro-batch n becomes batch ``first_batch + n`` of the topic, however often
     ``foreachBatch`` replays it."""
     def produce(df: DataFrame, batch_id: int) -> None:
         write_topic(df, path, topic, n_shards, order=order, batch=first_batch + int(batch_id), **kw)
