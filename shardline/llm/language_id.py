@@ -6,9 +6,11 @@ which the model knows any of its n-grams, the mean of their log frequencies. A t
 score is the sum over all its words; the language with the largest sum wins, ties go
 to the first in the alphabet, and the score is its share under equal priors.
 
-The model is learned from a sample of labelled documents: those whose hash is below a
-bound, ``max_docs`` of them on average. It holds at most ``max_words`` words and
-``max_grams`` n-grams, the most frequent ones. Prediction reads whole texts.
+The model is learned from a sample of labelled documents of each language: those whose hash is
+below a bound, ``max_docs`` of them on average. Of each language it holds the ``max_words`` words
+and ``max_grams`` n-grams that are most frequent there, with their counts in all
+languages, so that a language of few documents is learned beside one of many. Prediction
+reads whole texts.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, and
 for all texts if nothing can be learned; documents without id or language are not
@@ -23,13 +25,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardline.llm.common import drop_staged, staged
 from shardline.session import ship_package
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, ORDERS = 20_000, 60_000, 60_000, (5, 4, 3, 2, 1)
+#: Each per language.
+MAX_DOCS, MAX_WORDS, MAX_GRAMS = 5_000, 15_000, 15_000
+ORDERS = (5, 4, 3, 2, 1)
 REMEMBER, ROWS = 250_000, 256
 _WORD = regex.compile(r"\p{L}+")
 _SCALE = 1 << 20
@@ -59,9 +63,10 @@ class Model:
     def _logs(counts: dict) -> dict:
         if not counts:
             return {}
-        table = np.array(list(counts.values()), float) + 0.1
-        logs = np.log(table / table.sum(0))
-        return dict(zip(counts, logs))
+        table = np.array(list(counts.values()), float)
+        total = np.maximum(table.sum(0), 1)
+        # what a language doesn't know weighs the same in all, however little was learned of it
+        return dict(zip(counts, np.log(table / total + 0.1 / total.max())))
 
     def score_word(self, word: str) -> np.ndarray:
         known = self.word.get(word)
@@ -127,30 +132,35 @@ def _counted(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(count, "kind string, item string, lang string, n long")
 
 
-def learn(labelled: DataFrame, total: int, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
-          max_grams: int = MAX_GRAMS) -> Model:
-    """``labelled`` has id, lang, text; ``total`` is its number of rows or more."""
-    share = min(_SCALE, -(-max_docs * _SCALE // max(total, 1)))
-    sample = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(_SCALE)) < share).select("lang", "text")
-    counts = (_counted(sample.filter("text IS NOT NULL")).groupBy("kind", "item", "lang")
-              .agg(F.sum("n").alias("n")))
-    items = staged(counts.groupBy("kind", "item").agg(
-        F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("langs")), "language-counts")
-    top = [items.filter(F.col("kind") == k).orderBy(F.desc("n"), "item").limit(most).collect()
-           for k, most in (("w", max_words), ("g", max_grams))]
-    drop_staged(items)
-    langs = sorted({x.lang for r in top[1] for x in r.langs})
-    place = {lang: i for i, lang in enumerate(langs)}
+def _most(counts: DataFrame, by: list[str], max_words: int, max_grams: int) -> DataFrame:
+    """The most frequent words and n-grams of each group."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "item"))
+    most = F.when(F.col("kind") == "w", max_words).otherwise(max_grams)
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
 
-    def table(rows) -> dict:
-        out = {}
-        for r in rows:
-            out[r["item"]] = [0] * len(langs)
-            for x in r.langs:
-                out[r["item"]][place[x.lang]] = x.n
-        return out
 
-    return Model(langs, table(top[0]), table(top[1]))
+def learn(labelled: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
+          max_grams: int = MAX_GRAMS) -> Model:
+    """``labelled`` has id, lang, text."""
+    # one row per language
+    shares = labelled.groupBy("lang").agg(F.ceil(F.lit(max_docs * _SCALE) / F.count("*")).alias("share"))
+    drawn = labelled.join(F.broadcast(shares), "lang").filter(
+        F.pmod(F.xxhash64("id", "text"), F.lit(_SCALE)) < F.col("share")).select("lang", "text")
+    counts = staged(_counted(drawn.filter("text IS NOT NULL")).groupBy("kind", "item", "lang")
+                    .agg(F.sum("n").alias("n")), "language-counts")
+    # first in parts of each language, so that no task ranks all of its items
+    part = F.pmod(F.xxhash64("item"), F.lit(64))
+    some = _most(counts.withColumn("part", part), ["kind", "lang", "part"], max_words, max_grams)
+    chosen = _most(some, ["kind", "lang"], max_words, max_grams).select("kind", "item").distinct()
+    rows = counts.join(chosen, ["kind", "item"], "left_semi").toArrow()  # languages squared times the bounds at most
+    drop_staged(counts)
+    langs = sorted(set(rows.column("lang").unique().to_pylist()))
+    place = {lang: i for i, lang in enumerate(langs)}
+    tables = {"w": {}, "g": {}}
+    for batch in rows.sort_by([("kind", "ascending"), ("item", "ascending")]).to_batches(max_chunksize=1 << 14):
+        for kind, item, lang, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "item", "lang", "n"))):
+            tables[kind].setdefault(item, [0] * len(langs))[place[lang]] = n
+    return Model(langs, tables["w"], tables["g"])
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -162,7 +172,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                      held_out.alias("held_out"))
     labelled = docs.filter("id IS NOT NULL AND lang IS NOT NULL AND NOT held_out")
-    model = spark.sparkContext.broadcast(learn(labelled, labelled.count(), **bounds))
+    model = spark.sparkContext.broadcast(learn(labelled, **bounds))
 
     def predict(batches):
         predictor = Predictor(model.value)

@@ -89,6 +89,24 @@ def test_language_edges(spark, edge, docs):
     assert language_id.identify(edge.limit(0)).count() == 0
 
 
+def test_rare_language_is_learned(spark):
+    """Thirty documents among thousands of others, with bounds far below what the others hold."""
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdefgh", "bb": "cdefghij", "cc": "efghijkl", "rare": "klmnopqr"}
+    vocab = {k: ["".join(rng.choice(list(v), rng.integers(3, 8))) for _ in range(3000)] for k, v in letters.items()}
+    rows, n = [], 0
+    for lang, size in (("aa", 1500), ("bb", 900), ("cc", 600), ("rare", 30)):
+        for _ in range(size):
+            rows.append((n, " ".join(rng.choice(vocab[lang], 20)), lang))
+            n += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(df, max_docs=100, max_words=300, max_grams=300).toPandas().merge(
+        df.select("doc_id", "lang").toPandas(), on="doc_id")
+    held = got[got.held_out]
+    assert (held.lang == "rare").sum() >= 3 and (held[held.lang == "rare"].lang_pred == "rare").all()
+    assert (held.lang_pred == held.lang).mean() > 0.97
+
+
 def test_backoff_order():
     model = language_id.Model(["a", "b"], {"known": [9, 1], "other": [5, 5]},
                               {"^xyz$": [1, 9], "^abc$": [5, 5], "x": [9, 1], "y": [5, 5]})
