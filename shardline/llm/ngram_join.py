@@ -357,3 +357,25 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     drop_staged(grouped, first)
     return (rows.join(out, ["doc_id", "th"], "left_anti").select("row")
             .unionByName(once.select("row")).select("row.*"))
+
+
+#: The contract's columns by joining all shingles: for tables of some thousand documents.
+ORACLE = r"""
+  WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+  grams AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+    FROM words),
+  sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+  shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b USING (g)
+             WHERE a.doc_id < b.doc_id GROUP BY ALL),
+  links AS (SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id
+            WHERE 100 * c >= 80 * (a.n + b.n - c)),
+  both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+  reached AS (SELECT doc_id AS x, doc_id AS y FROM documents
+              UNION SELECT r.x, l.y FROM reached r JOIN both_ways l ON r.y = l.x)
+  SELECT d.doc_id, coalesce(any_value(s.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
+  FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reached r ON d.doc_id = r.x GROUP BY d.doc_id
+"""

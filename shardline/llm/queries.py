@@ -74,4 +74,5 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_quality_classifier, op4_packing, op5_line_dedup, op6_language_id,
     op7_token_counts, op8_ngram_join, op9_pii, op10_embedding_dedup, op11_token_alignment, op12_byte_bpe,
     op13_periodic_runs)}
-ORACLE = {"op2_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE}
+ORACLE = {"op2_decontamination": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE,
+          "op8_ngram_join": ngram_join.ORACLE}
