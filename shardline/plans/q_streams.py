@@ -355,27 +355,28 @@ def q_flush_policy(spark, sf_dir):
 @query("flush_count_or_time", f"""
 WITH RECURSIVE {TOPIC_SQL},
 o AS (SELECT partition, "offset" AS i, timestamp AS ts, event_id FROM topic_o),
-jump AS (SELECT a.partition, a.i, min(b.i) AS nxt FROM o a JOIN o b ON a.partition = b.partition AND b.i > a.i
-         AND (b.i = a.i + 25 OR b.ts > a.ts + INTERVAL 12 HOUR) GROUP BY a.partition, a.i),
+within AS (SELECT *, count(*) OVER (PARTITION BY partition) AS n, count(*) OVER (PARTITION BY partition ORDER BY ts
+           RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 12 HOUR FOLLOWING) AS upto FROM o),
+jump AS (SELECT partition, i, least(i + 25, upto) AS nxt FROM within WHERE least(i + 25, upto) < n),
 roll AS (SELECT DISTINCT partition, 0::BIGINT AS i, 0::BIGINT AS flush FROM o
          UNION ALL SELECT r.partition, j.nxt, r.flush + 1 FROM roll r JOIN jump j ON r.partition = j.partition AND r.i = j.i)
 SELECT o.partition, max(r.flush) AS flush, o.event_id FROM o JOIN roll r ON o.partition = r.partition AND r.i <= o.i GROUP BY ALL
 """)
 def q_flush_count_or_time(spark, sf_dir):
-    """The records of each shard, streamed in four drops, flushed by 25 messages or 12 hours, whichever
-    comes first; a marker three days later lets the last ones go."""
+    """The records of each shard, streamed in two drops, flushed by 25 messages or 12 hours, whichever
+    comes first; a marker three days later lets the last ones go. One state partition per shard."""
     recs = assign_shard(topic_records(spark, sf_dir), "key", N_SHARDS).select("partition", "timestamp", "event_id")
     root = shared_path(spark, "flush-state")
     folder = f"{root}/in"
     marker = recs.agg(F.lit(-1).alias("partition"), (F.max("timestamp") + F.expr("INTERVAL 3 DAYS")).alias("timestamp"),
                       F.lit(None).cast("bigint").alias("event_id"))
-    drops = [*_time_drops(recs, "timestamp", N_DROPS), marker]
+    drops = [*_time_drops(recs, "timestamp", 2), marker]
+    conf = STATE_CONF | {"spark.sql.shuffle.partitions": str(N_SHARDS)}
     for i, drop in enumerate(drops):
         drop_files(drop, folder)
         flushed = flush_stream(spark.readStream.schema(recs.schema).parquet(folder), "partition", "timestamp", ["event_id"], [],
                                25, 12 * 3_600_000)
-        run_available(flushed, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True, conf=STATE_CONF,
-                      flush_idle=i == len(drops) - 1)
+        run_available(flushed, f"{root}/ckpt", batch_sink(f"{root}/out"), conf=conf, flush_idle=i == len(drops) - 1)
     return read_sink(spark, f"{root}/out").filter("partition >= 0").select("partition", "flush", "event_id")
 
 

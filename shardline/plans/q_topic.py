@@ -183,8 +183,9 @@ FLUSH_N, FLUSH_HOURS = 25, 12
 @query("flush_batches", f"""
 WITH RECURSIVE {TOPIC_SQL},
 o AS (SELECT partition, "offset" AS i, timestamp AS ts, event_id FROM topic_o),
-jump AS (SELECT a.partition, a.i, min(b.i) AS nxt FROM o a JOIN o b ON a.partition = b.partition AND b.i > a.i
-         AND (b.i = a.i + {FLUSH_N} OR b.ts > a.ts + INTERVAL {FLUSH_HOURS} HOUR) GROUP BY a.partition, a.i),
+within AS (SELECT *, count(*) OVER (PARTITION BY partition) AS n, count(*) OVER (PARTITION BY partition ORDER BY ts
+           RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {FLUSH_HOURS} HOUR FOLLOWING) AS upto FROM o),
+jump AS (SELECT partition, i, least(i + {FLUSH_N}, upto) AS nxt FROM within WHERE least(i + {FLUSH_N}, upto) < n),
 roll AS (SELECT DISTINCT partition, 0::BIGINT AS i, 0::BIGINT AS flush FROM o
          UNION ALL SELECT r.partition, j.nxt, r.flush + 1 FROM roll r JOIN jump j ON r.partition = j.partition AND r.i = j.i),
 n AS (SELECT o.partition, o.i, o.ts, o.event_id, max(r.flush) AS flush

@@ -14,6 +14,7 @@ starts from the state of the one before, so every record is flushed once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row
@@ -46,10 +47,11 @@ class CountOrTime(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         names, earliest = self.fields.names, None
-        for r in rows:
-            record = tuple(r[n] for n in names)
-            self.waiting.appendValue(record)
-            earliest = record[0] if earliest is None else min(earliest, record[0])
+        # a call to the state store per thousand records, not per record
+        while part := [tuple(r[n] for n in names) for r in islice(rows, 1000)]:
+            self.waiting.appendList(part)
+            first = min(record[0] for record in part)
+            earliest = first if earliest is None else min(earliest, first)
         if earliest is not None:
             self._call_at(earliest)
         return iter(())
