@@ -359,3 +359,59 @@ def test_flush_by_count_or_time(spark):
                 number, flush = number + 1, []
     got = [(r.user_id, r.flush, r.event_id) for r in read_sink(spark, f"{root}/out").collect() if r.user_id < 7]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_flush_state_holds_blocks(monkeypatch):
+    """A state entry is a batch of records, not a record, before and after a timer."""
+    import pandas as pd
+
+    from shardline.streaming import flush
+
+    class State(list):
+        def exists(self): return bool(self)
+        def get(self): return iter(list(self))
+        def put(self, entries): self[:] = entries
+        def appendValue(self, entry): self.append(entry)
+        clear = list.clear
+
+    class Number:
+        value = None
+        def exists(self): return self.value is not None
+        def get(self): return self.value
+        def update(self, value): self.value = value
+
+    class Handle:
+        waiting, called = State(), []
+        def getListState(self, *_): return self.waiting
+        def getValueState(self, *_): return Number()
+        def registerTimer(self, at): self.called.append(at)
+
+    class Mark:
+        def getCurrentWatermarkInMs(self): return 5_000
+
+    p, handle = flush.CountOrTime(["key"], ["us", "c0"], ["c0"], 4, 1000), Handle()
+    p.init(handle)
+    frames = [pd.DataFrame({"key": 1, "us": range(lo, lo + 10_000_000, 1000), "c0": range(10_000)})
+              for lo in (0, 10_000_000)]
+    assert list(p.handleInputRows((1,), iter(frames), None)) == [] and len(handle.waiting) == 2
+    out = pd.concat(p.handleExpiredTimer((1,), Mark(), None))
+    assert out["us"].tolist() == list(range(0, 5_000_000, 1000)) and out["flush"].tolist() == [i // 4 for i in range(5000)]
+    assert len(handle.waiting) == 2 and handle.called == [0, 6001, 5001]
+
+
+def test_flush_carries_values_exactly(spark):
+    """Whole numbers beyond a double's beside nulls, NaN beside null, far times, null keys and strings."""
+    from shardline.streaming.flush import STATE_CONF, flush_stream
+    root = shared_path(spark, "t-flush-types")
+    folder = f"{root}/in"
+    schema = "k string, ts timestamp_ntz, id bigint, x double, far timestamp_ntz, s string, b boolean, small smallint"
+    big, far = 2 ** 60 + 1, dt.datetime(9000, 1, 1, 0, 0, 0, 1)
+    rows = [("a", T0, big, float("nan"), far, "x", True, 7), ("a", T0, None, None, None, None, None, None),
+            (None, T0, big + 2, 0.5, far, "y", False, None), (None, T0 + dt.timedelta(minutes=1), None, 1.5, None, "", None, 1)]
+    for drop in (rows, [("z", T0 + dt.timedelta(days=1), 0, 0.0, None, None, None, 0)]):
+        drop_files(spark.createDataFrame(drop, schema).coalesce(1), folder)
+        s = flush_stream(spark.readStream.schema(schema).parquet(folder), "k", "ts", ["id"],
+                         ["x", "far", "s", "b", "small"], 2, 600_000)
+        run_available(s, f"{root}/ckpt", batch_sink(f"{root}/out"), stateful=True, conf=STATE_CONF)
+    got = {str((r.k, r.flush, r.id, r.x, r.far, r.s, r.b, r.small)) for r in read_sink(spark, f"{root}/out").collect()}
+    assert got == {str((k, 0, *r)) for k, _, *r in rows}
