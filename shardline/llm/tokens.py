@@ -33,6 +33,8 @@ _BPE_SPLIT = regex.compile(PRE_TOKEN)
 _TORN = re.compile(r"\s \s|\s $|  ")
 #: Characters on which the library's classes and those of ``regex`` surely agree.
 _PLAIN = re.compile(r"[ -ɏ]*", re.DOTALL)
+#: Latin-1 letters, and ASCII symbols but no apostrophe behind them.
+SIMPLE_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def tokenizer_json(name: str) -> str:
@@ -153,6 +155,17 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def text_runs(column: pa.Array, chars: int = 1 << 20):
+    """(first row, texts) of pieces of a column, of about ``chars`` characters."""
+    lo, size, texts = 0, 0, []
+    for k, value in enumerate(column):
+        texts.append(value.as_py())
+        size += len(texts[-1] or "")
+        if size >= chars or k == len(column) - 1:
+            yield lo, texts
+            lo, size, texts = k + 1, 0, []
+
+
 class WordIds:
     """Token ids of whole texts for a tokenizer that lower-cases and drops white space:
     each word's ids as bytes (little-endian unsigned 32-bit), remembered in the worker.
@@ -163,7 +176,6 @@ class WordIds:
     other words go through the whole tokenizer."""
 
     _ODD_BREAK = re.compile("[\x1c-\x1f]")  # Python splits at these, the library doesn't
-    _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, spec: str):
         self.tok, self.known = load_tokenizer(spec)[0], table(spec, "words", 40 << 20)
@@ -172,25 +184,30 @@ class WordIds:
         self.as_bytes = {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
 
     def _letters(self, word: str) -> bytes:
-        found = self.letters.get(word)
-        if found is None:
-            ids = [t.id for t in self.model.tokenize(word.translate(self.as_bytes))]
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            self.letters.keep(word, found)
-        return found
+        """Letters the worker's table doesn't know."""
+        ids = [t.id for t in self.model.tokenize(word.translate(self.as_bytes))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        out, rest = {}, []
+        out, rest, fresh = {}, [], {}  # fresh: letters once per call, also when the table is full
         for w in words:
-            m = self._SIMPLE.fullmatch(w)
+            m = SIMPLE_WORD.fullmatch(w)
             if m is None:
                 rest.append(w)
             else:
                 head, tail = m.groups()
-                out[w] = self._letters(head.lower()) + (self._symbols(tail) if tail else b"")
+                head = head.lower()
+                found = self.letters.get(head) or fresh.get(head)
+                if found is None:
+                    found = fresh[head] = self._letters(head)
+                out[w] = found + self._symbols(tail) if tail else found
+        for head, found in fresh.items():
+            if self.letters.room <= 2 * Memo.SLOT:
+                break
+            self.letters.keep(head, found)
         return out | dict(zip(rest, self._whole(rest))) if rest else out
 
     def _symbols(self, tail: str) -> bytes:

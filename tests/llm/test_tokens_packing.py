@@ -105,3 +105,30 @@ def test_differencing_is_near_equal():
     sizes = rng.integers(1, 513, 800).tolist()
     sums = [sum(sizes[i] for i in g) for g in packing.difference(sizes, 100)]
     assert max(sums) - min(sums) <= 10
+
+
+def test_letters_are_merged_once_per_call(word_bpe):
+    """Words that differ in case or symbols share a merge, also when the worker's table is full."""
+    words = tokens.WordIds(tokens.tokenizer_json("word_bpe_49k.json"))
+
+    class Model:
+        asked = []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return word_bpe.model.tokenize(word)
+
+    words.model, words.letters = Model(), tokens.Memo(0)
+    texts = ["Zebrafinkle zebrafinkle, ZEBRAFINKLE! zebrafinkle;", "zebraFINKLE"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in words.ids(texts)]
+    assert got == [word_bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Model.asked == ["zebrafinkle"]
+
+
+def test_text_runs_hold_every_row():
+    import pyarrow as pa
+
+    texts = ["ab", None, "", "cdefg", "h", "", None]
+    runs = list(tokens.text_runs(pa.array(texts), 3))
+    assert [t for _, part in runs for t in part] == texts
+    assert [lo for lo, _ in runs] == [0, 4] and list(tokens.text_runs(pa.array([], pa.string()))) == []
