@@ -31,8 +31,8 @@ result. Only the named columns are looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from array import array
 from dataclasses import dataclass
 from itertools import chain
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardline.llm.common import Memo, drop_staged, staged
-from shardline.llm.tokens import _TORN, _bytes_to_chars, tokenizer_json
+from shardline.llm.tokens import _TORN, SIMPLE_WORD, _bytes_to_chars, text_runs, tokenizer_json
 from shardline.session import ship_package
 
 LANE, BATCH_CHARS, SHARD_LINKS = 64, 1 << 20, 1 << 20
@@ -108,6 +108,7 @@ class Vocabularies:
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     by_words: bool  # no piece of B goes over a space behind another character
+    by_letters: bool  # A splits letters from what follows and leaves them as they are
 
 
 def _b_piece(model, i: int) -> bytes:
@@ -131,7 +132,11 @@ def vocabularies(a_file: str = A_FILE, b_file: str = B_FILE) -> Vocabularies:
         a_bytes[i] = bytes(byte[c] for c in name) if all(c in byte for c in name) else name.encode()
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     by_words = not any(p.lstrip(SPACE).find(SPACE) >= 0 for p in pieces)
-    return Vocabularies(a_json, b_model, a_bytes, [_b_piece(model, i) for i in range(len(pieces))], by_words)
+    spec = json.loads(a_json)
+    split = spec["pre_tokenizer"] or {}
+    by_letters = (spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                  and not any(SIMPLE_WORD.match(t["content"].strip()) for t in spec["added_tokens"]))
+    return Vocabularies(a_json, b_model, a_bytes, [_b_piece(model, i) for i in range(len(pieces))], by_words, by_letters)
 
 
 class Aligner:
@@ -149,28 +154,48 @@ class Aligner:
         self.a_size = np.array([len(x) for x in vocab.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in vocab.b_bytes], np.int64)
         self.space = self.b.piece_to_id(SPACE)
+        chars = {b: c for c, b in _bytes_to_chars().items()}
+        self.a_space, self.as_chars = chars[32], {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
+        self.tails = Memo(1 << 20)
+
+    def _a_encoded(self, texts: list[str]) -> list[list[int]]:
+        """A ids of the texts behind a space. The letters of a plain word are one pre-token with the
+        space and go straight to the merge model, and the symbols behind them are another one."""
+        rest = lambda x: [e.ids for e in self.a.encode_batch_fast(x, add_special_tokens=False)]
+        found = [SIMPLE_WORD.fullmatch(t) if self.vocab.by_letters else None for t in texts]
+        others = iter(rest([" " + t for t, m in zip(texts, found) if m is None]))
+        tails = self.tails.look_up({m[2] for m in found if m}, lambda x: dict(zip(x, rest(list(x)))))
+        merge = self.a.model.tokenize
+        return [next(others) if m is None else
+                [t.id for t in merge(self.a_space + (m[1] if m[1].isascii() else m[1].translate(self.as_chars)))] + tails[m[2]]
+                for m in found]
 
     def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """A ids of the texts behind a space and B ids, None where the bytes aren't those of the text."""
         data = [b" " + t.encode() for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = self._a_encoded(texts)
         b = self.b.encode(texts, num_threads=1)
         b = [x if t else [self.space] for x, t in zip(b, texts)]
-        ids = [(array("i", x).tobytes(), array("i", y).tobytes()) for x, y in zip(a, b)]
+        (a_ids, a_at), (b_ids, b_at) = self._flat(a), self._flat(b)
+        a_data, b_data = a_ids.tobytes(), b_ids.tobytes()
+        ids = [(a_data[i:j], b_data[k:m]) for i, j, k, m in zip(
+            *((4 * at[s]).tolist() for at in (a_at, b_at) for s in (slice(-1), slice(1, None))))]
         # all at once: equal as a whole and of equal lengths, so equal one by one
         size = np.array([len(d) for d in data])
         if (b"".join(map(self.vocab.a_bytes.__getitem__, chain.from_iterable(a))) == b"".join(data)
                 == b"".join(map(self.vocab.b_bytes.__getitem__, chain.from_iterable(b)))
-                and (self._sizes(a, self.a_size) == size).all() and (self._sizes(b, self.b_size) == size).all()):
+                and (np.add.reduceat(self.a_size[a_ids], a_at[:-1]) == size).all()
+                and (np.add.reduceat(self.b_size[b_ids], b_at[:-1]) == size).all()):
             return ids
         return [x if (b"".join(map(self.vocab.a_bytes.__getitem__, i)) == d
                       == b"".join(map(self.vocab.b_bytes.__getitem__, j))) else None
                 for x, i, j, d in zip(ids, a, b, data)]
 
     @staticmethod
-    def _sizes(ids: list[list[int]], size: np.ndarray) -> np.ndarray:
-        """Bytes of each list of ids; all have some."""
-        return np.add.reduceat(size[list(chain.from_iterable(ids))], np.cumsum([0] + [len(x) for x in ids[:-1]]))
+    def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each list begin, and their number; all lists have some."""
+        at = np.cumsum([0] + [len(x) for x in ids])
+        return np.fromiter(chain.from_iterable(ids), np.int32, at[-1]), at
 
     def _learn(self, words: set[str]) -> dict[str, tuple]:
         order = list(words)
@@ -190,10 +215,9 @@ class Aligner:
         a_out, b_out = [], []
         for ws in words:
             parts = [next(whole)] if ws is None else list(map(known.__getitem__, ws))
-            if None in parts:
-                parts = []
-            a_out.append(b"".join([p[0] for p in parts]))
-            b_out.append(b"".join([p[1] for p in parts]))
+            a_parts, b_parts = zip(*parts) if parts and None not in parts else ((), ())
+            a_out.append(b"".join(a_parts))
+            b_out.append(b"".join(b_parts))
         return a_out, b_out
 
     def align(self, texts: list[str | None]) -> Aligned:
@@ -231,17 +255,6 @@ def group_texts(found: Aligned) -> list[memoryview]:
     return [data[lo:max(lo, hi - 1)] for lo, hi in zip(bounds, bounds[1:])]  # no mark at the end
 
 
-def _batches(column: pa.Array):
-    """(first row, texts) of pieces of a column, of about BATCH_CHARS characters."""
-    lo, size, texts = 0, 0, []
-    for k, value in enumerate(column):
-        texts.append(value.as_py())
-        size += len(texts[-1] or "")
-        if size >= BATCH_CHARS or k == len(column) - 1:
-            yield lo, texts
-            lo, size, texts = k + 1, 0, []
-
-
 def _prepared(df: DataFrame, id_col: str, text_col: str):
     spark = df.sparkSession
     ship_package(spark)
@@ -262,7 +275,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     def work(batches):
         aligner = Aligner(shared.value)
         for batch in batches:
-            for lo, texts in _batches(batch.column(1)):
+            for lo, texts in text_runs(batch.column(1), BATCH_CHARS):
                 f = aligner.align(texts)
                 a0, b0 = f.a_at[:-1], f.b_at[:-1]
                 yield pa.RecordBatch.from_arrays(
@@ -326,7 +339,7 @@ def alignment_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         aligner, shard = Aligner(shared.value), TaskContext.get().partitionId() << 32
         ids, parts, links = [], [], 0
         for batch in batches:
-            for lo, texts in _batches(batch.column(1)):
+            for lo, texts in text_runs(batch.column(1), BATCH_CHARS):
                 ids.append(batch.column(0).slice(lo, len(texts)))
                 parts.append(aligner.align(texts))
                 links += len(parts[-1].link_a)

@@ -114,3 +114,33 @@ def test_lanes(docs, lane):
     sa, sb = np.append(0, ea)[:-1], np.append(0, eb)[:-1]
     assert list(zip(*got[:2])) == [(i, j) for i in range(len(ea)) for j in range(len(eb)) if sa[i] < eb[j] and sb[j] < ea[i]]
     assert ea[got[2]].tolist() == sorted(set(ea) & set(eb)) == eb[got[3]].tolist()
+
+
+def test_ids_of_many_words_are_taken_at_once():
+    """Each word's ids are slices of one array; a word whose bytes differ spoils no other."""
+    aligner = ta.Aligner(ta.vocabularies())
+    ids, at = aligner._flat([[5], [6, 7, 8], [9]])
+    assert ids.tolist() == [5, 6, 7, 8, 9] and at.tolist() == [0, 1, 4, 5]
+    words = ["plain", "", "Été", "unlikelyword", "x,y"]
+    alone = [aligner._encoded([w])[0] for w in words]
+    assert None not in alone and aligner._encoded(words) == alone
+    assert aligner._encoded([*words, "\u2581"]) == [*alone, None]
+
+
+def test_plain_words_go_to_the_merge_model():
+    """Letters and the symbols behind them give the ids of the whole tokenizer, which only gets the rest."""
+    aligner = ta.Aligner(ta.vocabularies())
+    words = ["plain", "Été,", "ÿ", "word...", "a{}!", "don't", "x1", "日本", "", "a\n", "<|endoftext|>", "ÄÖÜ-"]
+    want = [aligner.a.encode(" " + w, add_special_tokens=False).ids for w in words]
+    asked, whole = [], aligner.a
+
+    class Library:
+        model = whole.model
+
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+    aligner.a = Library()
+    assert aligner.vocab.by_letters and aligner._a_encoded(words) == want
+    assert not any(w in asked for w in (" plain", " Été,", " word...", " ÄÖÜ-")) and " don't" in asked
