@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardline.llm.common import staged
-from shardline.llm.tokens import WordIds, text_runs, tokenizer_json
+from shardline.llm.tokens import WordIds, run_bounds, tokenizer_json
 from shardline.session import ship_package
 
 CAPACITY, CUT, WINDOWS, END_ID = 2048, 512, 128, 1
@@ -75,11 +75,10 @@ def document_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
     def pieces(batches):
         words = WordIds(spec.value)
         for batch in batches:
-            for at, texts in text_runs(batch.column(1)):
-                ids = batch.column(0).slice(at, len(texts))
-                texts = [t or "" for t in texts]
+            for at, rows in run_bounds(batch.column(1)):
+                ids, texts = batch.column(0).slice(at, rows), batch.column(1).slice(at, rows).fill_null("")
                 row, start, length, crc, total = [], [], [], [], []
-                for i, data in enumerate(words.ids(texts)):
+                for i, data in enumerate(words.of(texts)):
                     data += end
                     n = len(data) // 4
                     full = n - n % capacity

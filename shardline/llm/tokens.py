@@ -17,7 +17,9 @@ import os
 import re
 import struct
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,58 +168,86 @@ def text_runs(column: pa.Array, chars: int = 1 << 20):
             lo, size, texts = k + 1, 0, []
 
 
+def run_bounds(column: pa.Array, size: int = 1 << 22):
+    """(first row, rows) of pieces of a column of texts, of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = np.flatnonzero(np.diff(ends // size, prepend=-1)).tolist()
+    yield from ((lo, hi - lo) for lo, hi in zip(first, first[1:] + [len(column)]))
+
+
 class WordIds:
-    """Token ids of whole texts for a tokenizer that lower-cases and drops white space:
-    each word's ids as bytes (little-endian unsigned 32-bit), remembered in the worker.
+    """Token ids of whole texts for a tokenizer that lower-cases and drops white space, as
+    bytes (little-endian unsigned 32-bit). Texts are split and their distinct words found by
+    Arrow, many texts at once.
 
     A word of Latin-1 letters, with ASCII symbols but no apostrophe behind them, is two
     pre-tokens at most, and normalising only lower-cases it; its letters go straight to
     the library's merge model, and words that differ in case or symbols share them. All
-    other words go through the whole tokenizer."""
+    other words go through the whole tokenizer. Letters and other words are remembered in
+    the worker."""
 
-    _ODD_BREAK = re.compile("[\x1c-\x1f]")  # Python splits at these, the library doesn't
+    _ODD_BREAK = "[\x1c-\x1f]"  # Arrow splits at these, the library doesn't
+    _PARTS = "^(?P<letters>" + SIMPLE_WORD.pattern[1:].replace("(", "(?P<symbols>", 1) + "$"
 
     def __init__(self, spec: str):
-        self.tok, self.known = load_tokenizer(spec)[0], table(spec, "words", 40 << 20)
-        self.model, self.letters = self.tok.model, table(spec, "letters", 20 << 20)
+        self.tok, self.known = load_tokenizer(spec)[0], table(spec, "words", 8 << 20)
+        self.model, self.letters = self.tok.model, table(spec, "letters", 40 << 20)
         chars = {b: c for c, b in _bytes_to_chars().items()}
         self.as_bytes = {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
 
     def _letters(self, word: str) -> bytes:
         """Letters the worker's table doesn't know."""
-        ids = [t.id for t in self.model.tokenize(word.translate(self.as_bytes))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        out, rest, fresh = {}, [], {}  # fresh: letters once per call, also when the table is full
-        for w in words:
-            m = SIMPLE_WORD.fullmatch(w)
-            if m is None:
-                rest.append(w)
-            else:
-                head, tail = m.groups()
-                head = head.lower()
-                found = self.letters.get(head) or fresh.get(head)
-                if found is None:
-                    found = fresh[head] = self._letters(head)
-                out[w] = found + self._symbols(tail) if tail else found
-        for head, found in fresh.items():
-            if self.letters.room <= 2 * Memo.SLOT:
-                break
-            self.letters.keep(head, found)
-        return out | dict(zip(rest, self._whole(rest))) if rest else out
-
-    def _symbols(self, tail: str) -> bytes:
-        found = self.letters.get(tail)
-        if found is None:
-            found = self._whole([tail])[0]
-            self.letters.keep(tail, found)
+        ids = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.as_bytes))]
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if self.letters.room > 2 * Memo.SLOT:
+            self.letters.keep(word, found)
         return found
 
+    def _whole(self, words: set[str]) -> dict[str, bytes]:
+        words = list(words)
+        return {w: struct.pack(f"<{len(e)}I", *e.ids)
+                for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False))}
+
+    def _others(self, words: pa.Array) -> pa.Array:
+        """Each word by the whole tokenizer."""
+        listed = words.to_pylist()
+        known = self.known.look_up(set(listed), self._whole)
+        return pa.array(map(known.__getitem__, listed), pa.large_binary())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words."""
+        parts = pc.extract_regex(words, self._PARTS)
+        simple = parts.is_valid()
+        letters, symbols = parts.drop_null().flatten()
+        letters, symbols = pc.utf8_lower(letters).dictionary_encode(), symbols.dictionary_encode()
+        known = self.letters.get
+        heads = pa.array([known(w) or self._letters(w) for w in letters.dictionary.to_pylist()], pa.large_binary())
+        joined = pc.binary_join_element_wise(heads.take(letters.indices),
+                                             self._others(symbols.dictionary).take(symbols.indices),
+                                             pa.scalar(b"", pa.large_binary()))
+        both = pa.concat_arrays([joined, self._others(words.filter(pc.invert(simple)))])
+        simple = simple.to_numpy(zero_copy_only=False)
+        at = np.empty(len(words), np.int64)
+        at[simple], at[~simple] = np.arange(len(joined)), np.arange(len(joined), len(words))
+        return both.take(pa.array(at))
+
+    def of(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text of an Arrow column without nulls."""
+        words = pc.utf8_split_whitespace(texts)
+        odd = pc.match_substring_regex(texts, self._ODD_BREAK)
+        if pc.any(odd).as_py():
+            words = pa.array([[t] if o else w for t, o, w in zip(texts.to_pylist(), odd.to_pylist(), words.to_pylist())],
+                             words.type)
+        coded = words.flatten().dictionary_encode()
+        ids = self._words(coded.dictionary).take(coded.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        # the ids of all words lie one behind the other
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[ids.offset:]
+        bounds = ends[np.cumsum(pc.list_value_length(words).to_numpy())].tolist()
+        data = memoryview(data) if data else b""
+        return [bytes(data[lo:hi]) for lo, hi in zip([int(ends[0]), *bounds], bounds)]
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        words = [[t] if self._ODD_BREAK.search(t) else t.split() for t in texts]
-        known = self.known.look_up(set().union(*words), self._learn)
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        return self.of(pa.array(texts, pa.string()))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +133,31 @@ def test_text_runs_hold_every_row():
     runs = list(tokens.text_runs(pa.array(texts), 3))
     assert [t for _, part in runs for t in part] == texts
     assert [lo for lo, _ in runs] == [0, 4] and list(tokens.text_runs(pa.array([], pa.string()))) == []
+
+
+def test_any_white_space_splits_as_in_python():
+    texts = [f" a{chr(c)}B, {chr(c)}" for c in range(0x3100) if chr(c).isspace() or c < 0x100]
+    words = tokens.WordIds(tokens.tokenizer_json("word_bpe_49k.json"))
+    got = [np.frombuffer(x, "<u4").tolist() for x in words.of(pa.array(texts))]
+    assert got == [words.tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_of_a_run_are_looked_up_once():
+    """Python sees each distinct word's letters once per run, however many texts hold them."""
+    words = tokens.WordIds(tokens.tokenizer_json("word_bpe_49k.json"))
+
+    class Letters(tokens.Memo):
+        asked = []
+
+        def get(self, key, *rest):
+            self.asked.append(key)
+            return super().get(key, *rest)
+
+    words.letters = Letters(0)
+    texts = pa.array(["Zebra zebra, ZEBRA! quux; " * 2000] * 30 + [None, "", " \n"])
+    bounds = list(tokens.run_bounds(texts))
+    assert bounds == [(0, 33)] and list(tokens.run_bounds(pa.array([], pa.string()))) == []
+    assert list(tokens.run_bounds(pa.array(["ab", None, "", "cdefg", "h", "", None]), 3)) == [(0, 3), (3, 4)]
+    got = words.of(texts.fill_null(""))
+    assert sorted(Letters.asked) == ["quux", "zebra"] and got[30:] == [b""] * 3
+    assert np.frombuffer(got[0], "<u4").tolist() == words.tok.encode(texts[0].as_py(), add_special_tokens=False).ids
