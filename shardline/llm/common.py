@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sys import getsizeof
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,24 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def give_back() -> None:
+    """Memory that Arrow no longer uses goes back to the system. Its pool keeps it
+    otherwise: some hundred MB in each worker process, as long as that lives."""
+    pa.default_memory_pool().release_unused()
+
+
+def giving_back(made):
+    """A function from batches to results that gives memory back behind each result
+    and at its end."""
+    def run(batches):
+        for out in made(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+    return run
+
+
 class Memo(dict):
     """What short texts gave, up to ``limit`` bytes of keys and values; full, it takes
     no more."""

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import drop_staged, may_contain, staged, text_key
+from shardline.llm.common import drop_staged, give_back, giving_back, may_contain, staged, text_key
 from shardline.llm.components import connected
 from shardline.session import ship_package
 
@@ -137,6 +137,7 @@ def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
     """One pass over the texts: (id, th, n, s1, s2, low) with the shingles of low hash."""
     bound = np.uint64(int(LOW * 2 ** 64))
 
+    @giving_back
     def profile(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -212,6 +213,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         marks[(r.bucket - 1) * 4096:r.bucket * 4096] = np.frombuffer(r.bits, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
+    @giving_back
     def build(batches):
         mark = shared.value
         for batch in batches:
@@ -251,6 +253,7 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for rep, grams in zip(asked["rep"], asked["grams"]):
             for k in index.search(grams, percent):
                 a.append(rep), b.append(ids[k])
+        give_back()
         return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
 
     out = member.unionByName(query).groupBy("pivot", "block").applyInPandas(search, "a long, b long")
@@ -288,6 +291,7 @@ def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, percent: int
                 for k in index.search(grams[q], percent, wanted) if wanted.any() else ():
                     a.append(ids[q]), b.append(ids[k])
                     group[group == group[q]] = group[k]
+        give_back()
         return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
 
     return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, "a long, b long"), "join-more")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import staged
+from shardline.llm.common import give_back, giving_back, staged
 from shardline.llm.tokens import WordIds, run_bounds, tokenizer_json
 from shardline.session import ship_package
 
@@ -72,6 +72,7 @@ def document_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer))
     end = int(end_id).to_bytes(4, "little")
 
+    @giving_back
     def pieces(batches):
         words = WordIds(spec.value)
         for batch in batches:
@@ -120,6 +121,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, token
             for i in sorted(group):
                 seq[i], off[i] = 2 * ((int(key[0]) << 24) + w), at
                 at += sizes[i]
+        give_back()
         return pdf.drop(columns=["uid", "block"]).assign(sequence_id=seq, offset=off)
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import Memo
+from shardline.llm.common import Memo, giving_back
 from shardline.session import ship_package
 
 BITS, MAX_ROWS, STEPS, GRADES, SHAPE = 18, 16_384, 150, 3, 6
@@ -148,6 +148,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_rows: int = MAX_ROWS, bits: i
     sample = rated.filter(F.pmod(F.xxhash64("id"), F.lit(_SCALE)) < share)
     joined = docs.join(F.broadcast(sample), "id")  # about max_rows rows of two numbers
 
+    @giving_back
     def features(batches):
         made = Features(bits)
         for batch in batches:
@@ -180,14 +181,18 @@ def rate(df: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: st
         max_rows, bits, steps))
     top = float(GRADES - 1)
 
-    @F.pandas_udf("struct<expected_grade:double,p_good:double>")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @giving_back
+    def grades(batches):
         made = Features(bits)
         for texts in batches:
             tails = [model.value.tails(made.of(t)) if model.value else None for t in texts]
             yield pd.DataFrame({"expected_grade": [top if t is None else float(t.sum()) for t in tails],
                                 "p_good": [1.0 if t is None else float(t[-1]) for t in tails]})
 
+    @F.pandas_udf("struct<expected_grade:double,p_good:double>")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return grades(batches)
+
     return df.select(F.struct("*").alias("row"), scored(F.col(text_col)).alias("s")).select("row", "s.*")
 
 

@@ -44,3 +44,29 @@ def test_edge_rows(spark, edge):
         now = staged(stage(spark, now, SF_CHECK), "test-stage")
         assert now.columns == edge.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF_CHECK).count() > 0
+
+
+def test_unused_arrow_memory_goes_back(monkeypatch):
+    """Arrow's pool gives its free memory back behind each result and at the end, once
+    the function holds nothing any more."""
+    import pyarrow as pa
+
+    from shardline.llm import common
+
+    seen = []
+
+    class Pool:
+        def release_unused(self):
+            seen.append("back")
+
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+
+    @common.giving_back
+    def doubled(batches):
+        for x in batches:
+            yield 2 * x
+        seen.append("over")
+
+    for x in doubled([1, 2]):
+        seen.append(x)
+    assert seen == [2, "back", 4, "back", "over", "back"]
