@@ -18,9 +18,10 @@ and each document holds numbers of that list. Only lists are shuffled to sum up
 counts, and go back to their shard with the sums.
 
 Tokenizers are asked for words, with the space before them, where single spaces separate
-them; neither merges over such a place (for B this is checked on its pieces). What a word
-gave is remembered in the worker, in a table of a bounded number of bytes. All other texts
-go to the tokenizers whole.
+them; neither merges over such a place (for B this is checked on its pieces). Arrow splits
+about 4 MB of texts at once and finds their distinct words; what a word gave is remembered
+in the worker process, in a table of a bounded number of bytes, and put together by Arrow.
+All other texts go to the tokenizers whole.
 
 Defined results: texts that are null, empty, or whose A or B bytes differ from space +
 text (U+2581 or a character that a tokenizer rewrites) have no tokens, links and
@@ -34,20 +35,26 @@ import hashlib
 import json
 import os
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardline.llm.common import Memo, drop_staged, staged
-from shardline.llm.tokens import _TORN, SIMPLE_WORD, _bytes_to_chars, text_runs, tokenizer_json
+from shardline.llm.common import Memo, giving_back, staged
+from shardline.llm.tokens import SIMPLE_WORD, _bytes_to_chars, text_runs, tokenizer_json
 from shardline.session import ship_package
 
-LANE, BATCH_CHARS, SHARD_LINKS = 64, 1 << 20, 1 << 20
+LANE, BATCH_CHARS, SHARD_LINKS = 64, 1 << 22, 1 << 20
 SPACE = "▁"
+_BLANK = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Texts with white space that a cut at single spaces could tear apart, or with B's sign for a space.
+_NO_WORDS = f"^ |{SPACE}|  |{_BLANK} {_BLANK}|{_BLANK} $"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
@@ -157,6 +164,7 @@ class Aligner:
         chars = {b: c for c, b in _bytes_to_chars().items()}
         self.a_space, self.as_chars = chars[32], {i: "".join(chars[b] for b in chr(i).encode()) for i in range(128, 256)}
         self.tails = Memo(1 << 20)
+        self.a_table, self.b_table = (pa.array(x, pa.large_binary()) for x in (vocab.a_bytes, vocab.b_bytes))
 
     def _a_encoded(self, texts: list[str]) -> list[list[int]]:
         """A ids of the texts behind a space. The letters of a plain word are one pre-token with the
@@ -166,9 +174,9 @@ class Aligner:
         others = iter(rest([" " + t for t, m in zip(texts, found) if m is None]))
         tails = self.tails.look_up({m[2] for m in found if m}, lambda x: dict(zip(x, rest(list(x)))))
         merge = self.a.model.tokenize
-        return [next(others) if m is None else
-                [t.id for t in merge(self.a_space + (m[1] if m[1].isascii() else m[1].translate(self.as_chars)))] + tails[m[2]]
-                for m in found]
+        letters = {x: [t.id for t in merge(self.a_space + (x if x.isascii() else x.translate(self.as_chars)))]
+                   for x in {m[1] for m in found if m}}
+        return [next(others) if m is None else letters[m[1]] + tails[m[2]] if m[2] else letters[m[1]] for m in found]
 
     def _encoded(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """A ids of the texts behind a space and B ids, None where the bytes aren't those of the text."""
@@ -180,16 +188,19 @@ class Aligner:
         a_data, b_data = a_ids.tobytes(), b_ids.tobytes()
         ids = [(a_data[i:j], b_data[k:m]) for i, j, k, m in zip(
             *((4 * at[s]).tolist() for at in (a_at, b_at) for s in (slice(-1), slice(1, None))))]
-        # all at once: equal as a whole and of equal lengths, so equal one by one
-        size = np.array([len(d) for d in data])
-        if (b"".join(map(self.vocab.a_bytes.__getitem__, chain.from_iterable(a))) == b"".join(data)
-                == b"".join(map(self.vocab.b_bytes.__getitem__, chain.from_iterable(b)))
-                and (np.add.reduceat(self.a_size[a_ids], a_at[:-1]) == size).all()
-                and (np.add.reduceat(self.b_size[b_ids], b_at[:-1]) == size).all()):
-            return ids
-        return [x if (b"".join(map(self.vocab.a_bytes.__getitem__, i)) == d
-                      == b"".join(map(self.vocab.b_bytes.__getitem__, j))) else None
-                for x, i, j, d in zip(ids, a, b, data)]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        same = ((np.add.reduceat(self.a_size[a_ids], a_at[:-1]) == size)
+                & (np.add.reduceat(self.b_size[b_ids], b_at[:-1]) == size))
+        # the bytes of all texts with the same lengths at once
+        of_text = np.flatnonzero(same)
+        joined = np.frombuffer(b"".join(data if same.all() else [data[k] for k in of_text]), np.uint8)
+        for found, at, table in ((a_ids, a_at, self.a_table), (b_ids, b_at, self.b_table)):
+            own = found if same.all() else found[np.repeat(same, np.diff(at))]
+            wrong = np.flatnonzero(np.frombuffer(_data_of(table.take(pa.array(own))), np.uint8) != joined)
+            if len(wrong):
+                for k in set(of_text[np.searchsorted(np.cumsum(size[of_text]), wrong, "right")].tolist()):
+                    ids[k] = None
+        return [x if s else None for x, s in zip(ids, same.tolist())]
 
     @staticmethod
     def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,39 +208,83 @@ class Aligner:
         at = np.cumsum([0] + [len(x) for x in ids])
         return np.fromiter(chain.from_iterable(ids), np.int32, at[-1]), at
 
-    def _learn(self, words: set[str]) -> dict[str, tuple]:
-        order = list(words)
-        return dict(zip(order, self._encoded(order)))
-
-    def tokens(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
-        """The ids of each text, none where the bytes differ."""
-        words, whole = [], []
-        for t in texts:
-            if t and (not self.vocab.by_words or SPACE in t or t[0] == " " or _TORN.search(t)):
-                whole.append(t)
-                words.append(None)
-            else:
-                words.append(t.split(" ") if t else [])
-        known = self.known.look_up(set().union(*(w for w in words if w)), self._learn)
-        whole = iter(self._encoded(whole) if whole else ())
-        a_out, b_out = [], []
-        for ws in words:
-            parts = [next(whole)] if ws is None else list(map(known.__getitem__, ws))
-            a_parts, b_parts = zip(*parts) if parts and None not in parts else ((), ())
-            a_out.append(b"".join(a_parts))
-            b_out.append(b"".join(b_parts))
-        return a_out, b_out
+    def _of_words(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """:meth:`_encoded` of distinct words, from the worker's table where it knows them."""
+        got = list(map(self.known.get, words))
+        fresh = [k for k, x in enumerate(got) if x is None]
+        if fresh:
+            for k, x in zip(fresh, self._encoded([words[k] for k in fresh])):
+                got[k] = x
+                if x and self.known.room > 2 * Memo.SLOT:
+                    self.known.keep(words[k], x)
+        return got
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A ids, B ids and where those of each text begin, and their number; none where the bytes differ."""
+        column = pa.array(texts, pa.string())
+        column = pc.if_else(pc.equal(pc.binary_length(column), 0), pa.scalar(None, pa.string()), column)
+        whole = pc.fill_null(pc.match_substring_regex(column, _NO_WORDS), False) if self.vocab.by_words else column.is_valid()
+        words = pc.split_pattern(pc.if_else(whole, pa.scalar(None, pa.string()), column), " ")
+        coded = words.flatten().dictionary_encode()
+        parts = self._of_words(coded.dictionary.to_pylist())
+        odd = column.filter(whole).to_pylist()
+        if odd:
+            parts = parts + self._encoded(odd)
+        # a text's parts are its words, or itself
+        whole = whole.to_numpy(zero_copy_only=False)
+        n = np.where(whole, 1, pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        at = np.append(0, np.cumsum(n))
+        of_whole = np.zeros(at[-1], bool)
+        of_whole[at[:-1][whole]] = True
+        part = np.empty(at[-1], np.int64)
+        part[of_whole] = len(coded.dictionary) + np.arange(len(odd))
+        part[~of_whole] = coded.indices.to_numpy()
+        differs = np.array([x is None for x in parts], bool)
+        if differs.any():
+            text = np.repeat(np.arange(len(n)), n)
+            spoilt = np.zeros(len(n), bool)
+            spoilt[text[differs[part]]] = True
+            part[spoilt[text]] = len(parts)
+        part, out = pa.array(part), []
+        for side in (0, 1):
+            ids = pa.array([*(x[side] if x else b"" for x in parts), b""], pa.large_binary()).take(part)
+            out += [np.frombuffer(_data_of(ids), np.int32), _ends_of(ids)[at] // 4]
+        a_ids, a_at, b_ids, b_at = out
+        return a_ids, b_ids, a_at, b_at
 
     def align(self, texts: list[str | None]) -> Aligned:
-        a, b = self.tokens(texts)
-        a_ids, b_ids = (np.frombuffer(b"".join(x), np.int32) for x in (a, b))
-        a_at, b_at = (np.cumsum([0] + [len(x) // 4 for x in y]) for y in (a, b))
+        a_ids, b_ids, a_at, b_at = self.tokens(texts)
         return Aligned(a_ids, b_ids, a_at, b_at, *merge_lockstep(
             np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids]), a_at))
 
 
-_DIGITS = np.array([list(f"{i:<6d}".encode()) for i in range(10 ** 5)], np.uint8)
-_WIDTH = np.array([len(str(i)) for i in range(10 ** 5)], np.int64)
+_KEPT: dict = {}
+
+
+def kept_aligner(vocab: Vocabularies) -> Aligner:
+    """The worker process's aligner, with what it remembers of words; the last one stays."""
+    key = (hash(vocab.a_json), hash(vocab.b_model))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Aligner(vocab)
+    return _KEPT[key]
+
+
+def _ends_of(values: pa.Array) -> np.ndarray:
+    """Where the values of a fresh large_binary array begin in its data, and their end."""
+    return np.frombuffer(values.buffers()[1], np.int64)[:len(values) + 1] if len(values) else np.zeros(1, np.int64)
+
+
+def _data_of(values: pa.Array) -> memoryview:
+    """The values of a fresh large_binary array, one behind the other."""
+    end, data = int(_ends_of(values)[-1]), values.buffers()[2]
+    return memoryview(data)[:end] if end else memoryview(b"")
+
+
+@cache
+def _marked_numbers() -> pa.Array:
+    """Each id's decimal digits with the mark behind them: a comma, ``|`` or ``;``."""
+    return pa.array([f"{i}{mark}".encode() for i in range(10 ** 5) for mark in ",|;"], pa.large_binary())
 
 
 def group_texts(found: Aligned) -> list[memoryview]:
@@ -239,19 +294,12 @@ def group_texts(found: Aligned) -> list[memoryview]:
     # A tokens come behind all B tokens of the groups before, B tokens behind the group's A
     a_place = np.arange(n_a) + np.repeat(found.cut_b - b_in + 1, a_in)
     b_place = np.arange(n_b) + np.repeat(found.cut_a + 1, b_in)
-    ids, mark = np.empty(n_a + n_b, np.int32), np.full(n_a + n_b, ord(","), np.uint8)
-    ids[a_place], ids[b_place] = found.a_ids, found.b_ids
-    mark[a_place[found.cut_a]], mark[b_place[found.cut_b]] = ord("|"), ord(";")
-    width = _WIDTH[ids]
-    end = np.cumsum(width + 1)
-    text = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
-    begin = end - width - 1
-    for d in range(int(width.max(initial=0))):
-        has = width > d
-        text[begin[has] + d] = _DIGITS[ids[has], d]
-    text[end - 1] = mark
-    bounds = np.append(0, end)[found.a_at + found.b_at]
-    data = memoryview(text)
+    marked = np.empty(n_a + n_b, np.int32)  # comma, | and ; are 0, 1 and 2 beyond 3 times the id
+    marked[a_place], marked[b_place] = 3 * found.a_ids, 3 * found.b_ids
+    marked[a_place[found.cut_a]] += 1
+    marked[b_place[found.cut_b]] += 2
+    texts = _marked_numbers().take(pa.array(marked))
+    bounds, data = _ends_of(texts)[found.a_at + found.b_at].tolist(), _data_of(texts)
     return [data[lo:max(lo, hi - 1)] for lo, hi in zip(bounds, bounds[1:])]  # no mark at the end
 
 
@@ -273,7 +321,7 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))
 
     def work(batches):
-        aligner = Aligner(shared.value)
+        aligner = kept_aligner(shared.value)
         for batch in batches:
             for lo, texts in text_runs(batch.column(1), BATCH_CHARS):
                 f = aligner.align(texts)
@@ -298,7 +346,12 @@ class _Shard:
     def __init__(self, ids: pa.Array, found: Aligned, b_size: int):
         link_at = found.link_at
         key = found.a_ids[found.link_a].astype(np.int64) * b_size + found.b_ids[found.link_b]
-        self.pairs, number, self.times = np.unique(key, return_inverse=True, return_counts=True)
+        code, pairs = pd.factorize(key)
+        order = np.argsort(pairs)
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.pairs, number = pairs[order], rank[code]
+        self.times = np.bincount(number, minlength=len(order))
         doc = np.repeat(np.arange(len(ids)), np.diff(link_at))
         own, self.own_times = np.unique(doc * np.int64(max(len(self.pairs), 1)) + number, return_counts=True)
         doc, self.number = np.divmod(own, max(len(self.pairs), 1))
@@ -318,6 +371,8 @@ class _Shard:
 
 def _joined(parts: list[Aligned]) -> Aligned:
     """Consecutive batches as one."""
+    if len(parts) == 1:
+        return parts[0]
     a0, b0 = (np.cumsum([0] + [len(getattr(p, k)) for p in parts]) for k in ("a_ids", "b_ids"))
     def moved(k, by): return np.concatenate([getattr(p, k) + m for p, m in zip(parts, by)])
     def ends(k, by): return np.concatenate([[0], *(getattr(p, k)[1:] + m for p, m in zip(parts, by))])
@@ -335,8 +390,9 @@ def alignment_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               + ", groups_sha256 array<string>, pairs array<long>, times array<long>, number binary, own_times binary")
     names = pa.schema([(c.split()[0], pa.null()) for c in schema.split(", ")])
 
+    @giving_back
     def sharded(batches):
-        aligner, shard = Aligner(shared.value), TaskContext.get().partitionId() << 32
+        aligner, shard = kept_aligner(shared.value), TaskContext.get().partitionId() << 32
         ids, parts, links = [], [], 0
         for batch in batches:
             for lo, texts in text_runs(batch.column(1), BATCH_CHARS):

@@ -144,3 +144,30 @@ def test_plain_words_go_to_the_merge_model():
     aligner.a = Library()
     assert aligner.vocab.by_letters and aligner._a_encoded(words) == want
     assert not any(w in asked for w in (" plain", " Été,", " word...", " ÄÖÜ-")) and " don't" in asked
+
+
+def test_letters_are_merged_once_and_stay_in_the_worker():
+    """Words that share their letters are one merge, texts' words are found by Arrow, and what they gave is
+    kept for the worker's later tasks; a text whose bytes differ spoils no other."""
+    vocab = ta.vocabularies()
+    aligner = ta.kept_aligner(vocab)
+    merged, whole = [], aligner.a
+
+    class Library:
+        class model:
+            @staticmethod
+            def tokenize(letters):
+                merged.append(letters)
+                return whole.model.tokenize(letters)
+
+        encode_batch_fast = whole.encode_batch_fast
+
+    texts = ["zyxabc zyxabc, zyxabc. end", None, "", "zyxabc! \ufb01 end", "end", "end ", "zyxabc  end", "a\u2581b", "end\u2003 \u2003x"]
+    want = [brute(aligner, t)[:2] for t in texts]
+    aligner.a = Library()
+    for _ in range(2):
+        a_ids, b_ids, a_at, b_at = ta.kept_aligner(vocab).tokens(texts)
+        assert [(a_ids[i:j].tolist(), b_ids[k:m].tolist())
+                for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])] == want
+    aligner.a = whole
+    assert [m[1:] for m in merged].count("zyxabc") == 1 and ([], []) in want[3:]
