@@ -26,7 +26,8 @@ required overlap T, DivideSkip puts the L longest lists aside, heap-merges the
 short ones, keeps classes found T - L times or more, and binary-probes the long
 lists for these only; the exact overlap then decides. Counts and pivots are summed
 up before they meet, and the joins with them read plain scans, so that a shingle of a
-third of all documents can be split over tasks.
+third of all documents can be split over tasks. Each step is staged, and its shuffle files
+go when it is done.
 
 Defined results: null or blank texts have an empty set and are their own component;
 rows with a null doc_id have a null component and link with nothing; rows that
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from shardline.llm.common import drop_staged, give_back, giving_back, may_contain, staged, text_key
 from shardline.llm.components import connected
-from shardline.session import ship_package
+from shardline.session import ship_package, shuffles_dropped
 
 WORDS, PERCENT = 5, 80
 LOW = 0.3  # share of the hash range that is counted over the whole corpus
@@ -297,13 +298,8 @@ def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, percent: int
     return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, "a long, b long"), "join-more")
 
 
-def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
-                      percent: int = PERCENT) -> DataFrame:
-    """doc_id, th, n_shingles, component_id, group of every row: ``th`` tells texts of one
-    doc_id apart, and ``group`` is the component's own key, as its least doc_id may be that
-    of another one too. Null ids and blank texts have no group."""
-    spark = df.sparkSession
-    ship_package(spark)
+def _joined_groups(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The staged profiles of the rows, and (cn, c1, c2, group, least) of the classes."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"),
                      text_key(F.col(text_col)).alias("th"))
     id_kind = docs.schema["id"].dataType.simpleString()
@@ -333,6 +329,18 @@ def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"),
                 F.coalesce("component", "rep").alias("group"), F.coalesce("least", "lead").alias("least")), "join-result")
     drop_staged(stored, posted, pivots, pairs, sets, first, more, linked, least)
+    return profiles, result
+
+
+def similarity_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                      percent: int = PERCENT) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, group of every row: ``th`` tells texts of one
+    doc_id apart, and ``group`` is the component's own key, as its least doc_id may be that
+    of another one too. Null ids and blank texts have no group."""
+    spark = df.sparkSession
+    ship_package(spark)
+    with shuffles_dropped(spark):
+        profiles, result = _joined_groups(df, id_col, text_col, words, percent)
     # both sides are plain scans: the rows of one hot class can be split at run time
     return (profiles.drop("low").join(result, F.col("id").isNotNull() & (F.col("n") == F.col("cn"))
                                       & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -112,6 +113,23 @@ def drop_staged(*frames: DataFrame) -> None:
         fs.delete(p, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Within it, the shuffle files of a step go when the step is done. Spark otherwise keeps
+    them until the driver's garbage collection finds them unused, so that those of many
+    steps lie on the disks at once. Holds for the frames that are made and run within."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once per application,
     so that they need no installed copy and no particular working folder."""

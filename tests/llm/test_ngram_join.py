@@ -1,4 +1,6 @@
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -121,3 +123,18 @@ def test_components(spark, n):
                 least[a] = least[b] = min(least[a], least[b])
     got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
     assert sorted((r.node, r.component) for r in got) == sorted(least.items())
+
+
+def test_shuffle_files_go_with_their_step(spark, small_docs):
+    """None of the join's shuffles lies on the disk behind it, and the session's settings are as before."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    lying = lambda: {n for d in folders for _, _, names in os.walk(d) for n in names if n.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = lying(), spark.conf.get(key)
+    ngram_join.similarity_groups(small_docs)
+    assert spark.conf.get(key) == setting
+    for _ in range(50):  # files are removed in the background
+        if not lying() - before:
+            break
+        time.sleep(0.1)
+    assert not lying() - before
