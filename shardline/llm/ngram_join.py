@@ -22,9 +22,9 @@ doc_id it reaches by links; it never lists the pairs of a group.
    components, in pairs of blocks.
 
 A search builds the inverted lists of its block's sets. For a query set with
-required overlap T, DivideSkip puts the L longest lists aside, heap-merges the
-short ones, keeps classes found T - L times or more, and binary-probes the long
-lists for these only; the exact overlap then decides. Counts and pivots are summed
+required overlap T, DivideSkip puts the L longest lists aside, merges the short ones by
+counting, keeps classes found T - L times or more, and binary-probes the long lists for
+these only (or merges them too, if that is less work); the exact overlap then decides. Counts and pivots are summed
 up before they meet, and the joins with them read plain scans, so that a shingle of a
 third of all documents can be split over tasks. Each step is staged, and its shuffle files
 go when it is done.
@@ -37,8 +37,8 @@ empty result.
 
 from __future__ import annotations
 
-import heapq
-from itertools import groupby
+from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,34 +57,75 @@ BLOCK, ROWS = 256, 128
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xA0761D6478BD642F], np.uint64)
 _MU = 0.0085  # the weight of the DivideSkip paper's rule for the number of long lists
+PROBE = 10  # a binary probe takes as long as merging so many entries of a list
+STEP = 1 << 20  # entries or probes at once
+GIVE = 1 << 20  # bytes of a group behind which unused memory goes back
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; with fewer words, of the
-    whole sequence. ``bytes.lower`` and ``bytes.split`` are exactly the rule: A-Z
-    and the six ASCII blanks."""
-    found = text.lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = pd.util.hash_array(np.array(found, dtype=object), categorize=False)
-    k = min(words, len(found))
-    mixed = np.full(len(found) - k + 1, k, np.uint64)
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of all runs of ``k`` words from the words' hashes."""
+    mixed = np.full(len(h) - k + 1, k, np.uint64)
     for j in range(k):
-        mixed = (mixed ^ (h[j:len(found) - k + 1 + j] * _ODD[j % len(_ODD)])) * _ODD[(j + 1) % len(_ODD)]
+        mixed = (mixed ^ (h[j:len(h) - k + 1 + j] * _ODD[j % len(_ODD)])) * _ODD[(j + 1) % len(_ODD)]
         mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    return mixed
+
+
+def shingle_sets(texts: list, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): per text the sorted distinct 64-bit hashes of its word n-grams,
+    ``hashes[bounds[i]:bounds[i + 1]]``; with fewer words, of the whole sequence.
+    ``bytes.lower`` and ``bytes.split`` are exactly the rule: A-Z and the six ASCII blanks."""
+    found = [(t or b"").lower().split() for t in texts]
+    n = np.array([len(x) for x in found], int)
+    all_words = np.empty(n.sum(), object)
+    all_words[:] = list(chain.from_iterable(found))
+    h = pd.util.hash_array(all_words, categorize=False)
+    first = np.cumsum(n) - n
+    made = np.where(n < words, n > 0, n - words + 1)
+    bounds = np.append(0, np.cumsum(made))
+    # the runs that begin where a text has ``words`` words left; the others cross its end
+    whole = np.repeat(first - bounds[:-1], made) + np.arange(bounds[-1])
+    if len(h) >= words:
+        out = _mixed(h, words)[np.minimum(whole, len(h) - words)]
+    else:
+        out = np.empty(len(whole), np.uint64)
+    for i in np.flatnonzero((n > 0) & (n < words)):
+        out[bounds[i]] = _mixed(h[first[i]:first[i] + n[i]], n[i])[0]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][made > 0]] = True
+    return out[new], np.append(0, np.cumsum(new))[bounds]
 
 
 def _texts(column):
     """The values of an Arrow column, a few rows at a time."""
     for at in range(0, len(column), ROWS):
-        yield from column.slice(at, ROWS).to_pylist()
+        yield column.slice(at, ROWS).to_pylist()
 
 
-def signature(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return (int(np.add.reduce(s).astype(np.int64)),
-                int(np.bitwise_xor.reduce((s ^ (s >> np.uint64(31))) * _ODD[3]).astype(np.int64)))
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set; 0 and 0 of an empty one."""
+    one, two = np.zeros((2, len(bounds) - 1), np.uint64)
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(some):
+        one[some] = np.add.reduceat(hashes, bounds[some])
+        two[some] = np.bitwise_xor.reduceat((hashes ^ (hashes >> np.uint64(31))) * _ODD[3], bounds[some])
+    return one.astype(np.int64), two.astype(np.int64)
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int64)))
+
+
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of a column of lists without nulls."""
+    out = []
+    for chunk in column.chunks:
+        flat, bounds = chunk.values.to_numpy(), chunk.offsets.to_numpy().tolist()
+        out += [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+    return out
 
 
 class BlockIndex:
@@ -95,17 +136,45 @@ class BlockIndex:
         tokens = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(tokens, kind="stable")
-        self.owner = owner[order]
-        self.tokens, self.starts = np.unique(tokens[order], return_index=True)
-        self.ends = np.append(self.starts[1:], len(tokens))
-
-    def lists(self, query: np.ndarray) -> list[np.ndarray]:
-        """The sorted lists of the query's tokens, shortest first."""
+        self.owner, tokens = owner[order], tokens[order]
+        self.starts = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])[:len(tokens)])
+        self.tokens = tokens[self.starts]
+        self.lengths = np.diff(np.append(self.starts, len(tokens)))
+
+    @cached_property
+    def entries(self) -> np.ndarray:
+        """The entries of all lists as one sorted array: list number and member."""
+        return np.repeat(np.arange(len(self.tokens)) * len(self.sizes), self.lengths) + self.owner
+
+    def _parts(self, lists: np.ndarray):
+        """The lists, as many at a time as have STEP entries at most."""
+        step = max(1, STEP // len(self.sizes))
+        return (lists[at:at + step] for at in range(0, len(lists), step))
+
+    def lists(self, query: np.ndarray) -> np.ndarray:
+        """The numbers of the lists of the query's tokens, shortest list first."""
         at = np.searchsorted(self.tokens, query)
         inside = at < len(self.tokens)
         at = at[inside][self.tokens[at[inside]] == query[inside]]
-        at = at[np.argsort((self.ends - self.starts)[at], kind="stable")]
-        return [self.owner[self.starts[k]:self.ends[k]] for k in at]
+        return at[np.argsort(self.lengths[at], kind="stable")]
+
+    def merge(self, lists: np.ndarray) -> np.ndarray:
+        """How many of the lists each member is in."""
+        counts = np.zeros(len(self.sizes), int)
+        for part in self._parts(lists):
+            n = self.lengths[part]
+            entry = np.repeat(self.starts[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            counts += np.bincount(self.owner[entry], minlength=len(counts))
+        return counts
+
+    def probe(self, lists: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """How many of the lists each of these members is in."""
+        counts = np.zeros(len(member), int)
+        for part in self._parts(lists):
+            wanted = part[:, None] * len(self.sizes) + member
+            at = np.minimum(np.searchsorted(self.entries, wanted), len(self.entries) - 1)
+            counts += (self.entries[at] == wanted).sum(axis=0)
+        return counts
 
     def search(self, query: np.ndarray, percent: int = PERCENT, wanted: np.ndarray | None = None) -> np.ndarray:
         """Members whose overlap with the query is enough; of those ``wanted``
@@ -114,17 +183,18 @@ class BlockIndex:
         lists = self.lists(query)
         if not need or len(lists) < need:
             return np.empty(0, int)
-        longest = len(lists[-1])
+        longest = self.lengths[lists[-1]]
         aside = min(need - 1, int(need / (_MU * np.log2(longest + 1) + 1)))
         short, long_lists = lists[:len(lists) - aside], lists[len(lists) - aside:]
-        counts = {k: sum(1 for _ in same) for k, same in groupby(heapq.merge(*(x.tolist() for x in short)))}
-        kept = [(k, n) for k, n in counts.items() if n >= need - aside and (wanted is None or wanted[k])]
-        if not kept:
-            return np.empty(0, int)
-        member, overlap = np.array(kept, int).T
-        for x in long_lists:
-            at = np.minimum(np.searchsorted(x, member), len(x) - 1)
-            overlap = overlap + (x[at] == member)
+        counts = self.merge(short)
+        kept = counts >= need - aside
+        member = np.flatnonzero(kept if wanted is None else kept & wanted)
+        if not len(member):
+            return member
+        if PROBE * aside * len(member) < self.lengths[long_lists].sum():
+            overlap = counts[member] + self.probe(long_lists, member)
+        else:
+            overlap = (counts + self.merge(long_lists))[member]
         union = len(query) + self.sizes[member] - overlap
         return member[100 * overlap >= percent * union]
 
@@ -142,14 +212,13 @@ def _profiles(docs: DataFrame, id_kind: str, words: int) -> DataFrame:
     def profile(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                found = [shingles(t or b"", words) for t in batch.column(1).slice(at, ROWS).to_pylist()]
-                sigs = [signature(s) if len(s) else (0, 0) for s in found]
-                low = [s[:np.searchsorted(s, bound)].astype(np.int64) for s in found]
+                found, bounds = shingle_sets(batch.column(1).slice(at, ROWS).to_pylist(), words)
+                one, two = signatures(found, bounds)
+                is_low = found < bound
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, ROWS), batch.column(2).slice(at, ROWS),
-                     pa.array([len(s) for s in found], pa.int64()),
-                     pa.array([x for x, _ in sigs], pa.int64()), pa.array([x for _, x in sigs], pa.int64()),
-                     pa.array(low, pa.list_(pa.int64()))], ["id", "th", "n", "s1", "s2", "low"])
+                    [batch.column(0).slice(at, ROWS), batch.column(2).slice(at, ROWS), pa.array(np.diff(bounds)),
+                     pa.array(one), pa.array(two), _lists(found[is_low], np.append(0, np.cumsum(is_low))[bounds])],
+                    ["id", "th", "n", "s1", "s2", "low"])
 
     return docs.mapInArrow(profile, f"id {id_kind}, th long, n long, s1 long, s2 long, low array<long>")
 
@@ -180,6 +249,14 @@ def _suspects(profiles: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return out
 
 
+def _enough(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep) of the sets enough of whose shingles occur in other sets."""
+    tokens = sets.select("rep", "n", F.explode("grams").alias("token"))
+    shared = _shared(tokens, "rep", "join-shared")
+    return (tokens.join(shared.select("token"), "token").groupBy("rep", "n").agg(F.count("*").alias("k"))
+            .filter(F.col("k") >= required(F.col("n"), percent)).select("rep"))
+
+
 def _peeled(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, n, found) of the sets enough of whose shingles occur in other sets;
     ``found`` has (df, token) of these."""
@@ -220,15 +297,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             at = batch.column(2).to_numpy() - 1
             chosen = batch.filter(pa.array((mark[at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0))
-            ids, one, two, grams = [], [], [], []
-            for i, t in zip(chosen.column(0).to_pylist(), _texts(chosen.column(1))):
-                s = shingles(t or b"", words)
-                if len(s):
-                    s1, s2 = signature(s)
-                    ids.append(i), one.append(s1), two.append(s2), grams.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, chosen.schema.field(0).type), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(grams, pa.list_(pa.int64()))], ["lead", "s1", "s2", "grams"])
+            at = 0
+            for texts in _texts(chosen.column(1)):
+                found, bounds = shingle_sets(texts, words)
+                one, two = signatures(found, bounds)
+                made = pa.RecordBatch.from_arrays(
+                    [chosen.column(0).slice(at, len(texts)), pa.array(one), pa.array(two), _lists(found, bounds)],
+                    ["lead", "s1", "s2", "grams"])
+                yield made.filter(pa.array(bounds[1:] > bounds[:-1]))
+                at += len(texts)
 
     kind = docs.schema["id"].dataType.simpleString()
     built = docs.filter("id IS NOT NULL").select("id", "text", slot_of("id")).mapInArrow(
@@ -237,6 +314,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             .dropDuplicates(["rep"]).select("rep", "n", "grams"))
 
 
+def _link_table(table: pa.Table, a=(), b=()) -> pa.Table:
+    """Links from arrays of their ends, found in the group ``table``."""
+    if table.nbytes > GIVE:
+        give_back()
+    none = [np.empty(0, np.int64)]
+    return pa.table({"a": np.concatenate([*a, *none]), "b": np.concatenate([*b, *none])})
+
+
 def _pivot_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between each pivot and the classes paired with it."""
     sizes = staged(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "join-pivots")
@@ -247,17 +332,14 @@ def _pivot_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
              .select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
                      F.lit(1).alias("is_query"), "rep", "grams"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked, rest = pdf[pdf["is_query"] == 1], pdf[pdf["is_query"] == 0]
-        index = BlockIndex(list(rest["grams"]))
-        ids, a, b = rest["rep"].to_numpy(), [], []
-        for rep, grams in zip(asked["rep"], asked["grams"]):
-            for k in index.search(grams, percent):
-                a.append(rep), b.append(ids[k])
-        give_back()
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
+    def search(table: pa.Table) -> pa.Table:
+        is_query, rep, grams = table["is_query"].to_numpy(), table["rep"].to_numpy(), _arrays(table["grams"])
+        rest = np.flatnonzero(is_query == 0)
+        index = BlockIndex([grams[k] for k in rest])
+        found = {q: rep[rest[index.search(grams[q], percent)]] for q in np.flatnonzero(is_query)}
+        return _link_table(table, *zip(*((np.full(len(x), rep[q]), x) for q, x in found.items())))
 
-    out = member.unionByName(query).groupBy("pivot", "block").applyInPandas(search, "a long, b long")
+    out = member.unionByName(query).groupBy("pivot", "block").applyInArrow(search, "a long, b long")
     return staged(out, "join-links")
 
 
@@ -278,12 +360,12 @@ def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, percent: int
               .join(sets.select("rep", "grams"), "rep")
               .select("pivot", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "rep", "comp", "grams"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", ignore_index=True)
-        group = pd.factorize(pdf["comp"])[0]
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        group = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
         a, b = [], []
         if group.max(initial=0) > 0:
-            grams, ids = list(pdf["grams"]), pdf["rep"].to_numpy()
+            grams, ids = _arrays(table["grams"]), table["rep"].to_numpy()
             index = BlockIndex(grams)
             # of two classes of different components, one isn't in the largest component
             for q in np.flatnonzero(group != np.bincount(group).argmax()):
@@ -292,10 +374,9 @@ def _rest_links(pairs: DataFrame, sets: DataFrame, comp: DataFrame, percent: int
                 for k in index.search(grams[q], percent, wanted) if wanted.any() else ():
                     a.append(ids[q]), b.append(ids[k])
                     group[group == group[q]] = group[k]
-        give_back()
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
+        return _link_table(table, [np.array(a, np.int64)], [np.array(b, np.int64)])
 
-    return staged(placed.groupBy("pivot", "x", "y").applyInPandas(search, "a long, b long"), "join-more")
+    return staged(placed.groupBy("pivot", "x", "y").applyInArrow(search, "a long, b long"), "join-more")
 
 
 def _joined_groups(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -309,7 +390,7 @@ def _joined_groups(df: DataFrame, id_col: str, text_col: str, words: int, percen
     classes = stored.select("*", _key())
     wanted = _suspects(profiles, classes, percent)
     suspects = staged(_sets(docs, wanted, words), "join-suspect-sets")
-    sets = staged(suspects.join(_peeled(suspects, percent).select("rep"), "rep", "left_semi"), "join-sets")
+    sets = staged(suspects.join(_enough(suspects, percent), "rep", "left_semi"), "join-sets")
     drop_staged(wanted, suspects)
     posted = staged(_posted(_peeled(sets, percent), percent), "join-posted")
     key = ("token", "band")

@@ -1,8 +1,11 @@
 import os
 import random
+import sys
 import time
+from unittest import mock
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +114,68 @@ def test_t_occurrence_search_is_exact(sets, q):
     assert found == want
 
 
+@pytest.mark.parametrize("probe, step", [(0, 1), (0, 1 << 20), (1 << 40, 1), (1 << 40, 1 << 20)])
+def test_probed_and_merged_long_lists_agree(probe, step):
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 62, 60, dtype=np.uint64))
+    arrays = [np.unique(np.append(rng.permutation(base)[k // 4:], rng.integers(0, 1 << 62, k // 5, dtype=np.uint64)))
+              for k in range(80)]
+    with mock.patch.multiple(ngram_join, PROBE=probe, STEP=step):
+        index = ngram_join.BlockIndex(arrays)
+        for query in arrays[::7]:
+            want = [i for i, s in enumerate(arrays)
+                    if 100 * len(np.intersect1d(s, query)) >= 80 * len(np.union1d(s, query))]
+            assert index.search(query).tolist() == want
+
+
+def test_search_takes_no_python_step_per_entry():
+    """A search runs as many Python calls in a block of 256 sets as in one of 16."""
+    def calls(n):
+        index = ngram_join.BlockIndex([np.arange(k % 8, 200, dtype=np.uint64) for k in range(n)])
+        events = []
+        sys.setprofile(lambda frame, event, arg: events.append(event))
+        try:
+            found = index.search(np.arange(200, dtype=np.uint64))
+        finally:
+            sys.setprofile(None)
+        assert len(found) == n
+        return len(events)
+    assert calls(256) == calls(16)
+
+
+@pytest.mark.parametrize("words", [2, 5, 7])
+def test_shingles_of_many_texts_at_once(words):
+    """A run of texts is hashed in one call, with the sets that each text has alone."""
+    rng = random.Random(words)
+    texts = [None, b"", b" \n", b"a", b"A a", b"a b c d e", b"a b\x0bc D\xc3\x84 e f", b"x " * 40, "\u00a0 \u2003 z".encode()]
+    texts += [" ".join(rng.choice("abAB") for _ in range(rng.randrange(12))).encode() for _ in range(120)]
+    with mock.patch.object(pd.util, "hash_array", wraps=pd.util.hash_array) as hashed:
+        found, bounds = ngram_join.shingle_sets(texts, words)
+    assert hashed.call_count == 1 and len(bounds) == len(texts) + 1
+    one, two = ngram_join.signatures(found, bounds)
+    names = {}
+    for i, t in enumerate(texts):
+        ws = (t or b"").lower().split()
+        want = {tuple(ws[k:k + words]) for k in range(max(1, len(ws) - words + 1))} if ws else set()
+        got = found[bounds[i]:bounds[i + 1]]
+        assert len(got) == len(want) and (got[1:] > got[:-1]).all()
+        alone, _ = ngram_join.shingle_sets([t], words)
+        assert got.tolist() == alone.tolist()
+        assert names.setdefault(frozenset(want), (one[i], two[i])) == (one[i], two[i])
+        assert want or not one[i] and not two[i]
+    assert len(set(names.values())) == len(names)
+    assert [x.tolist() for x in ngram_join.shingle_sets([], words)] == [[], [0]]
+
+
+def test_first_peel_counts_only(spark):
+    """Which sets have enough shared shingles is found without gathering the shingles."""
+    sets = [list(range(0, 20)), list(range(2, 22)), list(range(10, 40)), list(range(100, 120)), [7]]
+    df = spark.createDataFrame([(i, len(s), s) for i, s in enumerate(sets)], "rep long, n long, grams array<long>")
+    enough = ngram_join._enough(df, 80)
+    assert "collect_list" not in enough._jdf.queryExecution().toString()
+    assert sorted(r.rep for r in enough.collect()) == sorted(r.rep for r in ngram_join._peeled(df, 80).collect()) == [0, 1, 4]
+
+
 @pytest.mark.parametrize("n", [1, 40])
 def test_components(spark, n):
     rng = random.Random(n)
