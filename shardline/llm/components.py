@@ -34,8 +34,13 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.distinct(), least
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node above others has one edge, to a node above none: then each edge
+    leads to the least node of its component. ``edges`` has u > v."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("over"), F.lit(0).alias("under")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("over"), F.lit(1).alias("under")))
+    nodes = ends.groupBy("x").agg(F.sum("over").alias("over"), F.max("under").alias("under"))
+    return nodes.filter("over > 1 OR (over = 1 AND under = 1)").agg(F.count("*")).first()[0] == 0
 
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -44,16 +49,13 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = staged(
         edges.filter(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "cc-edges")
-    mark = _mark(now)
-    while mark[0]:
+    while not _all_stars(now):
         large, least1 = _large_star(now)
         large = staged(large, "cc-edges")
         small, least2 = _small_star(large)
         then = staged(small, "cc-edges")
         drop_staged(now, large, least1, least2)
-        before, mark, now = mark, _mark(then), then
-        if before == mark:
-            break
+        now = then
     return (now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shardline.llm import ngram_join
+from shardline.llm import components, ngram_join
 from shardline.llm.components import connected
 
 
@@ -190,6 +190,19 @@ def test_components(spark, n):
     assert sorted((r.node, r.component) for r in got) == sorted(least.items())
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    """Edges that are stars already are read once; a path takes no round beyond its last change."""
+    steps = []
+    monkeypatch.setattr(components, "staged", lambda df, name, real=components.staged: steps.append(name) or real(df, name))
+    stars = [(9, 1), (8, 1), (1, 7), (5, 2), (2, 2), (None, 3)]
+    got = connected(spark.createDataFrame(stars, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(1, 1), (2, 2), (5, 2), (7, 1), (8, 1), (9, 1)]
+    assert len(steps) == 1
+    got = connected(spark.createDataFrame([(3, 2), (2, 1)], "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(1, 1), (2, 1), (3, 1)]
+    assert len(steps) == 1 + 1 + 4
+
+
 def test_shuffle_files_go_with_their_step(spark, small_docs):
     """None of the join's shuffles lies on the disk behind it, and the session's settings are as before."""
     folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
